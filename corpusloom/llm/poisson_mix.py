@@ -59,28 +59,31 @@ def rate_table(docs: DataFrame, total_rows: int | None = None, weights: dict | N
     return s.select("source_key", "n", "rate", "parts", F.when(F.col("mean") > 0, cdf).otherwise(F.array(F.lit(2.0))).alias("cdf"))
 
 
-def mix(docs: DataFrame, seed: str = "mix-1", total_rows: int | None = None, weights: dict | None = None, power: float = 0.5) -> DataFrame:
-    """Replicated, globally shuffled rows with `copy` (from 0) and `shuffle_key`, the order of the mixture."""
-    docs = docs.drop("copy", "shuffle_key")
+def mix_rows(docs: DataFrame, seed: str = "mix-1", total_rows: int | None = None, weights: dict | None = None, power: float = 0.5) -> DataFrame:
+    """(row, copy, shuffle_key): each input row as a struct with its copy number (from 0) and its place in the order."""
     rates = materialize(rate_table(docs, total_rows, weights, power), "mix-rates")
-    keyed = docs.withColumn("__key", F.coalesce(F.col("source").cast("string"), F.lit("\u0000null")))
-    keyed = keyed.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    r = rates.select(F.col("source_key").alias("__key"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
+    source = F.coalesce(F.col("source").cast("string"), F.lit("\u0000null"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), source.alias("key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"))
+    r = rates.select(F.col("source_key").alias("key"), "parts", "cdf")
     if rows_bounded(rates, BROADCAST_SOURCES):
-        joined = keyed.join(F.broadcast(r), "__key")
+        joined = keyed.join(F.broadcast(r), "key")
     else:
-        salt = F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int")
-        r = r.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("__salt", salt).join(r, ["__key", "__salt"]).drop("__salt")
-    one = lambda j: F.size(F.filter("__cdf", lambda c: c <= _unit(F.lit(seed), F.col("__id"), j.cast("string"))))
-    count = F.aggregate(F.sequence(F.lit(0), F.col("__parts") - 1), F.lit(0), lambda a, j: a + one(j))
-    counted = joined.withColumn("__count", count).filter("__count > 0").drop("__cdf", "__parts", "__key")
-    out = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__count") - 1)))
-    order = F.sha2(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("__id"), F.col("copy").cast("string")), 256)
-    out = out.withColumn("shuffle_key", F.conv(F.substring(order, 1, 15), 16, 10).cast("bigint")).drop("__count", "__id")
+        r = r.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(r, ["key", "salt"])
+    one = lambda j: F.size(F.filter("cdf", lambda c: c <= _unit(F.lit(seed), F.col("id"), j.cast("string"))))
+    count = F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0), lambda a, j: a + one(j))
+    counted = joined.select("row", "id", count.alias("n")).filter("n > 0")
+    out = counted.select("row", "id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    order = F.sha2(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("id"), F.col("copy").cast("string")), 256)
+    out = out.select("row", "copy", F.conv(F.substring(order, 1, 15), 16, 10).cast("bigint").alias("shuffle_key"))
     return out.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
 
 
+def mix(docs: DataFrame, seed: str = "mix-1", total_rows: int | None = None, weights: dict | None = None, power: float = 0.5) -> DataFrame:
+    """mix_rows() with the columns of docs (less `copy` and `shuffle_key`, which are this operator's)."""
+    return mix_rows(docs.drop("copy", "shuffle_key"), seed, total_rows, weights, power).select("row.*", "copy", "shuffle_key")
+
+
 def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     return mix(docs).select("doc_id", "source", "lang", "copy", "shuffle_key", "text")

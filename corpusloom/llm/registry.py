@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from . import poisson_mix
+from . import license_index, pfor_store, pii, piece_codec, poisson_mix, quality_rules
 
-QUERIES = {"op7_poisson_mix": poisson_mix.op7_poisson_mix}
-SQL = {"op7_poisson_mix": poisson_mix.SQL}
+QUERIES = {
+    "op1_license_scan": license_index.op1_license_scan,
+    "op4_pii": pii.op4_pii,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op7_poisson_mix": poisson_mix.op7_poisson_mix,
+    "op9_piece_codec": piece_codec.op9_piece_codec,
+    "op10_pfor_store": pfor_store.op10_pfor_store,
+}
+SQL = {
+    "op1_license_scan": license_index.sql(),
+    "op5_quality_rules": quality_rules.sql(),
+    "op7_poisson_mix": poisson_mix.SQL,
+}
