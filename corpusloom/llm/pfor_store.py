@@ -38,7 +38,7 @@ from .common import materialize, table
 BLOCK = 256
 PERCENTILE = 0.90
 FILE_IDS = 1 << 20
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_200_000
 MAGIC = b"PFOR0001"
 HEAD = struct.Struct("<8sqqqq")
 END = 0
@@ -158,45 +158,98 @@ def unpack_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 # ---- encoding -------------------------------------------------------------------------------------------------------
-_TOKENIZERS: dict[str, tuple] = {}
-_WHOLE = re.compile(r"\s\s|^\s|\s$|<\|endoftext\|>")
+_TOKENIZERS: dict[str, WordEncoder] = {}
+#: White space other than a space or a line feed.
+_ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
+#: Marks that are kept apart from the letters before them.
+MARKS = ".,;:!?*#$%&|<>()"
+
+
+class WordEncoder:
+    """A tokenizer with a cache of words in two generations: what was not used since the last turn is forgotten.
+
+    A key is a word that follows a space; a word at the start of a line has a line feed before it.
+    """
+
+    def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    return _TOKENIZERS[path]
+        self.tok = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.line = self.plain(["\n"])[0]
+
+    def plain(self, xs: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in self.tok.encode_batch_fast(xs, add_special_tokens=False))]
+
+    def cut(self, t: str) -> list[str] | None:
+        """Keys of a text's words, or None if it has to be encoded whole."""
+        s = t.replace("\n", " ")
+        if "  " in s or s[:1] in ("", " ") or s[-1] == " " or _ODD.search(t) or any(x in t for x in self.special):
+            return None
+        words = t.split(" ")
+        words[0] = "\n" + words[0]
+        return words
+
+    @staticmethod
+    def lines(word: str) -> list[str]:
+        """Keys of the parts of a word that holds line ends."""
+        parts = word[1:].split("\n") if word[0] == "\n" else word.split("\n")
+        return [("\n" if k or word[0] == "\n" else "") + p for k, p in enumerate(parts)]
+
+    def learn(self, words: set[str]) -> None:
+        """Have every one of these keys in the new generation."""
+        new, old = self.new, self.old
+        fresh, marked = set(), []
+        for w in words.difference(new):
+            if w in old:
+                new[w] = old[w]
+                continue
+            stem = w.rstrip(MARKS)
+            if len(stem) < len(w) and stem[-1:].isalpha():  # the pattern cuts between letters and marks
+                tail = "\n" + w[len(stem) :]
+                marked.append((w, stem, tail))
+                fresh.update(k for k in (stem, tail) if k not in new)
+            else:
+                fresh.add(w)
+        for w in fresh.intersection(old):
+            new[w] = old[w]
+        todo = list(fresh.difference(old))
+        if todo:
+            new.update(zip(todo, self.plain([w[1:] if w[0] == "\n" else " " + w for w in todo]), strict=True))
+        for w, stem, tail in marked:
+            new[w] = new[stem] + new[tail]
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, without the end id."""
+        if len(self.new) > CACHE_WORDS // 2:
+            self.old, self.new = self.new, {}
+        lists = [self.cut(t) if t else None for t in texts]
+        missing: set[str] = set()
+        for ws in lists:
+            if ws:
+                missing.update(set(ws).difference(self.new))
+        broken = {w: self.lines(w) for w in missing if "\n" in w[1:]}
+        self.learn(missing.difference(broken).union(*broken.values()))
+        get = self.new.__getitem__
+        self.new.update([(w, self.line.join(map(get, parts))) for w, parts in broken.items()])
+        for t, ws in zip(texts, lists, strict=True):
+            yield (self.plain([t])[0] if t else b"") if ws is None else b"".join(map(get, ws))
+        for w in broken:
+            del self.new[w]
 
 
 def encode_texts(texts: list[str | None], path: str) -> Iterator[bytes]:
     """Little-endian unsigned 32-bit ids of each text, without the end id."""
-    tok, cache = _tokenizer(path)
-
-    def plain(xs: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(xs, add_special_tokens=False)]
-
-    lists: list[list[str] | None] = []
-    missing: set[str] = set()
-    for t in texts:
-        if not t or _WHOLE.search(t):
-            lists.append(None)
-            continue
-        first, *rest = t.split(" ")
-        lists.append([first, *[" " + w for w in rest]])
-        missing.update(set(lists[-1]).difference(cache))
-    if len(cache) + len(missing) > CACHE_WORDS:
-        cache.clear()
-        missing = set().union(*[x for x in lists if x])
-    if missing:
-        todo = list(missing)
-        cache.update(zip(todo, plain(todo), strict=True))
-    for t, ws in zip(texts, lists, strict=True):
-        yield (plain([t])[0] if t else b"") if ws is None else b"".join([cache[w] for w in ws])
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordEncoder(path)
+    return _TOKENIZERS[path].encode(texts)
 
 
 def write_store(docs: DataFrame, tokenizer: str | None = None, text: str = "text", key: str = "doc_id", partitions: int | None = None) -> DataFrame:
