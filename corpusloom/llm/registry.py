@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from . import license_index, pfor_store, pii, piece_codec, poisson_mix, quality_rules
+from . import byte_cnn, license_index, minhash_join, pfor_store, pii, piece_codec, pivot_index, poisson_mix, quality_rules, suffix_dedup
 
 QUERIES = {
     "op1_license_scan": license_index.op1_license_scan,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+    "op3_byte_cnn": byte_cnn.op3_byte_cnn,
     "op4_pii": pii.op4_pii,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_pivot_index": pivot_index.op6_pivot_index,
     "op7_poisson_mix": poisson_mix.op7_poisson_mix,
+    "op8_minhash_join": minhash_join.op8_minhash_join,
     "op9_piece_codec": piece_codec.op9_piece_codec,
     "op10_pfor_store": pfor_store.op10_pfor_store,
 }
 SQL = {
     "op1_license_scan": license_index.sql(),
     "op5_quality_rules": quality_rules.sql(),
+    "op6_pivot_index": pivot_index.SQL,
     "op7_poisson_mix": poisson_mix.SQL,
 }
