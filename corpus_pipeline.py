@@ -26,11 +26,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more).
 
-    Rows are joined on (doc_id, text hash) so that rows that repeat a doc_id with the same text are one document.
+    Equal rows (one doc_id with one text) are one document; rows without doc_id stay.
     """
-    kept = minhash_join.near_duplicates(docs, k=5, percent=80).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    some = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
-    return some.unionByName(docs.filter("doc_id IS NULL")).dropDuplicates(["doc_id", "text"])
+    kept = minhash_join.near_duplicates(docs, k=5, percent=80).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
+    some = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return some.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
