@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = r"(?U)\s+"
 #: Control tokens of the record template and the template's parts.
@@ -30,6 +31,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(c, body) -> Column:
+    """body(x) with x bound to c once a row; without it an expression inside a lambda is computed for each element."""
+    return F.get(F.transform(F.array(_col(c)), body), 0)
+
+
 def collapse(c) -> Column:
     return F.trim(F.regexp_replace(_col(c), SPACE, " "))
 
@@ -38,7 +44,7 @@ def normal(c) -> Column:
     return F.lower(collapse(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _norm(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
 
@@ -47,7 +53,7 @@ def norm(c) -> Column:
     return _norm(_col(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else " ".join(t.casefold().split()))
 
@@ -99,9 +105,12 @@ def words(c, pattern: str = r"[^\s]+") -> Column:
 
 def shingle_keys(ws, k: int = 5) -> Column:
     """Distinct 16-hex keys of the k-word shingles of an array of words; none for shorter arrays."""
-    w = _col(ws)
-    one = lambda i: F.substring(F.sha2(F.array_join(F.array(*[F.get(w, i + j) for j in range(k)]), " "), 256), 1, 16)
-    return F.when(F.size(w) >= k, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - k), one))).otherwise(F.array().cast("array<string>"))
+
+    def keys(w):
+        one = lambda i: F.substring(F.sha2(F.array_join(F.array(*[F.get(w, i + j) for j in range(k)]), " "), 256), 1, 16)
+        return F.when(F.size(w) >= k, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - k), one))).otherwise(F.array().cast("array<string>"))
+
+    return let(ws, keys)
 
 
 def bottom(keys, n: int = 16) -> Column:
@@ -140,7 +149,7 @@ def dialogue_key(c) -> Column:
     return digest(normal(F.regexp_replace(_col(c), r"(?m)^[^:\n]{1,60}:\s*", "")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else html.unescape(t))
 
@@ -154,7 +163,7 @@ def clean(c) -> Column:
     return _unescape(strip_tags(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def code_key(s: pd.Series) -> pd.Series:
     """SHA-256 of the program's syntax tree; null where it does not parse."""
 
@@ -167,7 +176,7 @@ def code_key(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def called_name(assertion: pd.Series, program: pd.Series) -> pd.Series:
     """The first name that an assertion calls and the program defines."""
 

@@ -197,8 +197,8 @@ def near_dup_jaccard(spark, sf):
 PAIRS_CTE = f"""{SHINGLE_CTE}, n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 b AS (SELECT doc_id, k FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k) <= 16),
 c AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM b x JOIN b y ON x.k = y.k AND x.doc_id < y.doc_id),
-i AS (SELECT a, b, count(*) AS both FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.k = x.k GROUP BY a, b),
-pairs AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE both::DOUBLE / (x.n + y.n - both) >= 0.8)"""
+i AS (SELECT a, b, count(*) AS hits FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.k = x.k GROUP BY a, b),
+pairs AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE hits::DOUBLE / (x.n + y.n - hits) >= 0.8)"""
 NEAR_SQL = f"WITH {PAIRS_CTE} SELECT a, b FROM pairs"
 
 

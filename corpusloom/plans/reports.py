@@ -16,7 +16,7 @@ def run_events(spark, sf) -> DataFrame:
     """Events as run telemetry: user is the run, signup a start, error the end, anything else a train row."""
     kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "error", "finished").otherwise("train")
     e = table(spark, sf, "events")
-    return e.select(F.col("user_id").alias("run"), F.col("event_id").alias("pos"), F.unix_micros("ts").alias("us"), (F.unix_micros("ts") / 1e6).alias("ts"), kind.alias("event"), F.col("value").alias("speed"), F.col("event_id").alias("step"), (F.col("event_id") * 10).alias("tokens"))
+    return e.select(F.col("user_id").alias("run"), F.col("event_id").alias("pos"), (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") / 1e6).alias("ts"), kind.alias("event"), F.col("value").alias("speed"), F.col("event_id").alias("step"), (F.col("event_id") * 10).alias("tokens"))
 
 
 EV_SQL = """ev AS (SELECT user_id AS run, event_id AS pos, epoch_us(ts) / 1e6 AS ts, CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'finished' ELSE 'train' END AS event,
@@ -248,8 +248,8 @@ def wilson(spark, sf):
 
 
 WILSON_SQL = f"""WITH {RULE_SQL}, {SCORES_SQL}, p AS (SELECT source, scored::DOUBLE AS n, correct / scored::DOUBLE AS p, 1.959963984540054::DOUBLE AS z FROM sc)
-SELECT source, round(greatest(0.0, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 9) AS low,
-  round(least(1.0, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 9) AS high FROM p"""
+SELECT source, round(CASE WHEN n > 0 THEN greatest(0.0, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)) END, 9) AS low,
+  round(CASE WHEN n > 0 THEN least(1.0, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)) END, 9) AS high FROM p"""
 
 
 def eval_summary(spark, sf):
@@ -270,11 +270,11 @@ SELECT source, count(*) AS distinct_predictions, max(p.n) AS mode_count, (SELECT
 
 def majority_baseline(spark, sf):
     r = rule_results(spark, sf)
-    return S.majority_baseline(r.filter("doc_id % 2 = 0"), r.filter("doc_id % 2 = 1"), "quality")
+    return S.majority_baseline(r.filter("doc_id % 7 < 4"), r.filter("doc_id % 7 >= 4"), "quality")
 
 
-MAJORITY_SQL = f"""WITH {RULE_SQL}, c AS (SELECT source, quality, count(*) AS n FROM res WHERE doc_id % 2 = 0 GROUP BY ALL), m AS (SELECT source, quality AS majority FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, quality) = 1)
-SELECT source, any_value(majority) AS majority, count(*) AS n, count(*) FILTER (quality = majority) AS correct FROM res JOIN m USING (source) WHERE doc_id % 2 = 1 GROUP BY source"""
+MAJORITY_SQL = f"""WITH {RULE_SQL}, c AS (SELECT source, quality, count(*) AS n FROM res WHERE doc_id % 7 < 4 GROUP BY ALL), m AS (SELECT source, quality AS majority FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, quality) = 1)
+SELECT source, any_value(majority) AS majority, count(*) AS n, count(*) FILTER (quality = majority) AS correct FROM res JOIN m USING (source) WHERE doc_id % 7 >= 4 GROUP BY source"""
 
 
 def paired_compare(spark, sf):
@@ -304,10 +304,10 @@ def weighted_loss(spark, sf):
 
 def sql_text_match(spark, sf):
     q = table(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("a"))
-    return q.select("doc_id", S.sql_match(F.concat("a", F.lit(" ;;")), F.upper("a")).alias("match"))
+    return q.select("doc_id", S.sql_match(F.concat("a", F.lit(" ;;")), F.concat(F.lit("  "), "a")).alias("match"))
 
 
-SQLMATCH_SQL = "WITH q AS (SELECT doc_id, split_part(text, chr(10), 1) AS a FROM documents) SELECT doc_id, lower(regexp_replace(trim(a || ' ;;'), '[;\\s]+$', '')) = lower(regexp_replace(trim(upper(a)), '[;\\s]+$', '')) AS match FROM q"
+SQLMATCH_SQL = "WITH q AS (SELECT doc_id, split_part(text, chr(10), 1) AS a FROM documents) SELECT doc_id, lower(regexp_replace(trim(a || ' ;;'), '[;\\s]+$', '')) = lower(regexp_replace(trim('  ' || a), '[;\\s]+$', '')) AS match FROM q"
 
 
 def final_answer(spark, sf):
@@ -340,7 +340,7 @@ SELECT doc_id, CASE WHEN k = 0 THEN 'unscored' WHEN a IS NULL OR (k = 2 AND a =
 def allocation(spark, sf):
     n = F.size(F.split(T.collapse("text"), " "))
     a = S.allocation(n)
-    return table(spark, sf, "documents").select(a.alias("a")).agg(F.count_if("a.supported").alias("supported"), F.count_if(~F.col("a.supported")).alias("rejected"), F.count_if("a.reduced AND a.supported").alias("reduced"), F.min("a.effective").alias("least"), F.max("a.effective").alias("most"))
+    return table(spark, sf, "documents").select(a.alias("a")).agg(F.count_if(F.col("a.supported")).alias("supported"), F.count_if(~F.col("a.supported")).alias("rejected"), F.count_if(F.expr("a.reduced AND a.supported")).alias("reduced"), F.min("a.effective").alias("least"), F.max("a.effective").alias("most"))
 
 
 ALLOC_SQL = """WITH n AS (SELECT 1024 - len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS l FROM documents), a AS (SELECT l, least(l, 1024) AS g FROM n)
