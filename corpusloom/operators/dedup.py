@@ -64,35 +64,38 @@ def code_overlap(df: DataFrame, drop: str = "dev") -> DataFrame:
 
 
 def near_duplicate_pairs(df: DataFrame, shingles: str = "shingles", least: float = 0.8, bottom: int = 16) -> DataFrame:
-    """Pairs (a, b), a before b, that share one of their least shingle keys and reach the Jaccard similarity.
+    """(a, b, copy): rows that share one of their least shingle keys and reach the Jaccard similarity.
 
-    The blocking is the result's definition, so no key is dropped; equal key sets are one class while candidates are
-    made, which keeps a group of copies from meeting in all pairs; pairs between classes are expanded at the end.
+    Rows with equal key sets are one class, represented by its first row: `copy` rows join the representative to the
+    others, the rest are pairs of representatives. A group of copies so gives rows in proportion to its size. The
+    blocking by least keys is the result's definition, so no key is dropped.
     """
     d = df.filter(F.size(shingles) > 0).select("ord", F.array_sort(shingles).alias("s"))
-    d = d.withColumn("class", F.sha2(F.array_join("s", ","), 256))
+    d = materialize(d.select("ord", "s", F.sha2(F.array_join("s", ","), 256).alias("class")), "nd-rows")
     classes = materialize(d.groupBy("class").agg(F.min("ord").alias("c"), F.first("s").alias("s")), "nd-classes")
     posts = classes.select("c", F.explode(F.slice("s", 1, bottom)).alias("k"))
-    cand = posts.alias("x").join(posts.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.c") < F.col("y.c"))).select(F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct()
+    cand = posts.alias("x").join(posts.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.c") < F.col("y.c"))).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
     sets = classes.select("c", "s")
-    near = cand.join(sets.select(F.col("c").alias("ca"), F.col("s").alias("sa")), "ca").join(sets.select(F.col("c").alias("cb"), F.col("s").alias("sb")), "cb")
-    near = near.filter(T.jaccard("sa", "sb") >= least).select("ca", "cb")
-    near = near.unionByName(classes.select(F.col("c").alias("ca"), F.col("c").alias("cb")))
-    member = d.join(classes.select("class", "c"), "class").select("c", "ord")
-    pairs = near.join(member.select(F.col("c").alias("ca"), F.col("ord").alias("u")), "ca").join(member.select(F.col("c").alias("cb"), F.col("ord").alias("v")), "cb")
-    return pairs.filter((F.col("ca") != F.col("cb")) | (F.col("u") < F.col("v"))).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    near = cand.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
+    near = near.filter(T.jaccard("sa", "sb") >= least).select("a", "b", F.lit(False).alias("copy"))
+    copies = d.join(classes.select("class", F.col("c").alias("a")), "class").filter("ord <> a").select("a", F.col("ord").alias("b"), F.lit(True).alias("copy"))
+    return near.unionByName(copies)
 
 
 def greedy_keep(ids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """J12 greedy: keep i iff no kept j before it pairs with it; a fixed point over the pairs.
+    """J12 greedy: keep i iff no kept j before it pairs with it; a fixed point over the pairs of representatives.
 
-    Each round keeps undecided rows whose earlier partners are all rejected, and rejects rows with a kept earlier partner.
+    A copy is never kept: its representative comes first, and what rejects that rejects the copy. Each round keeps
+    undecided rows whose earlier partners are all rejected, and rejects rows with a kept earlier partner.
     """
-    state = materialize(ids.select("ord").join(pairs.select(F.col("b").alias("ord")).distinct().withColumn("open", F.lit(True)), "ord", "left").select("ord", F.when(F.col("open").isNull(), 1).otherwise(0).alias("kept")), "gk")
     pairs = materialize(pairs, "gk-pairs")
+    near = pairs.filter("NOT copy").select("a", "b")
+    marks = pairs.groupBy(F.col("b").alias("ord")).agg(F.max(F.col("copy").cast("int")).alias("copied"))
+    first = F.when(F.col("copied") == 1, -1).when(F.col("copied") == 0, 0).otherwise(1)
+    state = materialize(ids.select("ord").join(marks, "ord", "left").select("ord", first.alias("kept")), "gk-state")
     while True:
-        seen = pairs.join(state.select(F.col("ord").alias("a"), F.col("kept").alias("k")), "a").groupBy("b").agg(F.max(F.when(F.col("k") == 1, 1).otherwise(0)).alias("hit"), F.min(F.when(F.col("k") == -1, 1).otherwise(0)).alias("free"))
+        seen = near.join(state.select(F.col("ord").alias("a"), F.col("kept").alias("k")), "a").groupBy("b").agg(F.max(F.when(F.col("k") == 1, 1).otherwise(0)).alias("hit"), F.min(F.when(F.col("k") == -1, 1).otherwise(0)).alias("free"))
         new = F.when(F.col("kept") != 0, F.col("kept")).when(F.col("hit") == 1, -1).when(F.col("free") == 1, 1).otherwise(0)
-        state = materialize(state.join(seen, state["ord"] == seen["b"], "left").select("ord", new.alias("kept")), "gk")
+        state = materialize(state.join(seen, state["ord"] == seen["b"], "left").select("ord", new.alias("kept")), "gk-state")
         if state.filter("kept = 0").isEmpty():
             return state.filter("kept = 1").select("ord")

@@ -194,12 +194,14 @@ def near_dup_jaccard(spark, sf):
     return _near_pairs(spark, sf)[1]
 
 
-PAIRS_CTE = f"""{SHINGLE_CTE}, n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-b AS (SELECT doc_id, k FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k) <= 16),
+NEAR_SQL = f"""WITH {SHINGLE_CTE}, l AS (SELECT doc_id, list_sort(list(k)) AS l FROM s GROUP BY doc_id),
+r AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY l) AS rep, len(l) AS n FROM l),
+z AS (SELECT s.* FROM s JOIN r USING (doc_id) WHERE rep = doc_id),
+b AS (SELECT doc_id, k FROM z QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k) <= 16),
 c AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM b x JOIN b y ON x.k = y.k AND x.doc_id < y.doc_id),
-i AS (SELECT a, b, count(*) AS hits FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.k = x.k GROUP BY a, b),
-pairs AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE hits::DOUBLE / (x.n + y.n - hits) >= 0.8)"""
-NEAR_SQL = f"WITH {PAIRS_CTE} SELECT a, b FROM pairs"
+i AS (SELECT a, b, count(*) AS hits FROM c JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b AND y.k = x.k GROUP BY a, b)
+SELECT a, b, false AS copy FROM i JOIN r x ON x.doc_id = a JOIN r y ON y.doc_id = b WHERE hits::DOUBLE / (x.n + y.n - hits) >= 0.8
+UNION ALL SELECT rep, doc_id, true FROM r WHERE rep <> doc_id"""
 
 
 def near_dup_greedy(spark, sf):
