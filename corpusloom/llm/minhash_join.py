@@ -6,11 +6,12 @@
    least NEED coordinates but for a chance of about one in a million, and then shares one of its COORDS - NEED + 1
    rarest postings (prefix filter over the order by global frequency). Postings of one class and those past the prefix
    are skipped, so a passage that many documents share is not compared unless it makes up most of a signature.
-3. Posting lists are merged by pivots, never all pairs: a pivot of each list is compared to the list's members outside
-   its component; signature agreements are counted and pairs below NEED dropped; the rest is confirmed on full sets.
-   A member that was pivot is done. Lists whose members all lie in one component are done. Rounds go on, with more
-   pivots each time, taken from outside a list's largest component, until no list is left: no pair that could link two
-   components stays uncompared.
+3. Posting lists are merged by skips, never into all pairs. Every class is first compared to one pivot of its lists, then,
+   twice, classes outside their list's largest component (its head) to a few members of the head; signature agreements
+   are counted, pairs below NEED dropped, the rest confirmed on full sets. What is still outside a head then is compared
+   to all of the head's component and to the others outside it: small cases as rows, larger ones in tasks of CHUNK
+   outsiders and BLOCK members that return one row for each outsider and component found. Two classes of one list lie in
+   one component, or one of them is outside the list's head, so no pair that could link two components is left out.
 4. Components over confirmed links.
 
 Defined cases: null or empty text has no set and links with nothing; fewer words than a shingle make one shingle of the
@@ -25,6 +26,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ COORDS = 32
 #: Ids up to which the classes in question are broadcast to find their texts (8 bytes each); else a shuffled join.
 BROADCAST_IDS = 500_000
 PIECE = 1 << 20
+#: Outsiders and members that meet in one task.
+CHUNK, BLOCK = 64, 1024
 
 _R = np.random.default_rng(20240229)
 _BYTE = _R.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -177,25 +181,80 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return part.mapInArrow(run, "rep bigint, set binary")
 
 
-def _confirm(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, need: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, after counting signature agreements."""
+def _close(pairs: DataFrame, sigs: DataFrame, need: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in at least `need` coordinates."""
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
     left, right = (sigs.select(F.col("rep").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
-    close = materialize(pairs.join(left, "a").join(right, "b").filter(agree >= need).select("a", "b"), "mh-close")
+    return pairs.join(left, "a").join(right, "b").filter(agree >= need).select("a", "b")
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _confirmed(close: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold."""
 
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    close = materialize(close, "mh-close")
     left, right = (sets.select(F.col("rep").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
     return materialize(close.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint").distinct(), "mh-links")
 
 
+def _heads(live: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of lists with their components, and the largest component (head, size) of each list that has several."""
+    named = live.join(label, F.col("rep") == F.col("id"), "left").select("post", "rep", F.coalesce("component", "rep").alias("component"))
+    named = materialize(named, "mh-named")
+    parts = named.groupBy("post", "component").agg(F.count(F.lit(1)).alias("n"))
+    heads = parts.groupBy("post").agg(F.max_by("component", F.struct("n", "component")).alias("head"), F.max("n").alias("size"), F.count(F.lit(1)).alias("parts"))
+    return named, materialize(heads.filter("parts > 1").drop("parts"), "mh-heads")
+
+
+def _outsiders(outside: DataFrame, live: DataFrame, label: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, need: int) -> DataFrame:
+    """Links (a, b) between outsiders (head, rep, component) and the members of the head's component or each other."""
+    every = live.select("rep").distinct().join(label, F.col("rep") == F.col("id"), "left").select("rep", F.coalesce("component", "rep").alias("head"))
+    heads = outside.groupBy("head").agg(F.count(F.lit(1)).alias("outsiders"))
+    inside = every.join(heads.select("head"), "head").select("head", "rep", F.col("head").alias("component"))
+    members = materialize(inside.unionByName(outside.select("head", "rep", "component")), "mh-members")
+    sizes = members.groupBy("head").agg(F.count(F.lit(1)).alias("members")).join(heads, "head")
+    sizes = materialize(sizes.withColumn("many", F.col("members") * F.col("outsiders") > CHUNK), "mh-sizes")
+    few = sizes.filter("NOT many").select("head")
+    x = outside.join(few, "head").select("head", F.col("rep").alias("x"), F.col("component").alias("cx"))
+    y = members.join(few, "head").select("head", F.col("rep").alias("y"), F.col("component").alias("cy"))
+    pairs = x.join(y, "head").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = _confirmed(_close(pairs, sigs, need), sets, percent)
+    plan = sizes.filter("many").select("head", F.ceil(F.col("outsiders") / CHUNK).cast("int").alias("chunks"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    asks = outside.join(plan, "head").select("head", part("chunks").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "component", F.lit(True).alias("asks"))
+    told = members.join(plan, "head").select("head", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), part("blocks").alias("block"), "rep", "component", F.lit(False).alias("asks"))
+    tasks = asks.unionByName(told).join(sigs, "rep").join(sets, "rep")
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        ask, tell = d[d["asks"]], d[~d["asks"]]
+        out = []
+        if len(ask) and len(tell):
+            a, t = np.stack(ask["sig"].to_list()), np.stack(tell["sig"].to_list())
+            ids, comps = tell["rep"].to_numpy(), tell["component"].to_numpy()
+            told_sets = [np.frombuffer(s, np.uint64) for s in tell["set"]]
+            for rep, comp, sig, raw in zip(ask["rep"], ask["component"], a, ask["set"], strict=True):
+                own, found = np.frombuffer(raw, np.uint64), set()
+                for k in np.flatnonzero(((t == sig).sum(axis=1) >= need) & (comps != comp)):
+                    if comps[k] not in found and _alike(own, told_sets[k], percent):
+                        found.add(comps[k])
+                        out.append((rep, ids[k]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    more = tasks.groupBy("head", "chunk", "block").applyInPandas(run, "a bigint, b bigint")
+    return links.unionByName(materialize(more.distinct(), "mh-links"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -212,30 +271,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     lists = materialize(lists, "mh-lists")
     stars = lists.groupBy("post").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     live = materialize(lists.join(stars, "post").select("post", "rep", "pivot"), "mh-live")
+    drop_path(lists)
     sets = materialize(_sets(docs, live.select("rep").distinct(), k), "mh-sets")
     pairs = live.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    live = live.filter("rep <> pivot").select("post", "rep")
-    links = _confirm(pairs, sigs, sets, percent, need)
-    found, pivots = [links], 16
+    close = _close(pairs, sigs, need).groupBy("b").agg(F.min("a").alias("a"))
+    links = _confirmed(close, sets, percent)
     label = components(links)
-    while True:
-        named = live.join(label, F.col("rep") == F.col("id"), "left").select("post", "rep", F.coalesce("component", "rep").alias("component"))
-        named = materialize(named, "mh-named")
-        parts = named.groupBy("post", "component").agg(F.count(F.lit(1)).alias("n"))
-        heads = parts.groupBy("post").agg(F.max_by("component", F.struct("n", "component")).alias("head"), (F.sum("n") - F.max("n")).alias("strays"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        named = named.join(heads, "post").drop("parts")
-        stray = (F.col("component") != F.col("head")) & (F.pmod(F.xxhash64("rep"), F.col("strays")) < pivots)
-        live = materialize(named.select("post", "rep", "component", stray.alias("pivot")), "mh-live")
-        if live.isEmpty():
-            break
-        chosen = live.filter("pivot").select("post", F.col("rep").alias("p"), F.col("component").alias("pc"))
-        pairs = live.join(chosen, "post").filter("component <> pc").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
-        found.append(_confirm(pairs, sigs, sets, percent, need))
-        live = live.filter("NOT pivot").select("post", "rep")
-        pivots *= 4
-        if not found[-1].isEmpty():
-            links = links.unionByName(found[-1])
-            label = components(links)
+    live = live.select("post", "rep")
+    for sampled in (2, 4):
+        named, heads = _heads(live, label)
+        out = named.join(heads, "post").filter("component <> head").select("post", "rep")
+        some = named.join(heads, "post").filter((F.col("component") == F.col("head")) & (F.pmod(F.xxhash64("rep", F.lit(sampled)), F.col("size")) < sampled)).select("post", F.col("rep").alias("other"))
+        pairs = out.join(some, "post").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+        links = links.unionByName(_confirmed(_close(pairs, sigs, need), sets, percent))
+        label = components(links)
+    named, heads = _heads(live, label)
+    outside = materialize(named.join(heads, "post").filter("component <> head").select("head", "rep", "component").distinct(), "mh-outside")
+    if not outside.isEmpty():
+        links = links.unionByName(_outsiders(outside, live, label, sigs, sets, percent, need))
+        label = components(links)
     drop_path(sets)
     named = classes.select("digest", "rep").join(label, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     some = rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL").join(named, "digest").select("doc_id", "n_shingles", "component_id")

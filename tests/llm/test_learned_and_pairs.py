@@ -41,7 +41,9 @@ def near_texts(seed=5, n=40):
 
 
 @pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
-def test_near_duplicates_equal_brute_force(spark, k, percent):
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, k, percent):
+    monkeypatch.setattr(minhash_join, "CHUNK", 4)
+    monkeypatch.setattr(minhash_join, "BLOCK", 16)
     texts = near_texts()
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, component long").repartition(3)
     got = {r.doc_id: r for r in minhash_join.near_duplicates(docs, k, percent).collect()}
