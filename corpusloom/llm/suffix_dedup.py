@@ -17,8 +17,9 @@ windows that chose it).
 
 Counts are aggregations with partial sums and joins on unique keys, so a passage with very many copies is split like any
 skewed key; copies of a zone are one representative in the last step. There, the bytes of the zones of a bucket meet in
-one task if they are at most TOGETHER; the windows of larger buckets become rows, counted by an aggregation. Texts are
-shuffled only to meet their own findings.
+one task if they are at most TOGETHER. In larger buckets, a row is a slice of SLICE windows at one distance from the
+anchor (equal windows have equal distances): slices whose bytes repeat are settled whole; of the others only those whose
+common core repeats are opened, and their windows counted one by one. Texts are shuffled only to meet their own findings.
 
 Defined cases: null or empty text has 0 bytes and the hash of the empty string; texts shorter than WINDOW keep all bytes;
 rows that repeat a doc_id stay rows of their own, and equal texts repeat each other whatever their ids; null doc_id is
@@ -43,7 +44,8 @@ SPAN = WINDOW - GRAM + 1
 PIECE = 1 << 20
 PLACE_BITS = 22
 #: Zones of one bucket that may meet in one task; the windows of larger buckets are counted as rows.
-TOGETHER = 64
+TOGETHER = 512
+SLICE = 8
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -93,7 +95,7 @@ class Zones:
         lengths = np.array([len(r) for r in raws], np.int64)
         self.begin = np.cumsum(lengths) - lengths
         empty = np.zeros(0, np.int64)
-        self.text, self.lo, self.hi, self.g, self.z = empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.text, self.lo, self.hi, self.at, self.g, self.z = empty, empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         if len(flat) < WINDOW:
             return
         gram, long = names(flat)
@@ -107,7 +109,7 @@ class Zones:
         a = anchor[q]
         cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (q[1:] != q[:-1] + 1)]))
         self.lo, self.hi = q[cut], q[np.append(cut[1:], len(q)) - 1]
-        self.g = gram[a[cut]]
+        self.g, self.at = gram[a[cut]], a[cut] - self.lo
         size = self.hi - self.lo + WINDOW
         self.z = refine(refine(long[self.lo] ^ size.astype(np.uint64), long[self.lo + (size - 128) // 2]), long[self.lo + size - 128])
         self.text = np.searchsorted(self.begin, self.lo, side="right") - 1
@@ -146,9 +148,9 @@ class LongZones:
         for off, part, own, end in pieces(raw):
             z = Zones([part])
             keep = (z.lo + off >= own) & (z.lo + off < end)
-            parts.append((z.lo[keep] + off, z.hi[keep] + off, z.g[keep], z.z[keep]))
-        lo, hi, g, z = (np.concatenate(x) for x in zip(*parts, strict=True))
-        self.text, self.lo, self.hi, self.g, self.z = np.zeros(len(lo), np.int64), lo, hi, g, z
+            parts.append((z.lo[keep] + off, z.hi[keep] + off, z.at[keep], z.g[keep], z.z[keep]))
+        lo, hi, at, g, z = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.text, self.lo, self.hi, self.at, self.g, self.z = np.zeros(len(lo), np.int64), lo, hi, at, g, z
 
 
 def _raw(column) -> list[bytes]:
@@ -176,8 +178,8 @@ def _outcome(raw: bytes, gone: np.ndarray) -> tuple[int, int, str, bytes]:
     return int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept
 
 
-FIRST = "doc_id bigint, doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, raw binary, cover array<int>, asked array<struct<g:bigint,lo:int,own:boolean,many:boolean,zone:binary>>"
-KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.struct([("g", pa.int64()), ("lo", pa.int32()), ("own", pa.bool_()), ("many", pa.bool_()), ("zone", pa.binary())]))]
+FIRST = "doc_id bigint, doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, raw binary, cover array<int>, asked array<struct<g:bigint,lo:int,at:int,own:boolean,many:boolean,zone:binary>>"
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.struct([("g", pa.int64()), ("lo", pa.int32()), ("at", pa.int32()), ("own", pa.bool_()), ("many", pa.bool_()), ("zone", pa.binary())]))]
 
 
 def first_pass(met: DataFrame, keep_text: bool) -> DataFrame:
@@ -215,7 +217,7 @@ def first_pass(met: DataFrame, keep_text: bool) -> DataFrame:
                             for m in np.unique(at[fits & (told[k][:, 2] == kind)]).tolist():
                                 pending |= not settled[m]
                                 lo = int(z.lo[p + m])
-                                asked.append({"g": int(z.g[p + m].view(np.int64)), "lo": lo, "own": not settled[m], "many": kind == 3, "zone": raw[lo : int(z.hi[p + m]) + WINDOW]})
+                                asked.append({"g": int(z.g[p + m].view(np.int64)), "lo": lo, "at": int(z.at[p + m]), "own": not settled[m], "many": kind == 3, "zone": raw[lo : int(z.hi[p + m]) + WINDOW]})
                     if pending:
                         out.append((ids[k], keys[k], len(raw), None, None, None, None, raw, np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).astype(np.int32), asked))
                     else:
@@ -269,20 +271,49 @@ def compare_together(asked: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc bigint, qs array<int>")
 
 
-def compare_rows(asked: DataFrame) -> DataFrame:
-    """(doc, qs): repeated windows of zones of large buckets, counted as rows."""
+SLICES = "doc bigint, g bigint, s int, q int, own boolean, u bigint, c bigint, ws array<bigint>"
+
+
+def slices(asked: DataFrame) -> DataFrame:
+    """Zones cut into slices: windows from place q with names ws; u names all their bytes, c the bytes common to the slice."""
 
     def run(batches):
         for b in batches:
-            for s in range(0, b.num_rows, 1024):
-                rows = list(zip(*(c.to_pylist() for c in b.slice(s, 1024).columns), strict=True))
-                w, zone, place = _window_names([r[4] for r in rows])
-                col = lambda i, t: np.array([r[i] for r in rows], t)[zone]  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(col(0, np.int64)), pa.array(col(1, np.int64)), pa.array((col(2, np.int64) + place).astype(np.int32)), pa.array(col(3, bool)), pa.array(w.view(np.int64))], ["doc", "g", "q", "own", "w"])
-
-    windows = materialize(asked.filter("many").select("doc", "g", "lo", "own", "zone").mapInArrow(run, "doc bigint, g bigint, q int, own boolean, w bigint"), "sd-windows")
-    twice = windows.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", "w")
-    return windows.filter("own").join(twice, ["g", "w"]).select("doc", F.array("q").alias("qs"))
+            for start in range(0, b.num_rows, 1024):
+                rows = list(zip(*(x.to_pylist() for x in b.slice(start, 1024).columns), strict=True))
+                zones = [r[5] for r in rows]
+                _, long = names(np.frombuffer(b"".join(zones), np.uint8))
+                w, zone, place = _window_names(zones)
+                sizes = np.array([len(x) for x in zones], np.int64)
+                first = (np.cumsum(sizes) - sizes)[zone]  # of the zone's bytes
+                anchor = np.array([r[3] for r in rows], np.int64)[zone]
+                s = (anchor - place) // SLICE
+                cut = np.flatnonzero(np.concatenate([[True], (zone[1:] != zone[:-1]) | (s[1:] != s[:-1])]))
+                last = np.append(cut[1:], len(w)) - 1
+                z, q1, q2, sl = zone[cut], place[cut], place[last], s[cut]
+                shape = ((anchor[cut] - q1) * 1024 + (q2 - q1)).astype(np.uint64)
+                u = refine(refine(long[first[cut] + q1], long[first[cut] + q2 + WINDOW - 128]), shape)
+                core = first[cut] + anchor[cut] - sl * SLICE
+                c = refine(long[core], long[core + WINDOW - SLICE + 1 - 128])
+                col = lambda i, t: np.array([r[i] for r in rows], t)[z]  # noqa: B023, E731
+                ws = pa.ListArray.from_arrays(pa.array(np.append(cut, len(w)).astype(np.int32)), pa.array(w.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(col(0, np.int64)), pa.array(col(1, np.int64)), pa.array(sl.astype(np.int32)), pa.array((col(2, np.int64) + q1).astype(np.int32)), pa.array(col(4, bool)), pa.array(u.view(np.int64)), pa.array(c.view(np.int64)), ws], [x.split(" ")[0] for x in SLICES.split(", ")])
+
+    return asked.filter("many").select("doc", "g", "lo", "at", "own", "zone").mapInArrow(run, SLICES)
+
+
+def compare_rows(asked: DataFrame) -> DataFrame:
+    """(doc, qs): repeated windows of zones of large buckets, by slices, then by windows where slices differ."""
+    rows = materialize(slices(asked), "sd-slices")
+    whole = rows.groupBy("g", "s", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "q", "own")).alias("first"), F.first("c").alias("c"), F.first("ws").alias("ws"))
+    whole = materialize(whole, "sd-whole")
+    places = F.transform("ws", lambda _, i: F.col("q") + i)
+    settled = rows.filter("own").join(whole.filter("n > 1").select("g", "s", "u"), ["g", "s", "u"]).select("doc", places.alias("qs"))
+    cores = whole.groupBy("g", "s", "c").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1").select("g", "s", "c")
+    opened = whole.join(cores, ["g", "s", "c"]).select("g", "n", "first", F.posexplode("ws").alias("i", "w"))
+    opened = materialize(opened.select("g", "w", "first.doc", (F.col("first.q") + F.col("i")).alias("q"), (F.col("first.own") & (F.col("n") == 1)).alias("own")), "sd-windows")
+    twice = opened.groupBy("g", "w").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g", "w")
+    return settled.unionByName(opened.filter("own").join(twice, ["g", "w"]).select("doc", F.array("q").alias("qs")))
 
 
 SECOND = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
