@@ -115,7 +115,9 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
 def keep(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs that pass every rule, with their own columns."""
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    return measure(packed).filter("q_kept").select("row.*")
+    # the row number keeps the filter above the measures: pushed down, each would be computed inside every lambda that uses it
+    judged = measure(packed).withColumn("q_row", F.monotonically_increasing_id())
+    return judged.filter("q_kept AND q_row >= 0").select("row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
