@@ -230,19 +230,28 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text, without the end id."""
         if len(self.new) > CACHE_WORDS // 2:
             self.old, self.new = self.new, {}
-        lists = [self.cut(t) if t else None for t in texts]
+        held: list = []
         missing: set[str] = set()
-        for ws in lists:
-            if ws:
-                missing.update(set(ws).difference(self.new))
+        for t in texts:
+            words = self.cut(t) if t else None
+            if words is None:
+                held.append((t, None, None, ()))
+                continue
+            found = list(map(self.new.get, words))
+            gaps = [i for i, v in enumerate(found) if v is None] if None in found else ()
+            missing.update([words[i] for i in gaps])
+            held.append((t, words, found, gaps))
         broken = {w: self.lines(w) for w in missing if "\n" in w[1:]}
         self.learn(missing.difference(broken).union(*broken.values()))
-        get = self.new.__getitem__
-        self.new.update([(w, self.line.join(map(get, parts))) for w, parts in broken.items()])
-        for t, ws in zip(texts, lists, strict=True):
-            yield (self.plain([t])[0] if t else b"") if ws is None else b"".join(map(get, ws))
+        new = self.new
+        for w, parts in broken.items():
+            new[w] = self.line.join([new[p] for p in parts])
+        for t, words, found, gaps in held:
+            for i in gaps:
+                found[i] = new[words[i]]
+            yield (self.plain([t])[0] if t else b"") if words is None else b"".join(found)
         for w in broken:
-            del self.new[w]
+            del new[w]
 
 
 def encode_texts(texts: list[str | None], path: str) -> Iterator[bytes]:
