@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, materialize
+from .common import drop_path, materialize, rows_bounded
+
+#: Edges (both directions) up to which one task finds the components by union-find: 16 bytes each.
+ONE_TASK_EDGES = 200_000
+
+
+def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for d in batches:
+        for a, b in zip(d["id"].tolist(), d["to"].tolist(), strict=True):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    ids = list(root)
+    yield pd.DataFrame({"id": ids, "component": [find(i) for i in ids]}).astype("int64")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,10 +36,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the least label of the neighbours, then the label's own label (pointer jumping), so long chains
     shorten geometrically; it ends when no label changed. Every step is an aggregation with partial sums or a join on a
-    unique key, so a vertex with very many edges is split like any skewed join key.
+    unique key, so a vertex with very many edges is split like any skewed join key. Where the edges are counted to be at
+    most ONE_TASK_EDGES, one task does the same by union-find, which spares the rounds their start-up.
     """
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("to")))
     both = materialize(both.filter("id <> to").distinct(), "cc-edges")
+    if rows_bounded(both, ONE_TASK_EDGES):
+        return materialize(both.coalesce(1).mapInPandas(_union_find, "id bigint, component bigint"), "cc-labels")
     label = materialize(both.groupBy("id").agg(F.min("to").alias("m")).select("id", F.least("id", "m").alias("component")), "cc-labels")
     total = _total(label)
     while True:

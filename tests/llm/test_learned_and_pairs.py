@@ -67,10 +67,13 @@ def test_long_texts_hash_alike(monkeypatch):
     assert (minhash_join._long_words(raw) == whole).all()
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("one_task", [0, 200_000])
+def test_components_of_a_chain(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", one_task)
     e = spark.createDataFrame([(i + 1, i) for i in range(100)] + [(200, 201)], "a long, b long")
     got = {r.id: r.component for r in components.components(e).collect()}
     assert set(got[i] for i in range(101)) == {0} and got[201] == 200
+    assert components.components(e.limit(0)).count() == 0
 
 
 def vectors(seed=1):
