@@ -167,9 +167,9 @@ def anchors(docs: DataFrame) -> DataFrame:
                 keys = np.array(some.column(0).to_pylist(), np.int64)
                 for i, _, z in zones_of(_raw(some.column(1))):
                     if len(z.lo):
-                        yield pa.RecordBatch.from_arrays([pa.array(z.g.view(np.int64)), pa.array((z.z >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(keys[i + z.text]), pa.array(z.lo.astype(np.int32))], ["g", "z", "doc", "lo"])
+                        yield pa.RecordBatch.from_arrays([pa.array(z.g.view(np.int64)), pa.array(z.z.view(np.int64)), pa.array(keys[i + z.text]), pa.array(z.lo.astype(np.int32))], ["g", "z", "doc", "lo"])
 
-    return docs.select("doc", "text").mapInArrow(run, "g bigint, z int, doc bigint, lo int")
+    return docs.select("doc", "text").mapInArrow(run, "g bigint, z bigint, doc bigint, lo int")
 
 
 def _outcome(raw: bytes, gone: np.ndarray) -> tuple[int, int, str, bytes]:
@@ -205,7 +205,7 @@ def first_pass(met: DataFrame, keep_text: bool) -> DataFrame:
                     gone, asked, pending = np.zeros(len(raw), bool), [], False
                     if k in zoned:
                         z, p, e = zoned[k]
-                        own_z = (z.z[p:e] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                        own_z = z.z[p:e].view(np.int64)
                         at = np.minimum(np.searchsorted(z.lo[p:e], told[k][:, 0]), max(e - p - 1, 0))
                         # what was told of another text with the same id names other zones
                         fits = (z.lo[p:e][at] == told[k][:, 0]) & (own_z[at] == told[k][:, 1]) if e > p else np.zeros(len(at), bool)
