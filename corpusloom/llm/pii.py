@@ -7,7 +7,9 @@ mod 97, and identity numbers of the form 3-2-4 digits, whose score of 0.4 has to
 word of its kind, 1 at most.
 
 The patterns are written so that a match can start only where a run of its characters starts (or right after the match
-before) and with possessive quantifiers, which finds the same spans in linear time on texts without spaces.
+before) and with possessive quantifiers, which finds the same spans in linear time on texts without spaces. That of the
+IBAN proposes its first four characters only: its length follows from the country, so no text after or before it can
+become part of it; of spans that overlap the first one confirmed stays.
 
 Places are code points. Splitting by the pattern gives the text between matches, so lengths add up to places without a
 search. Everything stays inside the row: no shuffle, no Python.
@@ -29,11 +31,36 @@ KINDS = [
     ("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", ".", "ip|address|host|server|adresse"),
     ("card", r"(?:(?<![0-9])(?<![0-9][\x20-]))[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])", None, "card|visa|mastercard|amex|credit|karte|carte|tarjeta"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", "phone|call|tel|mobile|telefon|fax"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", None, "iban|account|konto|compte|cuenta"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})", None, "iban|account|konto|compte|cuenta"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", "ssn|social|security|identity"),
 ]
 BASE = ("email", "ip", "card", "phone")
 CHECKED = ("card", "iban", "ip")
+#: Countries by the length of their IBANs (ISO 13616 registry, and countries that use IBANs outside it).
+IBANS = {
+    15: "NO",
+    16: "BE",
+    18: "DK|FI|FK|FO|GL|NL|SD",
+    19: "MK|SI",
+    20: "AT|BA|EE|KZ|LT|LU|MN|XK",
+    21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|IQ|ME|RS|VA",
+    23: "AE|GI|IL|OM|SO|TL",
+    24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
+    25: "AO|CV|GW|LY|MZ|PT|ST",
+    26: "DZ|IR|IS|TR",
+    27: "BI|CF|CG|CM|DJ|FR|GA|GQ|GR|IT|KM|MC|MG|MR|SM|TD",
+    28: "AL|AZ|BF|BJ|BY|CI|CY|DO|GT|HN|HU|LB|MA|ML|NE|NI|PL|SN|SV|TG",
+    29: "BR|EG|PS|QA|UA",
+    30: "JO|KW|MU|YE",
+    31: "MT|SC",
+    32: "LC",
+    33: "RU",
+}
+#: The whole span at a proposed IBAN: by its country's length, for other codes the longest run.
+IBAN = "^(?:" + "|".join(rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBANS.items()) + rf"|(?!{'|'.join(IBANS.values())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+(?![A-Za-z0-9]))"
+#: Characters read after a match: an IBAN's other 30 with their spaces, and the context.
+REACH = 60 + 40
 #: A span of the method's own kinds needs this score.
 LEAST = 0.6
 
@@ -80,10 +107,17 @@ def _spans(kind: str, rank: int, pattern: str, needs: str | None, words: str, te
     """Confirmed spans of one kind: array of (start, rank, stop, score)."""
     schema = "array<struct<start:int,rank:int,stop:int,score:double>>"
     possible = F.contains(text, F.lit(needs)) if needs else text.rlike("[0-9]")
-    parts = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    # (text before, match), then places by running length
-    pairs = F.zip_with(F.slice(parts, F.lit(1), F.size(parts) - 1), found, lambda b, m: F.struct(b.alias("b"), m.alias("m")))
+    # (text before, match), the last with the text after all matches
+    pairs = F.zip_with(F.split(text, pattern, -1), F.array_append(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.lit("")), lambda b, m: F.struct(b.alias("b"), m.alias("m")))
+    last = F.struct(F.lit("").alias("next"), F.array().cast("array<struct<b:string,n:int,m:string>>").alias("all"))
+
+    def back(a, x):
+        whole = F.regexp_extract(F.concat(x["m"], a["next"]), IBAN, 0) if kind == "iban" else x["m"]
+        one = F.struct(x["b"].alias("b"), F.length(x["m"]).alias("n"), whole.alias("m"))
+        return F.struct(F.left(F.concat(x["b"], x["m"], a["next"]), F.lit(REACH)).alias("next"), F.concat(F.array(one), a["all"]).alias("all"))
+
+    # from the last to the first with the text after each, then places by running length
+    matches = F.aggregate(F.reverse(pairs), last, back, lambda a: a["all"])
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(schema).alias("all"))
     base = 0.9 if kind in CHECKED else 0.4 if kind == "ssn" else 0.6
 
@@ -93,10 +127,14 @@ def _spans(kind: str, rank: int, pattern: str, needs: str | None, words: str, te
         near = F.lower(F.right(x["b"], F.lit(40))).rlike(rf"\b(?:{words})")
         score = F.least(F.lit(1.0), F.lit(base) + F.when(near, 0.3).otherwise(0.0))
         one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.round(score, 2).alias("score"))
-        keep = _confirmed(kind, x["m"]) if kind in BASE else _confirmed(kind, x["m"]) & (score >= LEAST)
-        return F.struct(stop.alias("at"), F.when(keep, F.concat(a["all"], F.array(one))).otherwise(a["all"]).alias("all"))
-
-    return F.when(possible & text.rlike(pattern), F.aggregate(pairs, empty, grow, lambda a: a["all"])).otherwise(F.array().cast(schema))
+        keep = (stop > start) & _confirmed(kind, x["m"])
+        if kind not in BASE:
+            keep = keep & (score >= LEAST)
+        if kind == "iban":
+            keep = keep & (start >= F.coalesce(F.get(a["all"], F.size(a["all"]) - 1)["stop"], F.lit(0)))
+        return F.struct((start + x["n"]).alias("at"), F.when(keep, F.concat(a["all"], F.array(one))).otherwise(a["all"]).alias("all"))
+
+    return F.when(possible & text.rlike(pattern), F.aggregate(matches, empty, grow, lambda a: a["all"])).otherwise(F.array().cast(schema))
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:

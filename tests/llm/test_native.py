@@ -37,6 +37,14 @@ def test_pii_method_kinds_and_redaction(spark):
     assert pii.redact(docs(spark, rows)).columns == docs(spark, rows).columns
 
 
+def test_iban_ends_by_country(spark):
+    iban, grouped = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    rows = [f"IBAN {iban} BIC COBADEFFXXX", f"{iban} The rest", f"{grouped} BIC COBADEFF", f"{iban} 2024", f"{iban} {grouped}", f"XX12 {iban}", f"NO12 3456 7890 {iban}, GB82WEST12345698765432 A", "DE89370400440532013001 The", f"{iban}0 A", f"x {iban}A", "DE"]
+    want = ["IBAN [IBAN] BIC COBADEFFXXX", "[IBAN] The rest", "[IBAN] BIC COBADEFF", "[IBAN] 2024", "[IBAN] [IBAN]", "XX12 [IBAN]", "NO12 3456 7890 [IBAN], [IBAN] A", *rows[7:11]]
+    got = {r.doc_id: r.text for r in pii.redact(docs(spark, list(enumerate(rows)))).collect()}
+    assert [got[i] for i in range(len(want))] == want
+
+
 def test_license_places_and_labels(spark):
     rows = [(1, "Under the MIT License, under the mit license"), (2, "Apache-License, Version 2.0 CC BY-NC"), (3, None), (4, ""), (5, "Permission is hereby granted, free of charge, to any"), (6, "mit mit mit license"), (6, "cc by nc")]
     got = sorted(license_index.scan(docs(spark, rows)).collect())
