@@ -3,8 +3,8 @@
 Regular expressions propose spans per kind, leftmost and without overlap; validators confirm them (octets at most 255,
 Luhn, digit counts, ISO 7064 mod 97). The base kinds stay once confirmed. The method adds two kinds: IBANs confirmed by
 mod 97, and identity numbers of the form 3-2-4 digits, whose score of 0.4 has to be lifted by a context word within
-40 characters before them. Every span carries a score: 0.6 for a pattern, 0.9 with a checksum, 0.3 more near a context
-word of its kind, 1 at most.
+40 characters before or after them. Every span carries a score: 0.6 for a pattern, 0.9 with a checksum, 0.3 more near a
+context word of its kind, 1 at most.
 
 The patterns are written so that a match can start only where a run of its characters starts (or right after the match
 before) and with possessive quantifiers, which finds the same spans in linear time on texts without spaces. That of the
@@ -59,8 +59,9 @@ IBANS = {
 }
 #: The whole span at a proposed IBAN: by its country's length, for other codes the longest run.
 IBAN = "^(?:" + "|".join(rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBANS.items()) + rf"|(?!{'|'.join(IBANS.values())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+(?![A-Za-z0-9]))"
-#: Characters read after a match: an IBAN's other 30 with their spaces, and the context.
-REACH = 60 + 40
+#: Characters of context on each side of a span, and those read after a match: an IBAN's other 30 with their spaces, then context.
+NEAR = 40
+REACH = 60 + NEAR
 #: A span of the method's own kinds needs this score.
 LEAST = 0.6
 
@@ -109,22 +110,24 @@ def _spans(kind: str, rank: int, pattern: str, needs: str | None, words: str, te
     possible = F.contains(text, F.lit(needs)) if needs else text.rlike("[0-9]")
     # (text before, match), the last with the text after all matches
     pairs = F.zip_with(F.split(text, pattern, -1), F.array_append(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.lit("")), lambda b, m: F.struct(b.alias("b"), m.alias("m")))
-    last = F.struct(F.lit("").alias("next"), F.array().cast("array<struct<b:string,n:int,m:string>>").alias("all"))
+    last = F.struct(F.lit("").alias("next"), F.array().cast("array<struct<b:string,h:string,m:string,after:string>>").alias("all"))
 
     def back(a, x):
         whole = F.regexp_extract(F.concat(x["m"], a["next"]), IBAN, 0) if kind == "iban" else x["m"]
-        one = F.struct(x["b"].alias("b"), F.length(x["m"]).alias("n"), whole.alias("m"))
+        after = F.substring(F.concat(x["m"], a["next"]), F.length(whole) + 1, F.lit(NEAR))
+        one = F.struct(x["b"].alias("b"), x["m"].alias("h"), whole.alias("m"), after.alias("after"))
         return F.struct(F.left(F.concat(x["b"], x["m"], a["next"]), F.lit(REACH)).alias("next"), F.concat(F.array(one), a["all"]).alias("all"))
 
     # from the last to the first with the text after each, then places by running length
     matches = F.aggregate(F.reverse(pairs), last, back, lambda a: a["all"])
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(schema).alias("all"))
+    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(schema).alias("all"))
     base = 0.9 if kind in CHECKED else 0.4 if kind == "ssn" else 0.6
 
     def grow(a, x):
         start = a["at"] + F.length(x["b"])
         stop = start + F.length(x["m"])
-        near = F.lower(F.right(x["b"], F.lit(40))).rlike(rf"\b(?:{words})")
+        before = F.right(F.concat(a["tail"], x["b"]), F.lit(NEAR))
+        near = F.lower(before).rlike(rf"\b(?:{words})") | F.lower(x["after"]).rlike(rf"\b(?:{words})")
         score = F.least(F.lit(1.0), F.lit(base) + F.when(near, 0.3).otherwise(0.0))
         one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.round(score, 2).alias("score"))
         keep = (stop > start) & _confirmed(kind, x["m"])
@@ -132,7 +135,7 @@ def _spans(kind: str, rank: int, pattern: str, needs: str | None, words: str, te
             keep = keep & (score >= LEAST)
         if kind == "iban":
             keep = keep & (start >= F.coalesce(F.get(a["all"], F.size(a["all"]) - 1)["stop"], F.lit(0)))
-        return F.struct((start + x["n"]).alias("at"), F.when(keep, F.concat(a["all"], F.array(one))).otherwise(a["all"]).alias("all"))
+        return F.struct((start + F.length(x["h"])).alias("at"), F.right(F.concat(a["tail"], x["b"], x["h"]), F.lit(NEAR)).alias("tail"), F.when(keep, F.concat(a["all"], F.array(one))).otherwise(a["all"]).alias("all"))
 
     return F.when(possible & text.rlike(pattern), F.aggregate(matches, empty, grow, lambda a: a["all"])).otherwise(F.array().cast(schema))
 

@@ -45,6 +45,15 @@ def test_iban_ends_by_country(spark):
     assert [got[i] for i in range(len(want))] == want
 
 
+def test_context_on_both_sides(spark):
+    far = "word " * 8
+    rows = ["SSN: 123-45-6789, 987-65-4321, 111-22-3333", "123-45-6789 (SSN)", f"ssn {far}123-45-6789", f"123-45-6789 {far}ssn", "123-45-6789, 987-65-4321", "mail a@b.co c@d.ef", "10.0.0.1 is the host", "1 12.0.0.1 2"]
+    got = {r.doc_id: r for r in pii.scan(docs(spark, list(enumerate(rows)))).collect()}
+    assert [got[i].n_ssn for i in range(5)] == [3, 1, 0, 0, 0] and got[0].spans == "ssn:5:16,ssn:18:29,ssn:31:42"
+    assert (got[5].max_score, got[6].max_score, got[7].max_score) == (0.9, 1.0, 0.9)
+    assert pii.redact(docs(spark, [(1, rows[0])])).first().text == "SSN: [SSN], [SSN], [SSN]"
+
+
 def test_license_places_and_labels(spark):
     rows = [(1, "Under the MIT License, under the mit license"), (2, "Apache-License, Version 2.0 CC BY-NC"), (3, None), (4, ""), (5, "Permission is hereby granted, free of charge, to any"), (6, "mit mit mit license"), (6, "cc by nc")]
     got = sorted(license_index.scan(docs(spark, rows)).collect())
