@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 GAP_SECONDS = 180
 LOG_BASE = 1.05
+#: Targets that each row of crossings() may be held against.
+FEW_TARGETS = 1000
 
 
 def sessions(events: DataFrame, run: str = "run", pos: str = "pos") -> DataFrame:
@@ -42,11 +44,21 @@ def gap_segments(series: DataFrame, by: list[str], ts: str, value: str, gap: flo
 
 
 def crossings(rows: DataFrame, targets: DataFrame, by: str, step: str, counter: str) -> DataFrame:
-    """For each target the first step whose counter reaches it; targets are few (a plan's milestones).
+    """For each target the first step whose counter reaches it.
 
-    One pass: each row lists the targets at or under its counter, and the least step is aggregated with partial sums.
+    Few targets (a plan's milestones) take one pass: each row lists the targets at or under its counter, and the least
+    step is aggregated with partial sums. More than FEW_TARGETS stand among the rows of each group in the counter's order.
     """
-    goals = [r[0] for r in targets.select("target").distinct().orderBy("target").limit(1000).collect()]
+    distinct = targets.select("target").distinct()
+    goals = [r[0] for r in distinct.orderBy("target").limit(FEW_TARGETS + 1).collect()]
+    if len(goals) > FEW_TARGETS:
+        own = rows.groupBy(F.col(by).alias("by"), F.col(counter).alias("at")).agg(F.min(step).alias("step"))
+        own = own.select("by", "at", F.lit(None).cast(distinct.schema["target"].dataType).alias("target"), "step", F.lit(True).alias("row"))
+        asked = rows.select(F.col(by).alias("by")).distinct().crossJoin(distinct.filter("target IS NOT NULL"))
+        asked = asked.select("by", F.col("target").alias("at"), "target", F.lit(None).cast(rows.schema[step].dataType).alias("step"), F.lit(None).cast("boolean").alias("row"))
+        w = Window.partitionBy("by").orderBy(F.desc("at"))  # rows at the target itself are its peers
+        met = own.filter("at IS NOT NULL").unionByName(asked).withColumns({"first": F.min("step").over(w), "reached": F.max("row").over(w)})
+        return met.filter("row IS NULL AND reached").select(F.col("by").alias(by), "target", F.col("first").alias("step"))
     passed = F.filter(F.array(*[F.lit(g) for g in goals]), lambda g: F.col(counter) >= g)
     return rows.select(by, step, F.explode(passed).alias("target")).groupBy(by, "target").agg(F.min(step).alias("step"))
 

@@ -94,6 +94,21 @@ def test_gap_series_and_elapsed(spark):
     assert [r[0] for r in t.orderBy("t").select(telemetry.elapsed([(100, 200), (173000, 173100)], F.col("t"))).collect()] == [50, 100, 100, 150, 200]
 
 
+def test_crossings_of_many_targets(spark):
+    events = [("a", 10 * i, i * 7 % 3000) for i in range(400)] + [("b", 5, 1500), ("b", 3, None), ("c", None, 40), (None, 1, 8)]
+    goals = [*range(0, 2600, 2), None]
+    d = spark.createDataFrame(events, "run string, step long, tokens long")
+    got = telemetry.crossings(d, spark.createDataFrame([(g,) for g in goals], "target long"), "run", "step", "tokens")
+    want = {}
+    for run, step, tokens in events:
+        for g in goals:
+            if tokens is not None and g is not None and tokens >= g:
+                want.setdefault((run, g), []).append(step)
+    want = {k: min((x for x in v if x is not None), default=None) for k, v in want.items()}
+    assert got.columns == ["run", "target", "step"] and max(g for _, g in want) > 2000
+    assert sorted(map(str, got.collect())) == sorted(f"Row(run={r!r}, target={g}, step={s})" for (r, g), s in want.items())
+
+
 def test_self_time_and_work(spark):
     p = spark.createDataFrame([("a", 60.0), ("a/b", 20.0), ("a/b/c", 5.0)], "path string, inclusive double")
     assert {r.path: r.self for r in telemetry.self_time(p).collect()} == {"a": 40.0, "a/b": 15.0, "a/b/c": 5.0}
