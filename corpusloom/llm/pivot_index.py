@@ -1,7 +1,7 @@
 """Operator 6: near-duplicate vectors by a pivot-permutation index.
 
 Vectors of one label are linked if their cosine (double precision) is at least LEAST. A vector is described by the
-PREFIX nearest of the reference points, in order; it is posted in the inverted list of each of them, and two vectors are
+PREFIX nearest of the reference points (one more for each doubling of their least number), in order; it is posted in the inverted list of each of them, and two vectors are
 compared if they share at least SHARED of these pivots. A pair is looked at in the list of its first shared pivot only,
 so no link counts twice. Lists are cut into blocks of at most BLOCK vectors; a task gets two blocks, counts shared
 pivots and takes the cosines by matrix products, and returns one row for each vector: its number of links there and the
@@ -45,6 +45,11 @@ def choose_pivots(vectors: np.ndarray, count: int) -> np.ndarray:
     return chosen
 
 
+def prefix_of(count: int) -> int:
+    """Pivots that describe a vector, of count: among more, two near vectors share fewer of their nearest ones."""
+    return min(PREFIX + int(np.ceil(np.log2(max(count / LEAST_PIVOTS, 1)))), count)
+
+
 def _unit(rows: list, width: int) -> np.ndarray:
     x = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
@@ -96,7 +101,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, key: str = "vec_id",
     sample = classes.select("x").orderBy(F.xxhash64("x"), "rep").limit(SAMPLE).collect()
     pivots = choose_pivots(_unit([r["x"] for r in sample], width), int(np.clip(2 ** np.ceil(np.log2(n / PER_PIVOT)), LEAST_PIVOTS, MOST_PIVOTS)))
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
-    count, prefix = len(pivots), min(PREFIX, len(pivots))
+    count, prefix = len(pivots), prefix_of(len(pivots))
 
     def post(batches):
         for b in batches:

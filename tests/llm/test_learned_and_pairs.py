@@ -203,3 +203,16 @@ def test_gradients():
         down = loss()
         net.p[name][at] = keep
         assert abs((up - down) / (2 * step) - g[name][at]) < 2e-3, name
+
+
+@pytest.mark.parametrize("count", [64, 1024, 2048])
+def test_recall_with_many_pivots(count):
+    r = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    a, off = unit(r.normal(size=(10000, 64))), r.normal(size=(10000, 64))
+    cosine = r.uniform(0.93, 0.935, 10000)[:, None]
+    b = unit(cosine * a + np.sqrt(1 - cosine**2) * unit(off - (off * a).sum(1)[:, None] * a))
+    pivots = pivot_index.choose_pivots(r.permutation(np.concatenate([a, b]))[: pivot_index.SAMPLE], count)
+    near = [np.argsort(-(x @ pivots.T), axis=1)[:, : pivot_index.prefix_of(count)] for x in (a, b)]
+    found = (near[0][:, :, None] == near[1][:, None, :]).sum((1, 2)) >= pivot_index.SHARED
+    assert len(pivots) == count and found.mean() >= 0.99
