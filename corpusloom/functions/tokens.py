@@ -1,15 +1,14 @@
-"""Byte-level BPE: training, batch encoding and answer masks."""
+"""Byte-level BPE: batch encoding and answer masks."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import ANSWER_HEAD, CONTROL_TOKENS, PROMPT_HEAD, RECORD_END
-
-#: One tokenizer a worker, by path.
-_LOADED: dict = {}
+from corpusloom.functions.bpe import encode_array
 
 
 def default_tokenizer() -> str:
@@ -24,16 +23,9 @@ def encode_column(c, path: str | None = None) -> Column:
 
     @F.pandas_udf("array<int>")
     def run(s: pd.Series) -> pd.Series:
-        if path not in _LOADED:
-            import os
-
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            from tokenizers import Tokenizer
-
-            _LOADED[path] = Tokenizer.from_file(path)
         out: list = []
-        for i in range(0, len(s), 256):
-            out += [e.ids for e in _LOADED[path].encode_batch_fast(s.iloc[i : i + 256].fillna("").tolist(), add_special_tokens=False)]
+        for _, _, ids, counts in encode_array(pa.array(s, pa.string(), from_pandas=True), path):
+            out += np.split(ids.astype(np.int32), np.cumsum(counts)[:-1])
         return pd.Series(out, dtype=object)
 
     return run(F.col(c) if isinstance(c, str) else c)
@@ -64,5 +56,3 @@ def stream_digest(df: DataFrame, column: str, order: str) -> str:
         h.update(r["d"].encode())
     return h.hexdigest()
 
-
-RECORD_PARTS = (PROMPT_HEAD, ANSWER_HEAD, RECORD_END, CONTROL_TOKENS)

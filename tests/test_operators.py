@@ -171,3 +171,23 @@ def test_streams_equal_batch(spark, tmp_path):
     want = telemetry.segments(batch.filter("ts IS NOT NULL").withColumn("ts", F.col("ts").cast("double")))
     assert rows(spark.table("segs").select("pos", "session", "segment"), "pos") == rows(want.select("pos", "session", "segment"), "pos")
     assert S.incomplete_lines(batch.cache()) == 1
+
+
+def test_bpe_pieces_equal_the_library():
+    """Cuts at spaces, line ends and after letters never change ids, whatever the white space, scripts and special tokens."""
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from corpusloom.functions import bpe
+    from corpusloom.functions.tokens import default_tokenizer
+
+    tok = Tokenizer.from_file(default_tokenizer())
+    r = np.random.default_rng(1)
+    letters = [*"ab1.'s&%,", "\n", "\t", "é", "“", "<|endoftext|>", "中", "\u0085", " ", "　", "×", "ß", "º", "\x1c", "😀", " ", " ", " "]
+    texts = [None, "", " ", "\n", "isn't we'll 's a1b2,c&&d", *("".join(r.choice(letters, r.integers(0, 40))) for _ in range(800)), "long " * 50_000]
+    got = []
+    for i, j, ids, counts in bpe.encode_array(pa.array(texts, pa.string()), default_tokenizer()):
+        assert len(counts) == j - i
+        got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
