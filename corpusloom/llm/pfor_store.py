@@ -12,33 +12,32 @@ The width is the smallest that holds PERCENTILE of the block's differences; what
 
 Documents are spread by ranges of doc_id and sorted inside, so files follow doc_id; the start of a document is the
 number of ids before it in its partition plus the totals of earlier partitions (one number for each partition is all
-that reaches the driver). Encoding uses the tokenizers library on distinct words (texts cut before single spaces, where
-the byte-level pattern always cuts) with a bounded cache; texts that hold the special token or adjoining white space
+that reaches the driver). Rows of one doc_id, or without one, are spread and sorted further by a hash of their text.
+Encoding uses the tokenizers library on distinct pieces of texts (functions/bpe.py); texts that hold the special token
 are encoded whole.
 
 Defined cases: null or empty text has only the end id 0; null doc_id sorts first; rows that repeat a doc_id stay, in the
-order of their text; extra columns are ignored; an empty table gives an empty table; a text longer than a file's usual
+order of a hash of their text; extra columns are ignored; an empty table gives an empty table; a text longer than a file's usual
 size makes a longer file.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.bpe import encode_array
+
 from .common import materialize, table
 
 BLOCK = 256
 PERCENTILE = 0.90
 FILE_IDS = 1 << 20
-CACHE_WORDS = 500_000
 MAGIC = b"PFOR0001"
 HEAD = struct.Struct("<8sqqqq")
 END = 0
@@ -137,7 +136,7 @@ def unpack_ids(n: int, blocks: int, exceptions: int, data: memoryview) -> np.nda
     return (v + low[:, None].astype(np.uint64)).reshape(-1)[:n].astype(np.uint32)
 
 
-def pack_file(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
+def pack_file(doc_ids: list[int | None], counts: np.ndarray | list[int], ids: np.ndarray) -> bytes:
     """One file of the format."""
     blocks, exceptions, data = pack_ids(ids)
     docs = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes() + np.array(counts, "<i8").tobytes()
@@ -157,83 +156,40 @@ def unpack_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else int(k) for k, z in zip(keys, nulls, strict=True)], counts, ids
 
 
-# ---- encoding -------------------------------------------------------------------------------------------------------
-_TOKENIZERS: dict[str, tuple] = {}
-_WHOLE = re.compile(r"\s\s|^\s|\s$|<\|endoftext\|>")
-
-
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    return _TOKENIZERS[path]
-
-
-def encode_texts(texts: list[str | None], path: str) -> Iterator[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, without the end id."""
-    tok, cache = _tokenizer(path)
-
-    def plain(xs: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(xs, add_special_tokens=False)]
-
-    lists: list[list[str] | None] = []
-    missing: set[str] = set()
-    for t in texts:
-        if not t or _WHOLE.search(t):
-            lists.append(None)
-            continue
-        first, *rest = t.split(" ")
-        lists.append([first, *[" " + w for w in rest]])
-        missing.update(set(lists[-1]).difference(cache))
-    if len(cache) + len(missing) > CACHE_WORDS:
-        cache.clear()
-        missing = set().union(*[x for x in lists if x])
-    if missing:
-        todo = list(missing)
-        cache.update(zip(todo, plain(todo), strict=True))
-    for t, ws in zip(texts, lists, strict=True):
-        yield (plain([t])[0] if t else b"") if ws is None else b"".join([cache[w] for w in ws])
-
-
+# ---- files ----------------------------------------------------------------------------------------------------------
 def write_store(docs: DataFrame, tokenizer: str | None = None, text: str = "text", key: str = "doc_id", partitions: int | None = None) -> DataFrame:
     """Write the files and return their table: part, seq, docs, ids, before (ids before the file in its part), data."""
     path = tokenizer or default_tokenizer()
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    rows = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, seq, before = TaskContext.get().partitionId(), 0, 0
+        part, seq, before, held = TaskContext.get().partitionId(), 0, 0, 0
         keys: list = []
-        counts: list = []
-        parts: list = []
-        held = 0
+        counts: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
 
         def file():
             nonlocal seq, before, held, keys, counts, parts
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([held], pa.int64()), pa.array([before], pa.int64()), pa.array([pack_file(keys, counts, ids)], pa.binary())], ["part", "seq", "docs", "ids", "before", "data"])
+            data = pack_file(keys, np.concatenate(counts), np.concatenate(parts))
+            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([held], pa.int64()), pa.array([before], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "docs", "ids", "before", "data"])
             seq, before, held, keys, counts, parts = seq + 1, before + held, 0, [], [], []
             return out
 
-        end = struct.pack("<I", END)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                some = batch.slice(i, 256)
-                for k, raw in zip(some.column(0).to_pylist(), encode_texts(some.column(1).to_pylist(), path), strict=True):
-                    keys.append(k)
-                    parts.append(raw + end)
-                    counts.append(len(raw) // 4 + 1)
-                    held += counts[-1]
-                    if held >= FILE_IDS:
-                        yield file()
+            names = batch.column(0).to_pylist()
+            for i, j, ids, n_ids in encode_array(batch.column(1), path):
+                keys += names[i:j]
+                counts.append(n_ids + 1)
+                parts.append(np.insert(ids, np.cumsum(n_ids), END))
+                held += len(parts[-1])
+                if held >= FILE_IDS:
+                    yield file()
         if keys:
             yield file()
 

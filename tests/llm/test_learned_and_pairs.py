@@ -153,6 +153,25 @@ def test_store_equals_the_library(spark, sf, monkeypatch):
     assert pfor_store.read_store(pfor_store.write_store(docs.limit(0))).count() == 0
 
 
+def test_store_of_null_and_repeated_ids(spark):
+    """Rows without id and rows of one id stay, in order of id, and their starts leave no gap."""
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(pfor_store.default_tokenizer())
+    rows = [(None, f"text {i} of none") for i in range(40)] + [(7, f"text {i % 20} of seven") for i in range(60)] + [(i, None) for i in range(5)] + [(9, "word " * 300_000)]
+    got = pfor_store.read_store(pfor_store.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))).collect()
+    want = Counter()
+    for k, t in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        want[k, len(ids), brute.crc(ids)] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    got.sort(key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((k for k, _ in rows), key=lambda k: -1 if k is None else k)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got[:-1], got[1:], strict=True)) and got[0].start == 0
+
+
 @pytest.mark.parametrize("values", [[], [7], [0] * 300, list(range(5000)), [1] * 255 + [2**32 - 1], [2**31, 5] * 700])
 def test_blocks_round_trip(values):
     ids = np.array(values, np.uint32)
