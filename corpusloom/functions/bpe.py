@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 23
 CACHE_PIECES = 500_000
 LINE, BLANK = 10, 32
 _ASCII_SPACE = np.zeros(256, bool)
@@ -103,13 +103,16 @@ class PieceEncoder:
         offsets = np.append(starts, len(flat)).astype(np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(flat)).dictionary_encode()
         known = pieces.dictionary.to_pylist()
-        fresh = [p for p in known if p not in self.codes]
-        if len(self.codes) + len(fresh) > CACHE_PIECES:
+        find = lambda: np.fromiter(map(self.codes.get, known, repeat(-1)), np.int64, len(known))
+        code = find()
+        if len(self.codes) + (code < 0).sum() > CACHE_PIECES:
             self._forget()
-            fresh = known
-        if fresh:
-            self._learn(fresh)
-        code = np.fromiter(map(self.codes.__getitem__, known), np.int64, len(known))[pieces.indices.to_numpy()]
+            code = find()
+        fresh = np.flatnonzero(code < 0)
+        if len(fresh):
+            code[fresh] = len(self.codes) + np.arange(len(fresh))
+            self._learn([known[i] for i in fresh.tolist()])
+        code = code[pieces.indices.to_numpy()]
         count = self.count[code]
         ends = np.cumsum(count)
         ids = self.pool[np.repeat(self.start[code] - (ends - count), count) + np.arange(ends[-1])]
