@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import let
+
 from .common import table
 
 MIN_WORDS = 20
@@ -46,70 +48,81 @@ SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
-def distance(p: list[Column], q: list[float]) -> Column:
-    """Jensen-Shannon distance of two histograms; p holds shares, 0 where empty."""
-    total = F.lit(0.0)
-    for a, b in zip(p, q, strict=True):
-        m = (a + F.lit(b)) / 2
-        total = total + F.when(a > 0, a * F.log2(a / m)).otherwise(0.0) / 2
-        total = total + (F.when(m > 0, F.lit(b) * F.log2(F.lit(b) / m)).otherwise(0.0) / 2 if b > 0 else F.lit(0.0))
-    return F.sqrt(F.greatest(total, F.lit(0.0)))
+#: Marks that end a word, and a common word between white space with such marks after it.
+END_MARKS = ".,;:!?"
+COMMON = sorted({w for v in WORDS.values() for w in v})
+COMMON_WORD = rf"{SPACE}({'|'.join(sorted(COMMON, key=len, reverse=True))})(?=[{END_MARKS}]*+(?:{SPACE}|\z))"
+
+
+def distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance of two histograms as arrays of shares, 0 where empty."""
 
+    def more(total, x):
+        m = (x["p"] + x["q"]) / 2
+        return total + F.when(x["p"] > 0, x["p"] * F.log2(x["p"] / m)).otherwise(0.0) / 2 + F.when(x["q"] > 0, x["q"] * F.log2(x["q"] / m)).otherwise(0.0) / 2
 
-def _length_without(text: Column, pattern: str) -> Column:
-    return F.length(F.regexp_replace(text, pattern, ""))
+    pairs = F.zip_with(p, q, lambda a, b: F.struct(a.alias("p"), b.alias("q")))
+    return F.sqrt(F.greatest(F.aggregate(pairs, F.lit(0.0), more), F.lit(0.0)))
 
 
-def _repeat_words(words: str, hashes: str) -> Column:
+def _by_language(values: dict) -> Column:
+    """A map from language to an array of fixed values."""
+    return F.create_map(*[x for code, v in values.items() for x in (F.lit(code), F.array(*[F.lit(i) for i in v]))])
+
+
+def _repeat_words(hashes: str) -> Column:
     """Words in windows of GRAM words that occur twice or more, from the hash of each window."""
     order = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     same = lambda o: F.sort_array(F.filter(F.transform(o, lambda x, k: F.when((x["h"] == F.get(o, k - 1)["h"]) | (x["h"] == F.get(o, k + 1)["h"]), x["i"]).otherwise(-1)), lambda i: i >= 0))
     cover = lambda s: F.aggregate(s, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, i: F.struct((a["n"] + i + GRAM - F.greatest(a["end"], i)).alias("n"), (i + GRAM).alias("end")), lambda a: a["n"])
-    # a one-element transform keeps the sorted array from being computed anew for each of its elements
-    once = F.transform(F.array(order), lambda o: cover(same(o)))
-    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.get(once, 0)).otherwise(0)
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(order, lambda o: cover(same(o)))).otherwise(0)
 
 
 def measure(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with the measures of the base rules, the two distances and the verdicts, under names starting with `q_`."""
+    """docs with the measures of the base rules, the two distances and the verdicts, under names starting with `q_`.
+
+    Windows are hashed by doubling (words, pairs, fours, eights). Characters are counted by what is left of a text without
+    its lower-case ASCII letters, then without any letters, so that only one pattern runs over the whole text.
+    """
+    less = lambda a, b: F.length(a) - F.length(b)
+    gone = lambda c, pattern: F.regexp_replace(c, pattern, "")
+    doubled = lambda c, k: F.zip_with(c, F.slice(c, k + 1, F.greatest(F.size(c) - k, F.lit(0))), lambda x, y: F.xxhash64(x, y))
     t = F.col("q_text")
     d = docs.withColumn("q_text", F.coalesce(F.col(text), F.lit("")))
-    d = d.withColumn("q_list", F.filter(F.split(t, SPACE + "+"), lambda w: w != ""))
-    d = d.withColumns({"q_hash": F.transform("q_list", lambda w: F.xxhash64(w)), "q_n_words": F.size("q_list").cast("bigint"), "q_lines": F.filter(F.split(t, "\n", -1), lambda x: x.rlike(NOT_SPACE)), "q_common": F.filter(F.transform("q_list", lambda w: F.lower(F.regexp_replace(w, r"[.,;:!?]+$", ""))), lambda w: w.isin(sorted({x for v in WORDS.values() for x in v})))})
+    d = d.withColumns({"q_list": F.array_remove(F.split(t, SPACE + "+"), ""), "q_lines": F.filter(F.split(t, "\n", -1), lambda x: x.rlike(NOT_SPACE)), "q_some": gone(t, "[a-z]+"), "q_common": F.regexp_extract_all(F.concat(F.lit(" "), F.lower(t)), F.lit(COMMON_WORD), F.lit(1))})
     n = F.col("q_n_words")
-    window = lambda i: F.xxhash64(*[F.get("q_hash", i + j) for j in range(GRAM)])
+    d = d.withColumns({"q_n_words": F.size("q_list").cast("bigint"), "q_hash": F.transform("q_list", lambda w: F.xxhash64(w)), "q_rest": gone("q_some", r"\p{L}+"), "q_n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("bigint")})
+    for k in (1, 2, 4):
+        d = d.withColumn("q_hash", F.when(n >= GRAM, doubled("q_hash", k)).otherwise(F.array().cast("array<bigint>")))
     d = d.withColumns({
-        "q_wins": F.when(n >= GRAM, F.transform(F.sequence(F.lit(0), F.size("q_hash") - GRAM), window)).otherwise(F.array().cast("array<bigint>")),
-        "q_n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("bigint"),
+        "q_wins": F.slice("q_hash", F.lit(1), F.greatest(n - GRAM + 1, F.lit(0)).cast("int")),
         "q_n_chars": F.length(t),
-        "q_letters": F.length(t) - _length_without(t, r"\p{L}+"),
-        "q_upper": F.length(t) - _length_without(t, r"\p{Lu}+"),
-        "q_digits": F.length(t) - _length_without(t, "[0-9]+"),
-        "q_space": F.length(t) - _length_without(t, SPACE + "+"),
-        "q_marks": F.length(t) - _length_without(t, r"[.,;:?!'\x22()-]+"),
-        "q_n_symbols": (F.length(t) - _length_without(t, r"[#*$%&|<>]+")).cast("bigint"),
+        "q_letters": less(t, "q_rest"),
+        "q_upper": less("q_some", gone("q_some", r"\p{Lu}+")),
+        "q_digits": less("q_rest", gone("q_rest", "[0-9]+")),
+        "q_space": less("q_rest", gone("q_rest", SPACE + "+")),
+        "q_marks": less("q_rest", gone("q_rest", r"[.,;:?!'\x22()-]+")),
+        "q_n_symbols": less("q_rest", gone("q_rest", r"[#*$%&|<>]+")).cast("bigint"),
     })
-    d = d.withColumn("q_n_repeat_words", _repeat_words("q_list", "q_wins").cast("bigint")).withColumn("q_word_chars", (F.col("q_n_chars") - F.col("q_space")).cast("bigint"))
+    d = d.withColumn("q_n_repeat_words", _repeat_words("q_wins").cast("bigint")).withColumn("q_word_chars", (F.col("q_n_chars") - F.col("q_space")).cast("bigint"))
     whole = F.greatest(F.col("q_n_chars"), F.lit(1)).cast("double")
     counted = ["q_letters", "q_digits", "q_space", "q_marks"]
     shares = [(F.col("q_letters") - F.col("q_upper")) / whole, F.col("q_upper") / whole, F.col("q_digits") / whole, F.col("q_space") / whole, F.col("q_marks") / whole, (F.col("q_n_chars") - sum((F.col(c) for c in counted), F.lit(0))) / whole]
-    share = lambda w: F.size(F.filter("q_common", lambda x: x == w)) / F.greatest(n, F.lit(1)).cast("double")
+    known = F.col(lang).isin(list(WORDS))
+    d = d.withColumns({"q_shares": F.array(*shares), "q_codes": F.when(F.coalesce(known, F.lit(False)), F.array(F.col(lang))).otherwise(F.array(*[F.lit(c) for c in WORDS]))})
+    names, by_words, by_chars = _by_language(WORDS), _by_language({c: [*v.values(), 1.0 - sum(v.values())] for c, v in WORDS.items()}), _by_language(CHARS)
+    share = lambda w: (F.size("q_common") - F.size(F.array_remove("q_common", w))) / F.greatest(n, F.lit(1)).cast("double")
 
     def words_to(code):
-        own = [share(w) for w in WORDS[code]]
-        return distance([*own, F.lit(1.0) - sum(own, F.lit(0.0))], [*WORDS[code].values(), 1.0 - sum(WORDS[code].values())])
-
-    def nearest(by):
-        out = F.when(F.col(lang) == "en", by["en"])
-        for code in ("de", "fr", "es"):
-            out = out.when(F.col(lang) == code, by[code])
-        return F.round(out.otherwise(F.least(*by.values())), 6)
+        own = F.transform(F.element_at(names, code), share)
+        return let(own, lambda p: distance(F.concat(p, F.array(F.lit(1.0) - F.aggregate(p, F.lit(0.0), lambda a, x: a + x))), F.element_at(by_words, code)))
 
-    d = d.withColumns({"q_js_chars": nearest({c: distance(shares, CHARS[c]) for c in CHARS}), "q_js_words": nearest({c: words_to(c) for c in WORDS})})
+    nearest = lambda to: F.round(F.array_min(F.transform("q_codes", to)), 6)
+    d = d.withColumns({"q_js_chars": nearest(lambda code: distance(F.col("q_shares"), F.element_at(by_chars, code))), "q_js_words": nearest(words_to)})
     failed = (n < MIN_WORDS) | (F.lit(100) * F.col("q_n_repeat_words") > MAX_REPEAT_PERCENT * n)
     off = ((F.col("q_n_chars") >= GUARD_CHARS) & (F.col("q_js_chars") > MAX_CHARS)) | ((n >= GUARD_WORDS) & (F.col("q_js_words") > MAX_WORDS))
     d = d.withColumn("q_base_failed", failed)
-    return d.withColumn("q_kept", ~F.col("q_base_failed") & ~off).drop("q_text", "q_list", "q_hash", "q_lines", "q_common", "q_wins")
+    return d.withColumn("q_kept", ~F.col("q_base_failed") & ~off).drop("q_text", "q_list", "q_hash", "q_lines", "q_some", "q_rest", "q_common", "q_wins", "q_shares", "q_codes")
 
 
 def keep(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
