@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import table
 
-__all__ = ["shared_dir", "materialize", "drop_path", "table", "text_of", "rows_bounded"]
+__all__ = ["shared_dir", "materialize", "drop_path", "table", "text_of", "rows_bounded", "small_side", "Scratch"]
 
 _OWN: list[str] = []
 
@@ -47,6 +47,23 @@ def drop_path(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Tables written on the way to a result; drop() deletes those that it does not read."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(materialize(df, name))
+        return self.made[-1]
+
+    def drop(self, *keep: DataFrame) -> None:
+        for t in self.made:
+            if not any(t is k for k in keep):
+                drop_path(t)
+        self.made = list(keep)
+
+
 def text_of(docs: DataFrame, column: str = "text"):
     """A text column with null as the empty text."""
     return F.coalesce(docs[column], F.lit(""))
@@ -55,3 +72,8 @@ def text_of(docs: DataFrame, column: str = "text"):
 def rows_bounded(df: DataFrame, limit: int) -> bool:
     """Whether df has at most limit rows: the check that has to stand before any broadcast."""
     return len(df.select(F.lit(1)).limit(limit + 1).groupBy().count().filter(F.col("count") <= limit).collect()) == 1
+
+
+def small_side(df: DataFrame, limit: int) -> DataFrame:
+    """A side of a join: broadcast if it has at most limit rows, else left to a shuffled join. df should be a written table."""
+    return F.broadcast(df) if rows_bounded(df, limit) else df

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_path, materialize, rows_bounded
 
-#: Edges (both directions) up to which one task finds the components by union-find: 16 bytes each.
+#: Edges up to which one task finds the components by union-find: 16 bytes each.
 ONE_TASK_EDGES = 200_000
 
 
@@ -31,18 +31,22 @@ def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"id": ids, "component": [find(i) for i in ids]}).astype("int64")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every vertex of edges (a, b): component is the smallest id reachable.
+def components(edges: DataFrame, one_task: int | None = None) -> DataFrame:
+    """(id, component) of every vertex of edges (a, b): component is the smallest id reachable. Written to a table.
 
     Each round takes the least label of the neighbours, then the label's own label (pointer jumping), so long chains
     shorten geometrically; it ends when no label changed. Every step is an aggregation with partial sums or a join on a
     unique key, so a vertex with very many edges is split like any skewed join key. Where the edges are counted to be at
-    most ONE_TASK_EDGES, one task does the same by union-find, which spares the rounds their start-up.
+    most ONE_TASK_EDGES (or one_task), one task does the same by union-find, which spares the rounds their start-up.
+
+    Defined cases: an edge from a vertex to itself is left out; repeated and turned edges count once; an edge with a null end is left out; an
+    empty table gives an empty table.
     """
+    edges = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).filter("a <> b")
+    if rows_bounded(edges, ONE_TASK_EDGES if one_task is None else one_task):
+        return materialize(edges.select(F.col("a").alias("id"), F.col("b").alias("to")).coalesce(1).mapInPandas(_union_find, "id bigint, component bigint"), "cc-labels")
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("to")))
-    both = materialize(both.filter("id <> to").distinct(), "cc-edges")
-    if rows_bounded(both, ONE_TASK_EDGES):
-        return materialize(both.coalesce(1).mapInPandas(_union_find, "id bigint, component bigint"), "cc-labels")
+    both = materialize(both.distinct(), "cc-edges")
     label = materialize(both.groupBy("id").agg(F.min("to").alias("m")).select("id", F.least("id", "m").alias("component")), "cc-labels")
     total = _total(label)
     while True:

@@ -3,12 +3,13 @@
 1. Every document becomes its set of distinct word shingles (64-bit hashes) and a signature of COORDS minima. Documents
    with equal sets form one class, named by its smallest doc_id; only classes go on.
 2. A class is posted under each (coordinate, value) pair. A pair of classes as similar as the threshold agrees in at
-   least NEED coordinates but for a chance of about one in a million, and then shares one of its COORDS - NEED + 1
+   least needed() coordinates but for a chance of at most MISS, and then shares one of its COORDS - needed() + 1
    rarest postings (prefix filter over the order by global frequency). Postings of one class and those past the prefix
    are skipped, so a passage that many documents share is not compared unless it makes up most of a signature.
-3. Posting lists are merged by skips, never into all pairs. Every class is first compared to one pivot of its lists, then,
-   twice, classes outside their list's largest component (its head) to a few members of the head; signature agreements
-   are counted, pairs below NEED dropped, the rest confirmed on full sets. What is still outside a head then is compared
+3. Posting lists are merged by skips, never into all pairs. Every class is first compared to one pivot of its lists; where
+   much is left, classes outside their list's largest component (its head) are compared, twice, to a few members of the
+   head; agreements (of the low bytes, which travel with the postings) are counted, pairs below needed() dropped, the rest
+   confirmed on full sets. What is still outside a head then is compared
    to all of the head's component and to the others outside it: small cases as rows, larger ones in tasks of CHUNK
    outsiders and BLOCK members that return one row for each outsider and component found. Two classes of one list lie in
    one component, or one of them is outside the list's head, so no pair that could link two components is left out.
@@ -28,15 +29,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, materialize, rows_bounded, table
+from .common import Scratch, drop_path, materialize, small_side, table
 from .components import components
 
 COORDS = 32
-#: Ids up to which the classes in question are broadcast to find their texts (8 bytes each); else a shuffled join.
-BROADCAST_IDS = 500_000
+#: Largest chance that the signature misses a pair at the threshold.
+MISS = 1e-6
+#: Rows of at most 64 bytes (ids, pairs, components) up to which a side of a join is broadcast; else it is shuffled.
+BROADCAST_ROWS = 200_000
+#: Comparisons between outsiders and their lists' heads up to which the sampled rounds, which only spare work, are left out.
+FEW = 20_000_000
 PIECE = 1 << 20
 #: Outsiders and members that meet in one task.
 CHUNK, BLOCK = 64, 1024
@@ -142,9 +147,13 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def needed(percent: int) -> int:
-    """Coordinates in which a pair at the threshold agrees but for a chance of about one in a million."""
-    p = percent / 100
-    return max(1, math.floor(COORDS * p - 4.6 * math.sqrt(COORDS * p * (1 - p))))
+    """Coordinates in which a pair at the threshold agrees but for a chance of at most MISS (binomial tail)."""
+    p, below = percent / 100, 0.0
+    for m in range(COORDS + 1):
+        below += math.comb(COORDS, m) * p**m * (1 - p) ** (COORDS - m)
+        if below > MISS:
+            return max(1, m)
+    return COORDS
 
 
 def _raw(column) -> list[bytes]:
@@ -152,7 +161,7 @@ def _raw(column) -> list[bytes]:
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, sig) of every row."""
+    """(doc_id, n_shingles, digest, sig, mark) of every row; mark: the low byte of each coordinate."""
 
     def run(batches):
         for b in batches:
@@ -163,14 +172,15 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                     n.append(len(s))
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
                     sig.append(signature(s) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "digest", "sig"])
+                mark = [x if x is None else x.astype(np.int8) for x in sig]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(sig, pa.list_(pa.int32())), pa.array(mark, pa.list_(pa.int8()))], ["doc_id", "n_shingles", "digest", "sig", "mark"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest string, sig array<int>")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest string, sig array<int>, mark array<tinyint>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(rep, set) for the documents of ids."""
-    part = docs.join(F.broadcast(ids), docs["doc_id"] == ids["rep"], "left_semi") if rows_bounded(ids, BROADCAST_IDS) else docs.join(ids, docs["doc_id"] == ids["rep"], "left_semi")
+    part = docs.join(small_side(ids, BROADCAST_ROWS), docs["doc_id"] == ids["rep"], "left_semi")
 
     def run(batches):
         for b in batches:
@@ -181,11 +191,9 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return part.mapInArrow(run, "rep bigint, set binary")
 
 
-def _close(pairs: DataFrame, sigs: DataFrame, need: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in at least `need` coordinates."""
-    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
-    left, right = (sigs.select(F.col("rep").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").filter(agree >= need).select("a", "b")
+def _agree(x: Column, y: Column, need: int) -> Column:
+    """Whether two marks agree in at least `need` places."""
+    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda e: e)) >= need
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -195,106 +203,125 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _confirmed(close: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+def _confirmed(close: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold; an id may stand in very many pairs as a."""
 
     def run(batches):
         for b in batches:
             keep = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    close = materialize(close, "mh-close")
-    left, right = (sets.select(F.col("rep").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
-    return materialize(close.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint").distinct(), "mh-links")
+    close = scratch(close, "mh-close")
+    right = sets.select(F.col("rep").alias("b"), F.col("set").alias("sb")).join(small_side(close, BROADCAST_ROWS), "b")
+    both = right.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a")
+    return scratch(both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"), "mh-links")
 
 
-def _heads(live: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of lists with their components, and the largest component (head, size) of each list that has several."""
-    named = live.join(label, F.col("rep") == F.col("id"), "left").select("post", "rep", F.coalesce("component", "rep").alias("component"))
-    named = materialize(named, "mh-named")
+def _named(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows with the component of rep (itself without a link)."""
+    return rows.join(small_side(label, BROADCAST_ROWS), F.col("rep") == F.col("id"), "left").drop("id").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _heads(named: DataFrame) -> DataFrame:
+    """(post, head, size, outside): the largest component of each list that has several, its members there and the others."""
     parts = named.groupBy("post", "component").agg(F.count(F.lit(1)).alias("n"))
-    heads = parts.groupBy("post").agg(F.max_by("component", F.struct("n", "component")).alias("head"), F.max("n").alias("size"), F.count(F.lit(1)).alias("parts"))
-    return named, materialize(heads.filter("parts > 1").drop("parts"), "mh-heads")
+    heads = parts.groupBy("post").agg(F.max_by("component", F.struct("n", "component")).alias("head"), F.max("n").alias("size"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"))
+    return heads.filter("parts > 1").select("post", "head", "size", (F.col("all") - F.col("size")).alias("outside"))
 
 
-def _outsiders(outside: DataFrame, live: DataFrame, label: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, need: int) -> DataFrame:
-    """Links (a, b) between outsiders (head, rep, component) and the members of the head's component or each other."""
-    every = live.select("rep").distinct().join(label, F.col("rep") == F.col("id"), "left").select("rep", F.coalesce("component", "rep").alias("head"))
-    heads = outside.groupBy("head").agg(F.count(F.lit(1)).alias("outsiders"))
-    inside = every.join(heads.select("head"), "head").select("head", "rep", F.col("head").alias("component"))
-    members = materialize(inside.unionByName(outside.select("head", "rep", "component")), "mh-members")
+def _outsiders(outside: DataFrame, reps: DataFrame, label: DataFrame, sets: DataFrame, percent: int, need: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between outsiders (head, rep, mark, component) and the members of the head's component or each other."""
+    heads = scratch(outside.groupBy("head").agg(F.count(F.lit(1)).alias("outsiders")), "mh-outheads")
+    inside = _named(reps, label).join(small_side(heads.select(F.col("head").alias("component")), BROADCAST_ROWS), "component").select(F.col("component").alias("head"), "rep", "mark", "component")
+    members = scratch(inside.unionByName(outside.select("head", "rep", "mark", "component")), "mh-members")
     sizes = members.groupBy("head").agg(F.count(F.lit(1)).alias("members")).join(heads, "head")
-    sizes = materialize(sizes.withColumn("many", F.col("members") * F.col("outsiders") > CHUNK), "mh-sizes")
-    few = sizes.filter("NOT many").select("head")
-    x = outside.join(few, "head").select("head", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    y = members.join(few, "head").select("head", F.col("rep").alias("y"), F.col("component").alias("cy"))
-    pairs = x.join(y, "head").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = _confirmed(_close(pairs, sigs, need), sets, percent)
+    sizes = scratch(sizes.withColumn("many", F.col("members") * F.col("outsiders") > CHUNK), "mh-sizes")
+    few = small_side(sizes.filter("NOT many").select("head"), BROADCAST_ROWS)
+    x = outside.join(few, "head").select("head", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("mark").alias("mx"))
+    y = members.join(few, "head").select("head", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("mark").alias("my"))
+    pairs = x.join(y, "head").filter((F.col("cx") != F.col("cy")) & _agree(F.col("mx"), F.col("my"), need)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = _confirmed(pairs, sets, percent, scratch)
     plan = sizes.filter("many").select("head", F.ceil(F.col("outsiders") / CHUNK).cast("int").alias("chunks"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    if plan.isEmpty():
+        return links
+    plan = small_side(plan, BROADCAST_ROWS)
     part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    asks = outside.join(plan, "head").select("head", part("chunks").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "component", F.lit(True).alias("asks"))
-    told = members.join(plan, "head").select("head", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), part("blocks").alias("block"), "rep", "component", F.lit(False).alias("asks"))
-    tasks = asks.unionByName(told).join(sigs, "rep").join(sets, "rep")
+    asks = outside.join(plan, "head").select("head", part("chunks").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "mark", "component", F.lit(True).alias("asks"))
+    told = members.join(plan, "head").select("head", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), part("blocks").alias("block"), "rep", "mark", "component", F.lit(False).alias("asks"))
+    tasks = asks.unionByName(told).join(sets, "rep")
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         ask, tell = d[d["asks"]], d[~d["asks"]]
         out = []
         if len(ask) and len(tell):
-            a, t = np.stack(ask["sig"].to_list()), np.stack(tell["sig"].to_list())
+            a, t = np.stack(ask["mark"].to_list()), np.stack(tell["mark"].to_list())
             ids, comps = tell["rep"].to_numpy(), tell["component"].to_numpy()
             told_sets = [np.frombuffer(s, np.uint64) for s in tell["set"]]
-            for rep, comp, sig, raw in zip(ask["rep"], ask["component"], a, ask["set"], strict=True):
+            for rep, comp, mark, raw in zip(ask["rep"], ask["component"], a, ask["set"], strict=True):
                 own, found = np.frombuffer(raw, np.uint64), set()
-                for k in np.flatnonzero(((t == sig).sum(axis=1) >= need) & (comps != comp)):
+                for k in np.flatnonzero(((t == mark).sum(axis=1) >= need) & (comps != comp)):
                     if comps[k] not in found and _alike(own, told_sets[k], percent):
                         found.add(comps[k])
                         out.append((rep, ids[k]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     more = tasks.groupBy("head", "chunk", "block").applyInPandas(run, "a bigint, b bigint")
-    return links.unionByName(materialize(more.distinct(), "mh-links"))
+    return links.unionByName(scratch(more, "mh-links"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", few: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    need = needed(percent)
-    rows = materialize(signed(docs, k), "mh-signed")
-    classes = rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    classes = materialize(classes, "mh-classes")
-    sigs = classes.select("rep", "sig")
-    posts = sigs.select("rep", F.posexplode("sig").alias("c", "v")).select("rep", (F.shiftleft(F.col("c").cast("bigint"), 32) + F.col("v").cast("bigint") + F.lit(1 << 31)).alias("post"))
-    often = posts.groupBy("post").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = posts.join(often, "post").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "post"))).alias("l"))
+    need, scratch = needed(percent), Scratch()
+    rows = scratch(signed(docs, k), "mh-signed")
+    sound = rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
+    classes = scratch(sound.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("mark").alias("mark")), "mh-classes")
+    # postings, the rarest of each class, and lists with more than one class; counts are tables of their own, so that a
+    # join with a very long list is a join of two exchanges, which adaptive execution can split
+    posts = classes.select("rep", "mark", F.posexplode("sig").alias("c", "v")).select("rep", "mark", (F.shiftleft(F.col("c").cast("bigint"), 32) + F.col("v").cast("bigint") + F.lit(1 << 31)).alias("post"))
+    often = scratch(posts.groupBy("post").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "mh-often")
+    shared = posts.join(often, "post").groupBy("rep", "mark").agg(F.sort_array(F.collect_list(F.struct("n", "post"))).alias("l"))
     prefix = F.slice("l", F.lit(1), F.greatest(F.lit(0), F.lit(COORDS - need + 1) - (F.lit(COORDS) - F.size("l"))))
-    lists = shared.select("rep", F.explode(prefix).alias("p")).select("rep", F.col("p.post").alias("post")).distinct()
-    lists = materialize(lists, "mh-lists")
-    stars = lists.groupBy("post").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    live = materialize(lists.join(stars, "post").select("post", "rep", "pivot"), "mh-live")
-    drop_path(lists)
-    sets = materialize(_sets(docs, live.select("rep").distinct(), k), "mh-sets")
-    pairs = live.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    close = _close(pairs, sigs, need).groupBy("b").agg(F.min("a").alias("a"))
-    links = _confirmed(close, sets, percent)
+    lists = scratch(shared.select("rep", "mark", F.explode(prefix).alias("p")).select("rep", "mark", F.col("p.post").alias("post")), "mh-lists")
+    stars = lists.groupBy("post").agg(F.min_by(F.struct(F.col("rep").alias("pivot"), F.col("mark").alias("own")), "rep").alias("star"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    stars = scratch(stars.select("post", "star.*"), "mh-stars")
+    near = F.when(F.col("rep") != F.col("pivot"), _agree(F.col("mark"), F.col("own"), need)).otherwise(False)
+    live = scratch(lists.join(stars, "post").select("post", "rep", "mark", "pivot", near.alias("near")), "mh-live")
+    reps = scratch(live.select("rep", "mark").distinct(), "mh-reps")
+    sets = scratch(_sets(docs, reps.select("rep"), k), "mh-sets")
+    links = _confirmed(live.filter("near").groupBy(F.col("rep").alias("b")).agg(F.min("pivot").alias("a")), sets, percent, scratch)
     label = components(links)
-    live = live.select("post", "rep")
+    live = live.select("post", "rep", "mark")
+
+    def parted():
+        """The lists' members by component, and the lists with several, where the components are those of label."""
+        named = _named(live, label)
+        heads = scratch(_heads(named), "mh-heads")
+        return named.join(small_side(heads, BROADCAST_ROWS), "post"), heads
+
+    met, heads = parted()
     for sampled in (2, 4):
-        named, heads = _heads(live, label)
-        out = named.join(heads, "post").filter("component <> head").select("post", "rep")
-        some = named.join(heads, "post").filter((F.col("component") == F.col("head")) & (F.pmod(F.xxhash64("rep", F.lit(sampled)), F.col("size")) < sampled)).select("post", F.col("rep").alias("other"))
-        pairs = out.join(some, "post").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        links = links.unionByName(_confirmed(_close(pairs, sigs, need), sets, percent))
+        if (heads.agg(F.sum(F.col("size") * F.col("outside"))).first()[0] or 0) <= (FEW if few is None else few):
+            break
+        out = met.filter("component <> head").select("post", F.col("rep").alias("b"), F.col("mark").alias("mb"))
+        some = met.filter((F.col("component") == F.col("head")) & (F.pmod(F.xxhash64("rep", F.lit(sampled)), F.col("size")) < sampled)).select("post", F.col("rep").alias("a"), F.col("mark").alias("ma"))
+        pairs = out.join(some, "post").filter(_agree(F.col("ma"), F.col("mb"), need)).select("a", "b").distinct()
+        links = links.unionByName(_confirmed(pairs, sets, percent, scratch))
+        drop_path(label)
         label = components(links)
-    named, heads = _heads(live, label)
-    outside = materialize(named.join(heads, "post").filter("component <> head").select("head", "rep", "component").distinct(), "mh-outside")
+        met, heads = parted()
+    outside = scratch(met.filter("component <> head").select("head", "rep", "mark", "component").distinct(), "mh-outside")
     if not outside.isEmpty():
-        links = links.unionByName(_outsiders(outside, live, label, sigs, sets, percent, need))
+        links = links.unionByName(_outsiders(outside, reps, label, sets, percent, need, scratch))
+        drop_path(label)
         label = components(links)
-    drop_path(sets)
-    named = classes.select("digest", "rep").join(label, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    some = rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL").join(named, "digest").select("doc_id", "n_shingles", "component_id")
+    named = _named(classes.select("digest", "rep"), label).select("digest", F.col("component").alias("component_id"))
+    some = sound.join(named, "digest").select("doc_id", "n_shingles", "component_id")
     none = rows.filter("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return some.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    result = materialize(some.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "mh-result")
+    scratch.drop()
+    drop_path(label)
+    return result
 
 
 def op8_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
