@@ -14,14 +14,15 @@ import hashlib
 import html
 import string
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 SPACE = r"(?U)\s+"
+#: Everything that ends a line, as str.splitlines() has it.
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 #: Control tokens of the record template and the template's parts.
 CONTROL_TOKENS = ["<pad>", "<bos>", "<eos>", "<question>", "<answer>"]
 PROMPT_HEAD, ANSWER_HEAD, RECORD_END = "<bos><question>\n", "\n<answer>\n", "<eos>\n"
@@ -36,6 +37,11 @@ def let(c, body) -> Column:
     return F.get(F.transform(F.array(_col(c)), body), 0)
 
 
+def strip(c) -> Column:
+    """The text without outer white space of any kind."""
+    return F.regexp_replace(_col(c), r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 def collapse(c) -> Column:
     return F.trim(F.regexp_replace(_col(c), SPACE, " "))
 
@@ -53,6 +59,21 @@ def norm(c) -> Column:
     return _norm(_col(c))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def norm_all(s: pd.Series) -> pd.Series:
+    """norm of every text of an array."""
+    return s.map(lambda ts: None if ts is None else [None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()) for t in ts])
+
+
+@F.pandas_udf(StringType())
+def _fold(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else t.casefold())
+
+
+def casefold(c) -> Column:
+    return _fold(_col(c))
+
+
 @F.pandas_udf(StringType())
 def _casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else " ".join(t.casefold().split()))
@@ -132,21 +153,81 @@ def between(c, begin: str, end: str) -> Column:
     return F.when((at > 0) & (stop > 0), F.substring(rest, F.lit(1), stop - 1))
 
 
+def section(c, begin: str, end: str) -> Column:
+    """What follows the first begin, up to the next end (or the text's end); null without begin."""
+    t = _col(c)
+    return F.when(F.contains(t, F.lit(begin)), F.substring_index(F.substring(t, F.instr(t, begin) + len(begin), F.length(t)), end, 1))
+
+
+def after_blank(c) -> Column:
+    """What follows the first blank line; the whole text without one."""
+    return F.coalesce(section(c, "\n\n", "\x00"), _col(c))
+
+
 def context_key(c, markers: list[tuple[str, str]]) -> Column:
-    """Digest of the normal text between the first marker pair that is present; null without one."""
+    """digest of the normal text between the first marker pair that is present; null without one."""
     return digest(normal(F.coalesce(*[between(c, a, b) for a, b in markers])))
 
 
 def question_of(c) -> Column:
-    """What follows the last `Question: `, else the first line after the first blank line, else null."""
+    """The line after the last `Question: `, else the first line after the first blank line (or of the text)."""
     t = _col(c)
     last = F.substring_index(F.substring_index(t, "Question: ", -1), "\n", 1)
-    return F.when(F.contains(t, F.lit("Question: ")), last).otherwise(F.get(F.split(F.get(F.split(t, "\n\n"), 1), "\n"), 0))
+    return F.when(F.contains(t, F.lit("Question: ")), last).otherwise(F.substring_index(after_blank(t), "\n", 1))
+
+
+#: Where the context stands in prompts, and in those of the later sources.
+CONTEXTS = [("Passage: ", "\n\nQuestion:"), ("Premise: ", "\nHypothesis:"), ("Context: ", "\n\nQuestion:"), ("Background: ", "\nSituation:")]
+LATER_CONTEXTS = [("Dialogue:\n", "\n\nQuestion:"), ("First: ", "\nSecond:"), ("Second: ", "\x00"), ("Comment: ", "\x00")]
+
+
+def keys_of(named: list[tuple[str, Column]]) -> Column:
+    """Identity keys of (kind, text), by norm(); texts that are null have none."""
+    return _keys([k for k, _ in named], [t for _, t in named])
+
+
+def _keys(kinds: list[str], texts: list[Column]) -> Column:
+    named = F.zip_with(F.array(*[F.lit(k) for k in kinds]), norm_all(F.array(*texts)), lambda k, t: F.concat(k, F.lit(":"), digest(t)))
+    return F.array_compact(named)
+
+
+def old_keys(prompt, group, title) -> Column:
+    """a row's overlap keys: its prompt, group, contexts, question and article."""
+    p, article = _col(prompt), F.when(_col(title) != "", _col(title))
+    keys = _keys(["prompt", *["context"] * len(CONTEXTS), "question", "article"], [p, *[section(p, a, b) for a, b in CONTEXTS], question_of(p), article])
+    return F.concat(keys, F.array(F.concat(F.lit("base-group:"), _col(group))))
+
+
+def extra_old_keys(prompt, source) -> Column:
+    """overlap keys of prompts of the later sources: contexts without mark-up, dialogues without speakers, questions."""
+    p = _col(prompt)
+    asked = F.when((_col(source) == "triviaqa") & F.contains(p, F.lit("Question: ")), F.substring_index(p, "Question: ", -1))
+    parts = [section(p, a, b) for a, b in LATER_CONTEXTS]
+    return _keys(["context", *["context"] * len(parts), "dialogue-content"], [asked, *[clean(x) for x in parts], spoken(parts[0])])
+
+
+def question_core(prompt, source) -> Column:
+    """the question of a prompt, without instruction, starter code, options and interface."""
+    body = F.substring_index(after_blank(prompt), "\n\nRequired function name:", 1)
+    body = F.substring_index(body, "Question: ", -1)
+    body = F.when(_col(source) == "arc", F.substring_index(body, "\n", 1)).otherwise(body)
+    return F.substring_index(F.substring_index(body, "\n\nStarter code:", 1), "\nOptions:", 1)
+
+
+def task_core(prompt) -> Column:
+    """The statement of a code task: what follows the instruction, without starter code and interface."""
+    return F.substring_index(F.substring_index(after_blank(prompt), "\n\nStarter code:", 1), "\n\nRequired function name:", 1)
+
+
+def spoken(c) -> Column:
+    """A dialogue (also with written line ends) without the speaker before each line, its lines joined by spaces."""
+    lines = F.split(F.replace(_col(c), F.lit("\\n"), F.lit("\n")), LINE_ENDS)
+    return F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^[^:\n]{1,60}:\s*", "")), " ")
 
 
 def dialogue_key(c) -> Column:
-    """Digest of a dialogue without the speaker before each line."""
-    return digest(normal(F.regexp_replace(_col(c), r"(?m)^[^:\n]{1,60}:\s*", "")))
+    """F8: key of a dialogue's words, whoever speaks them."""
+    return key("dialogue-content", norm(spoken(c)))
 
 
 @F.pandas_udf(StringType())
@@ -155,7 +236,7 @@ def _unescape(s: pd.Series) -> pd.Series:
 
 
 def strip_tags(c) -> Column:
-    return F.regexp_replace(_col(c), r"<[^>]*>", " ")
+    return F.regexp_replace(_col(c), r"<[^>]+>", " ")
 
 
 def clean(c) -> Column:
@@ -191,6 +272,14 @@ def called_name(assertion: pd.Series, program: pd.Series) -> pd.Series:
     return pd.Series([one(a, p) for a, p in zip(assertion, program, strict=True)], dtype=object)
 
 
+def with_interface(rows: DataFrame, interfaces: DataFrame) -> DataFrame:
+    """Rows with the function name that their task requires appended to the prompt; interfaces: (source,
+    original_id, name). Rows without one stay as they are."""
+    named = interfaces.filter("name IS NOT NULL").groupBy("source", "original_id").agg(F.min("name").alias("__name"))
+    add = F.coalesce(F.concat(F.lit("\n\nRequired function name: "), F.col("__name")), F.lit(""))
+    return rows.join(named, ["source", "original_id"], "left").withColumn("prompt", F.concat("prompt", add)).drop("__name")
+
+
 def word_bag(c) -> Column:
     """The text's words in sorted order, one space between."""
     return F.array_join(F.array_sort(words(F.lower(_col(c)), r"[\p{L}\p{N}_]+")), " ")
@@ -217,25 +306,19 @@ def sql_text(sel, agg, columns, ops, values, header) -> Column:
     conds = F.transform(F.arrays_zip(_col(columns).alias("c"), _col(ops).alias("o"), _col(values).alias("v")), lambda x: F.concat(name(x["c"]), F.lit(" "), F.get(op, x["o"]), F.lit(" "), quoted(x["v"])))
     even = (F.size(_col(columns)) == F.size(_col(ops))) & (F.size(_col(ops)) == F.size(_col(values))) & ~F.exists(conds, lambda x: x.isNull())
     where = F.when(F.size(conds) > 0, F.concat(F.lit(" WHERE "), F.array_join(conds, " AND "))).otherwise("")
-    return F.when(even, F.concat(F.lit("SELECT "), target, F.lit(' FROM "data"'), where))
+    return F.when(even, F.concat(F.lit("SELECT "), target, F.lit(" FROM data"), where))
 
 
 def bounded_bytes(c, limit: int, overhead: int = 0) -> Column:
     return F.octet_length(_col(c)) + overhead <= limit
 
 
-def signature(*columns: str) -> Column:
-    """Digest of the named columns as JSON with sorted keys."""
-    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
-
+def signature(*columns: str, chained: tuple[tuple[str, ...], ...] = ()) -> Column:
+    """F32: digest of the named columns as JSON with sorted keys; each further group is digested with the digest so far
+    where any of its columns is not null, so that rows without it keep their old signature."""
+    out = F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+    for group in chained:
+        more = F.sha2(F.to_json(F.struct(out.alias("base_signature"), *sorted(group))), 256)
+        out = F.when(F.coalesce(*[F.col(c).cast("string") for c in group]).isNotNull(), more).otherwise(out)
+    return out
 
-def chunks(rows: Iterator, n: int) -> Iterator[list]:
-    """Lists of n rows."""
-    held: list = []
-    for r in rows:
-        held.append(r)
-        if len(held) == n:
-            yield held
-            held = []
-    if held:
-        yield held

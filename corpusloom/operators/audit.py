@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.grading import number
+
 
 def shared_across(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     """V1/U4: keys that more than one split holds."""
@@ -97,11 +99,36 @@ def order_differs(a: DataFrame, b: DataFrame, pos: str, key: str) -> DataFrame:
     return j.filter(~F.col("left").eqNullSafe(F.col("right")))
 
 
+def answer_kinds(contexts: DataFrame, tokens: Column, limit: int = 1024) -> DataFrame:
+    """(kind, value, n) of a screened source whose rows hold arrays of questions (answer_type, scale).
+
+    Kinds: answer_type and scale with their counts, and totals: questions, contexts, and questions whose `tokens` (a
+    Column over the exploded question `q`) are within the limit.
+    """
+    q = contexts.select("*", F.explode("questions").alias("q")).withColumn("tokens", tokens)
+    counts = [q.groupBy(F.lit(k).alias("kind"), F.col(f"q.{k}").alias("value")).agg(F.count(F.lit(1)).alias("n")) for k in ("answer_type", "scale")]
+    whole = q.agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("tokens") <= limit).alias("within"))
+    unpivot = lambda d: d.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in d.columns]), F.array(*d.columns))).alias("value", "n")).select(F.lit("total").alias("kind"), "value", "n")
+    groups = contexts.agg(F.count(F.lit(1)).alias("contexts"))
+    return counts[0].unionByName(counts[1]).unionByName(unpivot(whole)).unionByName(unpivot(groups))
+
+
+def campaign_totals(files: DataFrame) -> DataFrame:
+    """Rows, bytes and sources of collected files (source, rows, bytes)."""
+    return files.agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.countDistinct("source").alias("sources"))
+
+
 def bag_equal(a: DataFrame, b: DataFrame) -> bool:
     """The same rows as often."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def bag_differs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that one side holds more often, with `extra` (above 0: the left side)."""
+    marked = a.withColumn("extra", F.lit(1)).unionByName(b.withColumn("extra", F.lit(-1)))
+    return marked.groupBy(*a.columns).agg(F.sum("extra").alias("extra")).filter("extra <> 0")
+
+
 def set_differs(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys of one side only."""
     x, y = a.select(key).distinct(), b.select(key).distinct()
@@ -128,14 +155,16 @@ def duplicate_identity(tasks: DataFrame, keys=("source", "id")) -> DataFrame:
 
 
 def bad_tasks(tasks: DataFrame) -> DataFrame:
-    """Tasks with an unknown kind, too few or many choices, a reference outside them, or an empty prompt."""
+    """Tasks with an unknown kind, too few or many choices or a blank one, a reference outside them or of another
+    form, or an empty prompt."""
     n = F.coalesce(F.size("choices"), F.lit(0))
     reason = (
-        F.when(~F.col("kind").isin("choice", "numeric", "text", "external"), "kind")
+        F.when(~F.col("kind").isin("choice", "number", "text", "external", "legacy_proxy"), "kind")
         .when(F.trim(F.coalesce("prompt", F.lit(""))) == "", "prompt")
-        .when((F.col("kind") == "choice") & ~n.between(2, 26), "choices")
+        .when((F.col("kind") == "choice") & (~n.between(2, 26) | F.exists("choices", lambda x: F.trim(x) == "")), "choices")
         .when((F.col("kind") == "choice") & ~F.coalesce((F.length("reference") == 1) & (F.ascii("reference") - 65).between(0, n - 1), F.lit(False)), "reference")
-        .when((F.col("kind") == "numeric") & F.col("reference").try_cast("double").isNull(), "reference")
+        .when((F.col("kind") != "external") & F.col("reference").isNull(), "reference")
+        .when((F.col("kind") == "number") & number(F.col("reference")).isNull(), "reference")
     )
     return tasks.withColumn("violation", reason).filter("violation IS NOT NULL")
 

@@ -113,6 +113,31 @@ def compare_phases(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.select("path", "before", "after", status.alias("status"), F.when(F.col("after") > 0, F.col("before") / F.col("after")).alias("speedup"), F.when(F.col("before") > 0, 100.0 * (F.col("after") - F.col("before")) / F.col("before")).alias("percent"))
 
 
+#: What two reports must share to be compared.
+SAME = ["schema", "mode", "warmup_steps", "flush_seconds", "detail_limit_seconds"]
+SAME_METADATA = ["workload", "environment"]
+
+
+def mismatches(a: str = "a", b: str = "b") -> Column:
+    """Array of the reasons why two reports (struct columns of one row) are not comparable; empty if they are.
+
+    Settings have to be equal; workload and environment have to be given and equal; the monitor's digest has to be equal;
+    both runs have to be complete.
+    """
+    x, y = F.col(a), F.col(b)
+    differ = lambda n: ~x[n].eqNullSafe(y[n])
+    given = lambda n: F.coalesce(x[n] != "", F.lit(False))
+    reasons = [F.when(differ(n), n) for n in SAME] + [F.when(~given(n) | differ(n), f"metadata.{n}") for n in SAME_METADATA]
+    reasons.append(F.when(differ("monitoring_source_sha256"), "metadata.monitoring_source_sha256"))
+    complete = F.coalesce((x["status"] == "completed") & (y["status"] == "completed"), F.lit(False))
+    return F.array_compact(F.array(*reasons, F.when(~complete, "incomplete_run")))
+
+
+def by_self_time(phases: DataFrame) -> DataFrame:
+    """Paths with their own time, the longest first."""
+    return self_time(phases).orderBy(F.desc("self"), "path")
+
+
 def mode_overhead(rows: DataFrame, mode: str = "mode", value: str = "seconds", base: str = "off") -> DataFrame:
     """Median, least and most of each mode, and its overhead over the base mode in percent."""
     per = rows.groupBy(mode).agg(F.expr(f"percentile({value}, 0.5)").alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
@@ -127,6 +152,14 @@ def latest(rows: DataFrame, by: str, ts: str, now: Column, old: float = 90, ahea
     return newest.withColumn("fresh", (age <= old) & (age >= -ahead))
 
 
+def live_state(status, heartbeat, present, now, old: float = 90) -> Column:
+    """Struct (age, fresh, live, recoverable) of a run: live if running, fresh and its process there; a paused run
+    shows its saved checkpoint."""
+    age = F.when(heartbeat.isNotNull(), F.greatest(F.lit(0.0), now - heartbeat))
+    fresh = F.coalesce(age <= old, F.lit(False))
+    return F.struct(age.alias("age"), fresh.alias("fresh"), ((status == "running") & fresh & present).alias("live"), (status == "paused").alias("recoverable"))
+
+
 def as_of(left: DataFrame, right: DataFrame, by: str, ts: str, value: str) -> DataFrame:
     """For each left row the right value at or before its time: union, then the last non-null in time order."""
     u = left.select(by, ts, F.lit(None).cast(right.schema[value].dataType).alias(value), F.lit(1).alias("side")).unionByName(right.select(by, ts, value, F.lit(0).alias("side")))
@@ -149,9 +182,17 @@ def in_sessions(rows: DataFrame, sessions_: DataFrame, by: str, ts: str = "ts",
     return r.join(s, [by, "__b"]).filter(F.col(ts).between(F.col("start"), F.col("end"))).drop("__b")
 
 
+def schedule_fraction(tokens, total: float, began: float | None = None, deadline: float | None = None, now: Column | None = None) -> Column:
+    """how much of a run is done, in [0, 1]: by tokens, or by the clock where it has a deadline and is further."""
+    f = F.col(tokens) / F.lit(float(total))
+    if now is not None:
+        f = F.greatest(f, (now - F.lit(float(began))) / F.lit(max(1.0, float(deadline) - float(began))))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), f))
+
+
 def schedule(tokens, total: float, warm: float = 0.0) -> Column:
     """cosine rate from 1 to 0.1 over the tokens, times a linear warm-up."""
-    f = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(tokens) / F.lit(float(total))))
+    f = schedule_fraction(tokens, total)
     rate = 0.1 + 0.45 * (1 + F.cos(F.pi() * f))
     return rate * F.least(F.lit(1.0), F.col(tokens) / F.lit(float(warm))) if warm else rate
 
@@ -172,7 +213,7 @@ def extremes(rows: DataFrame, by: str) -> DataFrame:
 def work_delta(first: DataFrame, last: DataFrame) -> DataFrame:
     """Counters (name, source, tokens) gained; `violation` where one went down or is missing."""
     j = first.select("name", "source", F.col("tokens").alias("x")).join(last.select("name", "source", F.col("tokens").alias("y")), ["name", "source"], "full_outer")
-    return j.select("name", "source", (F.coalesce("y", F.lit(0)) - F.coalesce("x", F.lit(0))).alias("delta"), (F.col("y").isNull() | (F.col("y") < F.col("x"))).alias("violation"))
+    return j.select("name", "source", (F.coalesce("y", F.lit(0)) - F.coalesce("x", F.lit(0))).alias("delta"), (F.col("y").isNull() | (F.col("y") < F.coalesce("x", F.lit(0)))).alias("violation"))
 
 
 def learning_gate(rows: DataFrame, by: str) -> DataFrame:

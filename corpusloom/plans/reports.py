@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import grading as G
 from corpusloom.operators import scoring as S
 from corpusloom.operators import telemetry as M
 from corpusloom.plans.corpus import FAMILY_SQL, families, records
@@ -87,15 +88,16 @@ SELECT event_type, n, round(CASE WHEN a = -1000000 THEN 0 ELSE pow(1.05::DOUBLE,
 
 
 def phase_compare(spark, sf):
-    e = table(spark, sf, "events").select(F.concat_ws("/", "event_type", (F.col("user_id") % 20).cast("string")).alias("path"), "value", "event_id")
+    """Every event is on one of two sides by turns; paths of users are on both or on one."""
+    e = table(spark, sf, "events").select(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("path"), "value", (F.col("event_id") % 2 == 0).alias("first"))
     half = lambda d: d.groupBy("path").agg(F.round(F.sum("value"), 6).alias("seconds"))
-    c = M.compare_phases(half(e.filter("event_id % 3 = 0 AND path NOT LIKE 'error/1%'")), half(e.filter("event_id % 3 = 1 AND path NOT LIKE 'click/2%'")))
+    c = M.compare_phases(half(e.filter("first")), half(e.filter("NOT first")))
     return c.select("path", "status", F.round("speedup", 6).alias("speedup"), F.round("percent", 4).alias("percent"))
 
 
-PHASE_SQL = """WITH e AS (SELECT event_type || '/' || (user_id % 20) AS path, value, event_id FROM events),
-a AS (SELECT path, round(sum(value), 6) AS x FROM e WHERE event_id % 3 = 0 AND path NOT LIKE 'error/1%' GROUP BY path),
-b AS (SELECT path, round(sum(value), 6) AS y FROM e WHERE event_id % 3 = 1 AND path NOT LIKE 'click/2%' GROUP BY path)
+PHASE_SQL = """WITH e AS (SELECT event_type || '/' || user_id AS path, value, event_id % 2 = 0 AS first FROM events),
+a AS (SELECT path, round(sum(value), 6) AS x FROM e WHERE first GROUP BY path),
+b AS (SELECT path, round(sum(value), 6) AS y FROM e WHERE NOT first GROUP BY path)
 SELECT path, CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' ELSE 'both' END AS status, round(CASE WHEN y > 0 THEN x / y END, 6) AS speedup, round(CASE WHEN x > 0 THEN 100.0 * (y - x) / x END, 4) AS percent FROM a FULL JOIN b USING (path)"""
 
 
@@ -194,20 +196,22 @@ SELECT conv_id, turn, round(2.0::DOUBLE * coalesce(o, 0) / greatest(1, coalesce(
 
 
 def narrative_stats(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", (F.trim("text") != "").alias("nonempty"), F.round(S.unique_word_share("text"), 9).alias("unique_share"))
+    return table(spark, sf, "documents").select("doc_id", (F.trim("text") != "").alias("nonempty"), F.round(S.unique_word_share("text", lower=False), 9).alias("unique_share"))
 
 
-NARRATIVE_SQL = "WITH w AS (SELECT doc_id, trim(text) <> '' AS nonempty, regexp_extract_all(lower(text), '[^\\s]+') AS w FROM documents) SELECT doc_id, nonempty, round(len(list_distinct(w))::DOUBLE / greatest(1, len(w)), 9) AS unique_share FROM w"
+NARRATIVE_SQL = "WITH w AS (SELECT doc_id, trim(text) <> '' AS nonempty, regexp_extract_all(text, '[^\\s]+') AS w FROM documents) SELECT doc_id, nonempty, round(len(list_distinct(w))::DOUBLE / greatest(1, len(w)), 9) AS unique_share FROM w"
 
 
 def repetition_tags(spark, sf):
-    t = S.error_tags(F.col("text"), F.when(F.col("doc_id") % 7 == 0, "length").otherwise("eos"))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(t, ",").alias("tags"))
+    """Symptoms of every document as an answer: empty, cut at 4,000 characters, repeating itself."""
+    stop = F.when(F.length("text") > 4000, "token_limit").otherwise("eos")
+    t = G.error_tags("source", "text", stop, F.lit(None).cast("boolean"), F.lit(""))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(t["tags"], ",").alias("tags"))
 
 
-TAGS_SQL = """WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[^\\s]+') AS w FROM documents),
-g AS (SELECT *, CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) ELSE [] END AS g FROM w)
-SELECT doc_id, array_to_string(list_filter([CASE WHEN trim(text) = '' THEN 'empty' END, CASE WHEN doc_id % 7 = 0 THEN 'stop:length' END,
+TAGS_SQL = """WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\s]+') AS w FROM documents),
+g AS (SELECT *, CASE WHEN len(w) >= 20 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) ELSE [] END AS g FROM w)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN trim(text) = '' THEN 'empty_answer' END, CASE WHEN length(text) > 4000 THEN 'token_limit' END,
   CASE WHEN len(w) >= 20 AND len(list_distinct(g)) < 0.55 * len(g) THEN 'repetition' END], lambda x: x IS NOT NULL), ',') AS tags FROM g"""
 
 
@@ -302,41 +306,6 @@ def weighted_loss(spark, sf):
     return S.weighted_loss(e, ["event_type"]).withColumn("loss", F.round("loss", 6))
 
 
-def sql_text_match(spark, sf):
-    q = table(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("a"))
-    return q.select("doc_id", S.sql_match(F.concat("a", F.lit(" ;;")), F.concat(F.lit("  "), "a")).alias("match"))
-
-
-SQLMATCH_SQL = "WITH q AS (SELECT doc_id, split_part(text, chr(10), 1) AS a FROM documents) SELECT doc_id, lower(regexp_replace(trim(a || ' ;;'), '[;\\s]+$', '')) = lower(regexp_replace(trim('  ' || a), '[;\\s]+$', '')) AS match FROM q"
-
-
-def final_answer(spark, sf):
-    d = records(spark, sf).select("ord", F.concat(F.col("prompt"), F.lit("\n#### "), (F.col("ord") * 37).cast("string"), F.lit(",000")).alias("t"))
-    return d.select("ord", S.final_answer("t", "gsm8k").alias("answer"))
-
-
-FINAL_SQL = "SELECT doc_id AS ord, replace(regexp_extract(split_part(text, chr(10), 1) || chr(10) || '#### ' || (doc_id * 37) || ',000', '####\\s*(-?[0-9][0-9,]*(?:\\.[0-9]+)?)\\s*$', 1), ',', '') AS answer FROM documents"
-
-
-def contract_grade(spark, sf):
-    """Answers built from the document's number: some numeric, some choices, some without the contract's line."""
-    i = F.col("doc_id")
-    d = table(spark, sf, "documents").select("doc_id")
-    kind = F.when(i % 4 == 0, "external").when(i % 4 == 1, "numeric").when(i % 4 == 2, "choice").otherwise("text")
-    letter = F.chr((i % 5 + 65).cast("bigint"))
-    body = F.when(i % 4 == 1, F.concat((i % 9).cast("string"), F.lit(".0"))).when(i % 4 == 2, letter).otherwise(F.concat(F.lit("Word "), (i % 6).cast("string")))
-    answer = F.when(i % 11 == 0, "two\nlines").when(i % 3 == 0, F.concat(F.lit("because\nFinal answer: "), body)).otherwise(body)
-    reference = F.when(i % 4 == 1, (i % 3).cast("string")).when(i % 4 == 2, "B").otherwise("word 1")
-    choices = F.array(*[F.lit(x) for x in "wxyz"])
-    g = S.grade(kind, answer, reference, choices)
-    return d.select("doc_id", g["status"].alias("status"), g["correct"].alias("correct"))
-
-
-GRADE_SQL = """WITH d AS (SELECT doc_id, doc_id % 4 AS k, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN (doc_id % 9) || '.0' WHEN doc_id % 4 = 2 THEN chr((doc_id % 5 + 65)::INT) ELSE 'Word ' || (doc_id % 6) END AS a FROM documents)
-SELECT doc_id, CASE WHEN k = 0 THEN 'unscored' WHEN a IS NULL OR (k = 2 AND a = 'E') THEN 'format_error' ELSE 'scored' END AS status,
- CASE WHEN k = 0 THEN NULL WHEN a IS NULL THEN false WHEN k = 1 THEN a::DOUBLE = doc_id % 3 WHEN k = 2 THEN a = 'B' ELSE lower(a) = 'word 1' END AS correct FROM d"""
-
-
 def allocation(spark, sf):
     n = F.size(F.split(T.collapse("text"), " "))
     a = S.allocation(n)
@@ -359,5 +328,5 @@ QUERIES = {
     "language_scores": (language_scores, f"WITH {RULE_SQL} SELECT source, language, count(*) AS generated, count(correct) AS scored, count(*) FILTER (correct) AS correct, round(CASE WHEN count(correct) > 0 THEN count(*) FILTER (correct) / count(correct)::DOUBLE END, 9) AS accuracy FROM res GROUP BY ALL"),
     "family_macro": (family_macro, FAMILY_MACRO_SQL), "wilson": (wilson, WILSON_SQL), "eval_summary": (eval_summary, SUMMARY_SQL), "label_concentration": (label_concentration, CONC_SQL), "majority_baseline": (majority_baseline, MAJORITY_SQL),
     "paired_compare": (paired_compare, PAIRED_SQL), "macro_loss": (macro_loss, LOSS_SQL), "weighted_loss": (weighted_loss, "SELECT event_type, round(sum(value * (event_id % 2)) / greatest(sum(event_id % 2), 1), 6) AS loss FROM events GROUP BY event_type"),
-    "sql_text_match": (sql_text_match, SQLMATCH_SQL), "final_answer": (final_answer, FINAL_SQL), "contract_grade": (contract_grade, GRADE_SQL), "allocation": (allocation, ALLOC_SQL),
+    "allocation": (allocation, ALLOC_SQL),
 }

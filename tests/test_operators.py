@@ -1,10 +1,11 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import audit, dedup, graph, scoring, splits, telemetry
+from corpusloom.operators import audit, dedup, grading, graph, scoring, splits, telemetry
 from corpusloom.sources import readers, sinks
 
 
@@ -66,20 +67,46 @@ def test_weights(spark):
 
 @pytest.mark.parametrize("text,want", [("x \\boxed{\\frac{1}{2}} y", "\\frac{1}{2}"), ("\\boxed{1} \\boxed{2}", "2"), ("\\boxed{1", None), ("none", None)])
 def test_boxed(spark, text, want):
-    assert spark.createDataFrame([(text,)], "t string").select(scoring.boxed("t")).first()[0] == want
+    assert spark.createDataFrame([(text,)], "t string").select(grading.boxed("t")).first()[0] == want
 
 
-@pytest.mark.parametrize("kind,answer,ref,want", [("numeric", "4.00", "4", ("scored", True)), ("numeric", "4 meters", "4", ("format_error", False)), ("text", "a\nb", "b", ("format_error", False)), ("text", "why\nFinal answer: Blue", "blue", ("scored", True)), ("choice", "(B)", "B", ("scored", True)), ("choice", "Q", "B", ("format_error", False)), ("external", "x", "y", ("unscored", None)), ("text", "Final answer: a\nFinal answer: b", "b", ("format_error", False))])
+@pytest.mark.parametrize("kind,answer,ref,want", [("number", "4.00", "4", ("correct", True)), ("number", "4 meters", "4", ("format_error", False)), ("text", "a\nb", "b", ("format_error", False)), ("text", "why\nFinal answer: Blue", "blue", ("correct", True)), ("choice", "(B)", "B", ("format_error", False)), ("choice", "B", "B", ("correct", True)), ("choice", "Q", "B", ("format_error", False)), ("external", "x", "y", ("unscored_external_grader_required", None)), ("text", "Final answer: a\nFinal answer: b", "b", ("format_error", False))])
 def test_grade(spark, kind, answer, ref, want):
     d = spark.createDataFrame([(kind, answer, ref, ["x", "y"])], "k string, a string, r string, c array<string>")
-    assert tuple(d.select(scoring.grade("k", "a", "r", "c")).first()[0]) == want
+    assert tuple(d.select(grading.grade("k", "a", "r", "c")).first()[0]) == want
+
+
+def test_arithmetic_equals_python():
+    """Random expressions against Python's own evaluation over exact fractions."""
+    import random
+    from fractions import Fraction
+
+    r = random.Random(3)
+
+    def expression(depth):
+        if depth == 0 or r.random() < 0.2:
+            return str(r.choice([0, 1, 2, 3, 10, 25]))
+        kind = r.random()
+        if kind < 0.15:
+            return r.choice("+-") + expression(depth - 1)
+        if kind < 0.3:
+            return f"({expression(depth - 1)})"
+        return expression(depth - 1) + r.choice([" + ", "-", "*", "/"]) + expression(depth - 1)
+
+    for _ in range(2000):
+        t = expression(3)
+        try:
+            want = eval(re.sub(r"([0-9]+)", r"Fraction(\1)", t), {"Fraction": Fraction})  # noqa: S307  built here
+        except ZeroDivisionError:
+            want = None
+        assert grading.arithmetic_value(t) == want, t
 
 
 def test_outputs_and_arithmetic(spark):
     d = spark.createDataFrame([("1 2", "1  2\n", True), ("1.0000001", "1", True), ("10", "11", False), ("a", "a b", False), ("x", "1", False)], "a string, b string, want boolean")
     assert all(r.got == r.want for r in d.select(scoring.same_output("a", "b").alias("got"), "want").collect())
     e = spark.createDataFrame([("1/3+1/6", "1/2"), ("2*(3-5)", "-4/1"), ("1/0", None), ("__import__('os')", None)], "t string, want string")
-    assert all(r.got == r.want for r in e.select(scoring.arithmetic("t").alias("got"), "want").collect())
+    assert all(r.got == r.want for r in e.select(grading.arithmetic("t").alias("got"), "want").collect())
 
 
 def test_null_is_not_wrong(spark):
@@ -128,7 +155,7 @@ def test_locks(spark):
 def test_bags_and_tasks(spark):
     a, b = (spark.createDataFrame(x, "v int") for x in ([(1,), (1,), (2,)], [(1,), (2,), (2,)]))
     assert audit.bag_equal(a, a) and not audit.bag_equal(a, b)
-    t = spark.createDataFrame([("choice", "p", ["x", "y"], "B"), ("choice", "p", ["x", "y"], "C"), ("numeric", "p", None, "z"), ("odd", "p", None, None)], "kind string, prompt string, choices array<string>, reference string")
+    t = spark.createDataFrame([("choice", "p", ["x", "y"], "B"), ("choice", "p", ["x", "y"], "C"), ("number", "p", None, "z"), ("odd", "p", None, None)], "kind string, prompt string, choices array<string>, reference string")
     assert sorted(r.violation for r in audit.bad_tasks(t).collect()) == ["kind", "reference", "reference"]
 
 
