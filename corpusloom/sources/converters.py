@@ -1,12 +1,15 @@
 """Source adapters: raw rows of a source to canonical records, as one select each.
 
-A converter takes a DataFrame of raw rows and returns Columns (prompt, answer, group text, reject reason and the optional
-fields); convert() adds identity, group digest and split. Rows with a reason are rejected and can be counted by it.
+An adapter takes a DataFrame of raw rows and returns Columns: the parts of a record, its group or its identities, and the
+reasons for which a row is rejected, in the order in which they are looked for. convert() puts the source's instruction
+in front of the prompt, adds identity, group digest and split, and keeps rejected rows with their reason, so that they
+can be counted. Sources came in waves; a wave has its own rule for groups and its own salt for the split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +17,67 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 
 c = F.col
-ADAPTERS: dict[str, Callable[[DataFrame], dict[str, Column]]] = {}
-NL = F.lit
+ADAPTERS: dict[str, Callable[[DataFrame], dict]] = {}
+
+#: The instruction that opens the prompts of each source.
+INSTRUCTIONS = {
+    "apps": "Write a Python 3 program that solves this problem. Output code only.",
+    "code_contests": "Write a Python 3 program that solves this problem. Output code only.",
+    "mbpp": "Write a Python 3 function for this task. Output code only.",
+    "gsm8k": "Solve this math problem and explain your calculation.",
+    "math": "Solve this math problem and explain your calculation.",
+    "aqua_rat": "Solve this math problem and explain your calculation.",
+    "squad": "Answer the question using the passage.",
+    "sciq": "Answer the question using the passage.",
+    "drop": "Answer the question using the passage.",
+    "race": "Answer the question using the passage.",
+    "quoref": "Answer the question using the passage.",
+    "hotpotqa": "Answer the question using the passages.",
+    "boolq": "Answer yes or no using the passage.",
+    "hellaswag": "Continue this description of an activity.",
+    "piqa": "Describe a way to accomplish this goal.",
+    "winogrande": "Fill in the blank with the correct option.",
+    "arc": "Answer this science question.",
+    "openbookqa": "Answer this question.",
+    "commonsenseqa": "Answer this question.",
+    "qasc": "Answer this question.",
+    "quartz": "Answer this question.",
+    "quarel": "Choose the correct option, A or B.",
+    "ropes": "Answer using the background and situation.",
+    "snli": "Classify the hypothesis as entailment, neutral, or contradiction.",
+    "anli": "Classify the hypothesis as entailment, neutral, or contradiction.",
+    "multinli": "Classify the hypothesis as entailment, neutral, or contradiction.",
+    "cb": "Classify the hypothesis as entailment, neutral, or contradiction.",
+    "scitail": "Classify the hypothesis as entailment, or neutral.",
+    "spider": "Write a SQL query. Output SQL only.",
+    "wikisql": "Write a SQL query. Output SQL only.",
+    "social_i_qa": "Answer the question using the context.",
+    "cosmos_qa": "Answer the question using the context.",
+    "wiqa": "Predict the effect of this change.",
+    "dream": "Answer the question using the dialogue.",
+    "triviaqa": "Answer this factual question with a short answer.",
+    "tydiqa": "Answer using a span from the passage in its original language.",
+    "tabmwp": "Answer the question using the table. Give only the final answer, including the unit when provided.",
+    "mrpc": "Do these two sentences have equivalent meaning? Answer yes or no.",
+    "qqp": "Do these two questions ask the same thing? Answer yes or no.",
+    "wic": "Is the marked word used with the same meaning in both sentences? Answer yes or no.",
+    "multirc": "Does the proposed answer correctly answer the question using the passage? Answer yes or no.",
+    "wsc": "Does the second marked expression refer to the first? Answer yes or no.",
+    "medqa": "Answer this medical exam question. Give the full correct option text.",
+    "logiqa": "Use logical reasoning to answer the question. Give the full correct option text.",
+    "samsum": "Summarize the dialogue, preserving the important people, actions, and decisions.",
+}
+#: Sources of the first wave and of the later ones that join rows by identities; the salts of their splits.
+FIRST = ("apps", "mbpp", "gsm8k", "math", "squad", "boolq", "hellaswag", "piqa", "winogrande", "arc")
+BROAD = ("social_i_qa", "cosmos_qa", "quoref", "wiqa", "dream", "anli", "scitail", "wikisql")
+JOINED = ("triviaqa", "tydiqa", "tabmwp", "multinli", "mrpc", "qqp", "cb", "copa", "multirc", "wic", "wsc", "go_emotions", "medqa", "samsum", "logiqa")
+PILOT, EXPANDED, EXPANSION = "pilot-v1:", "expanded-v2:", "expansion-2026-09-11:"
+#: Languages of the multilingual source, as in the prefix of its ids.
+LANGUAGES = ["arabic", "bengali", "english", "finnish", "indonesian", "korean", "russian", "swahili", "telugu"]
+#: The 28 emotion labels in the order of their numbers.
+EMOTIONS = ["admiration", "amusement", "anger", "annoyance", "approval", "caring", "confusion", "curiosity", "desire", "disappointment", "disapproval", "disgust", "embarrassment", "excitement", "fear", "gratitude", "grief", "joy", "love", "nervousness", "optimism", "pride", "realization", "relief", "remorse", "sadness", "surprise", "neutral"]
+#: Label names of the other sources that number them.
+ENTAILMENT = ["entailment", "neutral", "contradiction"]
 
 
 def source(*names: str):
@@ -27,12 +89,9 @@ def source(*names: str):
     return put
 
 
-def lines(*parts) -> Column:
-    return F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-
-def after(label: str, x: Column) -> Column:
-    return F.concat(F.lit(label), x)
+def say(*parts) -> Column:
+    """Parts one after another; texts stand for themselves."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
 def pick(names: list[str], label: Column) -> Column:
@@ -40,102 +99,124 @@ def pick(names: list[str], label: Column) -> Column:
     return F.get(F.array(*[F.lit(n) for n in names]), label.cast("int"))
 
 
-def flag(bad: Column, reason: str) -> Column:
-    return F.when(F.coalesce(bad, F.lit(True)), reason)
+def unless(sound: Column, reason: str) -> Column:
+    """A reason where a condition does not hold (or is not known)."""
+    return F.when(~F.coalesce(sound, F.lit(False)), reason)
 
 
+def optional(d: DataFrame, name: str) -> Column:
+    return c(name) if name in d.columns else F.lit(None).cast("string")
+
+
+def lettered_below(options: Column) -> Column:
+    return say("\n", T.lettered(options))
+
+
+# ---- first wave -----------------------------------------------------------------------------------------------------
 @source("mbpp")
 def _mbpp(d):
-    return {"prompt": c("text"), "answer": c("code"), "group": after("code:", T.normal("text")), "id": c("task_id")}
+    return {"body": c("text"), "answer": c("code"), "group": say("code:", T.normal("text")), "id": c("task_id")}
 
 
 @source("gsm8k")
 def _gsm8k(d):
-    return {"prompt": c("question"), "answer": c("answer"), "group": after("math:", T.normal("question"))}
+    return {"body": c("question"), "answer": c("answer"), "group": say("math:", T.normal("question"))}
 
 
 @source("math")
 def _math(d):
-    return {"prompt": c("problem"), "answer": c("solution"), "group": after("math:", T.normal("problem"))}
+    return {"body": c("problem"), "answer": c("solution"), "group": say("math:", T.normal("problem"))}
 
 
 @source("squad")
 def _squad(d):
-    answers = F.array_distinct(c("answers.text"))
-    return {"prompt": lines(after("Context: ", c("context")), after("Question: ", c("question"))), "answer": F.get(answers, 0), "answers": answers, "group": after("article:", c("title")), "id": c("id"), "title": c("title")}
+    return {"body": say("Passage: ", c("context"), "\n\nQuestion: ", c("question")), "answer": F.get("answers.text", 0), "answers": F.array_distinct("answers.text"), "group": say("article:", c("title")), "id": c("id"), "title": c("title")}
 
 
 @source("boolq")
 def _boolq(d):
-    return {"prompt": lines(after("Passage: ", c("passage")), after("Question: ", c("question"))), "answer": F.when(c("answer"), "yes").when(~c("answer"), "no"), "group": after("passage:", T.normal("passage"))}
+    return {"body": say("Passage: ", c("passage"), "\n\nQuestion: ", c("question")), "answer": F.when(c("answer"), "yes").otherwise("no"), "group": say("passage:", T.normal("passage"))}
 
 
 @source("hellaswag")
 def _hellaswag(d):
-    return {"prompt": c("ctx"), "answer": F.get("endings", c("label").try_cast("int")), "group": after("source:", c("source_id"))}
+    return {"body": c("ctx"), "answer": F.get("endings", c("label").try_cast("int")), "group": say("hellaswag-source:", c("source_id"))}
 
 
 @source("piqa")
 def _piqa(d):
-    return {"prompt": after("Goal: ", c("goal")), "answer": F.when(c("label") == 0, c("sol1")).when(c("label") == 1, c("sol2")), "group": after("goal:", T.normal("goal"))}
+    return {"body": c("goal"), "answer": F.when(c("label").cast("int") == 0, c("sol1")).otherwise(c("sol2")), "group": say("goal:", T.normal("goal"))}
 
 
 @source("winogrande")
 def _winogrande(d):
-    return {"prompt": lines(c("sentence"), T.lettered(F.array("option1", "option2"))), "answer": F.when(c("answer") == "1", c("option1")).when(c("answer") == "2", c("option2")), "group": after("bag:", T.word_bag("sentence")), "choices": F.array("option1", "option2")}
+    return {"body": say(c("sentence"), "\nOptions: ", c("option1"), "; ", c("option2")), "answer": F.when(c("answer") == "1", c("option1")).when(c("answer") == "2", c("option2")), "group": say("winogrande:", T.word_bag("sentence"))}
 
 
-@source("arc", "openbookqa", "commonsenseqa", "qasc", "quartz")
-def _keyed_choices(d):
-    """Choices with labels; the answer is the text at the key. Facts come first where a source has them."""
-    have = lambda n: c(n) if n in d.columns else F.lit(None).cast("string")
-    question = F.coalesce(have("question"), have("question_stem"))
-    facts = F.concat_ws("\n", have("fact1"), have("para"))
-    text = F.concat(F.when(facts != "", F.concat(facts, F.lit("\n"))).otherwise(""), after("Question: ", question), F.lit("\n"), T.lettered(c("choices.text")))
+def labelled_choices(d) -> tuple[Column, Column]:
+    """Lines `label. text` of the choices, and the text at the answer's label."""
     at = F.array_position(c("choices.label"), c("answerKey"))
-    return {"prompt": text, "answer": F.when(at > 0, F.get("choices.text", (at - 1).cast("int"))), "choices": c("choices.text"), "group": F.coalesce(after("para:", have("para_id")), after("question:", T.normal(question))), "id": have("id")}
+    shown = F.array_join(F.zip_with("choices.label", "choices.text", lambda k, t: say(k, ". ", t)), "\n")
+    return shown, F.when(at > 0, F.get("choices.text", (at - 1).cast("int")))
+
+
+@source("arc")
+def _arc(d):
+    shown, answer = labelled_choices(d)
+    return {"body": say(c("question"), "\n", shown), "answer": answer, "group": say("science:", T.normal("question")), "id": optional(d, "id")}
+
+
+# ---- second wave ----------------------------------------------------------------------------------------------------
+@source("openbookqa", "commonsenseqa", "qasc", "quartz")
+def _keyed_choices(d):
+    """A paragraph of knowledge comes before the instruction; two facts come before the answer."""
+    question = F.coalesce(optional(d, "question"), optional(d, "question_stem"))
+    shown, answer = labelled_choices(d)
+    if "fact1" in d.columns:
+        answer = say(c("fact1"), " ", c("fact2"), "\nAnswer: ", answer)
+    before = say("Use this knowledge: ", c("para"), "\n\n") if "para" in d.columns else F.lit("")
+    return {"body": say(question, "\n", shown), "answer": answer, "group": c("para_id") if "para_id" in d.columns else question, "id": optional(d, "id"), "before": before}
 
 
 @source("sciq")
 def _sciq(d):
-    return {"prompt": lines(c("support"), after("Question: ", c("question"))), "answer": c("correct_answer"), "group": after("question:", T.normal("question"))}
+    return {"body": say("Passage: ", c("support"), "\n\nQuestion: ", c("question")), "answer": c("correct_answer"), "group": F.when(c("support") != "", c("support")).otherwise(c("question"))}
 
 
 @source("ropes")
 def _ropes(d):
-    return {"prompt": lines(after("Background: ", c("background")), after("Situation: ", c("situation")), after("Question: ", c("question"))), "answer": F.get("answers.text", 0), "group": after("background:", T.normal("background")), "id": c("id")}
+    return {"body": say("Background: ", c("background"), "\nSituation: ", c("situation"), "\nQuestion: ", c("question")), "answer": F.get("answers.text", 0), "group": c("background"), "id": c("id")}
 
 
 @source("drop")
 def _drop(d):
-    return {"prompt": lines(after("Passage: ", c("passage")), after("Question: ", c("question"))), "answer": F.array_join("answers_spans.spans", "; "), "group": after("section:", c("section_id")), "id": c("query_id")}
+    return {"body": say("Passage: ", c("passage"), "\n\nQuestion: ", c("question")), "answer": F.array_join("answers_spans.spans", "; "), "group": c("section_id"), "id": c("query_id")}
 
 
 @source("race")
 def _race(d):
-    return {"prompt": lines(c("article"), after("Question: ", c("question")), T.lettered("options")), "answer": F.get("options", T.letter_index("answer")), "choices": c("options"), "group": after("article:", T.normal("article")), "id": c("example_id")}
+    return {"body": say("Passage: ", c("article"), "\n\nQuestion: ", c("question"), lettered_below(c("options"))), "answer": F.get("options", T.letter_index("answer")), "choices": c("options"), "group": c("article"), "id": say(c("example_id"), ":", F.substring(T.digest("question"), 1, 12))}
 
 
 @source("quarel")
 def _quarel(d):
-    parts = F.split("question", r"\s*\([AB]\)\s*")
-    return {"prompt": c("question"), "answer": F.trim(F.get(parts, c("answer_index") + 1)), "group": after("question:", T.normal("question")), "id": c("id")}
+    return {"body": c("question"), "answer": pick(["A", "B"], c("answer_index")), "group": c("question"), "id": c("id")}
 
 
 @source("snli")
 def _snli(d):
-    return {"prompt": lines(after("Premise: ", c("premise")), after("Hypothesis: ", c("hypothesis"))), "answer": pick(["entailment", "neutral", "contradiction"], c("label")), "group": after("premise:", T.normal("premise")), "reason": flag(~c("label").between(0, 2), "invalid_label")}
+    return {"body": say("Premise: ", c("premise"), "\nHypothesis: ", c("hypothesis")), "answer": pick(ENTAILMENT, c("label")), "group": c("premise"), "reasons": [unless(c("label").between(0, 2), "invalid_label")]}
 
 
 @source("aqua_rat")
 def _aqua(d):
-    return {"prompt": lines(c("question"), F.array_join("options", "\n")), "answer": lines(c("rationale"), after("Answer: ", c("correct"))), "group": after("math:", T.normal("question")), "reason": flag(~T.letter_index("correct").between(0, F.size("options") - 1), "invalid_label")}
+    return {"body": say(c("question"), "\n", F.array_join("options", "\n")), "answer": say(c("rationale"), "\nAnswer: ", F.get("options", T.letter_index("correct"))), "group": c("question"), "reasons": [unless(c("correct").rlike(r"^[A-E]\z"), "invalid_label")]}
 
 
 @source("hotpotqa")
 def _hotpot(d):
-    paragraphs = F.array_join(F.transform(F.arrays_zip(c("context.title").alias("t"), c("context.sentences").alias("s")), lambda x: F.concat(x["t"], F.lit(": "), F.array_join(x["s"], ""))), "\n")
-    return {"prompt": lines(paragraphs, after("Question: ", c("question"))), "answer": c("answer"), "group": after("question:", T.normal("question")), "id": c("id")}
+    paragraphs = F.array_join(F.zip_with("context.title", "context.sentences", lambda t, s: say(t, ": ", F.array_join(s, ""))), "\n\n")
+    return {"body": say(paragraphs, "\n\nQuestion: ", c("question")), "answer": c("answer"), "group": c("question"), "id": c("id")}
 
 
 def with_schema(rows: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -146,170 +227,217 @@ def with_schema(rows: DataFrame, schemas: DataFrame) -> DataFrame:
 @source("spider")
 def _spider(d):
     """Needs the schema columns of with_schema()."""
-    table_name = lambda t: F.get("table_names_original", t)
     cols = F.arrays_zip(c("column_names_original").alias("n"), c("column_types").alias("k"))
-    own = lambda i: F.transform(F.filter(cols, lambda x: x["n"]["t"] == i), lambda x: F.concat(x["n"]["c"], F.lit(" "), x["k"]))
-    tables = F.transform("table_names_original", lambda n, i: F.concat(n, F.lit("("), F.array_join(own(i), ", "), F.lit(")")))
-    side = lambda i: F.concat(table_name(F.get("column_names_original", i)["t"]), F.lit("."), F.get("column_names_original", i)["c"])
-    keys = F.transform("foreign_keys", lambda k: F.concat(side(F.get(k, 0)), F.lit(" = "), side(F.get(k, 1))))
-    return {"prompt": lines(F.array_join(tables, "\n"), F.array_join(keys, "\n"), after("Question: ", c("question"))), "answer": c("query"), "group": after("db:", c("db_id"))}
+    own = lambda i: F.transform(F.filter(cols, lambda x: x["n"]["t"] == i), lambda x: say(x["n"]["c"], " ", x["k"]))
+    tables = F.transform("table_names_original", lambda n, i: say(n, "(", F.array_join(own(i), ", "), ")"))
+    side = lambda i: say(F.get("table_names_original", F.get("column_names_original", i)["t"]), ".", F.get("column_names_original", i)["c"])
+    keys = F.transform("foreign_keys", lambda k: say(side(F.get(k, 0)), " = ", side(F.get(k, 1))))
+    return {"body": say("Schema:\n", F.array_join(tables, "\n"), "\nForeign keys: ", F.array_join(keys, "; "), "\n\nQuestion: ", c("question")), "answer": c("query"), "group": c("db_id")}
 
 
-def _labelled(names: list[str], prompt: Column, group: Column, **more):
-    return {"prompt": prompt, "answer": pick(names, c("label")), "group": group, "labels": F.array(pick(names, c("label"))), "reason": flag(~c("label").between(0, len(names) - 1), "invalid_label"), **more}
+# ---- broad wave -----------------------------------------------------------------------------------------------------
+def _chosen(options: Column, at: Column) -> dict:
+    return {"answer": F.get(options, at), "choices": options, "below": options, "reasons": [unless(at.between(0, F.size(options) - 1), "invalid_choice")]}
 
 
 @source("social_i_qa")
 def _social(d):
-    options = F.array("answerA", "answerB", "answerC")
-    at = c("label").try_cast("int") - 1
-    return {"prompt": lines(c("context"), after("Question: ", c("question")), T.lettered(options)), "answer": F.get(options, at), "choices": options, "group": after("context:", T.normal("context")), "reason": flag(~at.between(0, 2), "invalid_label")}
+    return {"body": say("Context: ", c("context"), "\n\nQuestion: ", c("question")), "group": c("context"), **_chosen(F.array("answerA", "answerB", "answerC"), c("label").try_cast("int") - 1)}
 
 
 @source("cosmos_qa")
 def _cosmos(d):
-    options = F.array("answer0", "answer1", "answer2", "answer3")
-    return {"prompt": lines(c("context"), after("Question: ", c("question")), T.lettered(options)), "answer": F.get(options, c("label")), "choices": options, "group": after("context:", T.normal("context")), "reason": flag(~c("label").between(0, 3), "invalid_label")}
+    return {"body": say("Context: ", c("context"), "\n\nQuestion: ", c("question")), "group": c("context"), **_chosen(F.array("answer0", "answer1", "answer2", "answer3"), c("label"))}
 
 
 @source("quoref")
 def _quoref(d):
-    return {"prompt": lines(c("context"), after("Question: ", c("question"))), "answer": F.array_join("answers.text", "; "), "answers": c("answers.text"), "group": after("url:", c("url")), "id": c("id")}
+    return {"body": say("Passage: ", c("context"), "\n\nQuestion: ", c("question")), "answer": F.get("answers.text", 0), "answers": c("answers.text"), "group": F.coalesce(F.when(c("url") != "", c("url")), c("context")), "id": c("id")}
 
 
 @source("wiqa")
 def _wiqa(d):
-    return {"prompt": lines(F.array_join("question_para_step", " "), after("Question: ", c("question_stem"))), "answer": F.replace(c("answer_label"), F.lit("_"), F.lit(" ")), "choices": c("choices.text"), "group": after("para:", c("metadata_para_id").cast("string"))}
+    answer = F.replace(c("answer_label"), F.lit("_"), F.lit(" "))
+    return {"body": say("Process:\n", F.array_join("question_para_step", "\n"), "\n\nQuestion: ", c("question_stem")), "answer": answer, "choices": c("choices.text"), "below": c("choices.text"), "group": say("wiqa:", c("metadata_para_id").cast("string")), "reasons": [unless(F.array_contains(c("choices.text"), answer), "answer_not_a_choice")]}
 
 
 @source("dream")
 def _dream(d):
-    return {"prompt": lines(F.array_join("dialogue", "\n"), after("Question: ", c("question")), T.lettered("choice")), "answer": c("answer"), "choices": c("choice"), "group": after("dialogue:", c("dialogue_id")), "reason": flag(~F.array_contains("choice", c("answer")), "answer_not_a_choice")}
+    return {"body": say("Dialogue:\n", F.array_join("dialogue", "\n"), "\n\nQuestion: ", c("question")), "answer": c("answer"), "choices": c("choice"), "below": c("choice"), "group": say("dialogue:", c("dialogue_id")), "reasons": [unless(F.array_contains("choice", c("answer")), "answer_not_a_choice")]}
 
 
 @source("anli")
 def _anli(d):
-    return _labelled(["entailment", "neutral", "contradiction"], lines(after("Premise: ", c("premise")), after("Hypothesis: ", c("hypothesis"))), after("premise:", T.normal("premise")), id=c("uid"))
+    return {"body": say("Premise: ", c("premise"), "\nHypothesis: ", c("hypothesis")), "answer": pick(ENTAILMENT, c("label")), "group": c("premise"), "id": c("uid"), "reasons": [unless(c("label").between(0, 2), "invalid_label")]}
 
 
 @source("scitail")
 def _scitail(d):
-    return {"prompt": lines(after("Premise: ", c("premise")), after("Hypothesis: ", c("hypothesis"))), "answer": F.when(c("label") == "entails", "entailment").when(c("label") == "neutral", "neutral"), "group": after("premise:", T.normal("premise")), "reason": flag(~c("label").isin("entails", "neutral"), "invalid_label")}
+    answer = F.when(c("label") == "entails", "entailment").otherwise(c("label"))
+    return {"body": say("Premise: ", c("premise"), "\nHypothesis: ", c("hypothesis")), "answer": answer, "group": c("premise"), "reasons": [unless(answer.isin("entailment", "neutral"), "invalid_label")]}
 
 
 @source("wikisql")
 def _wikisql(d):
     sql = T.sql_text(c("sql.sel"), c("sql.agg"), c("sql.conds.column_index"), c("sql.conds.operator_index"), c("sql.conds.condition"), c("table.header"))
-    schema = F.array_join(F.zip_with("table.header", "table.types", lambda h, k: F.concat(h, F.lit(" "), k)), ", ")
-    return {"prompt": lines(F.concat(F.lit("Table data("), schema, F.lit(")")), after("Question: ", c("question"))), "answer": sql, "group": after("table:", c("table.id")), "reason": flag(sql.isNull(), "invalid_sql")}
+    named = F.zip_with("table.header", "table.types", lambda h, k: say('"', F.replace(h, F.lit('"'), F.lit('""')), '" ', F.when(k == "real", "REAL").otherwise("TEXT")))
+    return {"body": say("Schema:\ndata(", F.array_join(named, ", "), ")\n\nQuestion: ", c("question")), "answer": sql, "group": say("wikisql-table:", c("table.id")), "reasons": [unless(sql.isNotNull(), "invalid_sql")]}
 
 
-@source("triviaqa")
-def _trivia(d):
-    return {"prompt": after("Question: ", c("question")), "answer": c("answer.value"), "aliases": c("answer.aliases"), "group": after("question:", T.normal("question")), "id": c("question_id"), "language": F.lit("english")}
+# ---- waves joined by identities -------------------------------------------------------------------------------------
+def same(kind: str, text: Column) -> tuple[str, Column]:
+    return kind, text
 
 
-#: Languages of the multilingual source, as in the prefix of its ids.
-LANGUAGES = ["arabic", "bengali", "english", "finnish", "indonesian", "korean", "russian", "swahili", "telugu"]
+def context(text: Column) -> dict:
+    """A text that has to be there, and that rows may share: an identity and a check."""
+    return {"identities": [same("context", T.clean(text))], "checks": [same("context", T.clean(text))], "reasons": [unless(T.strip(text) != "", "empty_original_text")]}
+
+
+def both(*parts: dict) -> dict:
+    """Parts of a record; identities, checks and reasons are gathered in order."""
+    lists = {k: reduce(lambda a, p: a + p.get(k, []), parts, []) for k in ("identities", "checks", "reasons")}
+    return reduce(lambda a, p: a | p, parts, {}) | lists
+
+
+def labelled(label: Column, names: list[str], reason: str = "invalid_original_label") -> dict:
+    return {"labels": F.array(pick(names, label)), "reasons": [unless(label.between(0, len(names) - 1), reason)]}
+
+
+def yes_or_no(label: Column) -> dict:
+    answer = pick(["no", "yes"], label)
+    return {"answer": answer, "labels": F.array(answer), "reasons": [unless(label.between(0, 1), "invalid_original_label")]}
+
+
+@source("triviaqa")
+def _trivia(d):
+    question = T.strip("question")
+    return {"body": say("Question: ", question), "answer": c("answer.value"), "aliases": c("answer.aliases"), "identities": [same("question", question)], "checks": [same("question", question)], "id": c("question_id"), "language": F.lit("english"), "reasons": [unless(question != "", "empty_question")]}
 
 
 @source("tydiqa")
 def _tydi(d):
-    language = F.lower(F.get(F.split("id", "-"), 0))
+    language, question = F.get(F.split("id", "-"), 0), T.strip("question")
     pairs = F.arrays_zip(c("answers.text").alias("t"), c("answers.answer_start").alias("s"))
-    present = F.forall("answers.text", lambda t: F.contains(c("context"), t))
     match = F.forall(pairs, lambda x: F.substring(c("context"), x["s"] + 1, F.length(x["t"])) == x["t"])
+    shared = [same("context", c("context")), same("article", c("title"))]
+    article = T.digest(say("article:", c("title")))
     return {
-        "prompt": lines(after("Context: ", c("context")), after("Question: ", c("question"))), "answer": F.get("answers.text", 0), "answers": c("answers.text"), "group": after("title:", c("title")), "id": c("id"), "title": c("title"), "language": language,
-        "offsets_match": match, "reason": F.coalesce(flag(~language.isin(LANGUAGES), "language"), flag((F.size("answers.text") == 0) | ~present, "answer_not_in_context")),
+        "body": say("Passage: ", c("context"), "\n\nQuestion: ", question), "answer": F.get("answers.text", 0), "answers": c("answers.text"), "identities": shared, "checks": shared, "group_checks": article, "id": c("id"), "title": c("title"), "language": language, "offsets_match": match,
+        "reasons": [
+            unless(question != "", "empty_question"), unless(language.isin(LANGUAGES), "language"), unless((F.size("answers.text") > 0) & (F.size("answers.text") == F.size("answers.answer_start")), "misaligned_answers"),
+            unless(F.forall("answers.answer_start", lambda x: x >= 0), "negative_offset"), unless(F.forall("answers.text", lambda t: (t != "") & F.contains(c("context"), t)), "answer_not_in_context"),
+        ],
     }
 
 
 @source("tabmwp")
 def _tabmwp(d):
-    answer = F.when(F.coalesce("unit", F.lit("")) != "", F.concat_ws(" ", "answer", "unit")).otherwise(c("answer"))
-    bad = F.col("choices").isNotNull() & ~F.array_contains("choices", c("answer"))
-    return {"prompt": lines(F.coalesce("table_title", F.lit("")), c("table"), after("Question: ", c("question"))), "answer": answer, "choices": c("choices"), "group": after("table:", T.normal("table")), "id": c("uid"), "reason": F.coalesce(flag(c("split") != "train", "split"), flag(F.coalesce(bad, F.lit(False)), "answer_not_a_choice"))}
+    question, unit = T.strip("question"), F.coalesce("unit", F.lit(""))
+    has = F.coalesce(F.size("choices") > 0, F.lit(False))
+    more = say(F.when(has, say("\nChoices: ", F.array_join("choices", "; "))).otherwise(""), F.when(unit != "", say("\nUnit: ", unit)).otherwise(""))
+    return {
+        "body": say("Table title: ", F.coalesce("table_title", F.lit("")), "\nTable:\n", c("table"), "\n\nQuestion: ", question, more), "answer": F.when(unit != "", say(c("answer"), " ", unit)).otherwise(c("answer")), "choices": F.when(has, c("choices")), "identities": [same("table", c("table"))], "checks": [same("table", c("table"))],
+        "id": c("uid"), "language": F.lit("english"), "reasons": [unless(question != "", "empty_question"), unless(c("split") == "train", "split"), unless(T.strip("table") != "", "missing_table"), unless(~has | F.array_contains("choices", c("answer")), "answer_not_a_choice")],
+    }
+
+
+def _inference(names: list[str], id_: Column, **more) -> dict:
+    hypothesis = T.strip("hypothesis")
+    return both({"body": say("Premise: ", T.strip("premise"), "\nHypothesis: ", hypothesis), "answer": pick(names, c("label")), "id": id_}, context(c("premise")), {"reasons": [unless(hypothesis != "", "empty_hypothesis")]}, labelled(c("label"), names), more)
 
 
 @source("multinli")
 def _multinli(d):
-    return _labelled(["entailment", "neutral", "contradiction"], lines(after("Premise: ", c("premise")), after("Hypothesis: ", c("hypothesis"))), after("premise:", T.normal("premise")), id=c("pairID"))
+    return _inference(ENTAILMENT, c("pairID"), identities=[same("multinli-prompt", c("promptID").cast("string"))])
 
 
 @source("cb")
 def _cb(d):
-    return _labelled(["entailment", "contradiction", "neutral"], lines(after("Premise: ", c("premise")), after("Hypothesis: ", c("hypothesis"))), after("premise:", T.normal("premise")), id=c("idx").cast("string"))
+    return _inference(["entailment", "contradiction", "neutral"], c("idx").cast("string"))
+
+
+def _pair(a: str, b: str, first: Column | None = None, second: Column | None = None, **more) -> dict:
+    shown = [T.strip(a) if first is None else first, T.strip(b) if second is None else second]
+    return both({"body": say("First: ", shown[0], "\nSecond: ", shown[1]), "id": c("idx").cast("string")}, context(c(a)), context(c(b)), yes_or_no(c("label")), more)
 
 
 @source("mrpc")
 def _mrpc(d):
-    return _labelled(["not equivalent", "equivalent"], lines(after("First: ", c("sentence1")), after("Second: ", c("sentence2"))), after("first:", T.normal("sentence1")), id=c("idx").cast("string"))
+    return _pair("sentence1", "sentence2")
 
 
 @source("qqp")
 def _qqp(d):
-    return _labelled(["different", "duplicate"], lines(after("First: ", c("question1")), after("Second: ", c("question2"))), after("first:", T.normal("question1")), id=c("idx").cast("string"))
+    return _pair("question1", "question2")
 
 
 def marked(text: Column, start: Column, end: Column) -> Column:
-    """The text with asterisks around the code points from start to end."""
-    return F.concat(F.substring(text, F.lit(1), start), F.lit("*"), F.substring(text, start + 1, end - start), F.lit("*"), F.substring(text, end + 1, F.length(text)))
+    """The text with marks around the code points from start to end."""
+    return say(F.substring(text, F.lit(1), start), "[TARGET]", F.substring(text, start + 1, end - start), "[/TARGET]", F.substring(text, end + 1, F.length(text)))
 
 
 @source("wic")
 def _wic(d):
-    out = _labelled(["different sense", "same sense"], lines(after("Word: ", c("word")), marked(c("sentence1"), c("start1"), c("end1")), marked(c("sentence2"), c("start2"), c("end2"))), after("word:", T.normal("word")), id=c("idx").cast("string"))
-    inside = (c("start1") >= 0) & (c("start1") < c("end1")) & (c("end1") <= F.length("sentence1")) & (c("start2") >= 0) & (c("start2") < c("end2")) & (c("end2") <= F.length("sentence2"))
-    return out | {"reason": F.coalesce(out["reason"], flag(~inside, "span"))}
+    inside = lambda i: (c(f"start{i}") >= 0) & (c(f"start{i}") < c(f"end{i}")) & (c(f"end{i}") <= F.length(f"sentence{i}"))
+    show = lambda i: marked(c(f"sentence{i}"), c(f"start{i}"), c(f"end{i}"))
+    return _pair("sentence1", "sentence2", show(1), show(2), reasons=[unless(inside(1) & inside(2), "invalid_word_span")])
 
 
 @source("copa")
 def _copa(d):
     options = F.array("choice1", "choice2")
-    return {"prompt": lines(c("premise"), F.concat(F.lit("What was the "), c("question"), F.lit("?")), T.lettered(options)), "answer": F.get(options, c("label")), "choices": options, "labels": F.array(c("label").cast("string")), "group": after("premise:", T.normal("premise")), "id": c("idx").cast("string"), "reason": flag(~c("label").between(0, 1), "invalid_label")}
+    body = say("Premise: ", T.strip("premise"), "\nA. ", c("choice1"), "\nB. ", c("choice2"))
+    instruction = say("Choose the more plausible ", c("question"), ". Give the full option text.")
+    return both({"instruction": instruction, "body": body, "answer": F.get(options, c("label")), "choices": options, "id": c("idx").cast("string")}, context(c("premise")), {"reasons": [unless(c("question").isin("cause", "effect"), "unknown_direction")]}, labelled(c("label"), ["choice1", "choice2"]))
 
 
 @source("multirc")
 def _multirc(d):
-    return _labelled(["false", "true"], lines(c("paragraph"), after("Question: ", c("question")), after("Answer: ", c("answer"))), after("paragraph:", T.normal("paragraph")), id=F.concat_ws("-", c("idx.paragraph"), c("idx.question"), c("idx.answer")))
+    number = F.concat_ws(":", *[c(f"idx.{k}").cast("string") for k in ("paragraph", "question", "answer")])
+    body = say("Passage: ", T.strip("paragraph"), "\n\nQuestion: ", c("question"), "\nProposed answer: ", c("answer"))
+    return both({"body": body, "id": number}, context(c("paragraph")), {"identities": [same("multirc-paragraph", c("idx.paragraph").cast("string"))]}, yes_or_no(c("label")))
 
 
 @source("wsc")
 def _wsc(d):
-    words = F.split("text", " ")
-    named = F.substring(F.array_join(F.slice(words, c("span1_index") + 1, F.size(words)), " "), F.lit(1), F.length("span1_text"))
-    out = _labelled(["false", "true"], lines(c("text"), F.concat(F.lit('Does "'), c("span2_text"), F.lit('" refer to "'), c("span1_text"), F.lit('"?'))), after("text:", T.normal("text")), id=c("idx").cast("string"))
-    return out | {"reason": F.coalesce(out["reason"], flag(F.lower(named) != F.lower("span1_text"), "span"))}
-
-
-#: The 28 emotion labels in the order of their numbers.
-EMOTIONS = ["admiration", "amusement", "anger", "annoyance", "approval", "caring", "confusion", "curiosity", "desire", "disappointment", "disapproval", "disgust", "embarrassment", "excitement", "fear", "gratitude", "grief", "joy", "love", "nervousness", "optimism", "pride", "realization", "relief", "remorse", "sadness", "surprise", "neutral"]
+    n = F.size(T.words("text", r"(?U)[^\s]+"))
+    sound = lambda i: c(f"span{i}_index").between(0, n - 1) & (c(f"span{i}_text") != "")
+    shown = lambda i, name: say(f"\n{name} expression: ", c(f"span{i}_text"), " (word index ", c(f"span{i}_index").cast("string"), ", zero-based)")
+    return both({"body": say("Passage: ", T.strip("text"), shown(1, "First"), shown(2, "Second")), "id": c("idx").cast("string")}, context(c("text")), {"reasons": [unless(sound(1) & sound(2), "invalid_coreference_span")]}, yes_or_no(c("label")))
 
 
 @source("go_emotions")
 def _emotions(d):
-    names = F.array_sort(F.array_distinct(F.transform("labels", lambda i: pick(EMOTIONS, i))))
-    return {"prompt": after("Comment: ", c("text")), "answer": F.array_join(names, ", "), "labels": names, "group": after("comment:", T.normal("text")), "id": c("id"), "reason": flag((F.size("labels") == 0) | F.exists(names, lambda x: x.isNull()), "invalid_label")}
+    numbers = F.array_sort(F.array_distinct("labels"))
+    names = F.transform(numbers, lambda i: pick(EMOTIONS, i))
+    sound = (F.size("labels") > 0) & F.forall("labels", lambda i: i.between(0, len(EMOTIONS) - 1))
+    body = say(f"Allowed labels: {', '.join(EMOTIONS)}\n\nComment: ", T.strip("text"))
+    instruction = F.lit("List all annotated emotions expressed in this comment, separated by semicolons.")
+    return both({"instruction": instruction, "gap": "\n", "body": body, "answer": F.array_join(names, "; "), "labels": names, "id": c("id")}, context(c("text")), {"reasons": [unless(sound, "invalid_emotion_labels")]})
 
 
 @source("medqa")
 def _medqa(d):
-    keys = F.array_sort(F.map_keys("options"))
-    options = F.transform(keys, lambda k: F.try_element_at("options", k))
-    return {"prompt": lines(c("question"), T.lettered(options)), "answer": c("answer"), "choices": options, "group": after("question:", T.normal("question")), "reason": flag(~F.coalesce(F.try_element_at("options", c("answer_idx")) == c("answer"), F.lit(False)), "option_key")}
+    question = T.strip("question")
+    options = F.array(*[F.try_element_at("options", F.lit(k)) for k in "ABCD"])
+    sound = (F.array_sort(F.map_keys("options")) == F.array(*[F.lit(k) for k in "ABCD"])) & (F.try_element_at("options", c("answer_idx")) == c("answer"))
+    return both({"body": say("Question: ", question, lettered_below(options)), "answer": c("answer"), "choices": options, "labels": F.array("answer_idx")}, context(c("question")), {"checks": [same("question", question)], "reasons": [unless(sound, "medical_answer_key_mismatch")]})
 
 
 @source("logiqa")
 def _logiqa(d):
-    return {"prompt": lines(c("text"), after("Question: ", c("question")), T.lettered("options")), "answer": F.get("options", c("answer")), "choices": c("options"), "group": after("text:", T.normal("text")), "id": c("id").cast("string"), "reason": flag(~c("answer").between(0, F.size("options") - 1), "invalid_label")}
+    sound = (F.size("options") == 4) & c("answer").between(0, 3)
+    return both({"body": say("Passage: ", T.strip("text"), "\n\nQuestion: ", c("question"), lettered_below(c("options"))), "answer": F.get("options", c("answer")), "choices": c("options"), "labels": F.array(c("answer").cast("string")), "id": c("id").cast("string")}, context(c("text")), {"reasons": [unless(sound, "logic_answer_key_mismatch")]})
 
 
 @source("samsum")
 def _samsum(d):
-    return {"prompt": lines(after("Dialogue:\n", c("dialogue"))), "answer": c("summary"), "group": after("dialogue:", T.normal("dialogue")), "id": c("id")}
+    spoken = same("dialogue-content", T.spoken("dialogue"))
+    return both({"body": say("Dialogue:\n", T.strip("dialogue")), "answer": c("summary"), "id": c("id")}, context(c("dialogue")), {"identities": [spoken], "checks": [spoken]})
 
 
+# ---- programs -------------------------------------------------------------------------------------------------------
 def programs(df: DataFrame, keys: list[str], most: int = 8) -> DataFrame:
     """Rows (keys, program) to the first `most` programs by (length, text) that parse, one for each syntax tree."""
     d = df.withColumn("code_key", T.code_key("program")).filter("code_key IS NOT NULL")
@@ -323,31 +451,51 @@ def apps(df: DataFrame) -> DataFrame:
     found = F.from_json("solutions", "array<string>", {"mode": "PERMISSIVE"})
     d = df.select(F.coalesce("problem_id", "id").alias("original_id"), "question", F.coalesce("starter_code", F.lit("")).alias("starter"), F.explode(found).alias("program"))
     p = programs(d, ["original_id", "question", "starter"])
-    prompt = F.when(F.col("starter") != "", F.concat_ws("\n", "question", "starter")).otherwise(F.col("question"))
-    return p.select("original_id", "variant", prompt.alias("prompt"), F.col("program").alias("answer"), T.digest(after("code:", T.normal("question"))).alias("group"), "code_key")
+    more = F.when(F.col("starter") != "", say("\n\nStarter code:\n", c("starter"))).otherwise("")
+    prompt = say(INSTRUCTIONS["apps"], "\n\n", c("question"), more)
+    return p.select("original_id", "variant", prompt.alias("prompt"), F.col("program").alias("answer"), T.digest(say("code:", T.normal("question"))).alias("group"), "code_key")
 
 
 def code_contests(df: DataFrame) -> DataFrame:
     """Solutions in Python 3 (language 3) by the same rule."""
     zipped = F.filter(F.arrays_zip(c("solutions.language").alias("l"), c("solutions.solution").alias("s")), lambda x: x["l"] == 3)
     d = df.select(c("name").alias("original_id"), c("description").alias("question"), F.explode(F.transform(zipped, lambda x: x["s"])).alias("program"))
-    return programs(d, ["original_id", "question"]).select("original_id", "variant", c("question").alias("prompt"), c("program").alias("answer"), T.digest(after("code:", T.normal("question"))).alias("group"), "code_key")
+    return programs(d, ["original_id", "question"]).select("original_id", "variant", say(INSTRUCTIONS["code_contests"], "\n\n", c("question")).alias("prompt"), c("program").alias("answer"), T.digest(say("code_contests:", T.normal("question"))).alias("group"), "code_key")
+
 
+def convert(df: DataFrame, name: str) -> DataFrame:
+    """Canonical records of a source with `reason` where a row is rejected; ids default to the content's digest.
 
-def convert(df: DataFrame, name: str, salt: str = "expansion-2026-09-11:", dev: int = 5, confirmation: int = 5) -> DataFrame:
-    """Canonical records of a source with `reason` where a row is rejected; ids default to the content's digest."""
+    Groups of the first waves are digests of a text; of the joined ones of the row's least identity, which
+    graph.connected_groups() replaces by that of all rows connected to it. Splits follow the wave's salt.
+    """
     f = ADAPTERS[name](df)
     none = F.lit(None).cast("string")
-    blank = F.when(F.trim(F.coalesce(f["answer"], F.lit(""))) == "", "blank_answer").when(F.trim(F.coalesce(f["prompt"], F.lit(""))) == "", "blank_prompt")
-    control = F.when(T.has_control_token(F.concat(f["prompt"], f["answer"])), "control_token")
-    group = T.digest(f["group"])
+    many = F.lit(None).cast("array<string>")
+    opening = f.get("instruction", F.lit(INSTRUCTIONS.get(name, "")))
+    prompt = say(f.get("before", ""), opening, f.get("gap", "\n\n"), f["body"], lettered_below(f["below"]) if "below" in f else "")
+    uid = F.coalesce(f.get("id", none).cast("string"), T.digest(F.concat_ws("\n", prompt, f["answer"])))
+    blank = unless(T.strip(f["answer"]) != "", "empty_answer")
+    reserved = F.when(T.has_control_token(prompt) | T.has_control_token(f["answer"]), "reserved_token_in_original")
+    identities = checks = many
+    if name in JOINED:
+        identities = T.keys_of([*f["identities"], same(f"{name}-id", uid), same("prompt", prompt)])
+        checks = T.keys_of([*f["checks"], same("prompt", prompt)])
+        if "group_checks" in f:
+            checks = F.concat(checks, F.array(say("base-group:", f["group_checks"])))
+        group = T.digest(F.array_min(identities))
+    elif name in FIRST:
+        group = T.digest(f["group"])
+    else:
+        group = T.digest(T.normal(f["group"]) if name in BROAD else say(f"{name}:", T.normal(f["group"])))
     out = df.select(
-        F.lit(name).alias("source"), F.coalesce(f.get("id", none).cast("string"), T.digest(F.concat_ws("\n", f["prompt"], f["answer"]))).alias("original_id"), F.lit(0).alias("variant"), group.alias("group"),
-        f["prompt"].alias("prompt"), f["answer"].alias("answer"), F.lit("train").alias("original_split"), f.get("language", none).alias("language"), f.get("choices", F.lit(None).cast("array<string>")).alias("choices"),
-        f.get("answers", F.lit(None).cast("array<string>")).alias("answers"), f.get("labels", F.lit(None).cast("array<string>")).alias("original_labels"), f.get("aliases", F.lit(None).cast("array<string>")).alias("aliases"),
-        f.get("title", none).alias("title"), f.get("offsets_match", F.lit(None).cast("boolean")).alias("original_answer_offsets_match"), F.coalesce(f.get("reason", none), blank, control).alias("reason"),
+        F.lit(name).alias("source"), uid.alias("original_id"), F.lit(0).alias("variant"), group.alias("group"), (f["group"] if name in FIRST else group).alias("__split_of"),
+        prompt.alias("prompt"), f["answer"].alias("answer"), F.lit("train").alias("original_split"), f.get("language", none).alias("language"), f.get("choices", many).alias("choices"),
+        f.get("answers", many).alias("answers"), f.get("labels", many).alias("original_labels"), f.get("aliases", many).alias("aliases"), f.get("title", none).alias("title"),
+        f.get("offsets_match", F.lit(None).cast("boolean")).alias("original_answer_offsets_match"), identities.alias("identities"), checks.alias("checks"), F.coalesce(*f.get("reasons", []), blank, reserved).alias("reason"),
     )
-    return out.withColumn("split", T.split_of("group", salt, dev, confirmation))
+    salt, confirmation = (EXPANSION, 5) if name in JOINED else (PILOT if name in FIRST or name in BROAD else EXPANDED, 0)
+    return out.withColumn("split", T.split_of("__split_of", salt, 5, confirmation)).drop("__split_of")
 
 
 def accepted(records: DataFrame) -> DataFrame:

@@ -14,11 +14,14 @@ _OWN: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the session has none (tests in local mode) a temporary one is made.
+    Only in local mode, where driver and executors are one process, a temporary one is made if the session has none; on a
+    cluster that is an error, as no local folder is shared there.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="corpusloom-"))
     return _OWN[0]
@@ -43,6 +46,11 @@ def drop_path(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_side(df: DataFrame, limit: int) -> DataFrame:
+    """A side of a join: broadcast if it has at most limit rows, else left to a shuffled join. df should be a written table."""
+    return F.broadcast(df) if rows_bounded(df, limit) else df
+
+
 def rows_bounded(df: DataFrame, limit: int) -> bool:
     """Whether df has at most limit rows: the check that has to stand before any broadcast."""
     return len(df.select(F.lit(1)).limit(limit + 1).groupBy().count().filter(F.col("count") <= limit).collect()) == 1

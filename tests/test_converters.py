@@ -1,5 +1,3 @@
-import pytest
-
 from corpusloom.functions import text as T
 from corpusloom.sources import converters as C
 
@@ -8,67 +6,36 @@ def one(spark, name, row, ddl):
     return C.convert(spark.createDataFrame([row], ddl), name).collect()[0]
 
 
-CASES = {
-    "gsm8k": (("q?", "a"), "question string, answer string", "q?", "a"),
-    "math": (("p", "s"), "problem string, solution string", "p", "s"),
-    "mbpp": ((1, "t", "code"), "task_id int, text string, code string", "t", "code"),
-    "squad": (("i", "T", "ctx", "q", (["x", "x", "y"],)), "id string, title string, context string, question string, answers struct<text:array<string>>", "Context: ctx\nQuestion: q", "x"),
-    "boolq": (("q", "p", True), "question string, passage string, answer boolean", "Passage: p\nQuestion: q", "yes"),
-    "hellaswag": (("c", ["a", "b"], "1", "s"), "ctx string, endings array<string>, label string, source_id string", "c", "b"),
-    "piqa": (("g", "x", "y", 1), "goal string, sol1 string, sol2 string, label int", "Goal: g", "y"),
-    "winogrande": (("The cat sat.", "cat", "dog", "2"), "sentence string, option1 string, option2 string, answer string", "The cat sat.\nA. cat\nB. dog", "dog"),
-    "arc": (("i", "q", (["A", "B"], ["x", "y"]), "B"), "id string, question string, choices struct<label:array<string>,text:array<string>>, answerKey string", "Question: q\nA. x\nB. y", "y"),
-    "sciq": (("q", "s", "a"), "question string, support string, correct_answer string", "s\nQuestion: q", "a"),
-    "drop": (("i", "s", "p", "q", (["x", "y"],)), "query_id string, section_id string, passage string, question string, answers_spans struct<spans:array<string>>", "Passage: p\nQuestion: q", "x; y"),
-    "race": (("i", "art", "q", ["x", "y"], "B"), "example_id string, article string, question string, options array<string>, answer string", "art\nQuestion: q\nA. x\nB. y", "y"),
-    "snli": (("p", "h", 2), "premise string, hypothesis string, label int", "Premise: p\nHypothesis: h", "contradiction"),
-    "aqua_rat": (("q", ["A)1", "B)2"], "r", "B"), "question string, options array<string>, rationale string, correct string", "q\nA)1\nB)2", "r\nAnswer: B"),
-    "hotpotqa": (("i", "q", "a", (["T1"], [["s1 ", "s2"]])), "id string, question string, answer string, context struct<title:array<string>,sentences:array<array<string>>>", "T1: s1 s2\nQuestion: q", "a"),
-    "social_i_qa": (("c", "q", "x", "y", "z", "2"), "context string, question string, answerA string, answerB string, answerC string, label string", "c\nQuestion: q\nA. x\nB. y\nC. z", "y"),
-    "scitail": (("p", "h", "entails"), "premise string, hypothesis string, label string", "Premise: p\nHypothesis: h", "entailment"),
-    "cb": (("p", "h", 1, 5), "premise string, hypothesis string, label int, idx int", "Premise: p\nHypothesis: h", "contradiction"),
-    "wic": (("run ran", "they run", "run", 1, 0, 3, 5, 8, 1), "sentence1 string, sentence2 string, word string, idx int, start1 int, end1 int, start2 int, end2 int, label int", "Word: run\n*run* ran\nthey *run*", "same sense"),
-    "go_emotions": (("i", "t", [17, 15, 17]), "id string, text string, labels array<int>", "Comment: t", "gratitude, joy"),
-    "medqa": (("q", {"B": "y", "A": "x"}, "y", "B"), "question string, options map<string,string>, answer string, answer_idx string", "q\nA. x\nB. y", "y"),
-    "logiqa": ((1, "t", "q", ["x", "y"], 0), "id int, text string, question string, options array<string>, answer int", "t\nQuestion: q\nA. x\nB. y", "x"),
-    "samsum": (("i", "A: hi", "s"), "id string, dialogue string, summary string", "Dialogue:\nA: hi", "s"),
-    "tydiqa": (("english-1", "T", "aé bc", "q", (["bc"], [3])), "id string, title string, context string, question string, answers struct<text:array<string>,answer_start:array<int>>", "Context: aé bc\nQuestion: q", "bc"),
-    "triviaqa": (("i", "q", ("v", ["w"])), "question_id string, question string, answer struct<value:string,aliases:array<string>>", "Question: q", "v"),
-    "tabmwp": (("u", "train", "q", "a|b", "T", "3", "cm", None), "uid string, split string, question string, table string, table_title string, answer string, unit string, choices array<string>", "T\na|b\nQuestion: q", "3 cm"),
-}
-
-
-@pytest.mark.parametrize("name", sorted(CASES))
-def test_converter(spark, name):
-    row, ddl, prompt, answer = CASES[name]
-    r = one(spark, name, row, ddl)
-    assert (r.prompt, r.answer, r.reason) == (prompt, answer, None)
-    assert len(r.group) == 64 and r.split in ("train", "dev", "confirmation") and r.original_split == "train"
-
-
-def test_rejects(spark):
-    assert one(spark, "snli", ("p", "h", -1), "premise string, hypothesis string, label int").reason == "invalid_label"
-    assert one(spark, "gsm8k", ("q", " "), "question string, answer string").reason == "blank_answer"
-    assert one(spark, "gsm8k", ("q <eos>", "x"), "question string, answer string").reason == "control_token"
-    row, ddl, *_ = CASES["tydiqa"]
-    assert one(spark, "tydiqa", ("klingon-1", *row[1:]), ddl).reason == "language"
-    assert one(spark, "tydiqa", (*row[:4], (["zz"], [0])), ddl).reason == "answer_not_in_context"
-    row, ddl, *_ = CASES["medqa"]
-    assert one(spark, "medqa", ("q", {"A": "x"}, "y", "A"), ddl).reason == "option_key"
-
-
-def test_wikisql_text(spark):
-    ddl = "question string, table struct<id:string,header:array<string>,types:array<string>>, sql struct<sel:int,agg:int,conds:struct<column_index:array<int>,operator_index:array<int>,condition:array<string>>>"
-    r = one(spark, "wikisql", ("q", ("t", ["na\"me", "n"], ["text", "real"]), (1, 4, ([0], [0], ["O'Reilly"]))), ddl)
-    assert r.answer == "SELECT SUM(\"n\") FROM \"data\" WHERE \"na\"\"me\" = 'O''Reilly'"
-    assert one(spark, "wikisql", ("q", ("t", ["a"], ["text"]), (0, 0, ([0, 0], [0], ["x"]))), ddl).reason == "invalid_sql"
+NLI = "pairID string, promptID int, premise string, hypothesis string, label int"
+
+
+def test_identities_and_splits(spark):
+    """Every record has a group and a split; rows of the joined waves name what they share (values: plans/sources.py)."""
+    r = one(spark, "multinli", ("i", 4, "A <b>premise</b>", "h", 0), NLI)
+    assert [k.split(":")[0] for k in r.identities] == ["context", "multinli-prompt", "multinli-id", "prompt"] and [k.split(":")[0] for k in r.checks] == ["context", "prompt"]
+    other = one(spark, "multinli", ("j", 5, "a  PREMISE", "g", 1), NLI)
+    assert r.identities[0] == other.identities[0] and r.identities[1] != other.identities[1]
+    for name, row, ddl in (("gsm8k", ("q?", "a"), "question string, answer string"), ("snli", ("p", "h", 1), "premise string, hypothesis string, label int")):
+        x = one(spark, name, row, ddl)
+        assert len(x.group) == 64 and x.split in ("train", "dev") and x.original_split == "train" and x.identities is None
+    tydi = one(spark, "tydiqa", ("english-1", "T", "aé bc", "q", (["bc"], [2])), "id string, title string, context string, question string, answers struct<text:array<string>,answer_start:array<int>>")
+    assert tydi.original_answer_offsets_match is False and tydi.reason is None and any(k.startswith("base-group:") for k in tydi.checks)
+
+
+def test_groups_of_the_first_wave(spark):
+    import hashlib
+
+    r = one(spark, "squad", ("i", "A_Title", "ctx", "q", (["x"],)), "id string, title string, context string, question string, answers struct<text:array<string>>")
+    assert r.group == hashlib.sha256(b"article:A_Title").hexdigest()
+    bucket = int(hashlib.sha256(b"pilot-v1:article:A_Title").hexdigest()[:8], 16) % 100
+    assert r.split == ("dev" if bucket < 5 else "train")
 
 
 def test_spider_schema(spark):
     schemas = spark.createDataFrame([("d", ["t", "u"], [(-1, "*"), (0, "a"), (1, "b")], ["text", "number", "text"], [[1, 2]])], "db_id string, table_names_original array<string>, column_names_original array<struct<t:int,c:string>>, column_types array<string>, foreign_keys array<array<int>>")
     rows = spark.createDataFrame([("d", "q", "SELECT 1")], "db_id string, question string, query string")
     r = C.convert(C.with_schema(rows, schemas), "spider").collect()[0]
-    assert r.prompt == "t(a number)\nu(b text)\nt.a = u.b\nQuestion: q"
+    assert r.prompt == "Write a SQL query. Output SQL only.\n\nSchema:\nt(a number)\nu(b text)\nForeign keys: t.a = u.b\n\nQuestion: q"
 
 
 def test_programs_by_syntax_tree(spark):
