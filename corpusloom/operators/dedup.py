@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,13 +70,18 @@ def near_duplicate_pairs(df: DataFrame, shingles: str = "shingles", least: float
 
     Rows with equal key sets are one class, represented by its first row: `copy` rows join the representative to the
     others, the rest are pairs of representatives. A group of copies so gives rows in proportion to its size. The
-    blocking by least keys is the result's definition, so no key is dropped.
+    blocking by least keys is the result's definition, so no key is dropped; a pair at the similarity has sizes within it,
+    so classes meet only in their own band of sizes and the next one.
     """
     d = df.filter(F.size(shingles) > 0).select("ord", F.array_sort(shingles).alias("s"))
     d = materialize(d.select("ord", "s", F.sha2(F.array_join("s", ","), 256).alias("class")), "nd-rows")
     classes = materialize(d.groupBy("class").agg(F.min("ord").alias("c"), F.first("s").alias("s")), "nd-classes")
-    posts = classes.select("c", F.explode(F.slice("s", 1, bottom)).alias("k"))
-    cand = posts.alias("x").join(posts.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.c") < F.col("y.c"))).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    # sizes within the factor `least` are in one band or in neighbouring ones (a little wider against rounding)
+    band = F.floor(F.log(F.size("s").cast("double")) / -math.log(least * 0.999)).cast("int")
+    posts = classes.select("c", F.size("s").alias("n"), band.alias("band"), F.explode(F.slice("s", 1, bottom)).alias("k"))
+    asks = posts.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    fits = (F.col("x.c") < F.col("y.c")) & (F.least("x.n", "y.n") >= least * 0.999 * F.greatest("x.n", "y.n"))
+    cand = asks.alias("x").join(posts.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.band") == F.col("y.band")) & fits).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
     sets = classes.select("c", "s")
     near = cand.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     near = near.filter(T.jaccard("sa", "sb") >= least).select("a", "b", F.lit(False).alias("copy"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
+
 #: Context length of packed sequences and of records.
 CONTEXT = 1024
 
@@ -37,8 +41,34 @@ def shortest_first(df: DataFrame, heap: int = 24, take: int = 4) -> DataFrame:
     return suite(d, ["source"], F.col("cost"), heap, ["original_id"]).filter(F.col("pos") <= take)
 
 
+def dev_controls(df: DataFrame, heap: int = 24, take: int = 6) -> DataFrame:
+    """Per source, the `heap` dev groups that come first by the number in their digest, then `take` of them."""
+    rank = F.conv(F.substring(T.digest("group"), 1, 12), 16, 10).cast("bigint")
+    return suite(df.filter("variant = 0"), ["source"], rank, heap, ["original_id"]).filter(F.col("pos") <= take)
+
+
+def first_samples(df: DataFrame, n: int = 2) -> DataFrame:
+    """The first n rows of each source in the order of ord."""
+    return df.withColumn("pos", F.row_number().over(Window.partitionBy("source").orderBy("ord"))).filter(F.col("pos") <= n)
+
+
+def shuffled(df: DataFrame, seed: str, keys: list[str]) -> DataFrame:
+    """O3: the rows in the order of a hash of a seed and their keys; a global sort by ranges."""
+    return df.withColumn("rank", F.sha2(F.concat_ws("\u0001", F.lit(seed), *[F.col(k).cast("string") for k in keys]), 256)).orderBy("rank", *keys)
+
+
+def sorted_tasks(df: DataFrame) -> DataFrame:
+    """O1: tasks by source, then by their id as a number (ids that are none first)."""
+    return df.orderBy("source", F.col("id").try_cast("bigint"), "id")
+
+
 def sampling_weights(sources: DataFrame, mode: str = "families") -> DataFrame:
-    """Weights of (source, family): equal over families, then over the family's sources; or equal over sources."""
+    """Weights of (source, family): equal over families, then over the family's sources; or equal over sources.
+
+    A source without family is an error when the weights are read.
+    """
+    known = F.when(F.col("family").isNull(), F.raise_error(F.concat(F.lit("unmapped source: "), F.col("source"))).cast("string")).otherwise(F.col("family"))
+    sources = sources.withColumn("family", known)
     everything = Window.partitionBy(F.lit(1))  # one row a source
     if mode == "sources":
         return sources.select("source", "family", (1.0 / F.count(F.lit(1)).over(everything)).alias("weight"))
@@ -47,10 +77,20 @@ def sampling_weights(sources: DataFrame, mode: str = "families") -> DataFrame:
     return sources.select("source", "family", (1.0 / families / own).alias("weight"))
 
 
-def offsets(df: DataFrame, keys: list[str], length: str, order: list) -> DataFrame:
-    """Running start of each record in its partition."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("token_offset", F.coalesce(F.sum(length).over(w), F.lit(0)).cast("bigint"))
+def offsets(df: DataFrame, keys: list[str], length: str, order: list[str], block: int = 100_000) -> DataFrame:
+    """Running start of each record in its partition, in the order of columns of which the first is a number.
+
+    Blocks of `block` numbers of the first column are summed, their sums run over each partition (a row a block), and only
+    inside a block records follow one another, so a large partition is many tasks.
+    """
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.floor(F.col(order[0]) / block)
+    sums = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], at.alias("__at")).agg(F.sum(length).alias("__sum"))
+    names = [f"__{k}" for k in keys]
+    sums = sums.withColumn("__base", F.coalesce(F.sum("__sum").over(before(*names).orderBy("__at")), F.lit(0))).drop("__sum")
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], at.eqNullSafe(F.col("__at")))
+    own = F.coalesce(F.sum(length).over(before(*names, "__at").orderBy(*order)), F.lit(0))
+    return df.join(sums, on).withColumn("token_offset", (F.col("__base") + own).cast("bigint")).drop(*names, "__at", "__base")
 
 
 def gaps(df: DataFrame, keys: list[str], offset: str, length: str) -> DataFrame:
@@ -133,6 +173,6 @@ def pack(df: DataFrame, rows: int | None = None, seed: str = "pack-1", context:
         return pd.DataFrame(out, columns=["source", "row", "used", "ids", "real_mask", "answer_mask", "records"])
 
     fits = df.filter(F.size("ids") <= context + 1).select("source", "ord", "ids", "answer_start")
-    place = F.row_number().over(Window.partitionBy("source").orderBy("ord")) - 1
-    part = F.floor(place / block).cast("int") if rows is None else F.lit(0)
-    return fits.withColumn("part", part).groupBy("source", "part").applyInPandas(run, PACKED)
+    placed = offsets(fits.withColumn("one", F.lit(1)), ["source"], "one", ["ord"]) if rows is None else fits
+    part = F.floor(F.col("token_offset") / block).cast("int") if rows is None else F.lit(0)
+    return placed.withColumn("part", part).select("source", "ord", "ids", "answer_start", "part").groupBy("source", "part").applyInPandas(run, PACKED)
