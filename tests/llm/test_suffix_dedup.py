@@ -74,3 +74,39 @@ def test_zone_names_that_agree_in_32_bits(spark):
     assert z.g[0] == z.g[1] and z.z[0] >> 32 == z.z[1] >> 32 and z.z[0] != z.z[1]
     got = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert [r.n_removed for r in got] == [0, 0]
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    """Two texts with one id that are settled in the second pass, each by its own windows."""
+    r = random.Random(12)
+    text = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    p, q, edge = text(260), text(260), lambda: text(200)
+    rows = [(1, edge() + p + edge()), (1, edge() + q + edge()), (3, edge() + p + edge()), (4, edge() + q + edge()), (None, edge() + p[:240] + edge()), (None, edge() + q[10:] + edge())]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), together=1).collect()
+    two = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = sorted((str(k), *w) for (k, _), w in zip(rows, brute.repeats([t for _, t in rows]), strict=True))
+    for out in (got, two):
+        assert sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in out) == want
+    assert sorted(w[2] for w in want) == [240, 250, 260, 260, 260, 260]
+
+
+def test_brute_force_with_repeated_ids_and_nulls(spark):
+    r = random.Random(4)
+    texts = corpus(9)
+    rows = [(None if r.random() < 0.1 else r.randrange(len(texts) // 2) if r.random() < 0.3 else i + 1000, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.remove_repeats(docs, together=8).collect())
+    assert got == sorted((str(k), *w) for (k, _), w in zip(rows, brute.repeats(texts), strict=True))
+
+
+def test_bucket_pointers_are_equal_for_equal_bytes():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    base = r.integers(0, 3, 900).astype(np.uint8)
+    flat = np.concatenate([base, base[100:700], np.zeros(500, np.uint8), base[300:]])
+    pointer = suffix_dedup.bucket_pointers(flat)
+    seen: dict = {}
+    for i in range(len(flat) - suffix_dedup.WINDOW + 1):
+        assert seen.setdefault(flat[i : i + suffix_dedup.WINDOW].tobytes(), pointer[i]) == pointer[i]
+    assert len(set(seen.values())) == len(seen)
