@@ -12,7 +12,8 @@ IBAN proposes its first four characters only: its length follows from the countr
 become part of it; of spans that overlap the first one confirmed stays.
 
 Places are code points. Splitting by the pattern gives the text between matches, so lengths add up to places without a
-search. Everything stays inside the row: no shuffle, no Python.
+search. Running sums go over blocks of RUN matches, and text is read at a place from blocks of PART code points, so neither a scan nor a redaction of many spans in one long
+text takes quadratic time. Everything stays inside the row: no shuffle, no Python.
 
 Defined cases: null or empty text has no spans and the hash of the empty string; repeated rows are scanned each on its
 own; extra columns pass through redact() and are ignored by scan(); an empty table gives an empty table.
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import let
+
 from .common import table
 
 #: Kind, proposing pattern, necessary substring pattern (cheap test), context words.
@@ -59,11 +62,14 @@ IBANS = {
 }
 #: The whole span at a proposed IBAN: by its country's length, for other codes the longest run.
 IBAN = "^(?:" + "|".join(rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBANS.items()) + rf"|(?!{'|'.join(IBANS.values())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+(?![A-Za-z0-9]))"
-#: Characters of context on each side of a span, and those read after a match: an IBAN's other 30 with their spaces, then context.
+#: Characters of context on each side of a span, and those read from an IBAN's start: 34 with their spaces, then context.
 NEAR = 40
-REACH = 60 + NEAR
+REACH = 4 + 60 + NEAR
 #: A span of the method's own kinds needs this score.
 LEAST = 0.6
+#: Numbers summed in one go, and code points of a block of text.
+RUN, PART = 64, 4096
+SPAN = "struct<start:int,rank:int,stop:int,score:double>"
 
 
 def _digits(m: Column) -> Column:
@@ -104,46 +110,86 @@ def _confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(kind: str, rank: int, pattern: str, needs: str | None, words: str, text: Column) -> Column:
+def _before(values: Column, add) -> Column:
+    """For each number of an array, what `add` makes of 0 and all the numbers before it.
+
+    Blocks of RUN numbers are summed first, so a number costs the numbers before it in its block, and a block the blocks
+    before it; an array that grows by one element a step would be copied at every step.
+    """
+    fold = lambda x, start: F.aggregate(x, start, add)
+
+    def blocks(v):
+        last = F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / RUN).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(v, k * RUN + 1, RUN))
+
+    def sums(parts):
+        whole = F.transform(parts, lambda x: fold(x, F.lit(0)))
+        own = lambda x, start: F.transform(x, lambda _, j: fold(F.slice(x, F.lit(1), j), start))
+        return let(whole, lambda w: F.flatten(F.transform(parts, lambda x, i: let(fold(F.slice(w, F.lit(1), i), F.lit(0)), lambda start: own(x, start)))))
+
+    return let(values, lambda v: let(blocks(v), sums))
+
+
+def _apart(spans: Column) -> Column:
+    """The spans that do not overlap the last one kept before them, the first of all kept."""
+
+    def step(a, x):
+        keep = x["start"] >= a["at"]
+        return F.struct(F.when(keep, x["stop"]).otherwise(a["at"]).alias("at"), F.when(keep, F.concat(a["all"], F.array(x))).otherwise(a["all"]).alias("all"))
+
+    def walk(all_):
+        return F.aggregate(all_, F.struct(F.lit(0).alias("at"), F.slice(all_, 1, 0).alias("all")), step, lambda a: a["all"])
+
+    # most texts have none that overlap, and then nothing has to be walked
+    clear = lambda s: F.forall(F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), lambda x, y: y.isNull() | (y["start"] >= x["stop"])), lambda e: e)
+    return let(spans, lambda s: F.when(clear(s), s).otherwise(walk(s)))
+
+
+def _read(blocks: Column, a: Column, b: Column) -> Column:
+    """The text from code point a to b (exclusive), from its blocks of PART code points."""
+    first, last = F.floor(a / PART).cast("int"), F.floor(b / PART).cast("int")
+    head = lambda n: F.substring(F.get(blocks, first), a - first * PART + 1, n)
+    end = F.coalesce(F.substring(F.get(blocks, last), F.lit(1), b - last * PART), F.lit(""))
+    across = F.concat(head(F.lit(PART)), F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), end)
+    return F.coalesce(F.when(first == last, head(b - a)).otherwise(across), F.lit(""))
+
+
+def _spans(kind: str, rank: int, pattern: str, needs: str | None, words: str, text: Column, blocks: Column) -> Column:
     """Confirmed spans of one kind: array of (start, rank, stop, score)."""
-    schema = "array<struct<start:int,rank:int,stop:int,score:double>>"
     possible = F.contains(text, F.lit(needs)) if needs else text.rlike("[0-9]")
-    # (text before, match), the last with the text after all matches
-    pairs = F.zip_with(F.split(text, pattern, -1), F.array_append(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.lit("")), lambda b, m: F.struct(b.alias("b"), m.alias("m")))
-    last = F.struct(F.lit("").alias("next"), F.array().cast("array<struct<b:string,h:string,m:string,after:string>>").alias("all"))
-
-    def back(a, x):
-        whole = F.regexp_extract(F.concat(x["m"], a["next"]), IBAN, 0) if kind == "iban" else x["m"]
-        after = F.substring(F.concat(x["m"], a["next"]), F.length(whole) + 1, F.lit(NEAR))
-        one = F.struct(x["b"].alias("b"), x["m"].alias("h"), whole.alias("m"), after.alias("after"))
-        return F.struct(F.left(F.concat(x["b"], x["m"], a["next"]), F.lit(REACH)).alias("next"), F.concat(F.array(one), a["all"]).alias("all"))
-
-    # from the last to the first with the text after each, then places by running length
-    matches = F.aggregate(F.reverse(pairs), last, back, lambda a: a["all"])
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(schema).alias("all"))
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+
+    def at_places(matches):
+        lengths = F.transform(matches, lambda m: F.length(m))
+        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), F.concat(F.array(F.lit(0)), F.slice(lengths, F.lit(1), F.greatest(F.size(matches) - 1, F.lit(0)))), lambda gap, before: gap + before)
+        starts = let(steps, lambda v: F.zip_with(_before(v, lambda a, x: a + x), v, lambda a, x: a + x))
+        return F.zip_with(matches, starts, lambda m, start: F.struct(start.alias("start"), m.alias("m")))
+
+    placed = let(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), at_places)
+    if kind == "iban":
+        placed = F.transform(placed, lambda x: F.struct(x["start"].alias("start"), F.regexp_extract(_read(blocks, x["start"], x["start"] + REACH), IBAN, 0).alias("m")))
     base = 0.9 if kind in CHECKED else 0.4 if kind == "ssn" else 0.6
+    ends = F.transform(placed, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("stop"), x["m"].alias("m")))
 
-    def grow(a, x):
-        start = a["at"] + F.length(x["b"])
-        stop = start + F.length(x["m"])
-        before = F.right(F.concat(a["tail"], x["b"]), F.lit(NEAR))
-        near = F.lower(before).rlike(rf"\b(?:{words})") | F.lower(x["after"]).rlike(rf"\b(?:{words})")
+    def judged(x):
+        around = [_read(blocks, F.greatest(x["start"] - NEAR, F.lit(0)), x["start"]), _read(blocks, x["stop"], x["stop"] + NEAR)]
+        near = F.lower(around[0]).rlike(rf"\b(?:{words})") | F.lower(around[1]).rlike(rf"\b(?:{words})")
         score = F.least(F.lit(1.0), F.lit(base) + F.when(near, 0.3).otherwise(0.0))
-        one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.round(score, 2).alias("score"))
-        keep = (stop > start) & _confirmed(kind, x["m"])
-        if kind not in BASE:
-            keep = keep & (score >= LEAST)
-        if kind == "iban":
-            keep = keep & (start >= F.coalesce(F.get(a["all"], F.size(a["all"]) - 1)["stop"], F.lit(0)))
-        return F.struct((start + F.length(x["h"])).alias("at"), F.right(F.concat(a["tail"], x["b"], x["h"]), F.lit(NEAR)).alias("tail"), F.when(keep, F.concat(a["all"], F.array(one))).otherwise(a["all"]).alias("all"))
+        return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["stop"].alias("stop"), F.round(score, 2).alias("score"))
 
-    return F.when(possible & text.rlike(pattern), F.aggregate(matches, empty, grow, lambda a: a["all"])).otherwise(F.array().cast(schema))
+    found = F.transform(F.filter(ends, lambda x: (x["stop"] > x["start"]) & _confirmed(kind, x["m"])), judged)
+    if kind not in BASE:
+        found = F.filter(found, lambda x: x["score"] >= LEAST)
+    if kind == "iban":
+        found = _apart(found)
+    return F.when(possible & text.rlike(pattern), found.cast(f"array<{SPAN}>")).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `__text` (null as empty) and `__spans`, ordered by start, then kind."""
+    """docs with `__text` (null as empty), its `__blocks`, and `__spans`, ordered by start, then kind."""
     out = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumns({f"__k{i}": _spans(k, i, p, needs, words, F.col("__text")) for i, (k, p, needs, words) in enumerate(KINDS)})
+    out = out.withColumn("__blocks", F.regexp_extract_all("__text", F.lit(f"(?s)(.{{1,{PART}}})"), F.lit(1)))
+    out = out.withColumns({f"__k{i}": _spans(k, i, p, needs, words, F.col("__text"), F.col("__blocks")) for i, (k, p, needs, words) in enumerate(KINDS)})
     spans = F.sort_array(F.concat(*[F.col(f"__k{i}") for i in range(len(KINDS))]))
     return out.withColumn("__spans", spans).drop(*[f"__k{i}" for i in range(len(KINDS))])
 
@@ -173,15 +219,14 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets; spans that overlap become one, named by the first."""
     columns = docs.columns
     s = with_spans(docs.select(F.struct(*columns).alias("row"), F.col(text).alias("text")))
-    t = F.col("__text")
-
-    def cut(a, x):
-        fresh = x["start"] >= a["at"]
-        before = F.substring(t, a["at"] + 1, x["start"] - a["at"])
-        out = F.when(fresh, F.concat(a["out"], before, F.lit("["), F.upper(_name(x["rank"])), F.lit("]"))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], x["stop"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
+    blocks = F.col("__blocks")
+    # what stands between spans: from the end of all spans before to the start of the next that does not overlap them
+    ends = _before(F.transform("__spans", lambda x: x["stop"]), lambda a, x: F.greatest(a, x))
+    placed = F.zip_with("__spans", ends, lambda x, at: F.struct(at.alias("from"), x["start"].alias("to"), x["rank"].alias("rank")))
+    kept = F.filter(placed, lambda x: x["to"] >= x["from"])
+    parts = F.transform(kept, lambda x: F.concat(_read(blocks, x["from"], x["to"]), F.lit("["), F.upper(_name(x["rank"])), F.lit("]")))
+    rest = _read(blocks, F.array_max(F.transform("__spans", lambda x: x["stop"])), F.length("__text"))
+    done = F.concat(F.array_join(parts, ""), rest)
     s = s.withColumn("__new", F.when(F.size("__spans") > 0, done).otherwise(F.col("text")))
     return s.select(*[F.col("__new").alias(c) if c == text else F.col("row")[c].alias(c) for c in columns])
 
