@@ -8,10 +8,12 @@ Segments are words cut further where two characters stand together in no piece.
 the library's order only if the merged piece cannot begin a better pair; ranks for which the vocabulary has such a
 piece, and tied ranks, merge one occurrence a round.
 
-Characters outside the vocabulary fall back to bytes. Decoding joins the pieces of the ids, bytes as UTF-8, marks as
-spaces, without the mark that encoding puts first.
+Words are cut as offsets into a block's bytes and kept as an Arrow dictionary, so Python runs once for each distinct word;
+ids of the texts are gathered from a pool. Characters outside the vocabulary fall back to bytes. Decoding starts from the
+ids alone: their pieces are gathered, bytes joined as UTF-8, marks turned into spaces, the mark that encoding puts first
+dropped.
 
-Memory is bounded: blocks of BLOCK_CHARS characters, a cache of CACHE_WORDS words that is emptied when full. Workers
+Memory is bounded: blocks of BLOCK_CHARS characters (or one longer text), a cache of CACHE_WORDS words that is emptied when full. Workers
 share nothing, so a lost executor only repeats its own partitions.
 
 Defined cases: null or empty text has only the end id and decodes to the empty text; repeated rows are encoded each on
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 BLOCK_CHARS = 1 << 21
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
+STEP = 2048
 NONE = np.int32(2**31 - 1)
 MARK = "▁"
 
@@ -98,7 +102,9 @@ class PieceCodec:
         self.at_once = np.zeros(len(scores) + 1, bool)
         for r, ps in ranked.items():
             self.at_once[r] = len(ps) == 1 and worse.get(ps[0], NONE) > r
-        self.text_of_id = [str(i) for i in range(n)]
+        #: Written ids with a space after each, and what pieces show (nothing at 0, for ids that show nothing).
+        self.names = pa.array([f"{i} " for i in range(n)], pa.large_string())
+        self.shown = pa.array([b"" if i < 3 else bytes([self.byte_of[i]]) if i in self.byte_of else self.piece[i].encode() for i in range(n)], pa.large_binary())
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left.astype(np.int64) * self.n_sym + right
@@ -149,7 +155,10 @@ class PieceCodec:
             stay = ~gone
             new = np.cumsum(stay)[k] - 1
             pos, seg, sym, rank, into = (x[stay] for x in (pos, seg, sym, rank, into))
-            touched = np.unique(np.concatenate([new, new[new > 0] - 1]))
+            near = np.zeros(len(sym) + 1, bool)  # the merged places and those before them; the last place takes what is before 0
+            near[new] = True
+            near[new - 1] = True
+            touched = np.flatnonzero(near[:-1])
             last = touched + 1 >= len(sym)
             nxt = np.where(last, touched, touched + 1)
             r, m = self._rank(sym[touched], sym[nxt])
@@ -172,9 +181,6 @@ class PieceCodec:
 
     def decode(self, ids) -> str:
         """Text of ids, as the library's decode()."""
-        return self._join(ids)[1:].replace(MARK, " ") if len(ids) else ""
-
-    def _join(self, ids) -> str:
         parts, run = [], bytearray()
         for i in ids:
             if self.first_byte <= i <= self.last_byte:
@@ -187,46 +193,105 @@ class PieceCodec:
                 parts.append(self.piece[i])
         if run:
             parts.append(run.decode("utf-8", "replace"))
-        return "".join(parts)
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        """A text's words, each with the marks before it; the first mark is the one that encoding adds."""
-        if not text:
-            return []
-        s = MARK + text.replace(" ", MARK)
-        if MARK + MARK in s or s[-1] == MARK:
-            return re.findall(f"{MARK}+[^{MARK}]*", s)
-        return s.split(MARK)[1:]
-
-    def known(self, words: set[str]) -> dict[str, tuple[str, str]]:
-        """For each word (without mark: one mark stands before it) its ids as text and the text that they decode to."""
-        if not words:
-            return {}
-        todo = list(words)
-        ids, counts = self.merge_words([w if w[:1] == MARK else MARK + w for w in todo])
-        flat, out, at = ids.tolist(), {}, 0
-        name, piece, lo, hi = self.text_of_id, self.piece, self.first_byte, self.last_byte
-        for w, c in zip(todo, counts.tolist(), strict=True):
-            own = flat[at : at + c]
-            at += c
-            text = self._join(own) if any(lo <= i <= hi for i in own) else "".join([piece[i] for i in own])
-            out[w] = (" ".join([name[i] for i in own]), text)
-        return out
-
-
-_CODECS: dict[str, tuple[PieceCodec, dict]] = {}
-
-
-def _codec(model_file: str) -> tuple[PieceCodec, dict]:
+        return "".join(parts)[1:].replace(MARK, " ")
+
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """UTF-8 texts of the ids between bounds: pieces and bytes are gathered, marks become spaces, the first mark goes.
+
+        Bytes that make no characters, which encoding never gives, are replaced as decode() does.
+        """
+        raw, at = _gathered(self.shown, np.where(ids > 2, ids, 0), bounds)
+        places = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+        try:
+            raw.decode()
+        except UnicodeDecodeError:
+            return [self.decode(ids[a:b].tolist()).encode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return [raw[a:b].replace(_MARK, b" ")[1:] for a, b in places]
+
+    def written(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """The ids between bounds as decimal numbers, one space between."""
+        raw, at = _gathered(self.names, ids, bounds)
+        return [raw[a : max(a, b - 1)] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+_MARK = MARK.encode()
+
+
+def _gathered(texts: pa.Array, at: np.ndarray, bounds: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The texts at places, one after another, and where in them the stretches between bounds begin and end."""
+    taken = texts.take(pa.array(at))
+    offsets = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) if len(taken) else np.zeros(1, np.int64)
+    return taken.buffers()[2].to_pybytes() if len(taken) else b"", offsets[bounds]
+
+
+class WordCache:
+    """Ids of distinct words: code of each word, and the ids of each code in a pool."""
+
+    def __init__(self, codec: PieceCodec):
+        self.codec = codec
+        self.forget()
+
+    def forget(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.pool, self.held = np.zeros(1 << 16, np.int32), 0
+        self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        ids, counts = self.codec.merge_words(words)
+        n, total = len(self.codes), len(ids)
+        for name, need in (("pool", self.held + total), ("start", n + len(words)), ("count", n + len(words))):
+            x = getattr(self, name)
+            if need > len(x):
+                setattr(self, name, np.concatenate([x, np.zeros(max(need - len(x), len(x)), x.dtype)]))
+        self.pool[self.held : self.held + total] = ids
+        self.start[n : n + len(words)] = self.held + np.cumsum(counts) - counts
+        self.count[n : n + len(words)] = counts
+        self.held += total
+        self.codes.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after another, each with the end id, and the bounds of each text's ids."""
+        raws = [(MARK + t.replace(" ", MARK)).encode() if t else b"" for t in texts]
+        begins = np.concatenate([[0], np.cumsum([len(r) for r in raws], dtype=np.int64)])
+        flat = np.frombuffer(b"".join(raws), np.uint8)
+        ids, upto = np.zeros(0, np.int32), np.zeros(len(begins), np.int64)
+        if len(flat):
+            mark = np.zeros(len(flat) + 3, bool)  # places 3 further on, so that the place before is always there
+            mark[3:-2] = (flat[:-2] == _MARK[0]) & (flat[1:-1] == _MARK[1]) & (flat[2:] == _MARK[2])
+            first = np.zeros(len(flat) + 1, bool)
+            first[begins[:-1]] = True
+            starts = np.flatnonzero(mark[3:] & (~mark[:-3] | first[:-1]))
+            words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(flat)).astype(np.int64)), pa.py_buffer(flat)).dictionary_encode()
+            known = words.dictionary.to_pylist()
+            find = lambda: np.fromiter(map(self.codes.get, known, repeat(-1)), np.int64, len(known))
+            code = find()
+            if len(self.codes) + (code < 0).sum() > CACHE_WORDS:
+                self.forget()
+                code = find()
+            fresh = np.flatnonzero(code < 0)
+            if len(fresh):
+                code[fresh] = len(self.codes) + np.arange(len(fresh))
+                self._learn([known[i] for i in fresh.tolist()])
+            code = code[words.indices.to_numpy()]
+            count = self.count[code]
+            ends = np.cumsum(count)
+            ids = self.pool[np.repeat(self.start[code] - (ends - count), count) + np.arange(ends[-1])]
+            upto = np.concatenate([[0], ends])[np.searchsorted(starts, begins)]
+        return np.insert(ids, upto[1:], self.codec.end), upto + np.arange(len(begins))
+
+
+_CODECS: dict[str, WordCache] = {}
+
+
+def _cache(model_file: str) -> WordCache:
     if model_file not in _CODECS:
-        _CODECS[model_file] = (PieceCodec(model_file), {})
+        _CODECS[model_file] = WordCache(PieceCodec(model_file))
     return _CODECS[model_file]
 
 
-def encode_texts(texts: list[str | None], model_file: str) -> Iterator[tuple[str, str]]:
-    """For each text its ids, end id included, joined by spaces, and the text decoded from them."""
-    codec, cache = _codec(model_file)
+def encode_texts(texts: list[str | None], model_file: str) -> Iterator[tuple[np.ndarray, bytes, bytes]]:
+    """For each text its ids, end id included, the same written in decimals, and the text decoded from them as UTF-8."""
+    cache = _cache(model_file)
     at = 0
     while at < len(texts):
         block, chars = [], 0
@@ -234,18 +299,9 @@ def encode_texts(texts: list[str | None], model_file: str) -> Iterator[tuple[str
             block.append(texts[at] or "")
             chars += len(block[-1])
             at += 1
-        lists = [codec.words(t) for t in block]
-        missing: set[str] = set()
-        for ws in lists:
-            missing.update(set(ws).difference(cache))
-        if len(cache) + len(missing) > CACHE_WORDS:
-            cache.clear()
-            missing = set().union(*lists)
-        cache.update(codec.known(missing))
-        for ws in lists:
-            got = [cache[w] for w in ws]
-            ids = " ".join([g[0] for g in got])
-            yield (f"{ids} {codec.end}" if ids else str(codec.end)), "".join([g[1] for g in got])[1:].replace(MARK, " ")
+        ids, bounds = cache.encode(block)
+        own = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        yield from zip(own, cache.codec.written(ids, bounds), cache.codec.decode_all(ids, bounds), strict=True)
 
 
 def encode(docs: DataFrame, model_file: str | None = None, text: str = "text", key: str = "doc_id", ids: bool = False) -> DataFrame:
@@ -258,13 +314,12 @@ def encode(docs: DataFrame, model_file: str | None = None, text: str = "text", k
     def run(batches):
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            step = 256
-            for i in range(0, batch.num_rows, step):
-                rows = list(encode_texts(texts.slice(i, step).to_pylist(), model_file))
-                out = [keys.slice(i, step), pa.array([a.count(" ") + 1 for a, _ in rows], pa.int64()), pa.array([hashlib.sha256(a.encode()).hexdigest() for a, _ in rows], pa.string()), pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in rows], pa.string())]
+            for i in range(0, batch.num_rows, STEP):
+                rows = list(encode_texts(texts.slice(i, STEP).to_pylist(), model_file))
+                out = [keys.slice(i, STEP), pa.array([len(a) for a, _, _ in rows], pa.int64()), pa.array([hashlib.sha256(w).hexdigest() for _, w, _ in rows], pa.string()), pa.array([hashlib.sha256(d).hexdigest() for _, _, d in rows], pa.string())]
                 names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:
-                    out += [pa.array([np.array(a.split(" "), np.int32) for a, _ in rows], pa.list_(pa.int32())), pa.array([d for _, d in rows], pa.string())]
+                    out += [pa.array([a.astype(np.int32) for a, _, _ in rows], pa.list_(pa.int32())), pa.array([d.decode() for _, _, d in rows], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
