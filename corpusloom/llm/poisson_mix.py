@@ -2,11 +2,13 @@
 
 Each source s gets the mean repetition rate  rate_s = T * w_s / (W * n_s)  (T: rows wanted, n_s: rows of the
 source). A document's count is the inverse of the Poisson distribution with that mean at a hash of
-(seed, doc_id), so it depends neither on partitioning nor on retries; documents are exploded by their counts and
-shuffled by a second hash. Large means are drawn as sums of means of at most MAX_MEAN, which is exact.
+(seed, doc_id, digest of the text), so it depends neither on partitioning nor on retries; documents are exploded by their
+counts and shuffled by a second hash of the same parts. Large means are drawn as sums of means of at most MAX_MEAN, which
+is exact.
 
-Defined cases: null source is a source of its own; null doc_id hashes as the text "null"; rows that repeat a doc_id
-get the same count; weight 0 or a source without weight drops its rows; an empty table gives an empty table; extra
+Defined cases: null source is a source of its own; null doc_id hashes as the text "null"; rows that repeat a doc_id, or
+have none, are drawn and placed each by its own text; rows equal in doc_id and text get the same count and are placed by
+a hash of all their columns; null text hashes as the empty text, as does a table without a column text; weight 0 or a source without weight drops its rows; an empty table gives an empty table; extra
 columns pass through untouched (names clash only with `copy` and `shuffle_key`, which are replaced).
 """
 
@@ -15,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import let
+
 from .common import materialize, rows_bounded, table
 
 #: Poisson means above this are split into equal parts, each drawn on its own.
@@ -25,7 +29,7 @@ SALTS = 64
 
 
 def _unit(*parts):
-    """A number in [0, 1) with 52 bits from SHA-256 of the joined parts."""
+    """A number in [0, 1) with 52 bits from SHA-256 of the joined parts; bind it (let) where a lambda uses it."""
     h = F.sha2(F.concat_ws(":", *parts), 256)
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
 
@@ -63,20 +67,22 @@ def mix_rows(docs: DataFrame, seed: str = "mix-1", total_rows: int | None = None
     """(row, copy, shuffle_key): each input row as a struct with its copy number (from 0) and its place in the order."""
     rates = materialize(rate_table(docs, total_rows, weights, power), "mix-rates")
     source = F.coalesce(F.col("source").cast("string"), F.lit("\u0000null"))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), source.alias("key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"))
+    own = F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))) if "text" in docs.columns else F.md5(F.lit(""))
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), own)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), source.alias("key"), name.alias("id"))
     r = rates.select(F.col("source_key").alias("key"), "parts", "cdf")
     if rows_bounded(rates, BROADCAST_SOURCES):
         joined = keyed.join(F.broadcast(r), "key")
     else:
         r = r.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = keyed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(r, ["key", "salt"])
-    one = lambda j: F.size(F.filter("cdf", lambda c: c <= _unit(F.lit(seed), F.col("id"), j.cast("string"))))
+    one = lambda j: let(_unit(F.lit(seed), F.col("id"), j.cast("string")), lambda u: F.size(F.filter("cdf", lambda c: c <= u)))
     count = F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0), lambda a, j: a + one(j))
     counted = joined.select("row", "id", count.alias("n")).filter("n > 0")
     out = counted.select("row", "id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
     order = F.sha2(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("id"), F.col("copy").cast("string")), 256)
     out = out.select("row", "copy", F.conv(F.substring(order, 1, 15), 16, 10).cast("bigint").alias("shuffle_key"))
-    return out.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
+    return out.repartition(F.col("shuffle_key"), F.xxhash64("row")).sortWithinPartitions("shuffle_key", F.xxhash64("row"))
 
 
 def mix(docs: DataFrame, seed: str = "mix-1", total_rows: int | None = None, weights: dict | None = None, power: float = 0.5) -> DataFrame:
@@ -98,11 +104,11 @@ k AS (SELECT source, k, exp(-mean + k * ln(mean) - lgamma(k + 1)) AS pmf
       FROM (SELECT source, mean, unnest(range(0, ceil(mean + 12 * sqrt(mean) + 24)::BIGINT + 1)) AS k FROM p)),
 c AS (SELECT source, k, sum(pmf) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
 u AS (SELECT doc_id, d.source, lang, text,
-             ('0x' || substr(sha256('mix-1:' || doc_id || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+             ('0x' || substr(sha256('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
       FROM (SELECT documents.*, unnest(range(0, parts)) AS j FROM documents JOIN p USING (source)) d),
 m AS (SELECT doc_id, u.source, lang, text, count(*) AS copies
       FROM u JOIN c ON c.source = u.source AND c.cdf <= u.u GROUP BY ALL),
 x AS (SELECT doc_id, source, lang, text, unnest(range(0, copies))::INT AS copy FROM m)
 SELECT doc_id, source, lang, copy,
-       ('0x' || substr(sha256('mix-1:order:' || doc_id || ':' || copy), 1, 15))::BIGINT AS shuffle_key, text FROM x
+       ('0x' || substr(sha256('mix-1:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) || ':' || copy), 1, 15))::BIGINT AS shuffle_key, text FROM x
 """

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from corpusloom.llm import license_index, pii, poisson_mix, quality_rules
@@ -78,6 +79,21 @@ def test_quality_measures(spark):
     assert quality_rules.keep(docs(spark, rows)).columns == docs(spark, rows).columns
 
 
+def test_each_histogram_rejects_by_itself(spark):
+    """Clean prose is kept; prose without common words falls to the words alone, prose with marks to the characters alone."""
+    rng = random.Random(5)
+    other = lambda: "".join(rng.choice("kzvbpgum") for _ in range(rng.randint(3, 8)))
+    share = [(w, p) for w, p in quality_rules.WORDS["en"].items()]
+    prose = lambda: " ".join(rng.choices([w for w, _ in share] + [None], [p for _, p in share] + [1 - sum(p for _, p in share)])[0] or other() for _ in range(400))
+    clean = prose()
+    rare = " ".join(other() for _ in range(400))
+    odd = " ".join(w + "%" if i % 2 else w + "*" for i, w in enumerate(clean.split()))
+    got = {r.doc_id: r for r in quality_rules.measure(docs(spark, [(1, clean, "en"), (2, rare, "en"), (3, odd, "en"), (4, rare, None), (5, clean, "xx")])).collect()}
+    assert got[1].q_kept and got[5].q_kept and not any(got[i].q_kept for i in (2, 3, 4)) and not any(r.q_base_failed for r in got.values())
+    assert got[2].q_js_chars <= quality_rules.MAX_CHARS and got[2].q_js_words > quality_rules.MAX_WORDS
+    assert got[3].q_js_chars > quality_rules.MAX_CHARS
+
+
 def test_mix_rates_and_large_means(spark):
     rows = [(i, "t", "en", "a" if i < 300 else "b" if i < 390 else None) for i in range(400)]
     df = docs(spark, rows)
@@ -90,6 +106,53 @@ def test_mix_rates_and_large_means(spark):
     assert a == b
 
 
+def test_mix_of_null_and_repeated_ids(spark):
+    """Rows without id, and rows of one id, are drawn and placed each on its own; both joins of the rates agree."""
+    rows = [(None if i % 2 else 5, f"text {i}", "en", "a" if i < 1000 else "b") for i in range(2000)]
+    out = poisson_mix.mix(docs(spark, rows), weights={"a": 1.0, "b": 3.0}, total_rows=4000)
+    got = out.collect()
+    n = {s: sum(r.source == s for r in got) for s in "ab"}
+    assert abs(n["a"] - 1000) < 150 and abs(n["b"] - 3000) < 250 and len({r.shuffle_key for r in got}) == len(got)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sizes = out.groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 0.6 * len(got)
+
+
+def test_mix_with_many_sources(spark, monkeypatch):
+    rows = docs(spark, [(i, f"t{i}", "en", f"s{i % 40}") for i in range(400)])
+    want = sorted((r.doc_id, r.copy) for r in poisson_mix.mix(rows).collect())
+    monkeypatch.setattr(poisson_mix, "BROADCAST_SOURCES", 3)
+    assert sorted((r.doc_id, r.copy) for r in poisson_mix.mix(rows).collect()) == want
+
+
+def test_pii_many_spans_in_one_long_text(spark):
+    """100,000 spans in 2 MB: places, context and redaction in linear time."""
+    import time
+
+    line = "+491234567890 word "
+    text = line * 100_000
+    d = docs(spark, [(1, text)])
+    began = time.time()
+    r = pii.scan(d).first()
+    want = brute.pii_base(text)
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == want[:5] and r.n_phone == 100_000
+    assert pii.redact(d).first().text == "[PHONE] word " * 100_000
+    assert time.time() - began < 60
+
+
+def test_pii_reads_across_blocks(spark, monkeypatch):
+    """Small blocks give the spans of large ones, with contexts and redactions that cross them."""
+    rng = random.Random(6)
+    words = ["ssn 123-45-6789", "123-45-6789", "iban DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "a@b.co", "10.0.0.1", "host", "+49 30 1234567", "4111 1111 1111 1111", "😀", "é", "plain", "card"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    d = docs(spark, list(enumerate(texts)))
+    want = sorted(map(tuple, pii.scan(d).collect())), sorted((r.doc_id, r.text) for r in pii.redact(d).collect())
+    monkeypatch.setattr(pii, "RUN", 3)
+    monkeypatch.setattr(pii, "PART", 7)
+    assert want == (sorted(map(tuple, pii.scan(d).collect())), sorted((r.doc_id, r.text) for r in pii.redact(d).collect()))
+
+
 @pytest.mark.parametrize("scan", [license_index.scan, pii.scan, quality_rules.measure])
 def test_empty_tables(spark, scan):
     assert scan(docs(spark, []).limit(0)).count() == 0
