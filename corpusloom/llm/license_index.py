@@ -1,15 +1,19 @@
 """Operator 1: licence scan by a positional index of rare words.
 
-Every template (a base phrase or a sentence of a well-known licence notice) is a word list with a mandatory key
-phrase. The index keeps, for each template, its rarest word over the template collection (highest IDF; its postings
-are the word's positions in the template). A file is looked up by the places of those words; each place and posting
-propose a start (place minus position in the template), and a start survives if the words of the key phrase stand at
-their relative positions. The score is the largest share of a template's words that match at a surviving start.
+A template is a word list with mandatory key phrases: a base phrase, a sentence of a well-known licence notice, or the
+body of a licence. The index holds the RARE words of each template with the highest IDF over the template collection
+(a base phrase: its one rarest) as postings (word, template, position). A file is looked up by the places of its indexed
+words, the rarest first: a place and a posting propose a start, the place less the position. The postings of a template
+are intersected by relative position: a start survives if at least the template's `need` of its rare words stand where
+the start puts them, and if the words of all its key phrases do. The score is the largest share of a template's words
+that stand at their place of a surviving start.
 
 All of it runs inside one row with array functions: no shuffle, no Python, nothing grows with the corpus but the scan.
 
-Defined cases: null or empty text has no words, counts 0, null places, empty labels and score 0; repeated rows are
-scanned each on its own; other columns of the input are ignored; an empty table gives an empty table.
+Defined cases: null or empty text has no words, counts 0, null places, empty labels and score 0; only A-Z are lowered
+(letters whose small form is an ASCII letter stand for no template's word); repeated rows are scanned each on its own; a
+start may lie before a file's first word, where what is missing is neither rare word nor key; other columns of the input
+are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -49,54 +53,105 @@ NOTICES = [
 ]
 
 
+#: Bodies of licences as words, with their mandatory key phrases.
+BODIES = [
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        ["permission is hereby granted free of charge", "the above copyright notice and this permission notice shall be included"],
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        ["permission to use copy modify and or distribute this software", "this permission notice appear in all copies"],
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        ["redistribution and use in source and binary forms", "redistributions in binary form must reproduce the above copyright notice"],
+    ),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        ["apache license version 2 0", "unless required by applicable law or agreed to in writing"],
+    ),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        ["the gnu general public license", "distributed in the hope that it will be useful"],
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        ["free and unencumbered software", "commercial or non commercial and by any means"],
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        ["in no event will the authors be held liable", "to alter it and redistribute it freely"],
+    ),
+]
+#: Rare words indexed for a notice and a body.
+RARE = 8
+
+
+def _at(words: list[str], phrase: list[str]) -> int:
+    return next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+
+
 def templates() -> list[dict]:
-    """Index entries: words, place and words of the key phrase, and the anchor (its rarest word) with its postings."""
-    rows = [(label, p.split(), p.split(), True) for label, p in BASE] + [(label, t.split(), k.split(), False) for label, t, k in NOTICES]
+    """Templates with their postings: words, key (positions of all key words), rare (positions of the indexed words, rarest
+    first) and need (rare words that have to agree: all of a base phrase, else half)."""
+    rows = [(label, p.split(), [p], True) for label, p in BASE] + [(label, t.split(), [k], False) for label, t, k in NOTICES] + [(label, t.split(), ks, False) for label, t, ks in BODIES]
     df: dict[str, int] = {}
     for _, words, _, _ in rows:
         for w in set(words):
             df[w] = df.get(w, 0) + 1
     out = []
-    for label, words, key, base in rows:
-        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        idf = lambda w: math.log(len(rows) / df[w])
-        anchor = max(key, key=lambda w: (idf(w), len(w), w))
-        out.append({"label": label, "words": words, "key": key, "key_at": at, "base": base, "anchor": anchor, "postings": [at + i for i, w in enumerate(key) if w == anchor]})
+    for label, words, phrases, base in rows:
+        keys = sorted({_at(words, p.split()) + j for p in phrases for j in range(len(p.split()))})
+        idf = lambda i: (math.log(len(rows) / df[words[i]]), len(words[i]), words[i], -i)  # noqa: B023, E731
+        # of a notice the key phrase alone has to stand, so its rare words come from there
+        rare = sorted(range(len(words)) if len(phrases) > 1 else keys, key=idf, reverse=True)[: 1 if base else RARE]
+        need = 1 if base else -(-len(rare) // 2)
+        out.append({"label": label, "words": words, "key": keys, "base": base, "rare": rare, "need": need})
     return out
 
 
 def _starts(t: dict, places: Column, words: Column) -> Column:
-    """Starts in the file at which the template's key phrase stands at its relative position (may lie before word 0)."""
-    k = t["key_at"]
-
-    def verified(s):
-        return reduce(lambda a, b: a & b, (F.get(words, s + k + j) == w for j, w in enumerate(t["key"])), s + k >= 0)
-
-    def proposed(p):
-        return F.transform(F.filter(places, lambda i: F.get(words, i) == t["anchor"]), lambda i: i - p)
-
-    lists = [F.filter(proposed(p), verified) for p in t["postings"]]
-    return lists[0] if len(lists) == 1 else F.array_sort(F.array_distinct(F.concat(*lists)))
+    """Starts in the file (they may lie before word 0) at which enough rare words and all key words stand."""
+    stands = lambda s, p: F.coalesce((s + p >= 0) & (F.get(words, F.greatest(s + p, F.lit(0))) == t["words"][p]), F.lit(False))
+    lists = [F.transform(F.filter(places, lambda x: x["w"] == t["words"][p]), lambda x: x["i"] - p) for p in t["rare"]]  # noqa: B023
+    proposed = lists[0] if len(lists) == 1 else F.array_distinct(F.concat(*lists))
+    if t["need"] > 1:
+        agree = lambda s: reduce(lambda a, b: a + b, (F.when(stands(s, p), 1).otherwise(0) for p in t["rare"]))
+        proposed = F.filter(proposed, lambda s: agree(s) >= t["need"])
+    return F.array_sort(F.filter(proposed, lambda s: reduce(lambda a, b: a & b, (stands(s, p) for p in t["key"]))))
 
 
 def _share(t: dict, starts: Column, words: Column) -> Column:
     """Largest share of the template's words found at their relative position of a start; null without starts."""
-    n = len(t["words"])
+    own = F.array(*[F.lit(w) for w in t["words"]])
+    hits = lambda s: F.size(F.filter(F.zip_with(F.slice(F.concat(F.array_repeat(F.lit(""), F.greatest(-s, F.lit(0))), F.slice(words, F.greatest(s, F.lit(0)) + 1, len(t["words"]))), 1, len(t["words"])), own, lambda a, b: a == b), lambda e: F.coalesce(e, F.lit(False))))
+    return F.array_max(F.transform(starts, lambda s: hits(s).cast("double") / F.lit(float(len(t["words"])))))
 
-    def hits(s):
-        return reduce(lambda a, b: a + b, (F.when((s + j >= 0) & (F.get(words, F.greatest(s + j, F.lit(0))) == w), 1).otherwise(0) for j, w in enumerate(t["words"])))
 
-    return F.array_max(F.transform(starts, lambda s: hits(s).cast("double") / F.lit(float(n))))
+def _lowered(text: Column) -> Column:
+    """The text with A-Z lowered; the two other letters whose small form has an ASCII letter become one without."""
+    kept = F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u00e9")), F.lit("\u0130"), F.lit("\u00e9"))
+    return F.lower(kept)
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document with counts, places, labels and score."""
     index = templates()
-    anchors = sorted({t["anchor"] for t in index})
-    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
-    w = docs.select(key, F.filter(F.split(lowered, SPLIT), lambda x: x != "").alias("words"))
-    w = w.select(key, "words", F.size("words").cast("bigint").alias("n_words"), F.array_compact(F.transform("words", lambda x, i: F.when(x.isin(anchors), i))).alias("places"))
-    w = w.select(key, "words", "n_words", *[_starts(t, F.col("places"), F.col("words")).alias(f"s{i}") for i, t in enumerate(index)])
+    indexed = sorted({t["words"][p] for t in index for p in t["rare"]})
+    lowered = _lowered(F.coalesce(F.col(text), F.lit("")))
+    w = docs.select(key, F.array_remove(F.split(lowered, SPLIT), "").alias("words"))
+    w = w.select(key, "words", F.size("words").cast("bigint").alias("n_words"), F.filter(F.transform("words", lambda x, i: F.when(x.isin(indexed), F.struct(i.alias("i"), x.alias("w")))), lambda x: x.isNotNull()).alias("places"))
+    # a text without an indexed word is not looked at again
+    none = F.array().cast("array<int>")
+    w = w.select(key, "words", "n_words", *[F.when(F.size("places") > 0, _starts(t, F.col("places"), F.col("words"))).otherwise(none).alias(f"s{i}") for i, t in enumerate(index)])
     base = [F.col(f"s{i}") for i, t in enumerate(index) if t["base"]]
     share = [F.lit(1.0) if t["base"] else _share(t, F.col(f"s{i}"), F.col("words")) for i, t in enumerate(index)]
     label = lambda keep: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(f"s{i}") > 0, F.lit(t["label"])) for i, t in enumerate(index) if t["base"] or not keep])))), ",")
@@ -120,13 +175,14 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql() -> str:
     """The same result stated relationally: words joined to template words, grouped by start."""
     index = templates()
-    rows = ", ".join(f"({i}, '{t['label']}', {str(t['base']).lower()}, {j}, '{w}', {str(t['key_at'] <= j < t['key_at'] + len(t['key'])).lower()}, {len(t['words'])}, {len(t['key'])})" for i, t in enumerate(index) for j, w in enumerate(t["words"]))
+    flag = lambda x: str(x).lower()
+    rows = ", ".join(f"({i}, '{t['label']}', {flag(t['base'])}, {j}, '{w}', {flag(j in t['key'])}, {flag(j in t['rare'])}, {len(t['words'])}, {len(t['key'])}, {t['need']})" for i, t in enumerate(index) for j, w in enumerate(t["words"]))
     return f"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
-t(t, label, base, j, w, key, n, n_key) AS (VALUES {rows}),
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+t(t, label, base, j, w, key, rare, n, n_key, need) AS (VALUES {rows}),
 x AS (SELECT doc_id, unnest(words) AS w, unnest(range(0, len(words))) AS i FROM d),
-h AS (SELECT doc_id, t, label, base, n, i - j AS s, count(*) FILTER (key) AS keyed, any_value(n_key) AS n_key, count(*) AS hits
-      FROM x JOIN t USING (w) GROUP BY doc_id, t, label, base, n, i - j HAVING count(*) FILTER (key) = any_value(n_key)),
+h AS (SELECT doc_id, t, label, base, n, i - j AS s, count(*) AS hits
+      FROM x JOIN t USING (w) GROUP BY doc_id, t, label, base, n, i - j HAVING count(*) FILTER (key) = any_value(n_key) AND count(*) FILTER (rare) >= any_value(need)),
 g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
              coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
              string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(hits::DOUBLE / n) AS score FROM h GROUP BY doc_id)
