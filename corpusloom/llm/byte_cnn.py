@@ -6,12 +6,12 @@ and chunks overlap by half, so the whole text is covered whatever its length. A
 filter, the mean and the largest over its chunks; a logistic unit turns it into one probability.
 
 The network is fitted on the driver with Adam from a bounded sample of the labelled rows outside the held-out fold
-(crc32 of the id as text, mod 3, is 1): at most SAMPLE rows of each label in the order of a hash of their ids, and at
-most TRAIN_BYTES of each text in four evenly spaced parts. Nothing but the text's bytes enters a score. Scoring reads
-every text whole in blocks of bounded size.
+(crc32 of the id as text, mod 3, is 1): of each label, in the order of a hash of their ids, at most SAMPLE rows with texts
+of at most LONGEST bytes and SAMPLE_BYTES together; every text in it is learnt whole. Nothing but the text's bytes enters a
+score. Scoring reads every text whole in blocks of bounded size.
 
 Defined cases: null text scores as the empty text, which is one chunk of padding; rows that repeat a doc_id are scored
-each on its own; labels that are null, or repeated with different values, are left out; without labels of both kinds every
+each on its own, and learnt once, by the least of their texts; labels that are null, or repeated with different values, are left out; without labels of both kinds every
 score is the share of label 1 seen (0.5 without labels); extra columns are ignored; an empty table gives an empty table.
 """
 
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -30,14 +30,22 @@ STEP, WIDTH, HALF = 4, 8, 256
 CHUNK = 2 * HALF
 EMBED, FILTERS = 8, 32
 RUN, LAGS = 4, (3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16)
-SAMPLE, TRAIN_BYTES, EPOCHS, BATCH = 1500, 8192, 8, 32
+PAD = max(LAGS)
+EPOCHS, BATCH = 8, 32
+#: The sample that is fitted: rows of each label, bytes of their texts together, and bytes of a text that is taken.
+SAMPLE, SAMPLE_BYTES, LONGEST = 1500, 1 << 23, 1 << 20
+#: Bytes of texts that gradients are taken of at once.
+GRADIENT_BYTES = 1 << 20
 BLOCK_BYTES = 1 << 20
 OVERLAP = 64
 
 
 def lay_out(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts in one flat array, each padded with at least STEP zero bytes to whole half chunks, and their half chunks."""
-    halves = np.array([(len(r) + STEP) // HALF + 1 if (len(r) + STEP) % HALF else (len(r) + STEP) // HALF for r in raws], np.int64)
+    """Texts in one flat array, each padded with at least PAD zero bytes to whole half chunks, and their half chunks.
+
+    PAD is the largest lag, so that no text is compared to the one before it.
+    """
+    halves = np.array([-(-(len(r) + PAD) // HALF) for r in raws], np.int64)
     flat = np.zeros(int(halves.sum()) * HALF, np.uint8)
     at = 0
     for r, h in zip(raws, halves.tolist(), strict=True):
@@ -132,6 +140,14 @@ class ByteNet:
         z = np.clip((h @ self.p["v"] + self.p["c"]).astype(np.float64), -30, 30)
         return 1 / (1 + np.exp(-z))
 
+    def gradients_in_parts(self, raws: list[bytes], y: np.ndarray) -> dict:
+        """gradients() with memory for GRADIENT_BYTES of texts: the mean over a batch is the weighted mean over its parts."""
+        out: dict = {}
+        for i, j in _parts([len(r) for r in raws], GRADIENT_BYTES):
+            for name, g in self.gradients(raws[i:j], y[i:j]).items():
+                out[name] = out.get(name, 0) + g * np.float32((j - i) / len(raws))
+        return out
+
     def gradients(self, raws: list[bytes], y: np.ndarray) -> dict:
         flat, halves = lay_out(raws)
         top, at, x = self.maxima(flat, np.cumsum(halves) * (HALF // STEP) - 1)
@@ -161,6 +177,18 @@ class ByteNet:
         return g
 
 
+def _parts(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of sizes that add up to at most `most` (or hold one)."""
+    i = 0
+    while i < len(sizes):
+        j, held = i, 0
+        while j < len(sizes) and (j == i or held + sizes[j] <= most):
+            held += sizes[j]
+            j += 1
+        yield i, j
+        i = j
+
+
 def fit(raws: list[bytes], y: np.ndarray, seed: int = 3) -> ByteNet:
     """A network fitted to texts and labels; the same input gives the same weights."""
     net = ByteNet(seed)
@@ -177,7 +205,7 @@ def fit(raws: list[bytes], y: np.ndarray, seed: int = 3) -> ByteNet:
         order = r.permutation(len(y))
         for i in range(0, len(y), BATCH):
             k = order[i : i + BATCH]
-            g = net.gradients([raws[j] for j in k], y[k])
+            g = net.gradients_in_parts([raws[j] for j in k], y[k])
             t += 1
             rate = 0.01 * (1 - 0.95 * t / steps)
             for name, x in net.p.items():
@@ -188,15 +216,6 @@ def fit(raws: list[bytes], y: np.ndarray, seed: int = 3) -> ByteNet:
     return net
 
 
-def spread(raw: bytes, limit: int = TRAIN_BYTES) -> bytes:
-    """The text, or four parts of it evenly spaced, limit bytes together."""
-    if len(raw) <= limit:
-        return raw
-    part = limit // 4
-    gap = (len(raw) - part) // 3
-    return b"".join(raw[i * gap : i * gap + part] for i in range(4))
-
-
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> ByteNet:
     """Fit on a bounded sample of labelled rows outside the held-out fold."""
     fold = F.crc32(F.col(key).cast("string")) % 3 != 1
@@ -204,17 +223,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     order = [F.xxhash64(F.col(key)), F.col(key)]
     chosen = known.filter("y = 0").orderBy(*order).limit(sample).unionByName(known.filter("y = 1").orderBy(*order).limit(sample)).select(F.col(key).alias("k"), "y")
     part = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k")  # 2 * sample rows at most
-
-    def cut(batches):
-        for b in batches:
-            raws = [spread((t or "").encode()) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raws, pa.binary()), b.column(2)], ["k", "raw", "y"])
-
-    rows = part.mapInArrow(cut, f"k {part.schema['k'].dataType.simpleString()}, raw binary, y int").collect()
-    seen: dict = {}
-    for r in sorted(rows, key=lambda r: (r["k"], bytes(r["raw"]))):
-        seen.setdefault(r["k"], r)  # a repeated id counts once
-    rows = list(seen.values())
+    # a row for each id, however often it is repeated; then what the budget of bytes holds, in the same order
+    once = part.groupBy("k", "y").agg(F.min("text").alias("text")).withColumn("raw", F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    once = once.withColumn("n", F.length("raw")).filter(F.col("n") <= LONGEST)
+    upto = F.sum("n").over(Window.partitionBy("y").orderBy(F.xxhash64("k"), "k"))
+    rows = once.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES).select("k", "raw", "y").collect()
+    rows.sort(key=lambda r: (r["k"], bytes(r["raw"])))
     return fit([bytes(r["raw"]) for r in rows], np.array([r["y"] for r in rows], np.float32))
 
 

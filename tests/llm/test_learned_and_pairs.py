@@ -53,6 +53,18 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, k, percent):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(s), want[i], want[i] == i), i
 
 
+def test_near_duplicates_by_sampled_rounds(spark, monkeypatch):
+    """The rounds that only spare work change nothing, nor do shuffled joins in place of broadcasts."""
+    texts = near_texts(6, 20)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    plain = lambda **k: sorted(map(tuple, minhash_join.near_duplicates(docs, 3, 85, **k).collect()))
+    want = plain()
+    assert plain(few=-1) == want
+    monkeypatch.setattr(minhash_join, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", 0)
+    assert plain(few=-1) == want
+
+
 def test_near_duplicates_repeated_ids_and_empty(spark):
     docs = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (7, "A b c d")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash_join.near_duplicates(docs, 3, 85).collect())
@@ -101,6 +113,50 @@ def test_vectors_against_brute_force(spark, monkeypatch):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+def brute_vectors(rows, least=0.93):
+    """Links and smallest reachable id of each row, over all pairs."""
+    from fractions import Fraction
+
+    ok = [k for k, (i, v, y) in enumerate(rows) if i is not None and y is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    unit = {}
+    for k in ok:
+        big = max(abs(Fraction(x)) for x in rows[k][1])
+        x = np.array([float(Fraction(e) / big) for e in rows[k][1]])
+        unit[k] = x / np.linalg.norm(x)
+    links = {k: [j for j in ok if j != k and rows[j][2] == rows[k][2] and unit[j] @ unit[k] >= least] for k in ok}
+    out = []
+    for k, (i, _, _) in enumerate(rows):
+        reach, todo = {k}, [k]
+        while todo:
+            for j in links.get(todo.pop(), ()):
+                if j not in reach:
+                    reach.add(j)
+                    todo.append(j)
+        out.append((str(i), len(links.get(k, ())), str(i) if len(reach) == 1 else str(min(rows[j][0] for j in reach))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("longest,pivots", [(8192, 2048), (20, 64), (4, 1)])
+def test_vectors_of_repeated_ids_and_extreme_lengths(spark, monkeypatch, longest, pivots):
+    monkeypatch.setattr(pivot_index, "BLOCK", 8)
+    monkeypatch.setattr(pivot_index, "LEAST_PIVOTS", min(pivots, 64))
+    r = np.random.default_rng(7)
+    e1, e2 = r.normal(size=8), r.normal(size=8)
+    near = lambda e, s=0.02: [float(x) for x in e + r.normal(size=8) * s]
+    rows = [(1, near(e1), 0), (1, near(e2), 0), (2, near(e1), 0), (3, near(e1), 0), (None, near(e1), 0)]
+    rows += [(10, [1e200] + [0.0] * 7, 1), (11, [1e200, 1e195] + [0.0] * 6, 1), (12, [1e-200] + [0.0] * 7, 1), (12, [0.0, 1e-300] + [0.0] * 6, 1)]
+    centres = r.normal(size=(6, 8))
+    rows += [(int(r.integers(20, 90)), near(centres[k % 6], 0.1), 2) for k in range(90)]
+    rows += [(100 + k, rows[20][1], 2) for k in range(3)] + [(100, rows[20][1], 2)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((str(x.vec_id), x.n_links, str(x.component_id)) for x in pivot_index.near_vectors(d, longest=longest, most_pivots=pivots).collect())
+    want = brute_vectors(rows)
+    if longest > 4:
+        assert got == want
+    else:  # one pivot: every pair is compared
+        assert got == want
+
+
 def test_vectors_empty(spark):
     assert pivot_index.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -132,10 +188,21 @@ def test_pieces_equal_the_library(spark, sf):
 
 
 def test_pieces_cache_is_emptied(monkeypatch):
+    plain = lambda: [(a.tolist(), w, d) for a, w, d in piece_codec.encode_texts(odd_texts(50), piece_codec.default_model())]
+    want = plain()
     monkeypatch.setattr(piece_codec, "CACHE_WORDS", 5)
-    a = list(piece_codec.encode_texts(odd_texts(50), piece_codec.default_model()))
-    monkeypatch.setattr(piece_codec, "CACHE_WORDS", 10**6)
-    assert a == list(piece_codec.encode_texts(odd_texts(50), piece_codec.default_model()))
+    monkeypatch.setattr(piece_codec, "BLOCK_CHARS", 60)
+    assert plain() == want
+
+
+def test_pieces_of_very_long_words():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_codec.default_model())
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), "x" * 100_000, "é🎉" * 20_000, " " * 5_000 + "a"]
+    for t, (ids, _, decoded) in zip(texts, piece_codec.encode_texts(texts, piece_codec.default_model()), strict=True):
+        assert ids.tolist() == sp.encode(t, add_eos=True) and decoded.decode() == sp.decode(ids.tolist())
 
 
 def test_store_equals_the_library(spark, sf, monkeypatch):
@@ -203,6 +270,45 @@ def test_long_texts_score_alike(monkeypatch):
     assert abs(net.score([raw])[0] - whole) < 1e-3
 
 
+def plain_score(net, raw):
+    """The network's probability of one text by loops over its definition."""
+    x = raw + b"\0" * (byte_cnn.PAD + -(len(raw) + byte_cnn.PAD) % byte_cnn.HALF)
+    again = lambda i, lag: i - lag >= 0 and x[i] == x[i - lag] and x[i] > 32
+    repeated = lambda i: any(all(again(i - j, lag) for j in range(byte_cnn.RUN)) for lag in byte_cnn.LAGS)
+    vector = lambda i: [*(float(e) for e in net.p["emb"][x[i]]), float(repeated(i))]
+    w = net.p["w"].astype(float)
+    response = []
+    for i in range(0, len(x) - byte_cnn.STEP, byte_cnn.STEP):  # the last step has no bytes after it
+        v = [e for j in range(byte_cnn.WIDTH) for e in vector(i + j)]
+        response.append([float(np.dot(v, w[:, f])) + float(net.p["b"][f]) for f in range(byte_cnn.FILTERS)])
+    per = byte_cnn.HALF // byte_cnn.STEP
+    halves = [np.max(response[i : i + per], axis=0) for i in range(0, len(response), per)]
+    chunks = [np.maximum(np.maximum(h, halves[i + 1]) if i + 1 < len(halves) else h, 0) for i, h in enumerate(halves)]
+    h = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)])
+    return 1 / (1 + np.exp(-(float(h @ net.p["v"].astype(float)) + float(net.p["c"][0]))))
+
+
+def test_scores_equal_plain_loops(spark, sf):
+    docs, labels = (table(spark, sf, t) for t in ("documents", "labels"))
+    net = byte_cnn.train(docs, labels)
+    r = random.Random(8)
+    texts = [b"", b"a", b"abc" * 85, b"x" * 251, b"x" * 252, b"x" * 253, bytes(r.randrange(256) for _ in range(1300)), *((d.text or "").encode()[:3000] for d in docs.limit(60).collect())]
+    r.shuffle(texts)  # a score never depends on the texts beside it
+    for t, p in zip(texts, net.score(texts), strict=True):
+        assert abs(plain_score(net, t) - p) < 1e-4
+
+
+def test_classifier_learns_repeated_ids_once(spark, monkeypatch):
+    rows = [(i, f"good words number {i} here") for i in range(40)] + [(40 + i, "#%& " * (i + 1)) for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "doc_id long, quality int")
+    one = byte_cnn.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    many = byte_cnn.train(spark.createDataFrame(rows + rows[:5] * 50 + [(3, None)], "doc_id long, text string"), labels)
+    assert all((one.p[k] == many.p[k]).all() for k in one.p)
+    monkeypatch.setattr(byte_cnn, "GRADIENT_BYTES", 64)
+    parts = byte_cnn.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert all(np.abs(parts.p[k] - one.p[k]).max() < 0.05 for k in one.p)
+
+
 def test_gradients():
     r = np.random.default_rng(0)
     net = byte_cnn.ByteNet()
