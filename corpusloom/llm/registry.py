@@ -21,4 +21,5 @@ SQL = {
     "op5_quality_rules": quality_rules.sql(),
     "op6_pivot_index": pivot_index.SQL,
     "op7_poisson_mix": poisson_mix.SQL,
+    "op8_minhash_join": minhash_join.SQL,
 }
