@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import minhash_join, pii, piece_codec, poisson_mix, quality_rules
-from corpusloom.llm.common import materialize, table
+from corpusloom.llm.common import drop_path, materialize, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -57,5 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        out = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_path(docs)  # the stage before, once this one is written; nothing for the input
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
