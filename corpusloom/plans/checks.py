@@ -14,6 +14,7 @@ from corpusloom.operators import audit, dedup, grading, scoring, splits, telemet
 from corpusloom.plans.cases import literal
 from corpusloom.sources import converters, readers, sinks
 from corpusloom.storage import shared_dir
+from corpusloom.streaming import telemetry as streams
 
 QUERIES: dict[str, tuple[Callable, str | None]] = {}
 
@@ -142,6 +143,45 @@ def merged_maps(spark, sf):
     return sinks.merged_sources(_frame(spark, "k string, v int", ("a", 1), ("b", 2)), _frame(spark, "k string, v int", ("b", 3), ("c", 4)), "k", "v")
 
 
+@gives("pos int, session int, segment int", (0, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 2), (4, 1, 2), (5, 2, 3), (6, 2, 3))
+def stream_resumed(spark, sf):
+    """A log read as a stream, stopped, gone on with after more lines came, the last one incomplete."""
+    import json
+
+    def lines(*rows):
+        return [(json.dumps({"run": "r", "event": e, "time": f"2026-01-01T00:{s // 60:02}:{s % 60:02}Z", "pos": p, "step": p, "tokens": 0, "speed": 1.0}),) for p, e, s in rows]
+
+    log, out, checkpoint = (_folder(spark) for _ in range(3))
+    for part in (lines((0, "start", 0), (1, "train", 10), (2, "train", 70)), [*lines((3, "train", 400), (4, "finished", 410), (5, "start", 500), (6, "train", 510)), ('{"run": "r", "ev',)]):
+        spark.createDataFrame(part, "value string").coalesce(1).write.mode("append").text(log)
+        streams.results_sink(streams.segments_stream(streams.log_stream(spark, log)), out, checkpoint).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@gives("weights string, files int", ('{"a": 2.0}', 1))
+def manifest_view(spark, sf):
+    """K5: other weights over the same files."""
+    import json
+
+    files = _frame(spark, "path string, sha256 string", ("a/train.parquet", "0" * 64))
+    m = sinks.view_of(sinks.manifest(files, _frame(spark, "source string, split string, records int", ("a", "train", 3)), "v1"), {"a": 2.0})
+    return _frame(spark, "weights string, files int", (json.dumps(m["weights"]), len(m["files"])))
+
+
+@gives("source string, id string, place int", ("a", "x", 0), ("a", "2", 1), ("a", "10", 2), ("b", "1", 3))
+def task_order(spark, sf):
+    """O1: by source, then by the id as a number."""
+    d = splits.sorted_tasks(_frame(spark, "source string, id string", ("b", "1"), ("a", "10"), ("a", "2"), ("a", "x")))
+    return _frame(spark, "source string, id string, place int", *[(r.source, r.id, i) for i, r in enumerate(d.collect())])
+
+
+@gives("path string, place int", ("a", 0), ("a/b", 1), ("a/b/c", 2))
+def phase_order(spark, sf):
+    """The longest own time first."""
+    d = telemetry.by_self_time(_frame(spark, "path string, inclusive double", ("a/b/c", 5.0), ("a", 60.0), ("a/b", 20.0)))
+    return _frame(spark, "path string, place int", *[(r.path, i) for i, r in enumerate(d.collect())])
+
+
 # ---- joins and identities -------------------------------------------------------------------------------------------
 @gives("source string, original_id string, prompt string", ("mbpp", "1", "p\n\nRequired function name: f"), ("mbpp", "2", "q"), ("apps", "1", "r"))
 def interface_prompts(spark, sf):

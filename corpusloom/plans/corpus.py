@@ -274,6 +274,30 @@ f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY source, "group" OR
 SELECT source, original_id, cost::INT AS cost, row_number() OVER (PARTITION BY source ORDER BY cost, original_id)::INT AS pos FROM f QUALIFY pos <= 4"""
 
 
+def seeded_shuffle(spark, sf):
+    d = splits.shuffled(records(spark, sf), "pilot-v1", ["source", "original_id", "variant"])
+    return d.select("source", "original_id", "rank")
+
+
+SHUFFLE_SQL = f"WITH {REC_SQL} SELECT source, original_id, sha256('pilot-v1' || chr(1) || source || chr(1) || original_id || chr(1) || variant) AS rank FROM rec"
+
+
+def first_samples(spark, sf):
+    return splits.first_samples(split3(keyed(spark, sf)).filter("split = 'dev'")).select("source", "original_id", "pos")
+
+
+SAMPLES_SQL = f"WITH {SPLIT3_SQL} SELECT source, original_id, row_number() OVER (PARTITION BY source ORDER BY ord)::INT AS pos FROM s WHERE split = 'dev' QUALIFY pos <= 2"
+
+
+def dev_controls(spark, sf):
+    return splits.dev_controls(split3(keyed(spark, sf)).filter("split = 'dev'")).select("source", "original_id", "pos")
+
+
+DEV_SQL = f"""WITH {SPLIT3_SQL}, c AS (SELECT *, ('0x' || substr(sha256("group"), 1, 12))::BIGINT AS priority FROM s WHERE split = 'dev' AND variant = 0),
+f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY source, "group" ORDER BY priority, original_id) = 1)
+SELECT source, original_id, row_number() OVER (PARTITION BY source ORDER BY priority, original_id)::INT AS pos FROM f QUALIFY pos <= 6"""
+
+
 def _tokens(c):
     return F.size(F.split(T.collapse(c), " ")).cast("bigint")
 
@@ -414,6 +438,7 @@ QUERIES = {
     "reject_reasons": (reject_reasons, REJECT_SQL), "group_quarantine": (group_quarantine, QUARANTINE_SQL), "context_overlap_semi": (context_overlap_semi, OVERLAP_SQL),
     "benchmark_containment": (benchmark_containment, CONTAIN_SQL), "shingle_keys": (shingle_keys, SHINGLE_SQL), "near_dup_jaccard": (near_dup_jaccard, NEAR_SQL), "near_dup_greedy": (near_dup_greedy, None),
     "connected_groups": (connected_groups, CONNECTED_SQL), "alternate_repartition": (alternate_repartition, ALTERNATE_SQL), "suite_top32": (suite_top32, SUITE_SQL), "suite_top16_lang": (suite_top16_lang, SUITE16_SQL),
+    "seeded_shuffle": (seeded_shuffle, SHUFFLE_SQL), "first_samples": (first_samples, SAMPLES_SQL), "dev_controls": (dev_controls, DEV_SQL),
     "shortest_first_control": (shortest_first_control, SHORTEST_SQL), "source_counts": (source_counts, COUNTS_SQL), "length_stats": (length_stats, LENGTH_SQL), "class_coverage": (class_coverage, COVERAGE_SQL),
     "label_histogram": (label_histogram, HISTOGRAM_SQL), "sampling_weights": (sampling_weights, WEIGHTS_SQL), "running_offsets": (running_offsets, OFFSETS_SQL), "contiguity": (contiguity, CONTIGUITY_SQL),
     "split_disjointness": (split_disjointness, DISJOINT_SQL), "reconciliation": (reconciliation, RECONCILE_SQL), "held_out_overlap": (held_out_overlap, HELD_SQL), "html_clean": (html_clean, HTML_SQL),

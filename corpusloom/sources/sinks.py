@@ -70,6 +70,14 @@ def manifest(files: DataFrame, counts: DataFrame, version: str) -> dict:
     return {"version": version, "files": {r["path"]: r["sha256"] for r in files.collect()}, "counts": {f"{r['source']}.{r['split']}": {k: r[k] for k in counts.columns if k not in ("source", "split")} for r in counts.collect()}}
 
 
+def view_of(manifest: dict, weights: dict[str, float]) -> dict:
+    """K5: the manifest of the same files under other weights; nothing is copied. A weight needs a source of the corpus."""
+    unknown = set(weights) - {k.rsplit(".", 1)[0] for k in manifest["counts"]}
+    if unknown:
+        raise ValueError(f"no such source: {sorted(unknown)}")
+    return {**manifest, "weights": dict(sorted(weights.items()))}
+
+
 def merged_sources(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """Union of two maps, the right side wins."""
     return a.select(key, F.col(value).alias("x")).join(b.select(key, F.col(value).alias("y")), key, "full_outer").select(key, F.coalesce("y", "x").alias(value))

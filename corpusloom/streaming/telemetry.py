@@ -70,6 +70,12 @@ def incomplete_lines(batch: DataFrame) -> int:
     return batch.filter("_corrupt IS NOT NULL").count()
 
 
-def results_sink(df: DataFrame, path: str, checkpoint: str):
-    """Durable result rows, one Parquet batch at a time, exactly once by the checkpoint."""
-    return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+def results_sink(df: DataFrame, path: str, checkpoint: str, seconds: int | None = None):
+    """Durable result rows, one Parquet batch at a time, exactly once by the checkpoint.
+
+    With `seconds` the source is polled at that interval (15 for samples, 60 for a flush), else what there is now is read
+    and the query ends. A query started again with the same checkpoint goes on after the last complete batch, with the
+    state of its runs.
+    """
+    w = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return w.trigger(processingTime=f"{seconds} seconds") if seconds else w.trigger(availableNow=True)
