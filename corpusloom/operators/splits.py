@@ -124,6 +124,8 @@ def balance(summary: list[dict], sources: list[str], splits=("dev", "confirmatio
     return moves
 
 
+#: Records that a sampled row may draw.
+DRAWS = 128
 PACKED = "source string, row int, used int, ids array<int>, real_mask array<int>, answer_mask array<int>, records array<bigint>"
 
 
@@ -132,9 +134,9 @@ def pack(df: DataFrame, rows: int | None = None, seed: str = "pack-1", context:
 
     Without `rows`: sequential, each record once, next-fit in the order of ord inside blocks of `block` records of a
     source, so a large source is many tasks. With `rows`: that many rows a source, drawn with replacement by a hash of
-    (seed, row, draw), at most 128 draws, ending at the first record that does not fit.
+    (seed, row, draw), at most DRAWS draws, ending at the first record that does not fit; draws meet their records by
+    place, so no task holds a source. A source without a record that fits is an error then.
     """
-    from hashlib import sha256
 
     def emit(source, number, held):
         ids, mask, recs = [], [], []
@@ -145,34 +147,35 @@ def pack(df: DataFrame, rows: int | None = None, seed: str = "pack-1", context:
         pad = context + 1 - len(ids)
         return source, number, len(ids), ids + [0] * pad, [1] * len(ids) + [0] * pad, mask + [0] * pad, recs
 
-    def run(key, d: pd.DataFrame) -> pd.DataFrame:
-        d = d[d["ids"].map(len) <= context + 1].sort_values("ord")
-        recs = list(d.itertuples(index=False))
-        out = []
-        if rows is None:
-            held: list = []
-            size = 0
-            for r in recs:
-                if held and size + len(r.ids) > context + 1:
-                    out.append(emit(key[0], int(key[1]) * block + len(out), held))
-                    held, size = [], 0
-                held.append(r)
-                size += len(r.ids)
-            if held:
+    def table_of(out) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["source", "row", "used", "ids", "real_mask", "answer_mask", "records"])
+
+    def fill(key, d: pd.DataFrame) -> pd.DataFrame:
+        out: list = []
+        held: list = []
+        size = 0
+        for r in d.sort_values("ord").itertuples(index=False):
+            if held and size + len(r.ids) > context + 1:
                 out.append(emit(key[0], int(key[1]) * block + len(out), held))
-        else:
-            for number in range(rows if recs else 0):
                 held, size = [], 0
-                for draw in range(128):
-                    r = recs[int(sha256(f"{seed}:{key[0]}:{number}:{draw}".encode()).hexdigest()[:12], 16) % len(recs)]
-                    if size + len(r.ids) > context + 1:
-                        break
-                    held.append(r)
-                    size += len(r.ids)
-                out.append(emit(key[0], number, held))
-        return pd.DataFrame(out, columns=["source", "row", "used", "ids", "real_mask", "answer_mask", "records"])
+            held.append(r)
+            size += len(r.ids)
+        return table_of([*out, emit(key[0], int(key[1]) * block + len(out), held)])
+
+    def drawn(key, d: pd.DataFrame) -> pd.DataFrame:
+        return table_of([emit(key[0], int(key[1]), list(d.sort_values("draw").itertuples(index=False)))])
 
     fits = df.filter(F.size("ids") <= context + 1).select("source", "ord", "ids", "answer_start")
-    placed = offsets(fits.withColumn("one", F.lit(1)), ["source"], "one", ["ord"]) if rows is None else fits
-    part = F.floor(F.col("token_offset") / block).cast("int") if rows is None else F.lit(0)
-    return placed.withColumn("part", part).select("source", "ord", "ids", "answer_start", "part").groupBy("source", "part").applyInPandas(run, PACKED)
+    placed = offsets(fits.withColumn("one", F.lit(1)), ["source"], "one", ["ord"]).withColumnRenamed("token_offset", "place").drop("one")
+    if rows is None:
+        return placed.withColumn("part", F.floor(F.col("place") / block).cast("int")).drop("place").groupBy("source", "part").applyInPandas(fill, PACKED)
+    counts = fits.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    empty = df.select("source").distinct().join(counts, "source", "left_anti").limit(1).collect()
+    if empty:
+        raise ValueError(f"no record of {empty[0]['source']} fits")
+    draws = counts.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
+    number = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "source", "row", "draw"), 256), 1, 12), 16, 10).cast("bigint")
+    met = draws.withColumn("place", number % F.col("n")).drop("n").join(placed, ["source", "place"])
+    upto = F.sum(F.size("ids")).over(Window.partitionBy("source", "row").orderBy("draw"))
+    held = met.withColumn("upto", upto).filter(F.col("upto") <= context + 1).drop("upto", "place")
+    return held.groupBy("source", "row").applyInPandas(drawn, PACKED)

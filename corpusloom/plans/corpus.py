@@ -218,6 +218,15 @@ def near_dup_greedy(spark, sf):
     return dedup.greedy_keep(d, pairs).select(F.col("ord").alias("doc_id"))
 
 
+#: The greedy rule row by row: kept ids as a growing list, partners before each row as another.
+GREEDY_SQL = f"""WITH RECURSIVE q AS ({NEAR_SQL}),
+e AS (SELECT b, list(a) FILTER (NOT copy) AS l, bool_or(copy) AS copied FROM q GROUP BY b),
+d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, coalesce(l, []) AS l, coalesce(copied, false) AS copied FROM documents LEFT JOIN e ON b = doc_id),
+g(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT d.i, CASE WHEN d.copied OR len(list_intersect(g.kept, d.l)) > 0 THEN g.kept ELSE list_append(g.kept, d.doc_id) END FROM g JOIN d ON d.i = g.i + 1)
+SELECT unnest(kept) AS doc_id FROM g WHERE i = (SELECT max(i) FROM d)"""
+
+
 def connected_groups(spark, sf):
     d = keyed(spark, sf)
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 40)
@@ -431,16 +440,23 @@ def pack_sequences(spark, sf):
     return splits.pack(d).select("source", "row", "used", F.size("records").alias("n_records"))
 
 
+PACK_SQL = f"""WITH RECURSIVE f AS (SELECT source, doc_id AS ord, {TOK_SQL} AS n FROM documents),
+g AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ord) - 1 AS i FROM f WHERE n <= 1025),
+p(source, i, n, nr, used) AS (SELECT source, i, n, 0::BIGINT, n FROM g WHERE i = 0 UNION ALL
+  SELECT g.source, g.i, g.n, CASE WHEN g.i % 512 = 0 THEN g.i WHEN p.used + g.n > 1025 THEN p.nr + 1 ELSE p.nr END, CASE WHEN g.i % 512 = 0 OR p.used + g.n > 1025 THEN g.n ELSE p.used + g.n END
+  FROM p JOIN g ON g.source IS NOT DISTINCT FROM p.source AND g.i = p.i + 1)
+SELECT source, nr::INT AS "row", sum(n)::INT AS used, count(*)::INT AS n_records FROM p GROUP BY source, nr"""
+
 QUERIES = {
     "corpus_summary": (corpus_summary, CORPUS_SUMMARY), "normalize_digest": (normalize_digest, NORMALIZE_DIGEST), "exact_dedup_first_owner": (exact_dedup_first_owner, OWNER_SQL),
     "dedup_first_row": (dedup_first_row, FIRST_ROW_SQL), "dedup_against_base": (dedup_against_base, AGAINST_SQL), "conflict_groups": (conflict_groups, CONFLICT_SQL),
     "hash_split_95_5": (hash_split_95_5, SPLIT5_SQL), "hash_split_90_5_5": (hash_split_90_5_5, f'WITH {SPLIT3_SQL} SELECT source, split, count(*) AS records, count(DISTINCT "group") AS "groups" FROM s GROUP BY ALL'),
     "reject_reasons": (reject_reasons, REJECT_SQL), "group_quarantine": (group_quarantine, QUARANTINE_SQL), "context_overlap_semi": (context_overlap_semi, OVERLAP_SQL),
-    "benchmark_containment": (benchmark_containment, CONTAIN_SQL), "shingle_keys": (shingle_keys, SHINGLE_SQL), "near_dup_jaccard": (near_dup_jaccard, NEAR_SQL), "near_dup_greedy": (near_dup_greedy, None),
+    "benchmark_containment": (benchmark_containment, CONTAIN_SQL), "shingle_keys": (shingle_keys, SHINGLE_SQL), "near_dup_jaccard": (near_dup_jaccard, NEAR_SQL), "near_dup_greedy": (near_dup_greedy, GREEDY_SQL),
     "connected_groups": (connected_groups, CONNECTED_SQL), "alternate_repartition": (alternate_repartition, ALTERNATE_SQL), "suite_top32": (suite_top32, SUITE_SQL), "suite_top16_lang": (suite_top16_lang, SUITE16_SQL),
     "seeded_shuffle": (seeded_shuffle, SHUFFLE_SQL), "first_samples": (first_samples, SAMPLES_SQL), "dev_controls": (dev_controls, DEV_SQL),
     "shortest_first_control": (shortest_first_control, SHORTEST_SQL), "source_counts": (source_counts, COUNTS_SQL), "length_stats": (length_stats, LENGTH_SQL), "class_coverage": (class_coverage, COVERAGE_SQL),
     "label_histogram": (label_histogram, HISTOGRAM_SQL), "sampling_weights": (sampling_weights, WEIGHTS_SQL), "running_offsets": (running_offsets, OFFSETS_SQL), "contiguity": (contiguity, CONTIGUITY_SQL),
     "split_disjointness": (split_disjointness, DISJOINT_SQL), "reconciliation": (reconciliation, RECONCILE_SQL), "held_out_overlap": (held_out_overlap, HELD_SQL), "html_clean": (html_clean, HTML_SQL),
-    "nfkc_norm": (nfkc_norm, NFKC_SQL), "dialogue_keys": (dialogue_keys, DIALOGUE_SQL), "bpe_encode": (bpe_encode, None), "pack_sequences": (pack_sequences, None),
+    "nfkc_norm": (nfkc_norm, NFKC_SQL), "dialogue_keys": (dialogue_keys, DIALOGUE_SQL), "bpe_encode": (bpe_encode, None), "pack_sequences": (pack_sequences, PACK_SQL),
 }

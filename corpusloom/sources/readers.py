@@ -69,11 +69,15 @@ def arrow_metadata(path: str) -> dict[bytes, bytes]:
     return dict(pq.read_schema(path).metadata or {})
 
 
-def sqlite_table(spark: SparkSession, path: str, query: str, limit: int = 100_000) -> DataFrame:
-    """At most `limit` rows of a read-only query of the driver's sqlite file; more is an error, not a cut."""
+def sqlite_table(spark: SparkSession, path: str, query: str, limit: int = 100_000, seconds: float = 15.0) -> DataFrame:
+    """At most `limit` rows of a read-only query of the driver's sqlite file; more rows, or more time than
+    `seconds`, is an error, not a cut."""
     import sqlite3
+    import time
 
     con = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    end = time.monotonic() + seconds
+    con.set_progress_handler(lambda: int(time.monotonic() > end), 10_000)
     try:
         rows = pd.read_sql_query(f"SELECT * FROM ({query}) LIMIT {limit + 1}", con)
     finally:

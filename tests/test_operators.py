@@ -218,3 +218,40 @@ def test_bpe_pieces_equal_the_library():
         assert len(counts) == j - i
         got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
     assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_sqlite_bounds(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "t.db")
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE t (a INTEGER, b TEXT)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", [(i, f"x{i}") for i in range(5)])
+    con.commit()
+    con.close()
+    assert rows(readers.sqlite_table(spark, path, "SELECT * FROM t"), "a") == [(i, f"x{i}") for i in range(5)]
+    with pytest.raises(ValueError):
+        readers.sqlite_table(spark, path, "SELECT * FROM t", limit=4)
+    with pytest.raises(Exception, match="interrupted"):
+        readers.sqlite_table(spark, path, "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r) SELECT max(n) FROM r", seconds=0.2)
+
+
+def test_sampled_rows_equal_plain_draws(spark):
+    """Rows drawn with replacement, against the rule record by record."""
+    from hashlib import sha256
+
+    recs = [("a", i, list(range(1 + i * 37 % 300)), 1) for i in range(50)] + [("b", i, [1] * 1000, 3) for i in range(3)] + [("a", 99, [0] * 2000, 0)]
+    got = {(r.source, r.row): r for r in splits.pack(spark.createDataFrame(recs, "source string, ord long, ids array<int>, answer_start int"), rows=7).collect()}
+    for source, own in (("a", [r for r in recs if r[0] == "a" and len(r[2]) <= 1025]), ("b", [r for r in recs if r[0] == "b"])):
+        for number in range(7):
+            held, size = [], 0
+            for draw in range(splits.DRAWS):
+                r = own[int(sha256(f"pack-1:{source}:{number}:{draw}".encode()).hexdigest()[:12], 16) % len(own)]
+                if size + len(r[2]) > 1025:
+                    break
+                held.append(r[1])
+                size += len(r[2])
+            g = got[source, number]
+            assert (g.records, g.used, len(g.ids), sum(g.real_mask)) == (held, size, 1025, size)
+    with pytest.raises(ValueError):
+        splits.pack(spark.createDataFrame([("c", 1, [0] * 2000, 0)], "source string, ord long, ids array<int>, answer_start int"), rows=1)
