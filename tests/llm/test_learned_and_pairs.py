@@ -157,6 +157,14 @@ def test_vectors_of_repeated_ids_and_extreme_lengths(spark, monkeypatch, longest
         assert got == want
 
 
+def test_vectors_with_ties(spark, monkeypatch):
+    """Vectors as near to one pivot as to another, and copies in several lengths, take pivots in their order."""
+    monkeypatch.setattr(pivot_index, "LEAST_PIVOTS", 4)
+    rows = [(i, [float(b) for b in f"{i % 32:05b}"], 0) for i in range(1, 64)] + [(100 + i, [2.0 * int(b) for b in f"{i:05b}"], 0) for i in range(1, 32)]
+    got = sorted((str(x.vec_id), x.n_links, str(x.component_id)) for x in pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == brute_vectors(rows)
+
+
 def test_vectors_empty(spark):
     assert pivot_index.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -195,6 +203,13 @@ def test_pieces_cache_is_emptied(monkeypatch):
     assert plain() == want
 
 
+def test_pieces_of_null_and_repeated_ids(spark):
+    rows = [(None, "one two"), (None, None), (3, "one two"), (3, "one two"), (3, "other\ntext")]
+    d = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, ids string")
+    got = sorted((str(r.doc_id), r.decoded, len(r.ids)) for r in piece_codec.encode(d, ids=True).collect())
+    assert [g[:2] for g in got] == sorted((str(k), t or "") for k, t in rows) and min(g[2] for g in got) == 1
+
+
 def test_pieces_of_very_long_words():
     import sentencepiece
 

@@ -55,6 +55,19 @@ def test_context_on_both_sides(spark):
     assert pii.redact(docs(spark, [(1, rows[0])])).first().text == "SSN: [SSN], [SSN], [SSN]"
 
 
+def test_license_bodies_and_lowering(spark):
+    label, body, _ = license_index.BODIES[1]
+    words = body.split()
+    cut = " ".join(words[: len(words) // 2])  # its second key phrase is missing
+    other = " ".join("of" if w in ("fee", "disclaims") else w for w in words)
+    kelvin = "BU\u212a under the MIT license, under the M\u0130T license"
+    got = {r.doc_id: r for r in license_index.scan(docs(spark, [(1, "Copyright X. " + body.upper()), (2, cut), (3, other), (4, kelvin), (5, "b" + body[1:])])).collect()}
+    assert got[1].labels == label and got[1].score == 1.0 and got[1].n_base == 0
+    assert got[3].labels == label and 0.9 < got[3].score < 1 and (got[2].labels, got[2].score) == (label, 1.0)  # by its notice
+    assert (got[4].n_base, got[4].first_word, got[4].n_words) == (1, 1, 9)
+    assert got[5].labels == "" and got[5].score == 0
+
+
 def test_license_places_and_labels(spark):
     rows = [(1, "Under the MIT License, under the mit license"), (2, "Apache-License, Version 2.0 CC BY-NC"), (3, None), (4, ""), (5, "Permission is hereby granted, free of charge, to any"), (6, "mit mit mit license"), (6, "cc by nc")]
     got = sorted(license_index.scan(docs(spark, rows)).collect())
@@ -153,6 +166,22 @@ def test_pii_reads_across_blocks(spark, monkeypatch):
     assert want == (sorted(map(tuple, pii.scan(d).collect())), sorted((r.doc_id, r.text) for r in pii.redact(d).collect()))
 
 
+def test_long_texts(spark):
+    """Texts of 200,000 words: places, counts and copies are those of the whole text."""
+    n = 200_000
+    words = [f"w{'abcdefghij'[i % 10]}{i}" for i in range(n)]
+    words[5:9] = ["under", "the", "MIT", "License"]
+    words[n - 4 :] = "apache license version 2".split()
+    text = " ".join(words)
+    r = license_index.scan(docs(spark, [(1, text)])).first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (n, 2, 5, n - 4, "apache-2,mit")
+    q = {x.doc_id: x for x in quality_rules.measure(docs(spark, [(1, text, "en"), (2, "again and again " * 50_000, "en")])).collect()}
+    assert (q[1].q_n_words, q[1].q_n_repeat_words, q[1].q_word_chars) == (n, 0, len(text) - n + 1)
+    assert (q[2].q_n_words, q[2].q_n_repeat_words, q[2].q_base_failed) == (150_000, 150_000, True)
+    out = poisson_mix.mix(docs(spark, [(1, text, "en", "a")] * 3), total_rows=30).collect()
+    assert out and all(x.text == text for x in out) and {x.copy for x in out} == set(range(len(out) // 3))
+
+
 @pytest.mark.parametrize("scan", [license_index.scan, pii.scan, quality_rules.measure])
 def test_empty_tables(spark, scan):
     assert scan(docs(spark, []).limit(0)).count() == 0
