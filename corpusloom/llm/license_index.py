@@ -149,9 +149,18 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     lowered = _lowered(F.coalesce(F.col(text), F.lit("")))
     w = docs.select(key, F.array_remove(F.split(lowered, SPLIT), "").alias("words"))
     w = w.select(key, "words", F.size("words").cast("bigint").alias("n_words"), F.filter(F.transform("words", lambda x, i: F.when(x.isin(indexed), F.struct(i.alias("i"), x.alias("w")))), lambda x: x.isNotNull()).alias("places"))
-    # a text without an indexed word is not looked at again
+    # a template is looked at only where the file has enough of its rare words
     none = F.array().cast("array<int>")
-    w = w.select(key, "words", "n_words", *[F.when(F.size("places") > 0, _starts(t, F.col("places"), F.col("words"))).otherwise(none).alias(f"s{i}") for i, t in enumerate(index)])
+    w = w.withColumn("found", F.array_distinct(F.transform("places", lambda x: x["w"])))
+
+    def possible(t):
+        rare = sorted({t["words"][p] for p in t["rare"]})
+        if len(rare) == 1:
+            return F.array_contains("found", rare[0])
+        return F.size(F.array_intersect("found", F.array(*[F.lit(x) for x in rare]))) >= max(1, t["need"] - (len(t["rare"]) - len(rare)))
+
+    some = [F.when((F.size("found") > 0) & possible(t), _starts(t, F.col("places"), F.col("words"))).otherwise(none).alias(f"s{i}") for i, t in enumerate(index)]
+    w = w.select(key, "words", "n_words", *some)
     base = [F.col(f"s{i}") for i, t in enumerate(index) if t["base"]]
     share = [F.lit(1.0) if t["base"] else _share(t, F.col(f"s{i}"), F.col("words")) for i, t in enumerate(index)]
     label = lambda keep: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(f"s{i}") > 0, F.lit(t["label"])) for i, t in enumerate(index) if t["base"] or not keep])))), ",")
