@@ -185,24 +185,28 @@ def score_general(source, generated, answer, answers=None, choices=None, origina
     )
 
 
-def grade(kind, answer, reference, choices, source=None, legacy: dict | None = None) -> Column:
-    """Struct (status, correct) of a response under its contract.
+def legacy_form(source, content) -> Column:
+    """The content of a contract put back into the form that its source's scorer reads."""
+    s, got = _c(source), _c(content)
+    return F.when(s == "gsm8k", F.concat(F.lit("#### "), got)).when(s == "math", F.concat(F.lit("\\boxed{"), got, F.lit("}"))).when(s.isin("aqua_rat", "qasc"), F.concat(F.lit("Answer: "), got)).otherwise(got)
 
-    legacy_proxy: the content is put back into its source's form and scored by score_general(); `legacy` gives that
-    function's arguments but for the response.
+
+def grade(kind, content, reference, choices, metric=None) -> Column:
+    """Struct (status, correct) of a response by the content of its contract, contract_line().
+
+    legacy_proxy: by `metric`, score_general() of legacy_form(). Content and metric are best columns of their own, so that
+    they are computed once.
     """
     k = _c(kind)
     verdict = lambda status, ok=None: F.struct(F.lit(status).alias("status"), F.lit(ok).cast("boolean").alias("correct"))
     decided = lambda ok: F.struct(F.when(ok, "correct").otherwise("incorrect").alias("status"), F.coalesce(ok, F.lit(False)).alias("correct"))
-    got, bad = contract_line(answer), verdict("format_error", False)
+    got, bad = _c(content), verdict("format_error", False)
     letters = F.transform(_c(choices), lambda _, i: F.chr((i + 65).cast("bigint")))
     out = F.when(k == "external", verdict("unscored_external_grader_required")).when(got.isNull(), bad)
     out = out.when((k == "choice") & ~F.coalesce(F.array_contains(letters, got), F.lit(False)), bad).when(k == "choice", decided(got == _c(reference)))
     out = out.when((k == "number") & number(got).isNull(), bad).when(k == "number", decided(number(got) == number(reference)))
-    if legacy is not None:
-        s = _c(source)
-        wrapped = F.when(s == "gsm8k", F.concat(F.lit("#### "), got)).when(s == "math", F.concat(F.lit("\\boxed{"), got, F.lit("}"))).when(s.isin("aqua_rat", "qasc"), F.concat(F.lit("Answer: "), got)).otherwise(got)
-        m = score_general(s, wrapped, **legacy)
+    if metric is not None:
+        m = _c(metric)
         judged = F.when(~F.coalesce(m["reference_parseable"], F.lit(True)), verdict("unscored_invalid_reference")).when(m["correct"].isNull(), verdict("unscored_external_grader_required")).otherwise(decided(m["correct"]))
         out = out.when(k == "legacy_proxy", judged)
     folded = lambda c: T.collapse(T.casefold(c))

@@ -37,13 +37,15 @@ def listed(columns: dict[str, str], rows: list[tuple]) -> str:
     return f"SELECT n::INTEGER AS n, {names} FROM (VALUES {values}) t(n, {names})"
 
 
-def cases(name: str, arguments: dict[str, str], results: dict[str, str], rows: list[tuple], build: Callable[[], dict[str, Column]]) -> None:
-    """Register a query of the cases `rows` (arguments, then results)."""
+def cases(name: str, arguments: dict[str, str], results: dict[str, str], rows: list[tuple], build: Callable[[], dict[str, Column]], *before: Callable[[], dict[str, Column]]) -> None:
+    """Register a query of the cases `rows` (arguments, then results); before: columns that the results are made of, in steps."""
     k = len(arguments)
     ddl = ", ".join(["n int", *[f"{c} {t}" for c, t in arguments.items()]])
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
         d = spark.createDataFrame([(i, *r[:k]) for i, r in enumerate(rows)], ddl)
+        for step in before:
+            d = d.withColumns(step())
         out = build()
         return d.select("n", *[out[c].cast(t).alias(c) for c, t in results.items()])
 
@@ -80,7 +82,10 @@ cases(
         ("legacy_proxy", "\\frac{1} {2}", "\\boxed{\\frac{1}{2}}", None, "math", "correct", True), ("legacy_proxy", "b) 3", "Answer: B) 3", None, "aqua_rat", "correct", True), ("legacy_proxy", "B", "x", _W, "arc", "correct", True),
         ("legacy_proxy", "x = 1", "x = 1", None, "apps", "unscored_external_grader_required", None), ("legacy_proxy", "a\nb", "a", None, "boolq", "format_error", False),
     ],
-    lambda: {c: G.grade("kind", "answer", "reference", "choices", "source", {"answer": "reference", "choices": "choices"})[c] for c in ("status", "correct")},
+    lambda: {c: F.col("verdict")[c] for c in ("status", "correct")},
+    lambda: {"content": G.contract_line("answer")},
+    lambda: {"metric": G.score_general("source", G.legacy_form("source", "content"), "reference", choices="choices")},
+    lambda: {"verdict": G.grade("kind", "content", "reference", "choices", "metric")},
 )
 
 cases(

@@ -216,7 +216,7 @@ def rescored(spark, sf):
     """J4."""
     results = _frame(spark, "source string, id string, generated string, status string", ("a", "1", "yes", "correct"), ("a", "2", "no", "correct"), ("b", "1", "x\ny", None), ("c", "9", "x", "correct"))
     tasks = _frame(spark, "source string, id string, kind string, reference string, choices array<string>", ("a", "1", "text", "Yes", None), ("a", "2", "text", "yes", None), ("b", "1", "text", "x", None))
-    return grading.rescore(results, tasks, grading.grade("kind", "generated", "reference", "choices")["status"])
+    return grading.rescore(results, tasks, grading.grade("kind", grading.contract_line("generated"), "reference", "choices")["status"])
 
 
 @gives("source string, id string, metric string", ("gsm8k", "2", "final_answer_match"), ("go_emotions", "3", "emotion_label_set_exact_and_f1"))

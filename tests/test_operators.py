@@ -73,7 +73,7 @@ def test_boxed(spark, text, want):
 @pytest.mark.parametrize("kind,answer,ref,want", [("number", "4.00", "4", ("correct", True)), ("number", "4 meters", "4", ("format_error", False)), ("text", "a\nb", "b", ("format_error", False)), ("text", "why\nFinal answer: Blue", "blue", ("correct", True)), ("choice", "(B)", "B", ("format_error", False)), ("choice", "B", "B", ("correct", True)), ("choice", "Q", "B", ("format_error", False)), ("external", "x", "y", ("unscored_external_grader_required", None)), ("text", "Final answer: a\nFinal answer: b", "b", ("format_error", False))])
 def test_grade(spark, kind, answer, ref, want):
     d = spark.createDataFrame([(kind, answer, ref, ["x", "y"])], "k string, a string, r string, c array<string>")
-    assert tuple(d.select(grading.grade("k", "a", "r", "c")).first()[0]) == want
+    assert tuple(d.select(grading.grade("k", grading.contract_line("a"), "r", "c")).first()[0]) == want
 
 
 def test_arithmetic_equals_python():
