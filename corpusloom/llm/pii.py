@@ -233,3 +233,44 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def sql() -> str:
+    """The same result stated relationally: matches of the plain patterns, placed by the lengths of what is between them.
+
+    Identity numbers are whole runs of digits and hyphens, IBANs start where a run of letters and digits does.
+    """
+    patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+){3}", r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]", "[A-Za-z0-9]+", "[0-9-]+"]
+    score = lambda kind: 0.9 if kind in CHECKED else 0.4 if kind == "ssn" else 0.6
+    kinds = ", ".join(f"('{k}', {i}, '{p}', {score(k)}::DOUBLE, '\\b(?:{w})')" for (i, (k, _, _, w)), p in zip(enumerate(KINDS), patterns, strict=True))
+    known = "|".join(IBANS.values())
+    sized = "|".join(rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBANS.items())
+    return rf"""
+WITH k(kind, rank, pat, base, words) AS (VALUES {kinds}),
+d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+x AS (SELECT r, t, kind, rank, base, words, regexp_extract_all(t, pat) AS ms, list_transform(string_split_regex(t, pat), lambda g: length(g)) AS gs FROM d, k),
+y AS (SELECT * EXCLUDE (ms, gs), ms[i] AS m, (list_sum(gs[1 : i]) + coalesce(list_sum(list_transform(ms[1 : i - 1], lambda w: length(w))), 0))::BIGINT AS start
+      FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM x)),
+i AS (SELECT * REPLACE (CASE WHEN kind <> 'iban' THEN m WHEN NOT regexp_matches(m, '^[A-Z]{{2}}[0-9]{{2}}') THEN ''
+             WHEN regexp_matches(m, '^(?:{known})') THEN regexp_extract(substr(t, start + 1, {REACH}), '^({sized})(?:[^A-Za-z0-9]|$)', 1)
+             ELSE regexp_extract(substr(t, start + 1, {REACH}), '^([A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}})(?:[^A-Za-z0-9]|$)', 1) END AS m) FROM y),
+n AS (SELECT *, start + length(m) AS stop, regexp_replace(m, '[^0-9]', '', 'g') AS digits, replace(m, ' ', '') AS bare FROM i WHERE m <> ''),
+v AS (SELECT *, array_to_string(list_transform(string_split(substr(bare, 5) || substr(bare, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END), '') AS s FROM n),
+w AS (SELECT *, CASE WHEN kind = 'iban' THEN TRY_CAST(substr(s, 1, 30) AS HUGEINT) % 97 END AS r1 FROM v),
+z AS (SELECT *, CASE WHEN kind = 'iban' THEN ((r1 || substr(s, 31, 30))::HUGEINT % 97) END AS r2 FROM w),
+c AS (SELECT * FROM z WHERE CASE kind
+  WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda x: coalesce(TRY_CAST(x AS HUGEINT), 999) > 255)) = 0
+  WHEN 'card' THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda j: CASE WHEN j % 2 = 1 THEN substr(digits, length(digits) - j + 1, 1)::INT
+       WHEN substr(digits, length(digits) - j + 1, 1)::INT > 4 THEN 2 * substr(digits, length(digits) - j + 1, 1)::INT - 9 ELSE 2 * substr(digits, length(digits) - j + 1, 1)::INT END)) % 10 = 0
+  WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+  WHEN 'iban' THEN length(bare) BETWEEN 15 AND 34 AND (r2 || substr(s, 61, 30))::HUGEINT % 97 = 1
+  WHEN 'ssn' THEN regexp_matches(m, '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$') ELSE true END),
+g AS (SELECT *, round(least(1.0::DOUBLE, base + CASE WHEN regexp_matches(lower(substr(t, greatest(start - {NEAR}, 0) + 1, start - greatest(start - {NEAR}, 0))), words)
+             OR regexp_matches(lower(substr(t, stop + 1, {NEAR})), words) THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END), 2) AS score FROM c),
+f AS (SELECT * FROM g WHERE kind IN ('email', 'ip', 'card', 'phone') OR score >= {LEAST}),
+a AS (SELECT * FROM f WHERE kind <> 'iban' OR NOT EXISTS (SELECT 1 FROM f o WHERE o.r = f.r AND o.kind = 'iban' AND o.start < f.start AND o.stop > f.start)),
+h AS (SELECT r, {', '.join(f"count(*) FILTER (rank = {i}) AS n_{k}" for i, (k, *_) in enumerate(KINDS))}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < {len(BASE)}) AS own, max(score) AS max_score FROM a GROUP BY r)
+SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in KINDS)}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(max_score, 0.0::DOUBLE) AS max_score
+FROM d LEFT JOIN h USING (r)
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 SQL = {
     "op1_license_scan": license_index.sql(),
+    "op4_pii": pii.sql(),
     "op5_quality_rules": quality_rules.sql(),
     "op6_pivot_index": pivot_index.SQL,
     "op7_poisson_mix": poisson_mix.SQL,
