@@ -106,6 +106,22 @@ def paired_files(spark, sf):
     return converters.pair_ordered(_frame(spark, "ordinal int, text string", (0, "a"), (1, "b")), _frame(spark, "ordinal int, label string", (1, "y"), (0, "x")))
 
 
+@gives("rows bigint, keys string", (3, "a,b"))
+def counted_and_projected(spark, sf):
+    """The number of rows without reading a column, and one column as a set."""
+    path = _folder(spark)
+    _frame(spark, "k string, v int", ("a", 1), ("b", 2), ("a", 3)).write.parquet(path)
+    keys = readers.parquet(spark, path, ["k"]).agg(F.array_join(F.sort_array(F.collect_set("k")), ",").alias("keys"))
+    return keys.withColumn("rows", F.lit(readers.row_count(spark, path)))
+
+
+@gives("id string, v string", ("123456789012345678901234567890", "1,22222222222222222222"), (None, None))
+def json_big_integers(spark, sf):
+    """integers of any size stay as they are written."""
+    d = _frame(spark, "t string", ('{"id": 123456789012345678901234567890, "v": [1, 22222222222222222222]}',), ("not json",))
+    return d.select(F.from_json("t", "struct<id:string,v:array<string>>").alias("j")).select("j.id", F.array_join("j.v", ",").alias("v"))
+
+
 # ---- sinks ----------------------------------------------------------------------------------------------------------
 @gives("source string, split string, ord bigint, text string", ("a", "dev", 1, "é\n"), ("a", "train", 2, ""), ("b", "train", 3, None))
 def partitioned_round_trip(spark, sf):
@@ -115,6 +131,26 @@ def partitioned_round_trip(spark, sf):
     return readers.parquet(spark, path)
 
 
+@gives("source string, ord bigint, ids string, answer_start int, token_offset bigint, token_length bigint", ("a", 0, "1,9,3", 2, 0, 3), ("a", 1, "9,4", 1, 3, 2), ("b", 0, "7,9", 2, 0, 2))
+def token_store_round_trip(spark, sf):
+    """Ids with the place of the answer and the running offset, written and read back; V6 finds no difference."""
+    d = _frame(spark, "source string, split string, ord long, ids array<int>", ("a", "train", 0, [1, 9, 3]), ("a", "train", 1, [9, 4]), ("b", "train", 0, [7, 9]))
+    d = d.withColumn("answer_start", K.answer_start(F.col("ids"), 9)).withColumn("token_length", F.size("ids").cast("bigint"))
+    d = splits.offsets(d, ["source", "split"], "token_length", ["ord"])
+    path = _folder(spark)
+    sinks.token_store(d, path)
+    back = readers.parquet(spark, path)
+    back = back.join(audit.mask_differs(back, d).select("source", "ord"), ["source", "ord"], "left_anti")
+    return back.withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
+
+
+@gives("source string, ord bigint", ("a", 1), ("b", 5))
+def stored_ids_differ(spark, sf):
+    """V6: records whose stored ids or answer start are not those of encoding anew, or that are missing."""
+    ddl = "source string, ord long, ids array<int>, answer_start int"
+    return audit.mask_differs(_frame(spark, ddl, ("a", 0, [1, 2], 1), ("a", 1, [1, 2], 1)), _frame(spark, ddl, ("a", 0, [1, 2], 1), ("a", 1, [1, 2], 2), ("b", 5, [1], 0)))
+
+
 @gives("x int, t string", (1, "é \"q\"\n"), (2, None))
 def json_round_trip(spark, sf):
     """K1/S5."""
@@ -425,6 +461,28 @@ def answer_matches(spark, sf):
     return d.select("a", scoring.exact("a", F.lit("paris ")).alias("same"), scoring.any_match("a", refs).alias("known"), scoring.best_f1("a", refs).alias("best"), grading.choice_of("a", choices).alias("choice"))
 
 
+@gives("t string, plain string, folded string, asked string, contract string", ("  The ﬁne,  STRASSE ß ", "the ﬁne, strasse ß", "the fine, strasse ss", "ﬁne strasse ß", "the fine, strasse ss"), ("A\u00a0b an  the. x", "a b an the. x", "a b an the. x", "b x", "a b an the. x"), ("", "", "", "", ""))
+def normal_forms(spark, sf):
+    """F2/F16: the four normalizers differ on purpose."""
+    texts = ("  The ﬁne,  STRASSE ß ", "A\u00a0b an  the. x", "")
+    return _frame(spark, "t string", *[(x,) for x in texts]).select("t", T.normal("t").alias("plain"), T.norm("t").alias("folded"), T.qa("t").alias("asked"), T.contract("t").alias("contract"))
+
+
+@gives("t string, same boolean, shown string", ("Passage: A  b\n\nQuestion: q", True, "A. x\nB. y"), ("Premise: c\nHypothesis: h", False, "A. x\nB. y"), ("none", None, "A. x\nB. y"))
+def context_keys(spark, sf):
+    """the key of a prompt's context, and lettered choices."""
+    markers = [("Passage: ", "\n\nQuestion:"), ("Premise: ", "\nHypothesis:")]
+    d = _frame(spark, "t string", ("Passage: A  b\n\nQuestion: q",), ("Premise: c\nHypothesis: h",), ("none",))
+    return d.select("t", (T.context_key("t", markers) == T.digest(F.lit("a b"))).alias("same"), T.lettered(F.array(F.lit("x"), F.lit("y"))).alias("shown"))
+
+
+@gives("a string, same boolean", ("x = 1", True), ("x=1  # one", True), ("x = 2", False), ("x = (", None))
+def program_keys(spark, sf):
+    """equal syntax trees have equal keys; what does not parse has none."""
+    d = _frame(spark, "a string", ("x = 1",), ("x=1  # one",), ("x = 2",), ("x = (",))
+    return d.select("a", (T.code_key(F.col("a")) == T.code_key(F.lit("x = 1"))).alias("same"))
+
+
 @gives("t string, within boolean, answer_at int, mask string, one boolean", ("a", True, 2, "0,0,1", True), ("bcdef", False, 1, "0,1,1", False), ("gh", True, None, "0,0", False))
 def record_checks(spark, sf):
     """Bytes within a bound, the answer mask, exactly one delimiter (token 9)."""
