@@ -12,7 +12,9 @@ Memory is bounded: blocks of BLOCK_BYTES bytes (or one longer text), and a cache
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -28,6 +30,10 @@ _ASCII_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _OTHER = ~_ASCII_SPACE & ~_LETTER & (np.arange(256) > 32) & (np.arange(256) < 127)
+#: The character that stands for each byte: itself where it can be printed, else the next one from 256 on.
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_SHOWN = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_WORD = re.compile("\x20?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
@@ -75,6 +81,11 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cutter = spec["pre_tokenizer"] or {}
+        #: Whether the file is byte-level BPE with the usual pattern and nothing before it; other files encode whole texts.
+        self.cuts = spec["normalizer"] is None and cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True) and spec["model"]["type"] == "BPE"
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self._forget()
 
@@ -83,8 +94,19 @@ class PieceEncoder:
         self.pool, self.held = np.zeros(1 << 16, np.uint32), 0
         self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
+    def _ids(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each piece.
+
+        A run of Latin letters, after a space or not, is one match of the pattern, so the library's model takes its bytes at
+        once (in the characters that stand for them); other pieces go through the whole tokenizer.
+        """
+        words = list(map(_WORD, pieces))
+        merged = self.tok.model.tokenize
+        rest = iter(self.tok.encode_batch_fast([p for p, w in zip(pieces, words, strict=True) if w is None], add_special_tokens=False))
+        return [next(rest).ids if w is None else [t.id for t in merged(p.encode().decode("latin-1").translate(_SHOWN))] for p, w in zip(pieces, words, strict=True)]
+
     def _learn(self, pieces: list[str]) -> None:
-        ids = [e.ids for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+        ids = self._ids(pieces)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         n, total = len(self.codes), int(sizes.sum())
         for name, need in (("pool", self.held + total), ("start", n + len(ids)), ("count", n + len(ids))):
@@ -125,11 +147,11 @@ class PieceEncoder:
         if not len(flat):
             return none, np.zeros(len(bounds) - 1, np.int64)
         raw = flat.tobytes()
-        if not any(s in raw for s in self.special):
+        if self.cuts and not any(s in raw for s in self.special):
             return self._plain(flat, bounds)
         out, counts = [], []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if any(s in raw[a:b] for s in self.special):
+            if not self.cuts or any(s in raw[a:b] for s in self.special):
                 out.append(np.array(self.tok.encode(raw[a:b].decode(), add_special_tokens=False).ids, np.uint32))
             else:
                 out.append(self._plain(flat[a:b], np.array([0, b - a]))[0] if b > a else none)

@@ -213,11 +213,18 @@ def test_bpe_pieces_equal_the_library():
     r = np.random.default_rng(1)
     letters = [*"ab1.'s&%,", "\n", "\t", "é", "“", "<|endoftext|>", "中", "\u0085", " ", "　", "×", "ß", "º", "\x1c", "😀", " ", " ", " "]
     texts = [None, "", " ", "\n", "isn't we'll 's a1b2,c&&d", *("".join(r.choice(letters, r.integers(0, 40))) for _ in range(800)), "long " * 50_000]
-    got = []
-    for i, j, ids, counts in bpe.encode_array(pa.array(texts, pa.string()), default_tokenizer()):
-        assert len(counts) == j - i
-        got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
-    assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    def check(path, tok, texts):
+        got = []
+        for i, j, ids, counts in bpe.encode_array(pa.array(texts, pa.string()), path):
+            assert len(counts) == j - i
+            got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+    check(default_tokenizer(), tok, texts)
+    import public_tokenizers
+
+    other = public_tokenizers.path("word_bpe_49k.json")  # lower case, white space dropped: texts are encoded whole
+    check(other, Tokenizer.from_file(other), texts[:200])
 
 
 def test_sqlite_bounds(spark, tmp_path):
