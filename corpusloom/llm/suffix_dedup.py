@@ -253,7 +253,7 @@ def bucket_pointers(flat: np.ndarray, length: int = WINDOW) -> np.ndarray:
     gram = np.zeros(n, np.uint64)
     for k in range(8):
         gram[: n - k] |= flat[k:].astype(np.uint64) << np.uint64(8 * (7 - k))
-    places = np.argsort(gram, kind="stable")
+    places = np.argsort(gram)
     fresh = np.concatenate([[True], gram[places[1:]] != gram[places[:-1]]])
     begin = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     pointer = np.empty(n + length, np.int64)
@@ -268,7 +268,7 @@ def bucket_pointers(flat: np.ndarray, length: int = WINDOW) -> np.ndarray:
         if not len(places):
             break
         by = pointer[places + later]
-        order = np.lexsort((by, begin))  # buckets stay where they are, their suffixes are sorted
+        order = np.argsort(begin * (n + 1) + by + 1)  # buckets stay where they are, their suffixes are sorted
         places, begin, by = places[order], begin[order], by[order]
         edge = np.concatenate([[True], begin[1:] != begin[:-1]])
         fresh = edge | np.concatenate([[True], by[1:] != by[:-1]])
