@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, license_index, minhash_join, pfor_store, pii, piece_codec, pivot_index, poisson_mix, quality_rules, suffix_dedup
+from . import byte_cnn, license_index, minhash_join, pfor_store, pii, piece_codec, pivot_index, poisson_mix, quality_rules, rank_routing, suffix_dedup, two_pass_shuffle
 
 QUERIES = {
     "op1_license_scan": license_index.op1_license_scan,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_minhash_join": minhash_join.op8_minhash_join,
     "op9_piece_codec": piece_codec.op9_piece_codec,
     "op10_pfor_store": pfor_store.op10_pfor_store,
+    "op11_two_pass_shuffle": two_pass_shuffle.op11_two_pass_shuffle,
+    "op13_rank_routing": rank_routing.op13_rank_routing,
 }
 SQL = {
     "op1_license_scan": license_index.sql(),
@@ -23,4 +25,6 @@ SQL = {
     "op6_pivot_index": pivot_index.SQL,
     "op7_poisson_mix": poisson_mix.SQL,
     "op8_minhash_join": minhash_join.SQL,
+    "op11_two_pass_shuffle": two_pass_shuffle.SQL,
+    "op13_rank_routing": rank_routing.SQL,
 }
