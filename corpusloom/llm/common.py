@@ -31,11 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at a table that outlives any executor."""
+def materialize(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends at a table that outlives any executor.
+
+    partition: a column of few values that is made to folders, so that a filter on it reads only those.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpusloom_path = path
     return out
@@ -56,8 +59,8 @@ class Scratch:
     def __init__(self):
         self.made: list[DataFrame] = []
 
-    def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        self.made.append(materialize(df, name))
+    def __call__(self, df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
+        self.made.append(materialize(df, name, partition))
         return self.made[-1]
 
     def drop(self, *keep: DataFrame) -> None:

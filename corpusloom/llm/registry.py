@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, license_index, minhash_join, pfor_store, pii, piece_codec, pivot_index, poisson_mix, quality_rules, rank_routing, suffix_dedup, two_pass_shuffle
+from . import byte_cnn, license_index, minhash_join, pfor_store, pii, piece_codec, pivot_index, poisson_mix, quality_rules, rank_routing, suffix_dedup, tiered_search, two_pass_shuffle
 
 QUERIES = {
     "op1_license_scan": license_index.op1_license_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_piece_codec": piece_codec.op9_piece_codec,
     "op10_pfor_store": pfor_store.op10_pfor_store,
     "op11_two_pass_shuffle": two_pass_shuffle.op11_two_pass_shuffle,
+    "op12_tiered_search": tiered_search.op12_tiered_search,
     "op13_rank_routing": rank_routing.op13_rank_routing,
 }
 SQL = {
@@ -26,5 +27,6 @@ SQL = {
     "op7_poisson_mix": poisson_mix.SQL,
     "op8_minhash_join": minhash_join.SQL,
     "op11_two_pass_shuffle": two_pass_shuffle.SQL,
+    "op12_tiered_search": tiered_search.SQL,
     "op13_rank_routing": rank_routing.SQL,
 }
