@@ -5,12 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType
 
 from corpusloom.session import table
 
-__all__ = ["shared_dir", "materialize", "drop_path", "table", "text_of", "rows_bounded", "small_side", "Scratch"]
+__all__ = ["shared_dir", "materialize", "drop_path", "table", "text_of", "rows_bounded", "small_side", "Scratch", "row_digest", "repeated", "numbered"]
 
 _OWN: list[str] = []
 
@@ -83,3 +84,44 @@ def rows_bounded(df: DataFrame, limit: int) -> bool:
 def small_side(df: DataFrame, limit: int) -> DataFrame:
     """A side of a join: broadcast if it has at most limit rows, else left to a shuffled join. df should be a written table."""
     return F.broadcast(df) if rows_bounded(df, limit) else df
+
+
+#: Equal rows that are numbered in one task, and kinds of equal rows up to which they are broadcast.
+PART, BROADCAST_KINDS = 10_000, 200_000
+
+
+def row_digest(df: DataFrame) -> Column:
+    """MD5 of the MD5s of all columns; null is not the empty text."""
+
+    def one(f) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, MapType):
+            c = F.array_sort(F.map_entries(c))
+        nested = isinstance(f.dataType, ArrayType | MapType | StructType)
+        text = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}) if nested else c if isinstance(f.dataType, BinaryType) else c.cast("string")
+        return F.when(c.isNull(), F.lit("null")).otherwise(F.md5(text))
+
+    return F.md5(F.concat_ws(":", *map(one, df.schema.fields)))
+
+
+def repeated(keys: DataFrame, keep: Scratch) -> DataFrame | None:
+    """(digest, n) of the rows that keys (digest, ...) has more than once, or None if there are none."""
+    out = keep(keys.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated-rows")
+    return out if out.limit(1).count() else None
+
+
+def numbered(rows: DataFrame, some: DataFrame | None) -> DataFrame:
+    """rows with `k`, a number among rows of one digest from 0; some: what repeated() found.
+
+    Rows of one digest are equal, so one of them and their number stand for all; they are numbered in parts of PART, each
+    of which can be another task's.
+    """
+    if some is None:
+        return rows.withColumn("k", F.lit(0).cast("bigint"))
+    hot = small_side(some, BROADCAST_KINDS)
+    once = rows.join(hot.select("digest"), "digest", "left_anti").withColumn("k", F.lit(0).cast("bigint"))
+    many = rows.join(hot.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]).join(hot, "digest")
+    many = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PART)))).repartition("digest", "part")
+    ends = F.least(F.col("n"), (F.col("part") + 1) * PART) - 1
+    many = many.withColumn("k", F.explode(F.sequence(F.col("part") * PART, ends)))
+    return once.unionByName(many.drop("n", "part"))

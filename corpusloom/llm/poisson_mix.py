@@ -2,14 +2,14 @@
 
 Each source s gets the mean repetition rate  rate_s = T * w_s / (W * n_s)  (T: rows wanted, n_s: rows of the
 source). A document's count is the inverse of the Poisson distribution with that mean at a hash of
-(seed, doc_id, digest of the text), so it depends neither on partitioning nor on retries; documents are exploded by their
-counts and shuffled by a second hash of the same parts. Large means are drawn as sums of means of at most MAX_MEAN, which
+(seed, digest of the row, number among equal rows), so it depends neither on partitioning nor on retries; documents are
+exploded by their counts and shuffled by a second hash of the same parts. Large means are drawn as sums of means of at most MAX_MEAN, which
 is exact.
 
-Defined cases: null source is a source of its own; null doc_id hashes as the text "null"; rows that repeat a doc_id, or
-have none, are drawn and placed each by its own text; rows equal in doc_id and text get the same count and are placed by
-a hash of all their columns; null text hashes as the empty text, as does a table without a column text; weight 0 or a source without weight drops its rows; an empty table gives an empty table; extra
-columns pass through untouched (names clash only with `copy` and `shuffle_key`, which are replaced).
+Defined cases: null source is a source of its own; rows that repeat a doc_id, or have none, are drawn and placed each by
+all its columns; rows equal in every column are numbered, so that each is drawn and placed on its own; null text is not the
+empty text; weight 0 or a source without weight drops its rows; an empty table gives an empty table; extra columns pass
+through (names clash only with `copy` and `shuffle_key`, which are replaced).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import let
 
-from .common import materialize, rows_bounded, table
+from .common import Scratch, drop_path, materialize, numbered, repeated, row_digest, rows_bounded, table
 
 #: Poisson means above this are split into equal parts, each drawn on its own.
 MAX_MEAN = 200.0
@@ -65,11 +65,14 @@ def rate_table(docs: DataFrame, total_rows: int | None = None, weights: dict | N
 
 def mix_rows(docs: DataFrame, seed: str = "mix-1", total_rows: int | None = None, weights: dict | None = None, power: float = 0.5) -> DataFrame:
     """(row, copy, shuffle_key): each input row as a struct with its copy number (from 0) and its place in the order."""
-    rates = materialize(rate_table(docs, total_rows, weights, power), "mix-rates")
+    keep = Scratch()
     source = F.coalesce(F.col("source").cast("string"), F.lit("\u0000null"))
-    own = F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))) if "text" in docs.columns else F.md5(F.lit(""))
-    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), own)
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), source.alias("key"), name.alias("id"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source.alias("key"), row_digest(docs).alias("digest"))
+    keys = keep(keyed.select("digest", F.col("row.source").alias("source")), "mix-keys")
+    rates = materialize(rate_table(keys, total_rows, weights, power), "mix-rates")
+    some = repeated(keys, keep)
+    drop_path(keys)
+    keyed = numbered(keyed, some).select("row", "key", F.concat_ws(":", "digest", F.col("k").cast("string")).alias("id"))
     r = rates.select(F.col("source_key").alias("key"), "parts", "cdf")
     if rows_bounded(rates, BROADCAST_SOURCES):
         joined = keyed.join(F.broadcast(r), "key")
@@ -82,7 +85,7 @@ def mix_rows(docs: DataFrame, seed: str = "mix-1", total_rows: int | None = None
     out = counted.select("row", "id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
     order = F.sha2(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("id"), F.col("copy").cast("string")), 256)
     out = out.select("row", "copy", F.conv(F.substring(order, 1, 15), 16, 10).cast("bigint").alias("shuffle_key"))
-    return out.repartition(F.col("shuffle_key"), F.xxhash64("row")).sortWithinPartitions("shuffle_key", F.xxhash64("row"))
+    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def mix(docs: DataFrame, seed: str = "mix-1", total_rows: int | None = None, weights: dict | None = None, power: float = 0.5) -> DataFrame:
@@ -103,12 +106,11 @@ p AS (SELECT source, rate, greatest(1, ceil(rate / 200.0))::INT AS parts, rate /
 k AS (SELECT source, k, exp(-mean + k * ln(mean) - lgamma(k + 1)) AS pmf
       FROM (SELECT source, mean, unnest(range(0, ceil(mean + 12 * sqrt(mean) + 24)::BIGINT + 1)) AS k FROM p)),
 c AS (SELECT source, k, sum(pmf) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
-u AS (SELECT doc_id, d.source, lang, text,
-             ('0x' || substr(sha256('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
-      FROM (SELECT documents.*, unnest(range(0, parts)) AS j FROM documents JOIN p USING (source)) d),
-m AS (SELECT doc_id, u.source, lang, text, count(*) AS copies
-      FROM u JOIN c ON c.source = u.source AND c.cdf <= u.u GROUP BY ALL),
-x AS (SELECT doc_id, source, lang, text, unnest(range(0, copies))::INT AS copy FROM m)
-SELECT doc_id, source, lang, copy,
-       ('0x' || substr(sha256('mix-1:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) || ':' || copy), 1, 15))::BIGINT AS shuffle_key, text FROM x
+n AS (SELECT *, md5(concat_ws(':', coalesce(md5(doc_id::VARCHAR), 'null'), coalesce(md5(source), 'null'), coalesce(md5(lang), 'null'), coalesce(md5(text), 'null'))) AS digest FROM documents),
+i AS (SELECT doc_id, source, lang, text, digest || ':' || (row_number() OVER (PARTITION BY digest) - 1) AS id FROM n),
+u AS (SELECT id, d.source, ('0x' || substr(sha256('mix-1:' || id || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+      FROM (SELECT i.*, unnest(range(0, parts)) AS j FROM i JOIN p USING (source)) d),
+m AS (SELECT id, count(*) AS copies FROM u JOIN c ON c.source = u.source AND c.cdf <= u.u GROUP BY ALL),
+x AS (SELECT id, unnest(range(0, copies))::INT AS copy FROM m)
+SELECT doc_id, source, lang, copy, ('0x' || substr(sha256('mix-1:order:' || id || ':' || copy), 1, 15))::BIGINT AS shuffle_key, text FROM x JOIN i USING (id)
 """

@@ -8,7 +8,7 @@ their row counts are at most one apart (law `rows`), and a bucket lies in one or
 
 Only digests and sizes are shuffled to find the equal rows, the number of buckets (all bytes by BUCKET_BYTES, at least
 one for each shard) and where each bucket starts; the rows themselves move once. Rows equal in every column are kept as
-one row and a count until they are numbered, and numbered in parts of PART, so any number of them is spread like other rows.
+one row and a count until they are numbered, and numbered in parts (common.numbered), so any number of them is spread like other rows.
 
 Defined cases: null text has no bytes; rows that repeat a doc_id, or have none, are placed each by all its columns; equal
 rows are interchangeable and spread; a table with fewer rows than shards leaves shards empty; an empty table gives an
@@ -20,51 +20,21 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, MapType, StructType
+from pyspark.sql.types import LongType, StructType
 
-from .common import Scratch, drop_path, small_side, table
+from .common import Scratch, drop_path, numbered, repeated, row_digest, small_side, table
 
 SHARDS = 40
 SEED = "shuffle-1"
 #: Bytes of texts, and 16 for each row, that a bucket holds on average.
 BUCKET_BYTES = 32 << 20
-#: Equal rows that are numbered at once.
-PART = 10_000
 #: Buckets up to which their starts are broadcast.
 BROADCAST_BUCKETS = 200_000
 ROW_BYTES = 16
 
 
-def row_digest(df: DataFrame) -> Column:
-    """MD5 of the MD5s of all columns; null is not the empty text."""
-
-    def one(f) -> Column:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, MapType):
-            c = F.array_sort(F.map_entries(c))
-        nested = isinstance(f.dataType, ArrayType | MapType | StructType)
-        text = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}) if nested else c if isinstance(f.dataType, BinaryType) else c.cast("string")
-        return F.when(c.isNull(), F.lit("null")).otherwise(F.md5(text))
-
-    return F.md5(F.concat_ws(":", *map(one, df.schema.fields)))
-
-
-def _numbered(rows: DataFrame, repeated: DataFrame | None, seed: str) -> DataFrame:
-    """rows with `key`, the hash that places each: equal rows are numbered from 0, all others are number 0."""
-    place = lambda k: F.md5(F.concat_ws(":", F.lit(seed), F.col("digest"), k.cast("string")))
-    if repeated is None:
-        return rows.withColumn("key", place(F.lit(0))).drop("digest")
-    hot = small_side(repeated, BROADCAST_BUCKETS)
-    once = rows.join(hot, "digest", "left_anti").withColumn("key", place(F.lit(0)))
-    many = rows.join(hot.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]).join(hot, "digest")
-    many = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PART)))).repartition("digest", "part")
-    ends = F.least(F.col("n"), (F.col("part") + 1) * PART) - 1
-    many = many.withColumn("k", F.explode(F.sequence(F.col("part") * PART, ends))).withColumn("key", place(F.col("k")))
-    return once.drop("digest").unionByName(many.drop("digest", "n", "part", "k"))
-
-
 def _order(keys: list[str], seed: str, bucket: int) -> list[int]:
     """The rows of a bucket in shuffled order: sorted by key, then Fisher-Yates with hashed draws."""
     rows = sorted(range(len(keys)), key=keys.__getitem__)
@@ -82,12 +52,12 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, bucket_byte
     size = F.coalesce(F.octet_length(F.col(column)), F.lit(0)).cast("bigint") + ROW_BYTES
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), size.alias("size"), row_digest(docs).alias("digest"))
     keys = keep(rows.select("digest", "size"), "shuffle-keys")
-    repeated = keep(keys.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shuffle-repeated")
-    some = repeated if repeated.limit(1).count() else None
+    some = repeated(keys, keep)
+    place = F.md5(F.concat_ws(":", F.lit(seed), F.col("digest"), F.col("k").cast("string")))
     total = keys.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     buckets = max(shards, -(-(total["bytes"] or 0) // bucket_bytes))
     bucket = (F.conv(F.substring("key", 1, 15), 16, 10).cast("bigint") % buckets).alias("bucket")
-    counts = _numbered(keys, some, seed).groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
+    counts = numbered(keys, some).withColumn("key", place).groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))  # a row a bucket
     starts = keep(counts.select("bucket", F.coalesce(before, F.lit(0)).alias("start")), "shuffle-starts")
 
@@ -97,7 +67,7 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, bucket_byte
         held = t.select(["row", "size"]).take(pa.array(order, pa.int64()))
         return held.append_column("bucket", pa.array([b] * len(order), pa.int64())).append_column("place", pa.array(range(len(order)), pa.int64()))
 
-    scattered = _numbered(rows, some, seed).select("row", "size", "key", bucket)
+    scattered = numbered(rows, some).withColumn("key", place).select("row", "size", "key", bucket)
     schema = StructType([scattered.schema["row"], scattered.schema["size"]]).add("bucket", LongType()).add("place", LongType())
     placed = scattered.groupBy("bucket").applyInArrow(shuffled, schema).join(small_side(starts, BROADCAST_BUCKETS), "bucket")
     at, (q, r) = F.col("start") + F.col("place"), divmod(total["n"], shards)
