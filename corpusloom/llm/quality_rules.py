@@ -3,14 +3,15 @@
 Base rules: at least MIN_WORDS words, and at most 30 of 100 words inside 8-word windows that occur more than once in
 the text. The method's rule: the Jensen-Shannon distance (square root of the base-2 divergence) between a document's
 character-class histogram and its language's reference may not pass MAX_CHARS, and between its common-word histogram
-and the reference not MAX_WORDS; texts shorter than the guards are not judged by that rule. A language without a
-reference is compared to every reference and takes the nearest.
+and the reference not MAX_WORDS; texts shorter than the guards are not judged by that rule. Without a reference of its own
+a language's characters are compared to the nearest reference, and its words are not judged: a text without the common
+words of four languages can be clean prose of a fifth. Its distance to the nearest words is reported all the same.
 
 The references are fixed values of the languages, not of the corpus, so a document's verdict never depends on others.
 Everything stays inside the row: no shuffle, no Python.
 
-Defined cases: null text has no words and fails; null or unknown lang takes the nearest reference; repeated rows are
-judged each on its own; extra columns pass through keep() and are ignored by measure(); an empty table gives an empty
+Defined cases: null text has no words and fails; null or unknown lang is a language without a reference; repeated
+rows are judged each on its own; marks that combine with a letter count as letters; extra columns pass through keep() and are ignored by measure(); an empty table gives an empty
 table.
 """
 
@@ -93,7 +94,7 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
     d = docs.withColumn("q_text", F.coalesce(F.col(text), F.lit("")))
     d = d.withColumns({"q_list": F.array_remove(F.split(t, SPACE + "+"), ""), "q_lines": F.filter(F.split(t, "\n", -1), lambda x: x.rlike(NOT_SPACE)), "q_some": gone(t, "[a-z]+"), "q_common": F.regexp_extract_all(F.concat(F.lit(" "), F.lower(t)), F.lit(COMMON_WORD), F.lit(1))})
     n = F.col("q_n_words")
-    d = d.withColumns({"q_n_words": F.size("q_list").cast("bigint"), "q_hash": F.transform("q_list", lambda w: F.xxhash64(w)), "q_rest": gone("q_some", r"\p{L}+"), "q_n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("bigint")})
+    d = d.withColumns({"q_n_words": F.size("q_list").cast("bigint"), "q_hash": F.transform("q_list", lambda w: F.xxhash64(w)), "q_rest": gone("q_some", r"[\p{L}\p{M}]+"), "q_n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("bigint")})
     for k in (1, 2, 4):
         d = d.withColumn("q_hash", F.when(n >= GRAM, doubled("q_hash", k)).otherwise(F.array().cast("array<bigint>")))
     d = d.withColumns({
@@ -122,7 +123,7 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
     nearest = lambda to: F.round(F.array_min(F.transform("q_codes", to)), 6)
     d = d.withColumns({"q_js_chars": nearest(lambda code: distance(F.col("q_shares"), F.element_at(by_chars, code))), "q_js_words": nearest(words_to)})
     failed = (n < MIN_WORDS) | (F.lit(100) * F.col("q_n_repeat_words") > MAX_REPEAT_PERCENT * n)
-    off = ((F.col("q_n_chars") >= GUARD_CHARS) & (F.col("q_js_chars") > MAX_CHARS)) | ((n >= GUARD_WORDS) & (F.col("q_js_words") > MAX_WORDS))
+    off = ((F.col("q_n_chars") >= GUARD_CHARS) & (F.col("q_js_chars") > MAX_CHARS)) | (F.coalesce(known, F.lit(False)) & (n >= GUARD_WORDS) & (F.col("q_js_words") > MAX_WORDS))
     d = d.withColumn("q_base_failed", failed)
     return d.withColumn("q_kept", ~F.col("q_base_failed") & ~off).drop("q_text", "q_list", "q_hash", "q_lines", "q_some", "q_rest", "q_common", "q_wins", "q_shares", "q_codes")
 
@@ -159,12 +160,13 @@ def sql() -> str:
     by_words = {c: words_to(c) for c in WORDS}
     pick = lambda by: "round(CASE lang " + " ".join(f"WHEN '{c}' THEN {x}" for c, x in by.items()) + f" ELSE least({', '.join(by.values())}) END, 6)"
     every = ", ".join(f"'{w}'" for w in sorted({x for v in WORDS.values() for x in v}))
+    codes = ", ".join(f"'{c}'" for c in WORDS)
     gone = lambda p: f"length(t) - length(regexp_replace(t, '{p}', '', 'g'))"
     return f"""
 WITH a AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
 b AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM a),
 c AS (SELECT *, len(words)::BIGINT AS n_words, length(t) AS n_chars, greatest(length(t), 1)::DOUBLE AS n,
-             {gone('[\\p{L}]+')} AS letters, {gone('[\\p{Lu}]+')} AS uppers, {gone('[0-9]+')} AS digits,
+             {gone('[\\p{L}\\p{M}]+')} AS letters, {gone('[\\p{Lu}]+')} AS uppers, {gone('[0-9]+')} AS digits,
              {gone('[\\x20\\x09-\\x0D]+')} AS spaces, {gone("[.,;:?!''\\x22()-]+")} AS marks, ({gone('[#*$%&|<>]+')})::BIGINT AS n_symbols,
              list_filter(list_transform(words, lambda w: lower(regexp_replace(w, '[.,;:!?]+$', ''))), lambda w: w IN ({every})) AS common FROM b),
 g AS (SELECT doc_id, i, array_to_string(words[i + 1 : i + 8], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(0, len(words) - 7)) AS i FROM b)),
@@ -175,6 +177,6 @@ m AS (SELECT c.doc_id, c.lang, n_words, (n_chars - spaces)::BIGINT AS word_chars
       FROM c LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (n_chars >= {GUARD_CHARS} AND js_chars > {MAX_CHARS}) AND NOT (n_words >= {GUARD_WORDS} AND js_words > {MAX_WORDS}) AS kept,
+       NOT base_failed AND NOT (n_chars >= {GUARD_CHARS} AND js_chars > {MAX_CHARS}) AND NOT (coalesce(lang IN ({codes}), false) AND n_words >= {GUARD_WORDS} AND js_words > {MAX_WORDS}) AS kept,
        js_chars, js_words FROM f
 """

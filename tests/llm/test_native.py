@@ -102,11 +102,38 @@ def test_each_histogram_rejects_by_itself(spark):
     rare = " ".join(other() for _ in range(400))
     odd = " ".join(w + "%" if i % 2 else w + "*" for i, w in enumerate(clean.split()))
     got = {r.doc_id: r for r in quality_rules.measure(docs(spark, [(1, clean, "en"), (2, rare, "en"), (3, odd, "en"), (4, rare, None), (5, clean, "xx")])).collect()}
-    assert got[1].q_kept and got[5].q_kept and not any(got[i].q_kept for i in (2, 3, 4)) and not any(r.q_base_failed for r in got.values())
+    # the words of a language without a reference are not judged
+    assert all(got[i].q_kept for i in (1, 4, 5)) and not any(got[i].q_kept for i in (2, 3)) and not any(r.q_base_failed for r in got.values())
     assert got[2].q_js_chars <= quality_rules.MAX_CHARS and got[2].q_js_words > quality_rules.MAX_WORDS
     assert got[3].q_js_chars > quality_rules.MAX_CHARS
 
 
+def test_languages_without_a_reference_are_kept(spark):
+    """Prose of languages that have no reference, with or without their code, and with combining marks."""
+    words = {
+        "ru": "и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой весь год от так о для ты же все тот мочь вы человек такой его сказать только или ещё бы себя один как уже до время если сам когда другой вот говорить наш мой знать стать при чтобы дело жизнь кто первый очень два день её новый рука даже во со раз где там под можно ну какой после их работа без самый потом надо хотеть ли слово идти большой должен место",
+        "pl": "i w nie na się z do to że jest o jak ale po co tak za od go już jego był czy tylko jej przez może ich być przy też gdy przed który ma dla ten bardzo kiedy ja ze był jeszcze gdzie jednak są nic pod sobie tego więc mnie teraz nawet ona bez tu życie dom ręka czas człowiek oczy",
+        "hi": "है के में की से को का और पर यह एक हैं कि नहीं भी इस कर तो ही था हो ने लिए वह जो अपने या साथ बाद किया गया अब तक जब वे थे कुछ रहे सकते लोग समय दिन काम बात घर पानी देश",
+        "el": "και το να του η της με που την από για είναι στο ο οι τα δεν σε θα τον των τη τους μια στη αυτό αλλά ως στην ήταν έχει ότι κατά μετά όπως άνθρωπος χρόνος μέρα ζωή κόσμος",
+    }
+    rng = random.Random(8)
+    prose = lambda w: " ".join(" ".join(rng.choices(w.split(), k=12)) + "." for _ in range(25))
+    rows = [(2 * i + j, prose(w), code if j else None) for i, (code, w) in enumerate(words.items()) for j in (0, 1)]
+    got = quality_rules.measure(docs(spark, rows)).collect()
+    assert [r.doc_id for r in got if not r.q_kept] == [] and len(got) == 8
+
+
+def test_equal_rows_are_mixed_each_on_its_own(spark):
+    """1,000 rows equal in every column: about as many come out as are wanted, and not all in one partition."""
+    rows = spark.createDataFrame([(1, "same", "en", "a")], "doc_id long, text string, lang string, source string").crossJoin(spark.range(1000).select())
+    out = poisson_mix.mix(rows, total_rows=1000)
+    got = out.collect()
+    assert abs(len(got) - 1000) < 4 * 1000**0.5 and len({r.shuffle_key for r in got}) == len(got)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_mix_rates_and_large_means(spark):
     rows = [(i, "t", "en", "a" if i < 300 else "b" if i < 390 else None) for i in range(400)]
     df = docs(spark, rows)
@@ -179,7 +206,7 @@ def test_long_texts(spark):
     assert (q[1].q_n_words, q[1].q_n_repeat_words, q[1].q_word_chars) == (n, 0, len(text) - n + 1)
     assert (q[2].q_n_words, q[2].q_n_repeat_words, q[2].q_base_failed) == (150_000, 150_000, True)
     out = poisson_mix.mix(docs(spark, [(1, text, "en", "a")] * 3), total_rows=30).collect()
-    assert out and all(x.text == text for x in out) and {x.copy for x in out} == set(range(len(out) // 3))
+    assert 10 < len(out) < 60 and all(x.text == text for x in out)
 
 
 @pytest.mark.parametrize("scan", [license_index.scan, pii.scan, quality_rules.measure])
