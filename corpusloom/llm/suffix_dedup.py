@@ -406,7 +406,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
     first = scratch(first_pass(source.join(told, row, "left").select("doc_id", *row, "text", "told"), keep_text), "sd-first")
     for t in (hits, zones, buckets, open_):
         drop_path(t)
-    asked = first.select(*row, F.explode("asked").alias("x")).select(*row, "x.*")
+    # rows equal in id and text ask the same: one of them is enough, or they would all meet in their bucket's task
+    asked = first.select(*row, F.explode("asked").alias("x")).select(*row, "x.*").dropDuplicates([*row, "g", "lo"])
     found = compare_together(asked).unionByName(compare_rows(asked, scratch)).groupBy(*row).agg(F.flatten(F.collect_list("qs")).alias("qs"))
     pending = first.filter("raw IS NOT NULL").select(*row, "doc_id", "raw", "cover")
     second = second_pass(pending.join(found, row, "left").select("doc_id", "raw", "cover", "qs"), keep_text)

@@ -110,3 +110,19 @@ def test_bucket_pointers_are_equal_for_equal_bytes():
     for i in range(len(flat) - suffix_dedup.WINDOW + 1):
         assert seen.setdefault(flat[i : i + suffix_dedup.WINDOW].tobytes(), pointer[i]) == pointer[i]
     assert len(set(seen.values())) == len(seen)
+
+
+def test_equal_rows_ask_once(spark, monkeypatch):
+    """2,000 rows without id and with one text, beside a row that shares a passage: two zones are compared, not 2,001."""
+    asked = []
+    old = suffix_dedup.compare_together
+    monkeypatch.setattr(suffix_dedup, "compare_together", lambda a: (asked.append(a.count()), old(a))[1])
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared, a, b = text(150), text(200), text(200)
+    docs = spark.createDataFrame([(None, a + shared + a[::-1])] * 2000 + [(1, b + shared + b[::-1])], "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(docs).collect()
+    want = brute.repeats([a + shared + a[::-1]] * 2 + [b + shared + b[::-1]])
+    assert max(asked) <= 4
+    assert {(x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got if x.doc_id is None} == {want[0]}
+    assert [(x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got if x.doc_id == 1] == [want[2]]
