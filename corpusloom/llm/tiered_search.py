@@ -3,9 +3,9 @@
 Index. Equal texts are one document of the index with the number of its rows. Documents come in blocks; a block is cut into
 words, counted and turned into posting segments, all in numpy: a segment is one term of one block, with the places of its
 documents and their impacts, the factor of the score that a posting has beside its term's weight. The postings of a
-term that has more than TIERS[0] of them are divided at levels of impact: the highest go to tier 0, then tier 1, ...;
-the caps are TIERS, the last tier takes what is left, so no posting is lost. A term's residual bound for a depth is its
-highest impact below it. Tiers are folders of one table, so a search reads the high-impact folder only.
+frequent term are divided at levels of impact: the highest go to tier 0, then tier 1, ...; TIERS caps them, the last tier
+takes what is left, so no posting is lost. A term's residual bound for a depth is its highest impact below it. Tiers are
+folders of one table, so a search reads the high-impact folder only. A term that fits into tier 0 stays in the first table.
 
 Search. Items are taken in chunks of CHUNK. Each item starts with tier 0 of its terms. A block sums what it has read; the
 20th best sum of all blocks is a score that an item's 20th document surely has. The item is proved if the residual bounds
@@ -37,11 +37,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small_side, table
 
-#: Postings of a term up to which a tier is filled; what is left makes the last tier.
-TIERS = (1_024, 16_384, 262_144)
+#: Postings of a term up to which a tier is filled: at least so many, or that share of the documents; what is left makes
+#: the last tier.
+TIERS = ((1_024, 1 / 64), (4_096, 1 / 16), (16_384, 1 / 4))
 #: Impacts that share a level; impacts are below 1,000,000.
-LEVEL = 2_048
-BLOCK_DOCS, BLOCK_BYTES = 4_096, 8 << 20
+LEVEL = 8_192
+BLOCK_DOCS, BLOCK_BYTES = 16_384, 32 << 20
 #: Items that are searched at once: their terms are on the driver and in each task.
 CHUNK = 1_000
 TOP = 20
@@ -133,86 +134,96 @@ def _index_blocks(batches):
 
 
 # ---- index ----------------------------------------------------------------------------------------------------------
-def _impacts(batch: pa.RecordBatch, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The impact of every posting of a batch of segments, and the segment of each."""
-    flat = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    tf, m = flat("tfs"), 75 + 25 * flat("lengths") * n // max(words, 1)
-    return 1_000_000_000 * tf // (1000 * tf + 12 * m), np.repeat(np.arange(len(batch)), batch.column("docs").value_lengths().to_numpy())
+def _weighed(n: int, words: int):
+    """Segments with impacts in place of counts and lengths."""
 
-
-def _histogram(n: int, words: int):
-    def histogram(batches):
+    def weighed(batches):
         for batch in batches:
-            impact, row = _impacts(batch, n, words)
-            levels = 1_000_000 // LEVEL + 1
-            key, inverse, count = np.unique(row * levels + impact // LEVEL, return_inverse=True, return_counts=True)
-            top = np.zeros(len(key), np.int64)
-            np.maximum.at(top, inverse, impact)
-            yield pa.RecordBatch.from_arrays([batch.column("term").take(pa.array(key // levels)), pa.array(key % levels, pa.int32()), pa.array(count, pa.int64()), pa.array(top)], names=["term", "level", "n", "top"])
+            flat = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
+            tf, m = flat("tfs"), 75 + 25 * flat("lengths") * n // max(words, 1)
+            bounds = np.concatenate([[0], np.cumsum(batch.column("docs").value_lengths().to_numpy())])
+            impacts = _lists(1_000_000_000 * tf // (1000 * tf + 12 * m), bounds, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("term"), batch.column("docs"), impacts], names=["block", "term", "docs", "impacts"])
+
+    return weighed
+
+
+def _histogram(batches):
+    """Postings and highest impact by level of the segments of each batch."""
+    levels = 1_000_000 // LEVEL + 1
+    for batch in batches:
+        coded = batch.column("term").dictionary_encode()
+        impact = batch.column("impacts").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), batch.column("impacts").value_lengths().to_numpy())
+        key, inverse, count = np.unique(row * levels + impact // LEVEL, return_inverse=True, return_counts=True)
+        top = np.zeros(len(key), np.int64)
+        np.maximum.at(top, inverse, impact)
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(key // levels)), pa.array(key % levels, pa.int32()), pa.array(count, pa.int64()), pa.array(top)], names=["term", "level", "n", "top"])
 
-    return histogram
 
+def _tiered(depths: int):
+    """Segments divided into tiers by their terms' levels."""
 
-def _tiered(n: int, words: int, tiers: int):
     def tiered(batches):
         for batch in batches:
-            batch_docs = batch.column("docs").flatten().to_numpy(zero_copy_only=False)
-            impact, row = _impacts(batch, n, words)
-            tier = np.zeros(len(row), np.int64)
-            for k in range(tiers - 1):
-                tier += impact // LEVEL < batch.column(f"level{k}").fill_null(0).to_numpy(zero_copy_only=False)[row]
-            for k in range(tiers):
+            docs, impact = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("docs", "impacts"))
+            row = np.repeat(np.arange(len(batch)), batch.column("docs").value_lengths().to_numpy())
+            tier = sum((impact // LEVEL < batch.column(f"level{k}").to_numpy(zero_copy_only=False)[row]).astype(int) for k in range(depths - 1))
+            for k in range(depths):
                 some = np.flatnonzero(tier == k)
                 if len(some):
                     own, first = np.unique(row[some], return_index=True)
-                    at = pa.array(own)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("block").take(at), batch.column("term").take(at), _lists(batch_docs[some], np.append(first, len(some)), pa.int32()), _lists(impact[some], np.append(first, len(some)), pa.int32()), pa.array(np.full(len(own), k), pa.int32())],
-                        names=["block", "term", "docs", "impacts", "tier"],
-                    )
+                    at, bounds = pa.array(own), np.append(first, len(some))
+                    yield pa.RecordBatch.from_arrays([batch.column("block").take(at), batch.column("term").take(at), _lists(docs[some], bounds, pa.int32()), _lists(impact[some], bounds, pa.int32()), pa.array(np.full(len(own), k), pa.int32())], names=["block", "term", "docs", "impacts", "tier"])
 
     return tiered
 
 
 class Index:
-    """A tiered index of documents as tables: segments (block, term, docs, impacts, tier), terms, blocks, members; n, words."""
+    """A tiered index of documents as tables: postings and, of frequent terms, tiers; terms, levels, blocks, members; n, words."""
 
-    def __init__(self, docs: DataFrame, keep: Scratch, doc_id: str = "doc_id", column: str = "text", tiers: tuple[int, ...] = TIERS):
-        self.tiers = tiers
+    def __init__(self, docs: DataFrame, keep: Scratch, doc_id: str = "doc_id", column: str = "text", tiers=TIERS):
         rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(column), F.lit("")).alias("text"))
         rows = rows.withColumn("digest", F.md5("text"))
         self.members = keep(rows.select("digest", "id"), "search-members")
         texts = rows.groupBy("digest").agg(F.first("text").alias("text"), F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
         raw = keep(texts.select("digest", "text", "id", "n").mapInArrow(_index_blocks, SEGMENTS), "search-blocks")
         self.blocks = raw.filter("term = ''").select("block", "digests", "ids")
+        self.postings = raw.filter("term <> ''").select("block", "term", "docs", "tfs", "lengths", "n_rows")
         total = raw.filter("term = ''").agg(F.sum("n_rows").alias("n"), F.sum("n_words").alias("words")).first()
         self.n, self.words = total["n"] or 0, total["words"] or 0
-        postings = raw.filter("term <> ''")
-        self.terms = keep(postings.groupBy("term").agg(F.sum("n_rows").alias("df"), F.sum(F.size("docs")).alias("postings")), "search-terms")
-        frequent = keep(self.terms.filter(F.col("postings") > tiers[0]).select("term"), "search-frequent")
-        levels = postings.join(small_side(frequent, BROADCAST_ROWS), "term", "left_semi").select("term", "docs", "tfs", "lengths")
-        levels = levels.mapInArrow(_histogram(self.n, self.words), "term string, level int, n bigint, top bigint")
+        self.terms = keep(self.postings.groupBy("term").agg(F.sum("n_rows").alias("df"), F.sum(F.size("docs")).alias("postings")), "search-terms")
+        caps = np.cumsum([max(least, int(share * self.n)) for least, share in tiers]).tolist()
+        self.depths = len(caps) + 1
+        frequent = keep(self.terms.filter(F.col("postings") > caps[0]).select("term"), "search-frequent")
+        many = self.postings.join(small_side(frequent, BROADCAST_ROWS), "term", "left_semi").select("block", "term", "docs", "tfs", "lengths")
+        many = keep(many.mapInArrow(_weighed(self.n, self.words), "block bigint, term string, docs array<int>, impacts array<int>"), "search-many")
+        levels = many.select("term", "impacts").mapInArrow(_histogram, "term string, level int, n bigint, top bigint")
         levels = levels.groupBy("term", "level").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
         down = Window.partitionBy("term").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
         levels = levels.withColumn("upto", F.sum("n").over(down))
         # a tier holds the highest levels whose postings are within its cap, and those of the tiers above it
-        caps = [sum(tiers[: k + 1]) for k in range(len(tiers))]
         lowest = [F.coalesce(F.min(F.when(F.col("upto") <= cap, F.col("level"))), F.lit(1_000_000 // LEVEL + 1)).alias(f"level{k}") for k, cap in enumerate(caps)]
         bounds = [F.coalesce(F.max(F.when(F.col("upto") > cap, F.col("top"))), F.lit(0)).alias(f"bound{k}") for k, cap in enumerate(caps)]
         held = [F.coalesce(F.max(F.when(F.col("upto") <= cap, F.col("upto"))), F.lit(0)).alias(f"held{k}") for k, cap in enumerate(caps)]
         self.levels = keep(levels.groupBy("term").agg(*lowest, *bounds, *held), "search-levels")
-        cut = postings.join(small_side(self.levels.drop(*[f"{c}{k}" for c in ("bound", "held") for k in range(len(tiers))]), BROADCAST_ROWS), "term", "left")
-        cut = cut.select("block", "term", "docs", "tfs", "lengths", *[f"level{k}" for k in range(len(tiers))])
-        divided = cut.mapInArrow(_tiered(self.n, self.words, len(tiers) + 1), "block bigint, term string, docs array<int>, impacts array<int>, tier int")
-        self.segments = keep(divided, "search-tiers", partition="tier")
+        names = [f"level{k}" for k in range(len(caps))]
+        divided = many.join(small_side(self.levels.select("term", *names), BROADCAST_ROWS), "term").select("block", "term", "docs", "impacts", *names)
+        self.tiers = keep(divided.mapInArrow(_tiered(self.depths), "block bigint, term string, docs array<int>, impacts array<int>, tier int"), "search-tiers", partition="tier")
+
+    def read(self, asked: DataFrame) -> DataFrame:
+        """Segments of terms that have one tier."""
+        few = self.postings.join(asked, "term", "left_semi").select("block", "term", "docs", "tfs", "lengths")
+        return few.mapInArrow(_weighed(self.n, self.words), "block bigint, term string, docs array<int>, impacts array<int>").withColumn("tier", F.lit(0))
 
 
 # ---- search ---------------------------------------------------------------------------------------------------------
 class _Item:
     """An item's terms: weight, bounds and lengths by depth; how deep each is read."""
 
-    def __init__(self, terms: dict):
+    def __init__(self, terms: dict, frequent: set):
         self.terms = terms  # term -> (weight, bounds by depth, postings by depth)
+        self.frequent = frequent  # terms that have tiers
         self.depth = dict.fromkeys(terms, 1)
         self.floor = 0
 
@@ -336,15 +347,17 @@ def _terms_of(items: DataFrame, item_id: str, column: str) -> DataFrame:
 def _chunk(index: Index, rows: list) -> dict[int, _Item]:
     """Items of one chunk with the weight, bounds and lengths of their terms."""
     terms: dict[int, dict] = defaultdict(dict)
+    frequent = {r["term"] for r in rows if r["bound0"] is not None}
     for r in rows:
         weight = r["n"] * math.floor(1000 * math.log((2 * index.n + 2) / (2 * r["df"] + 1)))
-        k = range(len(index.tiers))
+        k = range(index.depths - 1)
         bounds, held = [r[f"bound{i}"] or 0 for i in k], [r[f"held{i}"] if r[f"held{i}"] is not None else r["postings"] for i in k]
         terms[r["number"]][r["term"]] = (weight, [1_000_000, *bounds, 0], [0, *held, r["postings"]])
-    return {i: _Item(t) for i, t in terms.items()}
+    return {i: _Item(t, frequent) for i, t in terms.items()}
 
 
 def _asked(spark: SparkSession, items: dict[int, _Item]) -> DataFrame:
+    """(term, depth) of a chunk's items, the deepest of each term."""
     depth: dict[str, int] = {}
     for x in items.values():
         for term, d in x.depth.items():
@@ -353,13 +366,14 @@ def _asked(spark: SparkSession, items: dict[int, _Item]) -> DataFrame:
 
 
 def _search_chunk(index: Index, items: dict[int, _Item], keep: Scratch) -> DataFrame:
-    spark = index.segments.sparkSession
+    spark = index.tiers.sparkSession
+    few = spark.createDataFrame([(t,) for t in {t for x in items.values() for t in x.terms if t not in x.frequent}], "term string")
+    whole = keep(index.read(F.broadcast(few)), "search-whole")  # terms of one tier
+    upto = lambda some: index.tiers.filter(F.col("tier") < max(d for x in some.values() for d in x.depth.values())).join(_asked(spark, some), "term").filter("tier < depth").select("block", "term", "docs", "impacts", "tier")
     open_items = dict(items)
     while open_items:
         plain = {i: {t: (w, w * b[x.depth[t]], x.depth[t]) for t, (w, b, _) in x.terms.items()} for i, x in open_items.items()}
-        deepest = max(d for x in open_items.values() for d in x.depth.values())
-        read = index.segments.filter(F.col("tier") < deepest).join(_asked(spark, open_items), "term").filter("tier < depth").drop("depth")
-        sums = read.groupBy("block").applyInArrow(_best(plain), "item int, sum bigint")
+        sums = whole.unionByName(upto(open_items)).groupBy("block").applyInArrow(_best(plain), "item int, sum bigint")
         place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("sum")))
         floors = sums.withColumn("place", place).filter(F.col("place") <= TOP).groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("sum").alias("floor")).collect()
         for r in floors:
@@ -369,13 +383,12 @@ def _search_chunk(index: Index, items: dict[int, _Item], keep: Scratch) -> DataF
         for x in open_items.values():
             x.fall()
     plain = {i: ({t: (w, w * b[x.depth[t]], x.depth[t]) for t, (w, b, _) in x.terms.items()}, sum(map(x.open, x.terms)), x.floor) for i, x in items.items()}
-    read = index.segments.join(_asked(spark, items), "term").filter("tier < depth").drop("depth")
-    found = keep(read.groupBy("block").applyInArrow(_candidates(plain), "block bigint, item int, doc int, sum bigint"), "search-found")
+    found = keep(whole.unionByName(upto(items)).groupBy("block").applyInArrow(_candidates(plain), "block bigint, item int, doc int, sum bigint"), "search-found")
     rest = {i: {t: (w, x.depth[t]) for t, (w, b, _) in x.terms.items() if x.open(t)} for i, x in items.items()}
     lower = spark.createDataFrame([(i, t, d) for i, terms in rest.items() for t, (_, d) in terms.items()], "item int, term string, depth int")
     pairs = found.select("block", "item").distinct().join(F.broadcast(lower), "item").groupBy("block", "term").agg(F.min("depth").alias("depth"))
     pairs = keep(pairs, "search-pairs")
-    missing = index.segments.filter("tier > 0").join(small_side(pairs, BROADCAST_ROWS), ["block", "term"]).filter("tier >= depth").select("block", "term", "docs", F.col("impacts").cast("array<bigint>").alias("impacts"), "tier")
+    missing = index.tiers.filter("tier > 0").join(small_side(pairs, BROADCAST_ROWS), ["block", "term"]).filter("tier >= depth").select("block", "term", "docs", F.col("impacts").cast("array<bigint>").alias("impacts"), "tier")
     some = small_side(keep(found.select("block").distinct(), "search-some"), BROADCAST_ROWS)
     own = index.blocks.join(some, "block", "left_semi").select("block", F.lit("").alias("term"), F.sequence(F.lit(0), F.size("ids") - 1).alias("docs"), F.col("ids").alias("impacts"), F.lit(0).alias("tier"))
     scored = found.groupBy("block").cogroup(missing.unionByName(own).groupBy("block")).applyInArrow(_complete(rest), "item int, score bigint, id bigint, block bigint, doc int")
@@ -383,7 +396,7 @@ def _search_chunk(index: Index, items: dict[int, _Item], keep: Scratch) -> DataF
     return scored.withColumn("place", place).filter(F.col("place") <= TOP).drop("place")
 
 
-def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", column: str = "text", item_column: str = "text", tiers: tuple[int, ...] = TIERS, chunk: int = CHUNK) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", column: str = "text", item_column: str = "text", tiers=TIERS, chunk: int = CHUNK) -> DataFrame:
     """(item_id, rank, doc_id, score): the TOP documents of each item with a score above 0."""
     keep = Scratch()
     index = Index(docs, keep, doc_id, column, tiers)
@@ -396,7 +409,7 @@ def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: s
     for c in range(chunks):
         own = per.filter(F.pmod(F.xxhash64("item"), F.lit(chunks)) == c).orderBy("item", "term").collect()
         named = {item: i for i, item in enumerate(dict.fromkeys(r["item"] for r in own))}
-        names = index.segments.sparkSession.createDataFrame([(i, item) for item, i in named.items()], "item int, item_id bigint")
+        names = index.tiers.sparkSession.createDataFrame([(i, item) for item, i in named.items()], "item int, item_id bigint")
         if not own:
             continue
         found = _search_chunk(index, _chunk(index, [r.asDict() | {"number": named[r["item"]]} for r in own]), keep)
@@ -404,7 +417,7 @@ def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: s
     schema = "item_id bigint, rank int, doc_id bigint, score bigint"
     if not out:
         keep.drop()
-        return index.segments.sparkSession.createDataFrame([], schema)
+        return index.tiers.sparkSession.createDataFrame([], schema)
     best = out[0]
     for x in out[1:]:
         best = best.unionByName(x)

@@ -132,7 +132,7 @@ def search_docs(n=400, seed=3):
     return docs, items
 
 
-@pytest.mark.parametrize("tiers,chunk", [((1_024, 16_384, 262_144), 1000), ((4, 16, 40), 3), ((1, 2), 2)])
+@pytest.mark.parametrize("tiers,chunk", [(tiered_search.TIERS, 1000), (((4, 0), (12, 0), (24, 0)), 3), (((1, 0), (0, 0.1)), 2)])
 def test_search_equals_plain(spark, tiers, chunk):
     docs, items = search_docs()
     d = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, term string, block int").repartition(3)
@@ -145,7 +145,7 @@ def test_items_without_proof_fall(spark, monkeypatch):
     old = tiered_search._Item.fall
     monkeypatch.setattr(tiered_search._Item, "fall", lambda self: (old(self), fallen.append(dict(self.depth))))
     docs, items = search_docs()
-    tiered_search.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), tiers=(4, 16, 40)).count()
+    tiered_search.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), tiers=((4, 0), (12, 0), (24, 0))).count()
     assert fallen and any(len(set(x.values())) > 1 for x in fallen)  # some terms stay where they are
 
 
