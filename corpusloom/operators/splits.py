@@ -173,9 +173,61 @@ def pack(df: DataFrame, rows: int | None = None, seed: str = "pack-1", context:
     empty = df.select("source").distinct().join(counts, "source", "left_anti").limit(1).collect()
     if empty:
         raise ValueError(f"no record of {empty[0]['source']} fits")
-    draws = counts.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
+    asked = counts.select("source").withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    return _held(asked, placed, counts, seed, context).groupBy("source", "row").applyInPandas(drawn, PACKED)
+
+
+def _held(asked: DataFrame, placed: DataFrame, counts: DataFrame, seed: str, context: int) -> DataFrame:
+    """Records (source, ord, ids, answer_start, draw) of each row asked for: hashed draws with replacement up to the first
+    that does not fit; a draw meets its record by place, so no task holds a source."""
+    draws = asked.join(counts, "source").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
     number = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "source", "row", "draw"), 256), 1, 12), 16, 10).cast("bigint")
     met = draws.withColumn("place", number % F.col("n")).drop("n").join(placed, ["source", "place"])
     upto = F.sum(F.size("ids")).over(Window.partitionBy("source", "row").orderBy("draw"))
-    held = met.withColumn("upto", upto).filter(F.col("upto") <= context + 1).drop("upto", "place")
-    return held.groupBy("source", "row").applyInPandas(drawn, PACKED)
+    return met.withColumn("upto", upto).filter(F.col("upto") <= context + 1).drop("upto", "place")
+
+
+#: Parts of the unit interval in which row draws and sources meet, and resolution of weights.
+CELLS, RESOLUTION = 4096, 1 << 40
+
+
+def chosen_sources(weights: DataFrame, rows: int, seed: str = "pack-1") -> DataFrame:
+    """(row, source): the source of each of `rows` rows, drawn with replacement by weight (source, weight).
+
+    The inverse of the cumulative weights, in the order of source, at a hash of (seed, row). Sources and rows meet in cells
+    of equal width, so neither is collected. Weights are rounded to RESOLUTION parts of their sum, so equal weights give
+    equal draws on every machine; a source of weight 0 or null is never drawn, one below 0 is an error.
+    """
+    w = F.coalesce(F.col("weight").cast("double"), F.lit(0.0))
+    w = F.when(w < 0, F.raise_error(F.lit("weight below 0")).cast("double")).otherwise(w)
+    everything = Window.partitionBy(F.lit(1))  # a row a source
+    parts = weights.select("source", w.alias("w")).withColumn("parts", F.round(F.col("w") / F.sum("w").over(everything) * RESOLUTION).cast("bigint")).filter("parts > 0")
+    high = F.sum("parts").over(everything.orderBy("source").rowsBetween(Window.unboundedPreceding, 0))
+    ends = parts.withColumn("high", high).withColumn("low", F.col("high") - F.col("parts")).withColumn("total", F.sum("parts").over(everything))
+    cell = lambda c: F.floor(c / F.lit(RESOLUTION // CELLS)).cast("int")
+    spread = ends.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") - 1))))
+    drawn = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.lit("row"), F.col("row").cast("string")), 256), 1, 13), 16, 10).cast("bigint")
+    # the sum of the rounded parts may differ from RESOLUTION by half a part a source; draws are scaled to it
+    total = spread.select("total").limit(1)
+    asked = weights.sparkSession.range(rows).select(F.col("id").cast("int").alias("row")).withColumn("h", drawn)
+    number = (F.col("h") % F.col("total")).alias("number")
+    scaled = asked.withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one").select("row", number)  # one number
+    met = scaled.withColumn("cell", cell(F.col("number"))).join(spread, "cell").filter("number >= low AND number < high")
+    return met.select("row", "source")
+
+
+def sample_rows(df: DataFrame, weights: DataFrame, rows: int, seed: str = "pack-1", context: int = CONTEXT) -> DataFrame:
+    """`rows` rows of at most context + 1 tokens: (row, source, used, draw, ord, ids, answer_start), a row for each
+    record held, in the order of draw.
+
+    The source of a row is drawn by weight, its records with replacement from those of the source that fit, until one does
+    not fit behind the others (at most DRAWS). A source with weight but without a record that fits is an error.
+    """
+    fits = df.filter(F.size("ids") <= context + 1).select("source", "ord", "ids", "answer_start")
+    counts = fits.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    empty = weights.filter("weight > 0").join(counts, "source", "left_anti").limit(1).collect()
+    if empty:
+        raise ValueError(f"no record of {empty[0]['source']} fits")
+    placed = offsets(fits.withColumn("one", F.lit(1)), ["source"], "one", ["ord"]).withColumnRenamed("token_offset", "place").drop("one")
+    held = _held(chosen_sources(weights, rows, seed), placed, counts, seed, context)
+    return held.withColumn("used", F.sum(F.size("ids")).over(Window.partitionBy("row")))

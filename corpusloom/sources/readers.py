@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.audit import bad_locks
+from corpusloom.storage import materialize, small_side
 
 
 def parquet(spark: SparkSession, path, columns: list[str] | None = None) -> DataFrame:
@@ -39,11 +40,38 @@ def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     return (r.schema(schema) if schema else r).csv(path)
 
 
+#: Splits up to which the numbers of their first lines are broadcast.
+BROADCAST_SPLITS = 200_000
+
+
+def numbered_text(spark: SparkSession, path) -> DataFrame:
+    """(path, number, value): the lines of each file that are not blank, numbered from 0 in the file's order.
+
+    Each input split counts its lines; the number of a line is the sum of the splits before it and its place in its own, so
+    a large file is as many tasks as it has splits. The lines are written once, so that both steps see the same splits.
+    """
+    text = spark.read.text([path] if isinstance(path, str) else list(path)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = materialize(text.filter(F.trim("value") != ""), "numbered-lines")
+    ranks = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # a row a split
+    starts = small_side(materialize(ranks.select("path", "block", F.coalesce(before, F.lit(0)).alias("start")), "numbered-splits"), BROADCAST_SPLITS)
+    place = F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) - 1
+    return lines.withColumn("place", place).join(starts, ["path", "block"]).select("path", (F.col("start") + F.col("place")).alias("number"), "value")
+
+
 def numbered_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON rows of one file with their line number, by position in the file's scan order."""
-    text = spark.read.text(path).withColumn("__at", F.monotonically_increasing_id()).filter(F.trim("value") != "")
-    n = F.row_number().over(Window.orderBy("__at")) - 1  # one file: the reference numbers lines of single small files
-    return text.select(n.alias("uid"), F.from_json("value", schema).alias("r")).select("uid", "r.*")
+    """JSON rows of files with their line number in their file."""
+    rows = numbered_text(spark, path).select(F.col("number").alias("uid"), F.from_json("value", schema).alias("r"))
+    return rows.select("uid", "r.*")
+
+
+def paired_lines(spark: SparkSession, left: str, right: str) -> DataFrame:
+    """(number, left, right): two files line by line; different lengths are an error when the result is read."""
+    a = numbered_text(spark, left).select("number", F.col("value").alias("left"))
+    b = numbered_text(spark, right).select("number", F.col("value").alias("right"))
+    both = a.join(b, "number", "full_outer")
+    short = F.col("left").isNull() | F.col("right").isNull()
+    return both.withColumn("left", F.when(short, F.raise_error(F.lit("the files differ in length")).cast("string")).otherwise(F.col("left")))
 
 
 def log_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
