@@ -137,9 +137,8 @@ def set_differs(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def raw_labels_differ(kept: DataFrame, raw: DataFrame) -> DataFrame:
     """Kept rows whose answer is in no raw reference of the same prompt; both: (prompt_key, answer_key)."""
-    j = kept.select("prompt_key", "answer_key", "original_id").join(raw.select("prompt_key", F.col("answer_key").alias("want")), "prompt_key", "left")
-    per = j.groupBy("prompt_key", "answer_key", "original_id").agg(F.max(F.coalesce(F.col("want") == F.col("answer_key"), F.lit(False))).alias("ok"))
-    return per.filter("NOT ok")
+    keys = ["prompt_key", "answer_key"]
+    return kept.select(*keys, "original_id").distinct().join(raw.select(*keys).distinct(), keys, "left_anti")
 
 
 def mask_differs(encoded: DataFrame, again: DataFrame) -> DataFrame:

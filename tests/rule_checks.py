@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.functions import tokens as K
 from corpusloom.operators import audit, dedup, grading, scoring, splits, telemetry
-from corpusloom.plans.cases import literal
+from rule_cases import literal
 from corpusloom.sources import converters, readers, sinks
 from corpusloom.storage import shared_dir
 from corpusloom.streaming import telemetry as streams

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.plans.cases import listed
+from rule_cases import listed
 from corpusloom.sources import converters as C
 from corpusloom.sources.converters import EMOTIONS
 
