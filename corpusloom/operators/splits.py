@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.storage import drop_path, materialize, small_side
 
+#: Sources up to which what a round asks of them is broadcast.
+BROADCAST_SOURCES = 200_000
 #: Context length of packed sequences and of records.
 CONTEXT = 1024
 
@@ -100,28 +103,37 @@ def gaps(df: DataFrame, keys: list[str], offset: str, length: str) -> DataFrame:
     return df.withColumn("expected", want).filter(F.col(offset) != F.col("expected"))
 
 
-def balance(summary: list[dict], sources: list[str], splits=("dev", "confirmation")) -> dict[str, str]:
-    """Moves of whole train groups so that every label of a small source is in every held-out split.
+def small_sources(groups: DataFrame, most: int = 3) -> DataFrame:
+    """The sources with the fewest groups (the first by name of equals)."""
+    return groups.select("source", "group").distinct().groupBy("source").count().orderBy("count", "source").limit(most).select("source")
 
-    summary: one dict for each group of those sources: group, sources, splits, labels {source: set}, rank. Small by
-    definition (the three smallest sources), so this greedy runs on the driver. A source, label needs two candidates.
+
+def balance(groups: DataFrame, splits=("dev", "confirmation")) -> DataFrame:
+    """(source, group, split): moves of whole train groups so that each label of a source is in each held-out split.
+
+    groups: (source, group, split, labels, rank). Split by split and label by label, in order, a source without a group of
+    that label there gives the first by (rank, group) of those in train; it needs two to choose from, else that is an error.
+    A round takes one split and every source's next label; all sources go together, each round is two aggregations.
     """
-    where = {g["group"]: set(g["splits"]) for g in summary}
-    moves: dict[str, str] = {}
-    for source in sources:
-        own = [g for g in summary if source in g["sources"]]
-        labels = sorted({x for g in own for x in g["labels"].get(source, ())})
-        for split in splits:
-            for label in labels:
-                have = [g for g in own if label in g["labels"].get(source, ())]
-                if any(split in where[g["group"]] for g in have):
-                    continue
-                free = sorted((g for g in have if where[g["group"]] == {"train"}), key=lambda g: (g["rank"], g["group"]))
-                if len(free) < 2:
-                    raise ValueError(f"{source}: fewer than two train groups with label {label}")
-                moves[free[0]["group"]] = split
-                where[free[0]["group"]] = {split}
-    return moves
+    state = groups.select("source", "group", "split", "labels", "rank")
+    labels = state.select("source", F.explode("labels").alias("label")).distinct()
+    place = F.row_number().over(Window.partitionBy("source").orderBy("label"))  # a row a label
+    labels = materialize(labels.withColumn("place", place), "balance-labels")
+    rounds = labels.agg(F.max("place")).first()[0] or 0
+    state = materialize(state, "balance-groups")
+    for split in splits:
+        for i in range(1, rounds + 1):
+            asked = small_side(labels.filter(F.col("place") == i).select("source", "label"), BROADCAST_SOURCES)
+            own = state.join(asked, "source").filter(F.array_contains("labels", F.col("label")))
+            train = F.col("split") == "train"
+            per = own.groupBy("source", "label").agg(F.max((F.col("split") == split).cast("int")).alias("there"), F.count_if(train).alias("free"), F.min(F.when(train, F.struct("rank", "group"))).alias("first"))
+            short = F.raise_error(F.concat("source", F.lit(": fewer than two train groups with label "), "label")).cast("string")
+            moved = per.filter("there = 0").select("source", F.when(F.col("free") < 2, short).otherwise(F.col("first.group")).alias("group"), F.lit(split).alias("to"))
+            moved = small_side(materialize(moved, "balance-moves"), BROADCAST_SOURCES)
+            before, state = state, materialize(state.join(moved, ["source", "group"], "left").withColumn("split", F.coalesce("to", "split")).drop("to"), "balance-groups")
+            drop_path(before)
+    drop_path(labels)
+    return state.select("source", "group", "split")
 
 
 #: Records that a sampled row may draw.

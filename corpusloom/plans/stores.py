@@ -217,7 +217,43 @@ m AS (SELECT d.*, ord, n, sum(n) OVER (PARTITION BY row ORDER BY draw) AS upto F
 SELECT row::INT AS row, source, sum(n)::BIGINT AS used, count(*) AS n_records, string_agg(ord::VARCHAR, ',' ORDER BY draw) AS records FROM m WHERE upto <= 1025 GROUP BY row, source"""
 
 
+HELD_OUT, LABELS = ("dev", "confirmation"), ("even", "odd")
+
+
+def balanced_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of the three smallest languages as sources, moved until each label (of even or odd length) is in each held-out split."""
+    rank = F.sha2(F.concat(F.lit("balance:"), F.col("doc_id").cast("string")), 256)
+    split = T.split_of(F.col("doc_id").cast("string"), "split-1:", 5, 5)
+    label = F.when(F.length("text") % 2 == 0, "even").otherwise("odd")
+    d = table(spark, sf, "documents").select(F.col("lang").alias("source"), F.col("doc_id").cast("string").alias("group"), split.alias("split"), F.array(label).alias("labels"), rank.alias("rank"))
+    return splits.balance(d.join(splits.small_sources(d), "source", "left_semi"))
+
+
+def _balance_sql() -> str:
+    b = SPLIT_SQL.format("doc_id::VARCHAR").replace("< 5 THEN 'dev' ELSE 'train' END", "")
+    bucket = b.removeprefix("CASE WHEN ")
+    steps, last = [], "g0"
+    for split in HELD_OUT:
+        for label in LABELS:
+            new = f"g{len(steps) + 1}"
+            steps.append(f"""{new} AS (SELECT x.* REPLACE (CASE WHEN x.split = 'train' AND x."group" = m."group" THEN '{split}' ELSE x.split END AS split) FROM {last} x LEFT JOIN
+  (SELECT source, arg_min("group", (rank, "group")) FILTER (split = 'train') AS "group" FROM {last} WHERE label = '{label}' GROUP BY source HAVING count(*) FILTER (split = '{split}') = 0) m USING (source))""")
+            last = new
+    return f"""WITH d AS (SELECT lang AS source, doc_id::VARCHAR AS "group", CASE WHEN {bucket} < 5 THEN 'dev' WHEN {bucket} < 10 THEN 'confirmation' ELSE 'train' END AS split, CASE WHEN length(text) % 2 = 0 THEN 'even' ELSE 'odd' END AS label, sha256('balance:' || doc_id) AS rank FROM documents),
+g0 AS (SELECT * FROM d WHERE source IN (SELECT source FROM d GROUP BY source ORDER BY count(*), source LIMIT 3)), {', '.join(steps)} SELECT source, "group", split FROM {last}"""
+
+
+def published_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """K6, K8: counts of documents published twice; the second time nothing is written."""
+    path = _folder(spark)
+    counts = table(spark, sf, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    wrote = [sinks.publish_table(counts, path), sinks.publish_table(counts, path)]
+    return readers.parquet(spark, path).withColumn("writes", F.lit(sum(wrote)))
+
+
 QUERIES = {
+    "balanced_sources": (balanced_sources, _balance_sql()),
+    "published_counts": (published_counts, "SELECT source, lang, count(*) AS n, 1 AS writes FROM documents GROUP BY ALL"),
     "documents_as_json": (documents_as_json, "SELECT doc_id, lang, source, n_chars, md5(text) AS digest FROM documents"),
     "documents_as_json_objects": (documents_as_json_objects, "SELECT doc_id::VARCHAR AS key, lang, n_chars FROM documents"),
     "documents_as_csv": (documents_as_csv, "SELECT doc_id, lang, md5(replace(text, chr(13), ' ')) AS digest FROM documents"),

@@ -47,6 +47,15 @@ def users_alive_and_stale(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("run", F.col("last").cast("timestamp_ntz").alias("last"), "rows", "state")
 
 
+def users_in_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions and segments of users by explicit starts, ends and pauses, with state that goes on from
+    slice to slice; a sign-up starts a session, an error ends a segment."""
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "error", "finished").otherwise("train")
+    d = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("run"), kind.alias("event"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("pos"))
+    out = R.replay(d, F.col("pos"), [int(x) for x in _cuts(d, "pos")], S.segments_stream)
+    return out.select("run", "pos", "session", "segment")
+
+
 def _sliced(source: str, at: str) -> str:
     """CTEs: c, the rows with the number k of their slice (a null time in the last one); w, the watermark after each slice."""
     return f"""e AS (SELECT min({at}) AS low, max({at}) AS high FROM s0),
@@ -87,7 +96,13 @@ t AS (SELECT run, last, 0::BIGINT AS rows, (SELECT min(m.k) FROM m WHERE m.k >=
 SELECT run, last, rows, 'alive' AS state FROM a
 UNION ALL SELECT run, last, rows, 'stale' FROM t WHERE stale_at IS NOT NULL AND (next IS NULL OR stale_at < next)"""
 
+SEGMENTS_SQL = """WITH b AS (SELECT user_id::VARCHAR AS run, event_id AS pos, CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'finished' ELSE 'train' END AS event, epoch(ts) AS ts FROM events WHERE ts IS NOT NULL),
+s AS (SELECT *, sum((event = 'start')::INT) OVER w AS session, lag(event) OVER w AS before FROM b WINDOW w AS (PARTITION BY run ORDER BY pos)),
+t AS (SELECT *, last_value(CASE WHEN event = 'train' THEN ts END IGNORE NULLS) OVER (PARTITION BY run, session ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM s)
+SELECT run, pos, session::BIGINT AS session, sum(CASE WHEN event = 'start' OR before = 'finished' OR (event = 'train' AND ts - last > 180) THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY pos)::BIGINT AS segment FROM t"""
+
 QUERIES = {
+    "users_in_segments": (users_in_segments, SEGMENTS_SQL),
     "clicks_by_minute": (clicks_by_minute, MINUTES_SQL),
     "clicks_in_sessions": (clicks_in_sessions, _sessions_sql()),
     "users_alive_and_stale": (users_alive_and_stale, LIVENESS_SQL),

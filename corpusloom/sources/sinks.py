@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,57 @@ def publish_once(value, path: str) -> bool:
     return True
 
 
+def _file_system(spark, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def _read(spark, stream) -> str:
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def content_of(df: DataFrame) -> str:
+    """Rows and the sum of two hashes of each, whatever their order: what two writes of one content share."""
+    name = lambda seed: F.coalesce(F.sum(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    r = df.agg(F.count(F.lit(1)).alias("n"), name(1).alias("a"), name(2).alias("b")).first()
+    return f"{r['n']} {r['a']} {r['b']}"
+
+
+def publish_table(df: DataFrame, path: str) -> bool:
+    """K6/K8: a table that is there whole or not at all, on any file system that Spark reaches.
+
+    It is written beside its place, marked with its content and renamed. The same content again writes nothing (False),
+    another is an error; a write that was broken off leaves nothing at the place.
+    """
+    spark = df.sparkSession
+    fs, at = _file_system(spark, path)
+    beside = f"{path.rstrip('/')}.{uuid4().hex}.partial"
+    df.write.parquet(beside)
+    try:
+        content, marker = content_of(spark.read.schema(df.schema).parquet(beside)), at(f"{path}/_content")
+        if fs.exists(at(path)):
+            if not fs.exists(marker) or _read(spark, fs.open(marker)) != content:
+                raise FileExistsError(path)
+            return False
+        out = fs.create(at(f"{beside}/_content"), False)
+        out.write(bytearray(content.encode()))
+        out.close()
+        if not fs.rename(at(beside), at(path)):
+            raise FileExistsError(path)
+        return True
+    finally:
+        fs.delete(at(beside), True)
+
+
+def publish_batches(stream: DataFrame, folder: str, checkpoint: str):
+    """Each batch of a stream as a published table of its number, so a batch that is replayed writes nothing twice."""
+    return stream.writeStream.foreachBatch(lambda batch, i: publish_table(batch, f"{folder}/batch={i}")).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def markdown(df: DataFrame, order: list[str], most: int = 1000) -> str:
     """K9: a table of a report; reports are small, more rows than `most` are an error."""
     rows = df.orderBy(*order).limit(most + 1).collect()

@@ -500,11 +500,11 @@ def signatures(spark, sf):
     return d.select("a", (T.signature("model", "seed", chained=(("clock",),)) == base).alias("same"))
 
 
-@gives("group string, split string", ("g1", "dev"), ("g2", "confirmation"))
+@gives("group string, split string", ("g1", "dev"), ("g2", "confirmation"), ("g3", "train"), ("g4", "train"))
 def small_holdouts(spark, sf):
     """Groups of a small source that move so that each held-out split has its label."""
-    summary = [{"group": g, "sources": {"cb"}, "splits": {"train"}, "labels": {"cb": {"x"}}, "rank": r} for g, r in (("g3", "3"), ("g1", "1"), ("g2", "2"), ("g4", "4"))]
-    return _frame(spark, "group string, split string", *splits.balance(summary, ["cb"]).items())
+    rows = [("cb", g, "train", ["x"], r) for g, r in (("g3", "3"), ("g1", "1"), ("g2", "2"), ("g4", "4"))]
+    return splits.balance(_frame(spark, "source string, group string, split string, labels array<string>, rank string", *rows)).drop("source")
 
 
 @gives("digest string", ("35172c364a0d06a3ddbd3869ff682dd0395fad299787cda9c74cea0a14d8dc41",))

@@ -43,11 +43,96 @@ def test_quarantine_takes_whole_groups(spark):
     assert [r.original_id for r in dedup.quarantine(d, x).collect()] == ["3"]
 
 
-def test_balance_moves_two_groups():
-    g = [{"group": f"g{i}", "sources": ["cb"], "splits": ["train"], "labels": {"cb": {"x"}}, "rank": f"{9 - i}"} for i in range(5)]
-    assert splits.balance(g, ["cb"]) == {"g4": "dev", "g3": "confirmation"}
-    with pytest.raises(ValueError):
-        splits.balance(g[:1], ["cb"])
+def test_balance_moves_two_groups(spark):
+    ddl = "source string, group string, split string, labels array<string>, rank string"
+    rows = [("cb", f"g{i}", "train", ["x"], f"{9 - i}") for i in range(5)]
+    moved = lambda r: {x.group: x.split for x in splits.balance(spark.createDataFrame(r, ddl)).collect() if x.split != "train"}
+    assert moved(rows) == {"g4": "dev", "g3": "confirmation"}
+    with pytest.raises(Exception, match="fewer than two train groups"):
+        moved(rows[:1])
+
+
+def plain_balance(rows, pick=("dev", "confirmation")):
+    where = {(s, g): split for s, g, split, _, _ in rows}
+    for s in sorted({r[0] for r in rows}):
+        for split in pick:
+            for label in sorted({x for r in rows if r[0] == s for x in r[3]}):
+                have = [r for r in rows if r[0] == s and label in r[3]]
+                if not any(where[s, r[1]] == split for r in have):
+                    free = sorted((r[4], r[1]) for r in have if where[s, r[1]] == "train")
+                    assert len(free) > 1
+                    where[s, free[0][1]] = split
+    return where
+
+
+def test_balance_equals_plain(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(f"s{i % 3}", f"g{i}", r.choice(["train"] * 9 + ["dev"]), r.sample("abcd", r.randint(1, 3)), str(r.random())) for i in range(90)]
+    got = splits.balance(spark.createDataFrame(rows, "source string, group string, split string, labels array<string>, rank string")).collect()
+    assert {(x.source, x.group): x.split for x in got} == plain_balance(rows) and len(got) == 90
+
+
+def test_chosen_sources_follow_their_weights(spark):
+    weights = spark.createDataFrame([("a", 1.0), ("b", 0.0), ("c", 7.0), ("d", None), ("e", 2.0)], "source string, weight double")
+    got = [x.source for x in splits.chosen_sources(weights, 20_000).collect()]
+    n = {s: got.count(s) for s in "abcde"}
+    assert len(got) == 20_000 and n["b"] == n["d"] == 0
+    assert all(abs(n[s] - 20_000 * w) < 4 * (20_000 * w) ** 0.5 for s, w in (("a", 0.1), ("c", 0.7), ("e", 0.2)))
+
+
+def test_numbered_lines_over_splits(spark, tmp_path):
+    """Files of many splits: numbers run on from split to split, blank lines have none."""
+    from corpusloom.sources import readers
+
+    texts = {"a": [f"line {i}" if i % 7 else " " for i in range(4000)], "b": ["x"], "c": []}
+    for name, lines in texts.items():
+        (tmp_path / f"{name}.txt").write_text("".join(x + "\n" for x in lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = readers.numbered_text(spark, str(tmp_path)).collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name, lines in texts.items():
+        own = sorted((x.number, x.value) for x in got if x.path.endswith(f"/{name}.txt"))
+        assert own == list(enumerate(x for x in lines if x.strip()))
+
+
+def test_paired_lines_of_different_lengths(spark, tmp_path):
+    from corpusloom.sources import readers
+
+    (tmp_path / "a").write_text("1\n2\n")
+    (tmp_path / "b").write_text("x\n")
+    with pytest.raises(Exception, match="differ in length"):
+        readers.paired_lines(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()
+
+
+def test_publish_table_once(spark, tmp_path):
+    from corpusloom.sources import sinks
+
+    path = f"{tmp_path}/out"
+    d = spark.createDataFrame([(1, "a"), (2, None)], "x int, t string")
+    assert sinks.publish_table(d, path) and not sinks.publish_table(d.orderBy("x", ascending=False), path)
+    for other in (d.limit(1), d.unionAll(d)):
+        with pytest.raises(FileExistsError):
+            sinks.publish_table(other, path)
+    assert spark.read.parquet(path).count() == 2 and not [x for x in tmp_path.iterdir() if x.name != "out"]
+
+
+def test_published_batches_survive_a_lost_checkpoint(spark, tmp_path):
+    from corpusloom.sources import sinks
+
+    d = spark.createDataFrame([(1,), (2,)], "x int")
+    d.write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema("x int").parquet(f"{tmp_path}/in")
+    for checkpoint in ("c1", "c1", "c2"):  # the third forgets what it did; the same batch writes nothing
+        sinks.publish_batches(stream(), f"{tmp_path}/out", f"{tmp_path}/{checkpoint}").start().awaitTermination()
+    assert sorted(x.x for x in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
+    d.write.mode("append").parquet(f"{tmp_path}/in")
+    with pytest.raises(Exception, match="FileExistsError"):
+        sinks.publish_batches(stream(), f"{tmp_path}/out", f"{tmp_path}/c3").start().awaitTermination()
 
 
 def test_pack(spark):
