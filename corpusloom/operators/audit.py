@@ -43,6 +43,11 @@ def files_changed(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return manifest.select("path", "sha256").join(got, "path", "full_outer").filter(~F.col("sha256").eqNullSafe(F.col("got")))
 
 
+def digests_changed(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files whose SHA-256 is not the manifest's, from (path, sha256) of either; works on files of any size."""
+    return manifest.select("path", "sha256").join(files.select("path", F.col("sha256").alias("got")), "path", "full_outer").filter(~F.col("sha256").eqNullSafe(F.col("got")))
+
+
 def content_key(prompt: str = "prompt", answer: str = "answer") -> Column:
     """V8: digest of prompt, a zero character, answer."""
     return F.sha2(F.concat(F.col(prompt), F.lit("\0"), F.col(answer)), 256)

@@ -12,7 +12,7 @@ from corpusloom.functions import tokens as K
 from corpusloom.operators import audit, splits
 from corpusloom.plans.corpus import REC_SQL, records
 from corpusloom.session import table
-from corpusloom.sources import readers, sinks
+from corpusloom.sources import ranges, readers, sinks
 from corpusloom.storage import shared_dir
 
 #: Documents by ranges of doc_id that share a file.
@@ -102,15 +102,13 @@ def file_digests_of_documents(spark: SparkSession, sf: str) -> DataFrame:
     part = F.floor(F.col("doc_id") / 100)
     d = table(spark, sf, "documents").select("doc_id", part.alias("part"), F.concat_ws(" ", F.col("doc_id").cast("string"), "lang", "source").alias("value"))
     d.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
-    files = files.select(F.regexp_extract("path", "part=(-?[0-9]+)", 1).alias("path"), "content")
+    files = ranges.file_digests(spark, path).select(F.regexp_extract("path", "part=(-?[0-9]+)", 1).alias("path"), "length", "sha256")
     toxic = table(spark, sf, "labels").filter("toxic = 1").select("doc_id", F.lit("!").alias("mark")).distinct()
     line = F.concat(F.col("value"), F.coalesce("mark", F.lit("")), F.lit("\n"))
     lines = d.join(toxic, "doc_id", "left").groupBy("part").agg(F.sort_array(F.collect_list(F.struct("doc_id", line.alias("line")))).alias("lines"))
     manifest = lines.select(F.col("part").cast("string").alias("path"), F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), ""), 256).alias("sha256"))
-    wrong = audit.files_changed(files, manifest).select("path", F.lit(True).alias("changed"))
-    own = files.select("path", F.length("content").cast("bigint").alias("length"), F.sha2("content", 256).alias("sha256"))
-    return own.join(wrong, "path", "left").select("path", "length", "sha256", F.coalesce("changed", F.lit(False)).alias("changed"))
+    wrong = audit.digests_changed(files, manifest).select("path", F.lit(True).alias("changed"))
+    return files.join(wrong, "path", "left").select("path", "length", "sha256", F.coalesce("changed", F.lit(False)).alias("changed"))
 
 
 DIGESTS_SQL = """WITH f AS (SELECT d.doc_id, d.doc_id // 100 AS part, concat_ws(' ', d.doc_id::VARCHAR, lang, source) AS line, t.doc_id IS NOT NULL AS toxic
@@ -118,6 +116,15 @@ DIGESTS_SQL = """WITH f AS (SELECT d.doc_id, d.doc_id // 100 AS part, concat_ws(
 SELECT part::VARCHAR AS path, sum(strlen(line) + 1)::BIGINT AS length, sha256(string_agg(line || chr(10), '' ORDER BY doc_id)) AS sha256, bool_or(toxic) AS changed FROM f GROUP BY part"""
 
 
+def bytes_of_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of documents as flat files of bytes, read by ranges: how often each byte stands."""
+    path = _folder(spark)
+    table(spark, sf, "documents").select(F.concat_ws(" ", F.col("doc_id").cast("string"), "lang", "source", "text")).write.text(path)
+    flat = ranges.flat_array(spark, path, "u1", chunk=1 << 16)
+    counted = flat.select(F.explode("ids").alias("byte")).groupBy("byte").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.col("byte").cast("int").alias("byte"), "n")
+
+
 # ---- token stores ---------------------------------------------------------------------------------------------------
 #: The token that stands for the answer's begin: a word of nine letters.
 DELIMITER = 9
@@ -261,6 +268,7 @@ QUERIES = {
     "paired_items": (paired_items, "SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, row_number() OVER (ORDER BY item_id) - 1 AS number FROM benchmark"),
     "events_in_a_broken_log": (events_in_a_broken_log, "SELECT event_id % 10 = 0 AS broken, CASE WHEN event_id % 10 <> 0 THEN event_type END AS event_type, count(*) AS n, sum(CASE WHEN event_id % 10 <> 0 THEN event_id END)::BIGINT AS ids FROM events GROUP BY ALL"),
     "counted_documents": (counted_documents, "SELECT DISTINCT source, (SELECT count(*) FROM documents) AS rows FROM documents"),
+    "bytes_of_documents": (bytes_of_documents, "SELECT ('0x' || b)::INT AS byte, count(*) AS n FROM (SELECT unnest(regexp_extract_all(hex(concat_ws(' ', doc_id::VARCHAR, lang, source, text) || chr(10)), '..')) AS b FROM documents) GROUP BY b"),
     "file_digests_of_documents": (file_digests_of_documents, DIGESTS_SQL),
     "stored_documents": (stored_documents, STORED_SQL),
     "stored_ids_checked": (stored_ids_checked, CHECKED_SQL),

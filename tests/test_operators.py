@@ -109,6 +109,34 @@ def test_paired_lines_of_different_lengths(spark, tmp_path):
         readers.paired_lines(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()
 
 
+def test_large_files_by_ranges(spark, tmp_path):
+    """A file over 2 GB (with holes, so it takes no room) is hashed in chunks; a flat array is read by ranges in order."""
+    import hashlib
+
+    import numpy as np
+
+    from corpusloom.sources import ranges
+
+    with open(tmp_path / "large", "wb") as f:
+        f.truncate((1 << 31) + 5)
+        f.seek(1 << 20)
+        f.write(b"x" * 1000)
+    (tmp_path / "empty").write_bytes(b"")
+    got = {r.path.rsplit("/", 1)[-1]: (r.length, r.sha256) for r in ranges.file_digests(spark, f"file://{tmp_path}").collect()}
+    with open(tmp_path / "large", "rb") as f:
+        assert got == {"large": ((1 << 31) + 5, hashlib.file_digest(f, "sha256").hexdigest()), "empty": (0, hashlib.sha256().hexdigest())}
+    ids = np.arange(10_001) * 7 % 65_536
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    (flat / "ids").write_bytes(ids.astype("<u2").tobytes())
+    read = ranges.flat_array(spark, str(flat), chunk=300, size=3000)
+    assert read.rdd.getNumPartitions() > 5
+    assert np.concatenate([r.ids for r in sorted(read.collect(), key=lambda r: r.start)]).tolist() == ids.tolist()
+    (flat / "ids").write_bytes(b"abc")
+    with pytest.raises(Exception, match="whole number"):
+        ranges.flat_array(spark, str(flat)).collect()
+
+
 def test_publish_table_once(spark, tmp_path):
     from corpusloom.sources import sinks
 
