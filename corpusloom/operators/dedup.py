@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.storage import materialize
+from corpusloom.operators.graph import connected_groups
+from corpusloom.storage import drop_path, materialize
 
 
 def first_owner(df: DataFrame, prompt_key: str = "key") -> DataFrame:
@@ -89,20 +91,59 @@ def near_duplicate_pairs(df: DataFrame, shingles: str = "shingles", least: float
     return near.unionByName(copies)
 
 
-def greedy_keep(ids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """J12 greedy: keep i iff no kept j before it pairs with it; a fixed point over the pairs of representatives.
+#: Pairs of one component that one task decides by itself: 16 bytes each.
+ONE_TASK_PAIRS = 200_000
 
-    A copy is never kept: its representative comes first, and what rejects that rejects the copy. Each round keeps
-    undecided rows whose earlier partners are all rejected, and rejects rows with a kept earlier partner.
+
+def _first_come(key, d: pd.DataFrame) -> pd.DataFrame:
+    """Of one component's pairs (a before b): its rows, each kept iff none kept stands before it in a pair."""
+    before: dict[int, list[int]] = {}
+    for a, b in zip(d["a"].tolist(), d["b"].tolist(), strict=True):
+        before.setdefault(a, [])
+        before.setdefault(b, []).append(a)
+    kept: dict[int, bool] = {}
+    for x in sorted(before):
+        kept[x] = not any(kept[y] for y in before[x])
+    return pd.DataFrame({"ord": list(kept), "kept": list(kept.values())}).astype({"ord": "int64", "kept": "bool"})
+
+
+def greedy_keep(ids: DataFrame, pairs: DataFrame, one_task: int = ONE_TASK_PAIRS) -> DataFrame:
+    """J12 greedy: keep i iff no kept j before it pairs with it, over the pairs of representatives.
+
+    A copy is never kept: its representative comes first, and what rejects that rejects the copy. Rows are decided by
+    connected components: one of at most `one_task` pairs in one task, as a chain needs one decision after the other. Of
+    larger ones a round keeps every row without an undecided one before it and rejects those behind it; what is decided leaves,
+    so the rest falls apart. Tables of a round are dropped after it.
     """
     pairs = materialize(pairs, "gk-pairs")
-    near = pairs.filter("NOT copy").select("a", "b")
-    marks = pairs.groupBy(F.col("b").alias("ord")).agg(F.max(F.col("copy").cast("int")).alias("copied"))
-    first = F.when(F.col("copied") == 1, -1).when(F.col("copied") == 0, 0).otherwise(1)
-    state = materialize(ids.select("ord").join(marks, "ord", "left").select("ord", first.alias("kept")), "gk-state")
-    while True:
-        seen = near.join(state.select(F.col("ord").alias("a"), F.col("kept").alias("k")), "a").groupBy("b").agg(F.max(F.when(F.col("k") == 1, 1).otherwise(0)).alias("hit"), F.min(F.when(F.col("k") == -1, 1).otherwise(0)).alias("free"))
-        new = F.when(F.col("kept") != 0, F.col("kept")).when(F.col("hit") == 1, -1).when(F.col("free") == 1, 1).otherwise(0)
-        state = materialize(state.join(seen, state["ord"] == seen["b"], "left").select("ord", new.alias("kept")), "gk-state")
-        if state.filter("kept = 0").isEmpty():
-            return state.filter("kept = 1").select("ord")
+    near = materialize(pairs.filter("NOT copy").select("a", "b").distinct(), "gk-near")
+    copies = pairs.filter("copy").select(F.col("b").alias("ord")).distinct()
+    decided: list[DataFrame] = []
+    while not near.isEmpty():
+        edge = F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string"))
+        ends = near.select(F.explode(F.array("a", "b")).alias("ord"), edge.alias("key"))
+        named = materialize(connected_groups(ends).select(F.col("ord").alias("a"), "component"), "gk-components")
+        own = materialize(near.join(named, "a"), "gk-own")
+        size = own.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        small = own.join(size.filter(F.col("n") <= one_task).select("component"), "component", "left_semi")
+        decided.append(materialize(small.groupBy("component").applyInPandas(_first_come, "ord bigint, kept boolean"), "gk-decided"))
+        large = materialize(own.join(size.filter(F.col("n") > one_task).select("component"), "component", "left_semi").select("a", "b"), "gk-large")
+        free = large.select("a").distinct().join(large.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        free = materialize(free.select(F.col("a").alias("ord")), "gk-free")
+        gone = materialize(large.join(free, large["a"] == free["ord"], "left_semi").select(F.col("b").alias("ord")).distinct(), "gk-gone")
+        decided.append(materialize(free.withColumn("kept", F.lit(True)).unionByName(gone.withColumn("kept", F.lit(False))), "gk-decided"))
+        out = free.unionByName(gone)
+        left = large.join(out, large["a"] == out["ord"], "left_anti").join(out, F.col("b") == out["ord"], "left_anti").select("a", "b")
+        before, near = near, materialize(left, "gk-near")
+        # rows whose pairs are all decided, but not they themselves, have no kept one before them
+        alone = large.select(F.explode(F.array("a", "b")).alias("ord")).distinct().join(out, "ord", "left_anti").join(near.select(F.explode(F.array("a", "b")).alias("ord")).distinct(), "ord", "left_anti")
+        decided.append(materialize(alone.withColumn("kept", F.lit(True)), "gk-decided"))
+        for t in (before, named, own, large, free, gone):
+            drop_path(t)
+    rejected = copies
+    for d in decided:
+        rejected = rejected.unionByName(d.filter("NOT kept").select("ord"))
+    result = materialize(ids.select("ord").join(rejected, "ord", "left_anti"), "gk-kept")
+    for t in (pairs, near, *decided):
+        drop_path(t)
+    return result

@@ -30,4 +30,7 @@ def connected_groups(edges: DataFrame) -> DataFrame:
         if total == before:
             break
     names = edges.join(label, "ord").groupBy("c").agg(F.min("key").alias("name"))
-    return label.join(names, "c").select("ord", F.col("c").alias("component"), "name", F.sha2("name", 256).alias("group"))
+    out = materialize(label.join(names, "c").select("ord", F.col("c").alias("component"), "name", F.sha2("name", 256).alias("group")), "cg-groups")
+    drop_path(edges)
+    drop_path(label)
+    return out

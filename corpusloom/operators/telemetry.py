@@ -2,31 +2,62 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.splits import offsets
+
 GAP_SECONDS = 180
 LOG_BASE = 1.05
 #: Targets that each row of crossings() may be held against.
 FEW_TARGETS = 1000
 
 
+#: Numbers, or seconds, that a block of a running measure spans.
+BLOCK = 100_000
+
+
+def last_before(rows: DataFrame, keys: list[str], order: str, values: dict[str, Column], ties: tuple[str, ...] = (), block: float | None = None) -> DataFrame:
+    """rows with, for each name, the last value that is not null before the row, in the order of a number or time.
+
+    Blocks of `block` numbers keep their last values, those run over the blocks of a group (a row a block), and only
+    inside a block rows follow one another, so a group of any size is many tasks.
+    """
+    number = F.col(order).cast("double") if dict(rows.dtypes)[order] not in ("timestamp_ntz",) else F.col(order).cast("timestamp").cast("double")
+    held = rows.withColumns({f"__{n}": v for n, v in values.items()}).withColumns({"__order": number, "__at": F.floor(number / (block or BLOCK))})
+    inside = Window.partitionBy(*keys, "__at").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct("__order", *ties)
+    blocks = held.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__at").alias("__b")).agg(*[F.max_by(F.col(f"__{n}"), F.when(F.col(f"__{n}").isNotNull(), place)).alias(f"__last_{n}") for n in values])
+    names = [f"__k{i}" for i in range(len(keys))]
+    over = Window.partitionBy(*names).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(*names, "__b", *[F.last(f"__last_{n}", ignorenulls=True).over(over).alias(f"__carried_{n}") for n in values])
+    own = held.withColumns({f"__own_{n}": F.last(f"__{n}", ignorenulls=True).over(inside) for n in values})
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], F.col("__at").eqNullSafe(F.col("__b")))
+    out = own.join(carried, on).withColumns({n: F.coalesce(f"__own_{n}", f"__carried_{n}") for n in values})
+    return out.drop(*[f"{p}{n}" for n in values for p in ("__", "__own_", "__carried_")], "__order", "__at", "__b", *names)
+
+
+def _count_upto(rows: DataFrame, keys: list[str], order: str, flag: Column, name: str) -> DataFrame:
+    """rows with the number of flagged ones up to each, itself included, by blocks."""
+    marked = rows.withColumn("__flag", F.when(F.coalesce(flag, F.lit(False)), 1).otherwise(0))
+    return offsets(marked, keys, "__flag", [order], BLOCK).withColumn(name, F.col("token_offset") + F.col("__flag")).drop("token_offset", "__flag")
+
+
 def sessions(events: DataFrame, run: str = "run", pos: str = "pos") -> DataFrame:
     """`session` number by explicit start events, in file order (counters and clocks may roll back)."""
-    w = Window.partitionBy(run).orderBy(pos)
-    return events.withColumn("session", F.sum(F.when(F.col("event") == "start", 1).otherwise(0)).over(w))
+    return _count_upto(events, [run], pos, F.col("event") == "start", "session")
 
 
 def segments(events: DataFrame, run: str = "run", pos: str = "pos", gap: float = GAP_SECONDS) -> DataFrame:
     """`segment` inside runs: a start, a pause over `gap` seconds between train rows, or a row after `finished`."""
-    w = Window.partitionBy(run).orderBy(pos)
     s = sessions(events, run, pos)
-    train = F.when(F.col("event") == "train", F.col("ts"))
-    last = F.last(train, ignorenulls=True).over(Window.partitionBy(run, "session").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1))
-    paused = (F.col("event") == "train") & (F.col("ts") - last > gap)
-    after = F.lag("event").over(w) == "finished"
-    opens = (F.col("event") == "start") | paused | after
-    return s.withColumn("segment", F.sum(F.when(F.coalesce(opens, F.lit(False)), 1).otherwise(0)).over(w))
+    s = last_before(s, [run], pos, {"__event": F.col("event")})
+    s = last_before(s, [run, "session"], pos, {"__train": F.when(F.col("event") == "train", F.col("ts"))})
+    paused = (F.col("event") == "train") & (F.col("ts") - F.col("__train") > gap)
+    opens = (F.col("event") == "start") | paused | (F.col("__event") == "finished")
+    return _count_upto(s, [run], pos, opens, "segment").drop("__event", "__train")
 
 
 def minutes(rows: DataFrame) -> DataFrame:
@@ -37,10 +68,9 @@ def minutes(rows: DataFrame) -> DataFrame:
 
 def gap_segments(series: DataFrame, by: list[str], ts: str, value: str, gap: float) -> DataFrame:
     """A sampled series cut at pauses over `gap` and at null values (which are dropped, not zero)."""
-    w = Window.partitionBy(*by).orderBy(ts)
-    cut = (F.col(ts) - F.lag(ts).over(w) > gap) | F.lag(value).over(w).isNull() | F.lag(ts).over(w).isNull()
-    out = series.withColumn("part", F.sum(F.when(cut, 1).otherwise(0)).over(w))
-    return out.filter(F.col(value).isNotNull())
+    d = last_before(series, by, ts, {"__ts": F.col(ts), "__null": F.col(value).isNull()})
+    cut = F.col("__ts").isNull() | (F.col(ts) - F.col("__ts") > gap) | F.col("__null")
+    return _count_upto(d, by, ts, cut, "part").drop("__ts", "__null").filter(F.col(value).isNotNull())
 
 
 def crossings(rows: DataFrame, targets: DataFrame, by: str, step: str, counter: str) -> DataFrame:
@@ -160,11 +190,10 @@ def live_state(status, heartbeat, present, now, old: float = 90) -> Column:
     return F.struct(age.alias("age"), fresh.alias("fresh"), ((status == "running") & fresh & present).alias("live"), (status == "paused").alias("recoverable"))
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, ts: str, value: str) -> DataFrame:
-    """For each left row the right value at or before its time: union, then the last non-null in time order."""
-    u = left.select(by, ts, F.lit(None).cast(right.schema[value].dataType).alias(value), F.lit(1).alias("side")).unionByName(right.select(by, ts, value, F.lit(0).alias("side")))
-    w = Window.partitionBy(by).orderBy(ts, "side").rowsBetween(Window.unboundedPreceding, 0)
-    return u.withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("side = 1").drop("side")
+def as_of(left: DataFrame, right: DataFrame, by: str, ts: str, value: str, block: float | None = None) -> DataFrame:
+    """For each left row the right value at or before its time: union, then the last that is not null, by blocks of time."""
+    u = left.select(by, ts, F.lit(None).cast(right.schema[value].dataType).alias("__value"), F.lit(1).alias("side")).unionByName(right.select(by, ts, F.col(value).alias("__value"), F.lit(0).alias("side")))
+    return last_before(u, [by], ts, {value: F.col("__value")}, ("side",), block).filter("side = 1").drop("side", "__value")
 
 
 def elapsed(sessions_: list[tuple[float, float]], t: Column) -> Column:
@@ -175,11 +204,20 @@ def elapsed(sessions_: list[tuple[float, float]], t: Column) -> Column:
     return total
 
 
-def in_sessions(rows: DataFrame, sessions_: DataFrame, by: str, ts: str = "ts", bucket: float = 3600.0) -> DataFrame:
-    """Rows with the session they fall in; a range join as an equi-join on time buckets, then the exact test."""
-    s = sessions_.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
-    r = rows.withColumn("__b", F.floor(F.col(ts) / bucket))
-    return r.join(s, [by, "__b"]).filter(F.col(ts).between(F.col("start"), F.col("end"))).drop("__b")
+def in_sessions(rows: DataFrame, sessions_: DataFrame, by: str, ts: str = "ts") -> DataFrame:
+    """Rows with the session they fall in; a range join as an equi-join on buckets of time, then the exact test.
+
+    A session goes to buckets of the least power of two seconds that is not under its length, so it stands in two of them at
+    most however long it is, and a row looks at one bucket of each width that sessions have.
+    """
+    width = F.ceil(F.log2(F.greatest(F.col("end") - F.col("start"), F.lit(1.0)))).cast("int")
+    s = sessions_.withColumn("__w", width)
+    wide = F.pow(F.lit(2.0), F.col("__w"))
+    s = s.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / wide), F.floor(F.col("end") / wide))))
+    widths = sorted(r[0] for r in s.select("__w").distinct().collect() if r[0] is not None)  # at most one for each power of two
+    r = rows.withColumn("__w", F.explode(F.array(*map(F.lit, widths)).cast("array<int>")))
+    r = r.withColumn("__b", F.floor(F.col(ts) / F.pow(F.lit(2.0), F.col("__w"))))
+    return r.join(s, [by, "__w", "__b"]).filter(F.col(ts).between(F.col("start"), F.col("end"))).drop("__b", "__w")
 
 
 def schedule_fraction(tokens, total: float, began: float | None = None, deadline: float | None = None, now: Column | None = None) -> Column:

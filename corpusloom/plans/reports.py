@@ -143,7 +143,7 @@ SELECT t.run, count(h.pos) AS with_heartbeat, count(*) AS n FROM t ASOF LEFT JOI
 def session_join(spark, sf):
     e = run_events(spark, sf)
     s = M.sessions(e).filter("session > 0").groupBy("run", "session").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
-    return M.in_sessions(e.select("run", "ts", "pos"), s, "run", bucket=86400.0).groupBy("run", "session").agg(F.count(F.lit(1)).alias("n"))
+    return M.in_sessions(e.select("run", "ts", "pos"), s, "run").groupBy("run", "session").agg(F.count(F.lit(1)).alias("n"))
 
 
 SESSION_JOIN_SQL = f"""WITH {EV_SQL}, s AS (SELECT run, session, min(ts) AS a, max(ts) AS z FROM se WHERE session > 0 GROUP BY ALL)

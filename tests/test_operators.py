@@ -37,6 +37,72 @@ def test_near_duplicates_and_greedy(spark):
     assert sorted(r.ord for r in dedup.greedy_keep(d, pairs).collect()) == [0, 2, 4]
 
 
+def plain_greedy(n, pairs):
+    kept = []
+    for i in range(n):
+        if not any((j, i) in pairs for j in kept):
+            kept.append(i)
+    return kept
+
+
+@pytest.mark.parametrize("one_task", [200_000, 3])
+def test_greedy_keep_of_chains_and_webs(spark, one_task, monkeypatch):
+    """A chain of 2,000 near duplicates takes one round; components over the bound give the same by rounds."""
+    import random
+
+    from corpusloom.operators import graph
+
+    rounds = []
+    old = graph.connected_groups
+    monkeypatch.setattr(dedup, "connected_groups", lambda e: (rounds.append(1), old(e))[1])
+    r = random.Random(5)
+    chain = {(i, i + 1) for i in range(1999)} if one_task > 3 else {(i, i + 1) for i in range(9)}
+    web = {tuple(sorted(r.sample(range(2000, 2040), 2))) for _ in range(60)}
+    pairs = spark.createDataFrame([(a, b, False) for a, b in chain | web] + [(1, 2050, True)], "a long, b long, copy boolean")
+    got = sorted(x.ord for x in dedup.greedy_keep(spark.range(2060).withColumnRenamed("id", "ord"), pairs, one_task).collect())
+    assert got == [x for x in plain_greedy(2060, chain | web) if x != 2050]
+    assert len(rounds) == 1 if one_task > 3 else len(rounds) < 20
+
+
+def test_rows_in_sessions_of_all_lengths(spark):
+    import random
+
+    r = random.Random(4)
+    spans = [("r", a, a + r.choice([0.0, 0.5, 60.0, 86_400.0, 3e7])) for a in (r.uniform(0, 1e8) for _ in range(60))] + [("q", 0.0, 5.0)]
+    rows = [(r.choice("rq"), r.uniform(0, 1.4e8)) for _ in range(500)] + [("r", b) for _, _, b in spans] + [("r", a) for _, a, _ in spans]
+    d = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "run string, ts double, i int")
+    s = spark.createDataFrame([(k, a, b, i) for i, (k, a, b) in enumerate(spans)], "run string, start double, end double, session int")
+    got = sorted((x.i, x.session) for x in telemetry.in_sessions(d, s, "run").collect())
+    assert got == sorted((i, j) for i, (k, t) in enumerate(rows) for j, (m, a, b) in enumerate(spans) if k == m and a <= t <= b)
+
+
+def test_running_measures_by_blocks(spark, monkeypatch):
+    """Blocks of seven numbers give the sessions, segments, parts and values of one window over each run."""
+    import random
+
+    monkeypatch.setattr(telemetry, "BLOCK", 7)
+    r = random.Random(6)
+    rows = [(run, i, r.choice(["train"] * 6 + ["start", "finished"]), float(i * 60 + r.choice([0, 0, 400])), r.choice([1.0, None])) for run in "ab" for i in range(60)]
+    d = spark.createDataFrame(rows, "run string, pos long, event string, ts double, v double")
+    got = {(x.run, x.pos): (x.session, x.segment) for x in telemetry.segments(d).collect()}
+    for run in "ab":
+        session = segment = 0
+        last, before = None, None
+        for _, pos, event, ts, _ in [x for x in rows if x[0] == run]:
+            if event == "start":
+                session, last = session + 1, None
+            if event == "start" or before == "finished" or (event == "train" and last is not None and ts - last > 180):
+                segment += 1
+            last, before = (ts if event == "train" else last), event
+            assert got[run, pos] == (session, segment), (run, pos)
+    right = d.filter("v IS NOT NULL").select("run", "pos", F.col("ts").alias("value"))
+    left = d.filter("event = 'train'").select("run", "pos")
+    asof = {(x.run, x.pos): x.value for x in telemetry.as_of(left, right, "run", "pos", "value", block=7).collect()}
+    for (run, pos), value in asof.items():
+        known = [x[3] for x in rows if x[0] == run and x[1] <= pos and x[4] is not None]
+        assert value == (known[-1] if known else None)
+
+
 def test_quarantine_takes_whole_groups(spark):
     d = spark.createDataFrame([("s", "1", "g"), ("s", "2", "g"), ("s", "3", "h")], "source string, original_id string, group string")
     x = spark.createDataFrame([("s", "1")], "source string, original_id string")
