@@ -150,11 +150,13 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, key: str = "vec_id",
 
     kind = classes.schema["label"].dataType.simpleString()
     posted = scratch(classes.select("label", "x", "cid", "m").mapInArrow(post, f"label {kind}, cid bigint, m bigint, unit binary, prefix binary, pivots array<int>"), "pv-posted")
-    placed = _lists(posted, min(SHARED, count), longest, scratch).drop("pivots").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    # lists are made of numbers alone; vectors and prefixes are met by the rows of block tasks that are left
+    placed = _lists(posted.select("label", "cid", "pivots"), min(SHARED, count), longest, scratch).drop("pivots").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     # block pairs (i, j), i <= j: a vector of block b is in (b, j) and (i, b)
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "list": F.array_join("key", ",")}).select("label", "list", "i", "j", "own", "cid", "m", "unit", "prefix")
+    tasks = tasks.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "list": F.array_join("key", ",")}).select("label", "list", "i", "j", "own", "cid")
+    tasks = tasks.join(posted.select("cid", "m", "unit", "prefix"), "cid")
 
     def run(key_, d: pd.DataFrame) -> pd.DataFrame:
         _, list_, i, j = key_

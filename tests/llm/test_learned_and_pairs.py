@@ -165,6 +165,25 @@ def test_vectors_with_ties(spark, monkeypatch):
     assert got == brute_vectors(rows)
 
 
+def test_links_at_the_threshold_with_many_pivots(spark, monkeypatch):
+    """Planted pairs with cosines of 0.93 to 0.935 among 3,600 vectors and 1,024 pivots: at least 0.99 are found."""
+    monkeypatch.setattr(pivot_index, "PER_PIVOT", 4)
+    r = np.random.default_rng(11)
+    x = r.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = r.normal(size=(600, 64))
+    side -= (side * x[:600]).sum(axis=1)[:, None] * x[:600]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    c = r.uniform(0.9301, 0.935, size=(600, 1))
+    rows = [(i, [float(e) for e in v], 0) for i, v in enumerate(np.concatenate([x, c * x[:600] + np.sqrt(1 - c * c) * side]))]
+    seen = []
+    old = pivot_index.prefix_of
+    monkeypatch.setattr(pivot_index, "prefix_of", lambda n: (seen.append(n), old(n))[1])
+    got = {v.vec_id: v for v in pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    found = sum(got[3000 + i].component_id == i for i in range(600))
+    assert seen == [1024] and found >= 594 and sum(v.n_links for v in got.values()) == 2 * found
+
+
 def test_vectors_empty(spark):
     assert pivot_index.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
