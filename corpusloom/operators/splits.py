@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,52 +142,109 @@ DRAWS = 128
 PACKED = "source string, row int, used int, ids array<int>, real_mask array<int>, answer_mask array<int>, records array<bigint>"
 
 
-def pack(df: DataFrame, rows: int | None = None, seed: str = "pack-1", context: int = CONTEXT, block: int = 512) -> DataFrame:
+def _filled(sizes: np.ndarray, used: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Next-fit from several states at once: rows begun and tokens in the open row after records of these sizes.
+
+    used: tokens in the open row, -1 without one.
+    """
+    begun, used = np.zeros(len(used), np.int64), used.copy()
+    for n in sizes.tolist():
+        new = (used < 0) | (used + n > room)
+        begun += new
+        used = np.where(new, n, used + n)
+    return begun, used
+
+
+_STEP = "source string, part bigint, begun array<bigint>, used array<bigint>"
+
+
+def next_fit(sizes: DataFrame, room: int, block: int = 512) -> DataFrame:
+    """(source, place, row): the row of each record (source, place, size) when rows are filled in order, each with all that
+    still fits; a record that does not fit begins the next row. place runs from 0 in each source.
+
+    What a block of records does to the open row is a function of its tokens, at most room + 2 of them. Blocks make their
+    functions alone, `block` of them are composed to one, and those run over a source; then each block knows its open row.
+    So the rows are those of one pass over a source, whatever `block` is, without a source in one task.
+    """
+    states = np.arange(-1, room + 1)
+
+    def one(key, d: pd.DataFrame) -> pd.DataFrame:
+        begun, used = _filled(d.sort_values("place")["size"].to_numpy(), states, room)
+        return pd.DataFrame({"source": [key[0]], "part": [key[1]], "begun": [begun], "used": [used]})
+
+    def compose(key, d: pd.DataFrame) -> pd.DataFrame:
+        begun, used = np.zeros(len(states), np.int64), states
+        for x, y in zip(*(d.sort_values("part")[c] for c in ("begun", "used")), strict=True):
+            begun, used = begun + np.asarray(x)[used + 1], np.asarray(y)[used + 1]
+        return pd.DataFrame({"source": [key[0]], "part": [key[1]], "begun": [begun], "used": [used]})
+
+    def run(d: pd.DataFrame, begun: int, used: int) -> list:
+        out = []
+        for part, x, y in zip(*(d.sort_values("part")[c] for c in ("part", "begun", "used")), strict=True):
+            out.append((int(part), begun, used))
+            begun, used = begun + int(x[used + 1]), int(y[used + 1])
+        return out
+
+    def first(key, d: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r) for r in run(d, 0, -1)], columns=["source", "upper", "begun0", "used0"])
+
+    def then(key, d: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r) for r in run(d, int(d["begun0"].iloc[0]), int(d["used0"].iloc[0]))], columns=["source", "part", "begun0", "used0"])
+
+    def rows(key, d: pd.DataFrame) -> pd.DataFrame:
+        row, used, out = int(d["begun0"].iloc[0]) - 1, int(d["used0"].iloc[0]), []
+        d = d.sort_values("place")
+        for n in d["size"].tolist():
+            if used < 0 or used + n > room:
+                row, used = row + 1, 0
+            used += n
+            out.append(row)
+        return pd.DataFrame({"source": key[0], "place": d["place"], "row": out})
+
+    upper = F.floor(F.col("part") / block)
+    parted = sizes.withColumn("part", F.floor(F.col("place") / block))
+    steps = materialize(parted.groupBy("source", "part").applyInPandas(one, _STEP), "next-fit-steps")
+    wide = steps.groupBy("source", upper.alias("part")).applyInPandas(compose, _STEP)
+    starts = wide.groupBy("source").applyInPandas(first, "source string, upper bigint, begun0 bigint, used0 bigint")
+    each = steps.withColumn("upper", upper).join(starts, ["source", "upper"]).groupBy("source", "upper").applyInPandas(then, "source string, part bigint, begun0 bigint, used0 bigint")
+    out = materialize(parted.join(each, ["source", "part"]).groupBy("source", "part").applyInPandas(rows, "source string, place bigint, row int"), "next-fit-rows")
+    drop_path(steps)
+    return out
+
+
+def pack(df: DataFrame, rows: int | None = None, seed: str = "pack-1", context: int = CONTEXT) -> DataFrame:
     """Packed rows of at most context + 1 tokens from (source, ord, ids, answer_start).
 
-    Without `rows`: sequential, each record once, next-fit in the order of ord inside blocks of `block` records of a
-    source, so a large source is many tasks. With `rows`: that many rows a source, drawn with replacement by a hash of
-    (seed, row, draw), at most DRAWS draws, ending at the first record that does not fit; draws meet their records by
-    place, so no task holds a source. A source without a record that fits is an error then.
+    Without `rows`: sequential, each record once, next-fit in the order of ord over the whole source. With `rows`: that many
+    rows a source, drawn with replacement by a hash of (seed, row, draw), at most DRAWS draws, ending at the first record
+    that does not fit; draws meet their records by place, so no task holds a source. A source without a record that fits
+    is an error then.
     """
 
-    def emit(source, number, held):
-        ids, mask, recs = [], [], []
-        for r in held:
-            ids += list(r.ids)
-            mask += [0] * int(r.answer_start) + [1] * (len(r.ids) - int(r.answer_start))
-            recs.append(int(r.ord))
-        pad = context + 1 - len(ids)
-        return source, number, len(ids), ids + [0] * pad, [1] * len(ids) + [0] * pad, mask + [0] * pad, recs
-
-    def table_of(out) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["source", "row", "used", "ids", "real_mask", "answer_mask", "records"])
-
-    def fill(key, d: pd.DataFrame) -> pd.DataFrame:
-        out: list = []
-        held: list = []
-        size = 0
-        for r in d.sort_values("ord").itertuples(index=False):
-            if held and size + len(r.ids) > context + 1:
-                out.append(emit(key[0], int(key[1]) * block + len(out), held))
-                held, size = [], 0
-            held.append(r)
-            size += len(r.ids)
-        return table_of([*out, emit(key[0], int(key[1]) * block + len(out), held)])
-
-    def drawn(key, d: pd.DataFrame) -> pd.DataFrame:
-        return table_of([emit(key[0], int(key[1]), list(d.sort_values("draw").itertuples(index=False)))])
+    def emitted(order: str):
+        def emit(key, d: pd.DataFrame) -> pd.DataFrame:
+            ids, mask, recs = [], [], []
+            for r in d.sort_values(order).itertuples(index=False):
+                ids += list(r.ids)
+                mask += [0] * int(r.answer_start) + [1] * (len(r.ids) - int(r.answer_start))
+                recs.append(int(r.ord))
+            pad = context + 1 - len(ids)
+            row = (key[0], int(key[1]), len(ids), ids + [0] * pad, [1] * len(ids) + [0] * pad, mask + [0] * pad, recs)
+            return pd.DataFrame([row], columns=["source", "row", "used", "ids", "real_mask", "answer_mask", "records"])
+
+        return emit
 
     fits = df.filter(F.size("ids") <= context + 1).select("source", "ord", "ids", "answer_start")
     placed = offsets(fits.withColumn("one", F.lit(1)), ["source"], "one", ["ord"]).withColumnRenamed("token_offset", "place").drop("one")
     if rows is None:
-        return placed.withColumn("part", F.floor(F.col("place") / block).cast("int")).drop("place").groupBy("source", "part").applyInPandas(fill, PACKED)
+        met = next_fit(placed.select("source", "place", F.size("ids").alias("size")), context + 1)
+        return placed.join(met, ["source", "place"]).groupBy("source", "row").applyInPandas(emitted("place"), PACKED)
     counts = fits.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     empty = df.select("source").distinct().join(counts, "source", "left_anti").limit(1).collect()
     if empty:
         raise ValueError(f"no record of {empty[0]['source']} fits")
     asked = counts.select("source").withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    return _held(asked, placed, counts, seed, context).groupBy("source", "row").applyInPandas(drawn, PACKED)
+    return _held(asked, placed, counts, seed, context).groupBy("source", "row").applyInPandas(emitted("draw"), PACKED)
 
 
 def _held(asked: DataFrame, placed: DataFrame, counts: DataFrame, seed: str, context: int) -> DataFrame:

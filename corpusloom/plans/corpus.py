@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import audit, dedup, graph, splits
 from corpusloom.session import table
-from corpusloom.storage import small_side
+from corpusloom.storage import materialize, small_side
 
 NORM_SQL = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
 #: norm() for texts whose only letters beyond lower() are the sharp s (NFC has nothing to compose in them).
@@ -84,9 +84,11 @@ CONFLICT_SQL = f"""WITH {REC_SQL} SELECT DISTINCT "group" FROM keyed WHERE key I
 
 
 def dedup_first_row(spark, sf):
-    d = keyed(spark, sf)
-    bad = dedup.conflicting_groups(d, "key", T.norm("answer"))
-    return dedup.first_row(d, "key", bad).filter(F.length("answer") <= 4000).select("original_id", "key")
+    # keys and forms of answers are made once, and kept without the texts
+    d = keyed(spark, sf).select("original_id", "ord", "key", "group", F.md5(T.norm("answer")).alias("form"), F.length("answer").alias("n"))
+    d = materialize(d, "first-row-keys")
+    bad = dedup.conflicting_groups(d, "key", F.col("form"))
+    return dedup.first_row(d, "key", bad).filter("n <= 4000").select("original_id", "key")
 
 
 FIRST_ROW_SQL = f"""WITH {REC_SQL},
@@ -443,7 +445,7 @@ def pack_sequences(spark, sf):
 PACK_SQL = f"""WITH RECURSIVE f AS (SELECT source, doc_id AS ord, {TOK_SQL} AS n FROM documents),
 g AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ord) - 1 AS i FROM f WHERE n <= 1025),
 p(source, i, n, nr, used) AS (SELECT source, i, n, 0::BIGINT, n FROM g WHERE i = 0 UNION ALL
-  SELECT g.source, g.i, g.n, CASE WHEN g.i % 512 = 0 THEN g.i WHEN p.used + g.n > 1025 THEN p.nr + 1 ELSE p.nr END, CASE WHEN g.i % 512 = 0 OR p.used + g.n > 1025 THEN g.n ELSE p.used + g.n END
+  SELECT g.source, g.i, g.n, CASE WHEN p.used + g.n > 1025 THEN p.nr + 1 ELSE p.nr END, CASE WHEN p.used + g.n > 1025 THEN g.n ELSE p.used + g.n END
   FROM p JOIN g ON g.source IS NOT DISTINCT FROM p.source AND g.i = p.i + 1)
 SELECT source, nr::INT AS "row", sum(n)::INT AS used, count(*)::INT AS n_records FROM p GROUP BY source, nr"""
 

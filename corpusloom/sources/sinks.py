@@ -18,8 +18,11 @@ def json_lines(df: DataFrame, path: str) -> None:
 
 
 def partitioned(df: DataFrame, path: str, by=("source", "split")) -> None:
-    """K2: one folder for each value; rows meet by a salted key first, so a large source is many files."""
-    salted = df.repartition(*[F.col(b) for b in by], F.pmod(F.xxhash64(*df.columns[:1]), F.lit(16)))
+    """K2: one folder for each value; rows meet by a salted key first, so a large source is many files.
+
+    The salt hashes the whole row, so a column that is the same in all rows does not undo it.
+    """
+    salted = df.repartition(*[F.col(b) for b in by], F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(16)))
     salted.write.mode("errorifexists").partitionBy(*by).parquet(path)
 
 

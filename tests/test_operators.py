@@ -140,6 +140,25 @@ def test_balance_equals_plain(spark):
     assert {(x.source, x.group): x.split for x in got} == plain_balance(rows) and len(got) == 90
 
 
+def test_next_fit_is_one_pass(spark):
+    """Blocks of any size give the rows of one pass over each source."""
+    import random
+
+    r = random.Random(7)
+    sizes = {s: [r.choice([0, 1, r.randint(1, 50), r.randint(1, 10)]) for _ in range(n)] for s, n in (("a", 300), ("b", 1), ("c", 17))}
+    d = spark.createDataFrame([(s, i, n) for s, v in sizes.items() for i, n in enumerate(v)], "source string, place long, size int")
+    want = {}
+    for s, v in sizes.items():
+        row, used = -1, -1
+        for i, n in enumerate(v):
+            if used < 0 or used + n > 50:
+                row, used = row + 1, 0
+            used += n
+            want[s, i] = row
+    for block in (3, 1000):
+        assert {(x.source, x.place): x.row for x in splits.next_fit(d, 50, block).collect()} == want
+
+
 def test_chosen_sources_follow_their_weights(spark):
     weights = spark.createDataFrame([("a", 1.0), ("b", 0.0), ("c", 7.0), ("d", None), ("e", 2.0)], "source string, weight double")
     got = [x.source for x in splits.chosen_sources(weights, 20_000).collect()]
