@@ -12,7 +12,8 @@ The width is the smallest that holds PERCENTILE of the block's differences; what
 
 Documents are spread by ranges of doc_id and sorted inside, so files follow doc_id; the start of a document is the
 number of ids before it in its partition plus the totals of earlier partitions (one number for each partition is all
-that reaches the driver). Rows of one doc_id, or without one, are spread and sorted further by a hash of their text.
+that reaches the driver). Rows of one doc_id, or without one, are spread and sorted further by a hash of their text, and
+rows equal in both by where they come from, so that none of them fill one task.
 Encoding uses the tokenizers library on distinct pieces of texts (functions/bpe.py); texts that hold the special token
 are encoded whole.
 
@@ -164,7 +165,8 @@ def write_store(docs: DataFrame, tokenizer: str | None = None, text: str = "text
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     order = ["doc_id", F.xxhash64("text"), "text"]
-    rows = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
+    # rows equal in both are interchangeable; a number of their place lets ranges part them
+    rows = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(n, *order[:2], "tie").sortWithinPartitions(*order).drop("tie")
 
     def run(batches):
         from pyspark import TaskContext

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from corpusloom.llm import byte_cnn, components, minhash_join, pfor_store, piece_codec, pivot_index
@@ -375,3 +376,16 @@ def test_recall_with_many_pivots(count):
     near = [np.argsort(-(x @ pivots.T), axis=1)[:, : pivot_index.prefix_of(count)] for x in (a, b)]
     found = (near[0][:, :, None] == near[1][:, None, :]).sum((1, 2)) >= pivot_index.SHARED
     assert len(pivots) == count and found.mean() >= 0.99
+
+
+def test_equal_rows_in_several_files(spark):
+    """Rows without id and with one text are parted by ranges like others; their starts run on without a gap."""
+    docs = spark.createDataFrame([(None, "one and the same text")], "doc_id long, text string").crossJoin(spark.range(4000).select()).unionByName(spark.createDataFrame([(1, "other"), (2, "")], "doc_id long, text string"))
+    files = pfor_store.write_store(docs, partitions=4)
+    assert max(r["n"] for r in files.groupBy("part").agg(F.sum("docs").alias("n")).collect()) < 2500
+    got = sorted(pfor_store.read_store(files).collect(), key=lambda r: r.start)
+    assert len(got) == 4002 and [r.doc_id for r in got[-2:]] == [1, 2]
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
