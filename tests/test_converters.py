@@ -10,7 +10,7 @@ NLI = "pairID string, promptID int, premise string, hypothesis string, label int
 
 
 def test_identities_and_splits(spark):
-    """Every record has a group and a split; rows of the joined waves name what they share (values: plans/sources.py)."""
+    """Every record has a group and a split; rows of the joined waves name what they share (values: tests/rule_sources.py)."""
     r = one(spark, "multinli", ("i", 4, "A <b>premise</b>", "h", 0), NLI)
     assert [k.split(":")[0] for k in r.identities] == ["context", "multinli-prompt", "multinli-id", "prompt"] and [k.split(":")[0] for k in r.checks] == ["context", "prompt"]
     other = one(spark, "multinli", ("j", 5, "a  PREMISE", "g", 1), NLI)
