@@ -9,10 +9,11 @@
 3. Posting lists are merged by skips, never into all pairs. Every class is first compared to one pivot of its lists; where
    much is left, classes outside their list's largest component (its head) are compared, twice, to a few members of the
    head; agreements (of the low bytes, which travel with the postings) are counted, pairs below needed() dropped, the rest
-   confirmed on full sets. What is still outside a head then is compared
-   to all of the head's component and to the others outside it: small cases as rows, larger ones in tasks of CHUNK
-   outsiders and BLOCK members that return one row for each outsider and component found. Two classes of one list lie in
-   one component, or one of them is outside the list's head, so no pair that could link two components is left out.
+   confirmed on full sets. What is still outside a head then is compared to the members of its lists (or, where that is
+   less work, to all of the head's component) and to the others outside it: small cases as rows, larger ones in tiles of
+   CHUNK outsiders and BLOCK members, marks first and then the sets of what agrees, with one row for each outsider and
+   component found. Two classes of one list lie in one component, or one of them is outside the list's head, so no pair
+   that could link two components is left out.
 4. Components over confirmed links.
 
 Defined cases: null or empty text has no set and links with nothing; fewer words than a shingle make one shingle of the
@@ -43,8 +44,8 @@ BROADCAST_ROWS = 200_000
 #: Comparisons between outsiders and their lists' heads up to which the sampled rounds, which only spare work, are left out.
 FEW = 20_000_000
 PIECE = 1 << 20
-#: Outsiders and members that meet in one task.
-CHUNK, BLOCK = 64, 1024
+#: Outsiders and members whose sets meet in one task; marks meet by WIDE times as many of both.
+CHUNK, BLOCK, WIDE = 64, 1024, 4
 
 _R = np.random.default_rng(20240229)
 _BYTE = _R.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -229,43 +230,84 @@ def _heads(named: DataFrame) -> DataFrame:
     return heads.filter("parts > 1").select("post", "head", "size", (F.col("all") - F.col("size")).alias("outside"))
 
 
-def _outsiders(outside: DataFrame, reps: DataFrame, label: DataFrame, sets: DataFrame, percent: int, need: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between outsiders (head, rep, mark, component) and the members of the head's component or each other."""
-    heads = scratch(outside.groupBy("head").agg(F.count(F.lit(1)).alias("outsiders")), "mh-outheads")
-    inside = _named(reps, label).join(small_side(heads.select(F.col("head").alias("component")), BROADCAST_ROWS), "component").select(F.col("component").alias("head"), "rep", "mark", "component")
-    members = scratch(inside.unionByName(outside.select("head", "rep", "mark", "component")), "mh-members")
-    sizes = members.groupBy("head").agg(F.count(F.lit(1)).alias("members")).join(heads, "head")
+def _meetings(met: DataFrame, heads: DataFrame, reps: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
+    """(whole, g, rep, mark, component, asks): each row that asks has to be compared to the rows of its g of other components.
+
+    g is a list, and its outsiders ask. Where the lists of one head together need more comparisons than its outsiders with
+    all of the head's component (many lists of about the same members), g is the head with that component instead.
+    """
+    outside = scratch(met.filter("component <> head").select("head", "rep", "mark", "component").distinct(), "mh-outside")
+    own = _named(reps, label).join(small_side(heads.select(F.col("head").alias("component")).distinct(), BROADCAST_ROWS), "component")
+    inside = scratch(own.select(F.col("component").alias("head"), "rep", "mark", "component"), "mh-inside")
+    cost = heads.groupBy("head").agg(F.sum(F.col("outside").cast("double") * (F.col("size") + F.col("outside"))).alias("lists"))
+    cost = cost.join(outside.groupBy("head").agg(F.count(F.lit(1)).alias("o")), "head").join(inside.groupBy("head").agg(F.count(F.lit(1)).alias("i")), "head")
+    choice = small_side(scratch(cost.select("head", (F.col("lists") > F.col("o").cast("double") * (F.col("i") + F.col("o"))).alias("whole")), "mh-choice"), BROADCAST_ROWS)
+    lists = met.join(choice.filter("NOT whole"), "head").select("whole", F.col("post").alias("g"), "rep", "mark", "component", (F.col("component") != F.col("head")).alias("asks"))
+    both = outside.withColumn("asks", F.lit(True)).unionByName(inside.withColumn("asks", F.lit(False)))
+    return scratch(lists.unionByName(both.join(choice.filter("whole"), "head").select("whole", F.col("head").alias("g"), "rep", "mark", "component", "asks")), "mh-meet")
+
+
+def _tiles(asks: np.ndarray, tells: np.ndarray, own: np.ndarray, others: np.ndarray, need: int, chunk: int, block: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number, asking, told) of every tile of chunk by block marks: the places of those that agree with another component's."""
+    wide = -(-len(tells) // block)
+    for i in range(0, len(asks), chunk):
+        some = slice(i, i + chunk)
+        hits = np.stack([((tells == m).sum(axis=1) >= need) & (others != c) for m, c in zip(asks[some], own[some], strict=True)])
+        for j in range(0, len(tells), block):
+            hit = hits[:, j : j + block]
+            if hit.any():
+                yield i // chunk * wide + j // block, i + np.flatnonzero(hit.any(axis=1)), j + np.flatnonzero(hit.any(axis=0))
+
+
+def _outsiders(meet: DataFrame, sets: DataFrame, percent: int, need: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of the rows that ask with rows of their g of other components, one at least for each component linked.
+
+    Small groups are compared as rows. In larger ones marks alone meet first; only rows whose mark agrees with another's in
+    a tile of CHUNK asking and BLOCK told rows send their sets, to that tile.
+    """
+    by = ["whole", "g"]
+    sizes = meet.groupBy(*by).agg(F.count(F.lit(1)).alias("members"), F.count_if("asks").alias("outsiders"))
     sizes = scratch(sizes.withColumn("many", F.col("members") * F.col("outsiders") > CHUNK), "mh-sizes")
-    few = small_side(sizes.filter("NOT many").select("head"), BROADCAST_ROWS)
-    x = outside.join(few, "head").select("head", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("mark").alias("mx"))
-    y = members.join(few, "head").select("head", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("mark").alias("my"))
-    pairs = x.join(y, "head").filter((F.col("cx") != F.col("cy")) & _agree(F.col("mx"), F.col("my"), need)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    few = small_side(sizes.filter("NOT many").select(*by), BROADCAST_ROWS)
+    x = meet.filter("asks").join(few, by).select(*by, F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("mark").alias("mx"))
+    y = meet.join(few, by).select(*by, F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("mark").alias("my"))
+    pairs = x.join(y, by).filter((F.col("cx") != F.col("cy")) & _agree(F.col("mx"), F.col("my"), need)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = _confirmed(pairs, sets, percent, scratch)
-    plan = sizes.filter("many").select("head", F.ceil(F.col("outsiders") / CHUNK).cast("int").alias("chunks"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    plan = sizes.filter("many").select(*by, F.ceil(F.col("outsiders") / (WIDE * CHUNK)).cast("int").alias("chunks"), F.ceil(F.col("members") / (WIDE * BLOCK)).cast("int").alias("blocks"))
     if plan.isEmpty():
         return links
     plan = small_side(plan, BROADCAST_ROWS)
     part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    asks = outside.join(plan, "head").select("head", part("chunks").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "mark", "component", F.lit(True).alias("asks"))
-    told = members.join(plan, "head").select("head", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), part("blocks").alias("block"), "rep", "mark", "component", F.lit(False).alias("asks"))
-    tasks = asks.unionByName(told).join(sets, "rep")
+    planned = meet.join(plan, by)
+    asks = planned.filter("asks").select(*by, part("chunks").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "mark", "component", F.lit(True).alias("asks"))
+    told = planned.select(*by, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), part("blocks").alias("block"), "rep", "mark", "component", F.lit(False).alias("asks"))
 
-    def run(d: pd.DataFrame) -> pd.DataFrame:
+    def agreeing(d: pd.DataFrame) -> pd.DataFrame:
+        ask, tell = d[d["asks"]], d[~d["asks"]]
+        if not len(ask) or not len(tell):
+            return d.iloc[:0].assign(tile=0)
+        marks = (np.stack(x["mark"].to_list()) for x in (ask, tell))
+        tiles = _tiles(*marks, ask["component"].to_numpy(), tell["component"].to_numpy(), need, CHUNK, BLOCK)
+        found = [pd.concat([ask.iloc[a], tell.iloc[t]]).assign(tile=n) for n, a, t in tiles]
+        return pd.concat(found) if found else d.iloc[:0].assign(tile=0)
+
+    def confirm(d: pd.DataFrame) -> pd.DataFrame:
         ask, tell = d[d["asks"]], d[~d["asks"]]
         out = []
-        if len(ask) and len(tell):
-            a, t = np.stack(ask["mark"].to_list()), np.stack(tell["mark"].to_list())
-            ids, comps = tell["rep"].to_numpy(), tell["component"].to_numpy()
-            told_sets = [np.frombuffer(s, np.uint64) for s in tell["set"]]
-            for rep, comp, mark, raw in zip(ask["rep"], ask["component"], a, ask["set"], strict=True):
-                own, found = np.frombuffer(raw, np.uint64), set()
-                for k in np.flatnonzero(((t == mark).sum(axis=1) >= need) & (comps != comp)):
-                    if comps[k] not in found and _alike(own, told_sets[k], percent):
-                        found.add(comps[k])
-                        out.append((rep, ids[k]))
+        a, t = np.stack(ask["mark"].to_list()), np.stack(tell["mark"].to_list())
+        ids, comps = tell["rep"].to_numpy(), tell["component"].to_numpy()
+        told_sets = [np.frombuffer(s, np.uint64) for s in tell["set"]]
+        for rep, comp, mark, raw in zip(ask["rep"], ask["component"], a, ask["set"], strict=True):
+            own, found = np.frombuffer(raw, np.uint64), set()
+            for k in np.flatnonzero(((t == mark).sum(axis=1) >= need) & (comps != comp)):
+                if comps[k] not in found and _alike(own, told_sets[k], percent):
+                    found.add(comps[k])
+                    out.append((rep, ids[k]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    more = tasks.groupBy("head", "chunk", "block").applyInPandas(run, "a bigint, b bigint")
+    kinds = "whole boolean, g bigint, chunk int, block int, rep bigint, mark array<tinyint>, component bigint, asks boolean, tile int"
+    close = scratch(asks.unionByName(told).groupBy(*by, "chunk", "block").applyInPandas(agreeing, kinds), "mh-tiles")
+    more = close.join(sets, "rep").groupBy(*by, "chunk", "block", "tile").applyInPandas(confirm, "a bigint, b bigint")
     return links.unionByName(scratch(more, "mh-links"))
 
 
@@ -310,9 +352,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
         drop_path(label)
         label = components(links)
         met, heads = parted()
-    outside = scratch(met.filter("component <> head").select("head", "rep", "mark", "component").distinct(), "mh-outside")
-    if not outside.isEmpty():
-        links = links.unionByName(_outsiders(outside, reps, label, sets, percent, need, scratch))
+    if not heads.isEmpty():
+        links = links.unionByName(_outsiders(_meetings(met, heads, reps, label, scratch), sets, percent, need, scratch))
         drop_path(label)
         label = components(links)
     named = _named(classes.select("digest", "rep"), label).select("digest", F.col("component").alias("component_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import brute
 from corpusloom.llm import byte_cnn, components, minhash_join, pfor_store, piece_codec, pivot_index
+from corpusloom.llm.common import Scratch
 from corpusloom.session import table
 
 
@@ -66,6 +67,48 @@ def test_near_duplicates_by_sampled_rounds(spark, monkeypatch):
     assert plain(few=-1) == want
 
 
+def test_outsiders_meet_by_list_or_by_component(spark, monkeypatch):
+    """Of each head the cheaper way is taken, and every other component that an outsider links with is found."""
+    monkeypatch.setattr(minhash_join, "CHUNK", 2)
+    monkeypatch.setattr(minhash_join, "BLOCK", 3)
+    monkeypatch.setattr(minhash_join, "WIDE", 2)
+    r = np.random.default_rng(3)
+    base = {10: r.integers(0, 1 << 60, 100, dtype=np.uint64), 500: r.integers(0, 1 << 60, 100, dtype=np.uint64)}
+    sets, comp, lists = {}, {}, {}
+
+    def put(rep, component, of, changed, posts):
+        s = base[of].copy()
+        s[:changed] = r.integers(0, 1 << 60, changed, dtype=np.uint64)
+        sets[rep], comp[rep] = np.unique(s), component
+        for p in posts:
+            lists.setdefault(p, []).append(rep)
+
+    for i in range(20):  # head 10 is in four lists of all its members, so they meet as one component
+        put(10 + i, 10, 10, i % 3, [1, 2, 3, 4])
+        put(500 + i, 500, 500, i % 3, [5] if i < 4 else [6 + i])  # one list holds four of head 500's twenty
+    for i in range(8):
+        put(100 + i, 100 + i, 10, 2 if i < 5 else 60, [1, 2, 3, 4])
+    put(600, 600, 500, 3, [5])
+    put(601, 601, 500, 60, [5])
+    mark = {k: minhash_join.signature(s).astype(np.int8).tolist() for k, s in sets.items()}
+    met = [(p, k, mark[k], comp[k], 10 if p < 5 else 500, 20 if p < 5 else 4, 8 if p < 5 else 2) for p in (1, 2, 3, 4, 5) for k in lists[p]]
+    met = spark.createDataFrame(met, "post long, rep long, mark array<tinyint>, component long, head long, size long, outside long").repartition(3)
+    heads = met.select("post", "head", "size", "outside").distinct()
+    reps = spark.createDataFrame([(k, mark[k]) for k in sets], "rep long, mark array<tinyint>")
+    label = spark.createDataFrame([(k, c) for k, c in comp.items() if k != c], "id long, component long")
+    scratch = Scratch()
+    meet = minhash_join._meetings(met, heads, reps, label, scratch)
+    assert {(x.whole, x.g) for x in meet.select("whole", "g").distinct().collect()} == {(True, 10), (False, 5)}
+    bytes_of = spark.createDataFrame([(k, s.tobytes()) for k, s in sets.items()], "rep long, set binary")
+    links = {(x.a, x.b) for x in minhash_join._outsiders(meet, bytes_of, 85, minhash_join.needed(85), scratch).collect()}
+    alike = lambda x, y: minhash_join._alike(sets[x], sets[y], 85)
+    assert all(alike(x, y) and comp[x] != comp[y] for x, y in links)
+    found = {frozenset((comp[x], comp[y])) for x, y in links}
+    want = {frozenset((comp[x], comp[y])) for x in comp for y in comp if comp[x] != comp[y] and alike(x, y)}
+    assert found == want and frozenset((600, 500)) in want and len(want) == 1 + 5 + 10
+    scratch.drop()
+
+
 def test_near_duplicates_repeated_ids_and_empty(spark):
     docs = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (7, "A b c d")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash_join.near_duplicates(docs, 3, 85).collect())
