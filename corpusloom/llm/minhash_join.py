@@ -233,15 +233,17 @@ def _heads(named: DataFrame) -> DataFrame:
 def _meetings(met: DataFrame, heads: DataFrame, reps: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
     """(whole, g, rep, mark, component, asks): each row that asks has to be compared to the rows of its g of other components.
 
-    g is a list, and its outsiders ask. Where the lists of one head together need more comparisons than its outsiders with
-    all of the head's component (many lists of about the same members), g is the head with that component instead.
+    g is a list, and its outsiders ask. Where the lists of one head together are more work than its outsiders with all of
+    the head's component (many lists of about the same members), g is the head with that component instead. A row weighs as
+    much as the comparisons it is sent for, WIDE * CHUNK.
     """
+    work = lambda asks, rows: rows * (asks.cast("double") + WIDE * CHUNK)
     outside = scratch(met.filter("component <> head").select("head", "rep", "mark", "component").distinct(), "mh-outside")
     own = _named(reps, label).join(small_side(heads.select(F.col("head").alias("component")).distinct(), BROADCAST_ROWS), "component")
     inside = scratch(own.select(F.col("component").alias("head"), "rep", "mark", "component"), "mh-inside")
-    cost = heads.groupBy("head").agg(F.sum(F.col("outside").cast("double") * (F.col("size") + F.col("outside"))).alias("lists"))
+    cost = heads.groupBy("head").agg(F.sum(work(F.col("outside"), F.col("size") + F.col("outside"))).alias("lists"))
     cost = cost.join(outside.groupBy("head").agg(F.count(F.lit(1)).alias("o")), "head").join(inside.groupBy("head").agg(F.count(F.lit(1)).alias("i")), "head")
-    choice = small_side(scratch(cost.select("head", (F.col("lists") > F.col("o").cast("double") * (F.col("i") + F.col("o"))).alias("whole")), "mh-choice"), BROADCAST_ROWS)
+    choice = small_side(scratch(cost.select("head", (F.col("lists") > work(F.col("o"), F.col("i") + F.col("o"))).alias("whole")), "mh-choice"), BROADCAST_ROWS)
     lists = met.join(choice.filter("NOT whole"), "head").select("whole", F.col("post").alias("g"), "rep", "mark", "component", (F.col("component") != F.col("head")).alias("asks"))
     both = outside.withColumn("asks", F.lit(True)).unionByName(inside.withColumn("asks", F.lit(False)))
     return scratch(lists.unionByName(both.join(choice.filter("whole"), "head").select("whole", F.col("head").alias("g"), "rep", "mark", "component", "asks")), "mh-meet")
