@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text as T
 from corpusloom.operators.graph import connected_groups
-from corpusloom.storage import drop_path, materialize
+from corpusloom.storage import drop_path, materialize, small_side
 
 
 def first_owner(df: DataFrame, prompt_key: str = "key") -> DataFrame:
@@ -67,28 +67,81 @@ def code_overlap(df: DataFrame, drop: str = "dev") -> DataFrame:
     return df.join(bad.withColumn("split", F.lit(drop)), ["group", "split"], "left_anti") if drop == "dev" else df.join(bad, "group", "left_anti")
 
 
+#: Cells of the first mark of a set, and set sizes above which a second mark, of at least one cell a key, goes with it.
+FIRST_CELLS, FIRST_KEYS = 256, 320
+#: Rows up to which the ids of rows whose sets are asked for are broadcast.
+ASKED_ROWS = 200_000
+
+
+def _parities(flat: np.ndarray, cells: int) -> bytes:
+    """Which cells (keys modulo a power of two) hold an odd number of keys, as bits."""
+    return np.packbits(np.bincount((flat & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _marks(sets: pd.Series) -> pd.Series:
+    """Marks of sets of 8-byte keys: words of the first, then, of larger sets, those of the second."""
+    out = []
+    for s in sets:
+        flat = np.frombuffer(s, ">u8").astype(np.uint64)
+        bits = _parities(flat, FIRST_CELLS)
+        if len(flat) > FIRST_KEYS:
+            bits += _parities(flat, 1 << (len(flat) - 1).bit_length())
+        out.append(np.frombuffer(bits, np.int64))
+    return pd.Series(out)
+
+
+def _in_both(x: pd.Series, y: pd.Series) -> pd.Series:
+    """Keys that two sets of distinct 8-byte keys share."""
+    keys = lambda s: np.frombuffer(s, np.uint64)
+    return pd.Series([len(np.intersect1d(keys(a), keys(b), assume_unique=True)) for a, b in zip(x, y, strict=True)], dtype="int64")
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """Cells in which the second marks of two sets differ; the finer one is folded, as sizes in reach differ by one power of two."""
+    first = FIRST_CELLS // 64
+    low, high = F.least(F.size(x), F.size(y)) - first, F.greatest(F.size(x), F.size(y)) - first
+    word = lambda m, i: F.get(m, i + first).bitwiseXOR(F.when(F.size(m) - first > low, F.get(m, i + first + low)).otherwise(F.lit(0).cast("bigint")))
+    differ = F.aggregate(F.sequence(F.lit(0), low - 1), F.lit(0), lambda n, i: n + F.bit_count(word(x, i).bitwiseXOR(word(y, i))))
+    return F.when((low > 0) & (high <= 2 * low), differ).otherwise(0)
+
+
 def near_duplicate_pairs(df: DataFrame, shingles: str = "shingles", least: float = 0.8, bottom: int = 16) -> DataFrame:
-    """(a, b, copy): rows that share one of their least shingle keys and reach the Jaccard similarity.
+    """(a, b, copy): rows that share one of their least shingle keys (distinct, 16 hex digits) and reach the Jaccard similarity.
 
     Rows with equal key sets are one class, represented by its first row: `copy` rows join the representative to the
     others, the rest are pairs of representatives. A group of copies so gives rows in proportion to its size. The
-    blocking by least keys is the result's definition, so no key is dropped; a pair at the similarity has sizes within it,
-    so classes meet only in their own band of sizes and the next one.
+    blocking by least keys is the result's definition, so no key is dropped. Postings carry marks of the sets: a cell whose
+    parity differs holds a key that only one set has, so two sets at the similarity, of n and m keys, differ in at most
+    (n + m) * (1 - least) / (1 + least) cells. Others are left out where they meet, and sets, 8 bytes a key, are sent only
+    for pairs that stay, which hardly any pair of unlike sets does.
     """
-    d = df.filter(F.size(shingles) > 0).select("ord", F.array_sort(shingles).alias("s"))
-    d = materialize(d.select("ord", "s", F.sha2(F.array_join("s", ","), 256).alias("class")), "nd-rows")
-    classes = materialize(d.groupBy("class").agg(F.min("ord").alias("c"), F.first("s").alias("s")), "nd-classes")
-    # sizes within the factor `least` are in one band or in neighbouring ones (a little wider against rounding)
-    band = F.floor(F.log(F.size("s").cast("double")) / -math.log(least * 0.999)).cast("int")
-    posts = classes.select("c", F.size("s").alias("n"), band.alias("band"), F.explode(F.slice("s", 1, bottom)).alias("k"))
-    asks = posts.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    fits = (F.col("x.c") < F.col("y.c")) & (F.least("x.n", "y.n") >= least * 0.999 * F.greatest("x.n", "y.n"))
-    cand = asks.alias("x").join(posts.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.band") == F.col("y.band")) & fits).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
-    sets = classes.select("c", "s")
-    near = cand.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
-    near = near.filter(T.jaccard("sa", "sb") >= least).select("a", "b", F.lit(False).alias("copy"))
-    copies = d.join(classes.select("class", F.col("c").alias("a")), "class").filter("ord <> a").select("a", F.col("ord").alias("b"), F.lit(True).alias("copy"))
-    return near.unionByName(copies)
+    d = df.filter(F.size(shingles) > 0).select("ord", F.unhex(F.array_join(F.array_sort(shingles), "")).alias("s"))
+    d = materialize(d.select("ord", "s", F.sha2("s", 256).alias("class"), F.pandas_udf(_marks, "array<bigint>")("s").alias("m")), "nd-rows")
+    classes = materialize(d.groupBy("class").agg(F.min("ord").alias("c")), "nd-classes")
+    heads = d.join(classes, (d["class"] == classes["class"]) & (d["ord"] == classes["c"])).select("c", "s", "m")
+    n = (F.octet_length("s") / 8).cast("int")
+    word = [F.get("m", F.lit(i)).alias(f"m{i}") for i in range(FIRST_CELLS // 64)]
+    more = F.when(F.size("m") > FIRST_CELLS // 64, F.col("m")).alias("m")
+    posts = heads.select("c", n.alias("n"), F.expr(f"substring(s, 1, {8 * bottom})").alias("s"), *word, more)
+    posts = posts.withColumn("i", F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(bottom)) - 1))).withColumn("k", F.expr("substring(s, 8 * i + 1, 8)")).drop("i", "s")
+    x, y = posts.alias("x"), posts.alias("y")
+    reach = (F.col("x.n") + F.col("y.n")) * ((1 - least) / (1 + least) * 1.001)  # a little wider against rounding
+    differ = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x.m{i}").bitwiseXOR(F.col(f"y.m{i}"))) for i in range(FIRST_CELLS // 64)])
+    fits = (F.col("x.c") < F.col("y.c")) & (F.least("x.n", "y.n") >= least * 0.999 * F.greatest("x.n", "y.n")) & (differ <= reach)
+    larger = F.when(F.col("x.m").isNotNull() & F.col("y.m").isNotNull(), _apart(F.col("x.m"), F.col("y.m")) <= reach).otherwise(True)
+    cand = x.join(y, (F.col("x.k") == F.col("y.k")) & fits & larger).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    cand = materialize(cand, "nd-pairs")
+    asked = materialize(cand.select(F.explode(F.array("a", "b")).alias("ord")).distinct(), "nd-asked")
+    sets = materialize(d.select("ord", "s").join(small_side(asked, ASKED_ROWS), "ord"), "nd-sets")
+    near = cand.join(sets.select(F.col("ord").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("ord").alias("b"), F.col("s").alias("sb")), "b")
+    both = F.pandas_udf(_in_both, "bigint")("sa", "sb")
+    near = near.select("a", "b", (F.octet_length("sa") + F.octet_length("sb")).alias("all"), both.alias("both"))
+    near = near.filter(F.col("both") / (F.col("all") / 8 - F.col("both")) >= least).select("a", "b", F.lit(False).alias("copy"))
+    copies = d.select("ord", "class").join(classes.select("class", F.col("c").alias("a")), "class").filter("ord <> a").select("a", F.col("ord").alias("b"), F.lit(True).alias("copy"))
+    out = materialize(near.unionByName(copies), "nd-out")
+    for t in (d, classes, cand, asked, sets):
+        drop_path(t)
+    return out
 
 
 #: Pairs of one component that one task decides by itself: 16 bytes each.

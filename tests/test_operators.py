@@ -37,6 +37,33 @@ def test_near_duplicates_and_greedy(spark):
     assert sorted(r.ord for r in dedup.greedy_keep(d, pairs).collect()) == [0, 2, 4]
 
 
+def test_only_near_sets_are_sent(spark, monkeypatch):
+    """Rows that share a least key, most of them unlike: the pairs are those of brute force, and marks leave out the rest."""
+    import random
+
+    r = random.Random(3)
+    key = lambda: f"{r.randrange(1 << 40, 1 << 64):016x}"
+    sets = []
+    for n in [3, 4, 5, 9, 10, 40, 200, 290, 330, 600, 1100] * 4:
+        own = [key() for _ in range(n)]
+        sets.append({"0" * 16, *own})
+        for part in (9, 20):  # near copies, the first around the limit, of other sizes too
+            sets.append({"0" * 16, *own[: n - max(1, n // part)], *(key() for _ in range(max(1, n // part)))})
+            sets.append({"0" * 16, *own, *(key() for _ in range(max(1, n // 4)))})
+    d = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "ord long, shingles array<string>")
+    sent, old = {}, dedup.materialize
+
+    def counted(df, name):
+        out = old(df, name)
+        sent[name] = out.count()
+        return out
+
+    monkeypatch.setattr(dedup, "materialize", counted)
+    want = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    assert rows(dedup.near_duplicate_pairs(d).select("a", "b"), "a", "b") == want
+    assert len(want) > 50 and sent["nd-pairs"] < len(want) + 60  # of 17,000 pairs that share a key
+
+
 def plain_greedy(n, pairs):
     kept = []
     for i in range(n):
