@@ -208,16 +208,17 @@ def in_sessions(rows: DataFrame, sessions_: DataFrame, by: str, ts: str = "ts")
     """Rows with the session they fall in; a range join as an equi-join on buckets of time, then the exact test.
 
     A session goes to buckets of the least power of two seconds that is not under its length, so it stands in two of them at
-    most however long it is, and a row looks at one bucket of each width that sessions have.
+    most however long it is, and a row looks at one bucket of each width that the sessions of its group have. Both joins
+    are sorted ones: Spark guesses the size of the rows by their files, which say nothing of a row for each width.
     """
     width = F.ceil(F.log2(F.greatest(F.col("end") - F.col("start"), F.lit(1.0)))).cast("int")
     s = sessions_.withColumn("__w", width)
     wide = F.pow(F.lit(2.0), F.col("__w"))
+    widths = s.groupBy(by).agg(F.collect_set("__w").alias("__widths"))  # at most one for each power of two
     s = s.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / wide), F.floor(F.col("end") / wide))))
-    widths = sorted(r[0] for r in s.select("__w").distinct().collect() if r[0] is not None)  # at most one for each power of two
-    r = rows.withColumn("__w", F.explode(F.array(*map(F.lit, widths)).cast("array<int>")))
+    r = rows.join(widths.hint("merge"), by).withColumn("__w", F.explode("__widths")).drop("__widths")
     r = r.withColumn("__b", F.floor(F.col(ts) / F.pow(F.lit(2.0), F.col("__w"))))
-    return r.join(s, [by, "__w", "__b"]).filter(F.col(ts).between(F.col("start"), F.col("end"))).drop("__b", "__w")
+    return r.join(s.hint("merge"), [by, "__w", "__b"]).filter(F.col(ts).between(F.col("start"), F.col("end"))).drop("__b", "__w")
 
 
 def schedule_fraction(tokens, total: float, began: float | None = None, deadline: float | None = None, now: Column | None = None) -> Column:

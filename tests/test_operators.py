@@ -103,6 +103,17 @@ def test_rows_in_sessions_of_all_lengths(spark):
     assert got == sorted((i, j) for i, (k, t) in enumerate(rows) for j, (m, a, b) in enumerate(spans) if k == m and a <= t <= b)
 
 
+def test_rows_in_sessions_are_not_broadcast(spark, tmp_path):
+    """Small files are no reason to send rows, one for each width of a session, through the driver."""
+    rows_ = spark.range(1000).selectExpr("id % 5 AS run", "CAST(id AS double) AS ts")
+    spans = spark.range(50).selectExpr("id % 5 AS run", "id AS session", "CAST(id * 17 AS double) AS start", "CAST(id * 17 + pow(2, id % 9) AS double) AS end")
+    for name, d in (("rows", rows_), ("spans", spans)):
+        d.write.parquet(f"{tmp_path}/{name}")
+    out = telemetry.in_sessions(spark.read.parquet(f"{tmp_path}/rows"), spark.read.parquet(f"{tmp_path}/spans"), "run")
+    assert out.count() == rows_.join(spans, "run").filter("ts BETWEEN start AND end").count() > 0
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_running_measures_by_blocks(spark, monkeypatch):
     """Blocks of seven numbers give the sessions, segments, parts and values of one window over each run."""
     import random
