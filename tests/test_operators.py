@@ -114,6 +114,20 @@ def test_rows_in_sessions_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_liveness_by_buckets_of_runs(spark, monkeypatch):
+    """Runs of one bucket share state and timer; each turns stale at its own time, and alive again with a new row."""
+    from corpusloom.streaming import replay
+
+    monkeypatch.setattr(replay, "BUCKETS", 2)
+    at = [("a", 0), ("a", 990), ("b", 500), ("c", 1000), ("b", 1050), ("d", 2000)]
+    d = spark.createDataFrame(at, "run string, s long").select("run", F.timestamp_seconds("s").alias("ts"))
+    cut = d.filter("run = 'c'").first()["ts"]
+    out = replay.replay(d, F.col("ts"), [cut], lambda s: replay.liveness_stream(s, 100))
+    got = sorted(tuple(r) for r in out.select("run", F.unix_seconds("last"), "rows", "state").collect())
+    alive = [("a", 990, 2), ("b", 500, 1), ("b", 1050, 1), ("c", 1000, 1), ("d", 2000, 1)]
+    assert got == sorted([(*x, "alive") for x in alive] + [(r, t, 0, "stale") for r, t, _ in alive if r != "d"])
+
+
 def test_running_measures_by_blocks(spark, monkeypatch):
     """Blocks of seven numbers give the sessions, segments, parts and values of one window over each run."""
     import random
