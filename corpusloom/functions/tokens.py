@@ -31,6 +31,21 @@ def encode_column(c, path: str | None = None) -> Column:
     return run(F.col(c) if isinstance(c, str) else c)
 
 
+#: Bytes of texts that are encoded at once where only the ids' number is asked for.
+COUNT_BYTES = 1 << 20
+
+
+def token_counts(c, path: str | None = None) -> Column:
+    """The number of token ids of a text column; ids stay in the task, those of one small block at a time."""
+    path = path or default_tokenizer()
+
+    def run(texts: pa.Array) -> pa.Array:
+        counts = [n for i in range(0, len(texts), 256) for *_, n in encode_array(texts.slice(i, 256), path, COUNT_BYTES)]
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *counts]), pa.int32())
+
+    return F.arrow_udf(run, "int")(F.col(c) if isinstance(c, str) else c)
+
+
 def answer_start(ids, answer_id: int) -> Column:
     """Place after the first answer token; the mask is 0 before it and 1 from there."""
     return F.array_position(ids, answer_id).cast("int")

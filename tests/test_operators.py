@@ -119,15 +119,33 @@ def test_liveness_by_buckets_of_runs(spark, monkeypatch):
     from corpusloom.streaming import replay
 
     monkeypatch.setattr(replay, "BUCKETS", 2)
-    at = [("a", 0), ("a", 990), ("b", 500), ("c", 1000), ("b", 1050), ("d", 2000)]
+    at = [("a", 9000), ("a", 9990), ("b", 9500), ("c", 10000), ("b", 10050), ("d", 11000)]
     d = spark.createDataFrame(at, "run string, s long").select("run", F.timestamp_seconds("s").alias("ts"))
     cut = d.filter("run = 'c'").first()["ts"]
     out = replay.replay(d, F.col("ts"), [cut], lambda s: replay.liveness_stream(s, 100))
     got = sorted(tuple(r) for r in out.select("run", F.unix_seconds("last"), "rows", "state").collect())
-    alive = [("a", 990, 2), ("b", 500, 1), ("b", 1050, 1), ("c", 1000, 1), ("d", 2000, 1)]
+    alive = [("a", 9990, 2), ("b", 9500, 1), ("b", 10050, 1), ("c", 10000, 1), ("d", 11000, 1)]
     assert got == sorted([(*x, "alive") for x in alive] + [(r, t, 0, "stale") for r, t, _ in alive if r != "d"])
 
 
+def test_numbers_of_ids_are_those_of_the_ids(spark):
+    """Ids are counted by small blocks in the task and never sent; the blocks are cut between texts."""
+    from corpusloom.functions import tokens
+
+    d = spark.createDataFrame([(None,), ("",), ("one two  three\n",), ("Grüße, 1,000 Straßen! " * 3000,), ("x",)], "t string").coalesce(1)
+    got = [tuple(r) for r in d.select(tokens.token_counts("t"), F.size(tokens.encode_column("t"))).collect()]
+    assert all(a == b for a, b in got) and got[0] == (0, 0) and got[3][0] > 3000
+
+
+def test_final_answers_fold_only_what_is_asked(spark):
+    """Texts whose source takes a number or a box are not sent to Python, and all are folded once."""
+    d = spark.createDataFrame([("gsm8k", "x #### 1,500"), ("math", "so \\boxed{ {A} }"), ("qasc", "Answer: b Answer: STRASSE \n"), ("qasc", "none"), ("boolq", " Groß  TEXT"), (None, "ẞ")], "s string, t string")
+    got = d.select(grading.final_answer("t", F.col("s")).alias("x"))
+    assert [r.x for r in got.collect()] == ["1500", "{A}", "strasse", None, "gross text", "ss"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_fold(") == 1
+
+
 def test_running_measures_by_blocks(spark, monkeypatch):
     """Blocks of seven numbers give the sessions, segments, parts and values of one window over each run."""
     import random
