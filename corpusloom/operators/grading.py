@@ -60,11 +60,13 @@ def final_answer(c, source) -> Column:
     """
     t, s = _c(c), F.lit(source) if isinstance(source, str) else source
     tail = T.strip(F.substring_index(t, "####", -1))
-    folded = T.casefold(t)
+    # one Python call for both uses, and only of what they need
+    whole = F.coalesce(~s.isin("gsm8k", "math"), F.lit(True))
+    folded = T.casefold(F.when(s.isin("aqua_rat", "qasc"), F.when(F.contains(t, F.lit("Answer:")), F.substring_index(t, "Answer:", -1))).when(whole, t))
     return (
         F.when(s == "gsm8k", F.when(tail.rlike(r"^[-+]?[0-9][0-9,]*(?:\.[0-9]+)?\z"), F.replace(tail, F.lit(","), F.lit(""))))
         .when(s == "math", F.regexp_replace(boxed(t), T.SPACE, ""))
-        .when(s.isin("aqua_rat", "qasc"), F.when(F.contains(t, F.lit("Answer:")), T.strip(T.casefold(F.substring_index(t, "Answer:", -1)))))
+        .when(s.isin("aqua_rat", "qasc"), T.strip(folded))
         .otherwise(T.collapse(folded))
     )
 
