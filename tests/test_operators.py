@@ -146,6 +146,14 @@ def test_final_answers_fold_only_what_is_asked(spark):
     assert plan.count("_fold(") == 1
 
 
+def test_shingle_keys_are_made_once(spark, sf):
+    """Keys and their number come from one evaluation of the digests of a text."""
+    from corpusloom.plans import corpus
+
+    plan = corpus.shingle_keys(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1
+
+
 def test_running_measures_by_blocks(spark, monkeypatch):
     """Blocks of seven numbers give the sessions, segments, parts and values of one window over each run."""
     import random
