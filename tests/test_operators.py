@@ -146,6 +146,14 @@ def test_final_answers_fold_only_what_is_asked(spark):
     assert plan.count("_fold(") == 1
 
 
+def test_pack_in_slabs(spark, monkeypatch):
+    """Packed rows are the same whether one call of Python makes two or all of them."""
+    d = spark.range(60).selectExpr("IF(id % 3 = 0, 's', 't') AS source", "id AS ord", "transform(sequence(0, cast(id * 7 % 11 as int)), x -> cast(id + x as int)) AS ids", "cast(id % 2 as int) AS answer_start")
+    packed = lambda slab: (monkeypatch.setattr(splits, "SLAB", slab), sorted(map(repr, splits.pack(d, context=19).collect())))[1]
+    got = packed(2)
+    assert got == packed(64) and len(got) > 10
+
+
 def test_shingle_keys_are_made_once(spark, sf):
     """Keys and their number come from one evaluation of the digests of a text."""
     from corpusloom.plans import corpus
