@@ -401,8 +401,7 @@ def _multirc(d):
 
 @source("wsc")
 def _wsc(d):
-    n = F.size(T.words("text", r"(?U)[^\s]+"))
-    sound = lambda i: c(f"span{i}_index").between(0, n - 1) & (c(f"span{i}_text") != "")
+    sound = lambda i: T.word_at("text", f"span{i}_index") & (c(f"span{i}_text") != "")
     shown = lambda i, name: say(f"\n{name} expression: ", c(f"span{i}_text"), " (word index ", c(f"span{i}_index").cast("string"), ", zero-based)")
     return both({"body": say("Passage: ", T.strip("text"), shown(1, "First"), shown(2, "Second")), "id": c("idx").cast("string")}, context(c("text")), {"reasons": [unless(sound(1) & sound(2), "invalid_coreference_span")]}, yes_or_no(c("label")))
 
@@ -463,11 +462,10 @@ def code_contests(df: DataFrame) -> DataFrame:
     return programs(d, ["original_id", "question"]).select("original_id", "variant", say(INSTRUCTIONS["code_contests"], "\n\n", c("question")).alias("prompt"), c("program").alias("answer"), T.digest(say("code_contests:", T.normal("question"))).alias("group"), "code_key")
 
 
-def convert(df: DataFrame, name: str) -> DataFrame:
-    """Canonical records of a source with `reason` where a row is rejected; ids default to the content's digest.
+def parts(df: DataFrame, name: str) -> dict[str, Column]:
+    """The columns of a source's records over its raw rows, but for the split; `__split_of` is what that is told from.
 
-    Groups of the first waves are digests of a text; of the joined ones of the row's least identity, which
-    graph.connected_groups() replaces by that of all rows connected to it. Splits follow the wave's salt.
+    They are plain expressions, so several sources can be converted in one pass over rows that hold the raw columns of each.
     """
     f = ADAPTERS[name](df)
     none = F.lit(None).cast("string")
@@ -488,12 +486,21 @@ def convert(df: DataFrame, name: str) -> DataFrame:
         group = T.digest(f["group"])
     else:
         group = T.digest(T.normal(f["group"]) if name in BROAD else say(f"{name}:", T.normal(f["group"])))
-    out = df.select(
-        F.lit(name).alias("source"), uid.alias("original_id"), F.lit(0).alias("variant"), group.alias("group"), (f["group"] if name in FIRST else group).alias("__split_of"),
-        prompt.alias("prompt"), f["answer"].alias("answer"), F.lit("train").alias("original_split"), f.get("language", none).alias("language"), f.get("choices", many).alias("choices"),
-        f.get("answers", many).alias("answers"), f.get("labels", many).alias("original_labels"), f.get("aliases", many).alias("aliases"), f.get("title", none).alias("title"),
-        f.get("offsets_match", F.lit(None).cast("boolean")).alias("original_answer_offsets_match"), identities.alias("identities"), checks.alias("checks"), F.coalesce(*f.get("reasons", []), blank, reserved).alias("reason"),
-    )
+    return {
+        "source": F.lit(name), "original_id": uid, "variant": F.lit(0), "group": group, "__split_of": f["group"] if name in FIRST else group,
+        "prompt": prompt, "answer": f["answer"], "original_split": F.lit("train"), "language": f.get("language", none), "choices": f.get("choices", many),
+        "answers": f.get("answers", many), "original_labels": f.get("labels", many), "aliases": f.get("aliases", many), "title": f.get("title", none),
+        "original_answer_offsets_match": f.get("offsets_match", F.lit(None).cast("boolean")), "identities": identities, "checks": checks, "reason": F.coalesce(*f.get("reasons", []), blank, reserved),
+    }
+
+
+def convert(df: DataFrame, name: str) -> DataFrame:
+    """Canonical records of a source with `reason` where a row is rejected; ids default to the content's digest.
+
+    Groups of the first waves are digests of a text; of the joined ones of the row's least identity, which
+    graph.connected_groups() replaces by that of all rows connected to it. Splits follow the wave's salt.
+    """
+    out = df.select(*[x.alias(k) for k, x in parts(df, name).items()])
     salt, confirmation = (EXPANSION, 5) if name in JOINED else (PILOT if name in FIRST or name in BROAD else EXPANDED, 0)
     return out.withColumn("split", T.split_of("__split_of", salt, 5, confirmation)).drop("__split_of")
 
