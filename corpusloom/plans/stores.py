@@ -13,16 +13,23 @@ from corpusloom.operators import audit, splits
 from corpusloom.plans.corpus import REC_SQL, records
 from corpusloom.session import table
 from corpusloom.sources import ranges, readers, sinks
-from corpusloom.storage import shared_dir
+from corpusloom.storage import materialize, shared_dir
 
-#: Documents by ranges of doc_id that share a file.
-FILE_DOCS = 1000
+#: Documents by ranges of doc_id that share a file, and files that one task writes.
+FILE_DOCS, TASK_FILES = 1000, 16
 
 
 def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/corpusloom/files-{uuid4().hex}"
 
 
+def _by_part(d: DataFrame) -> DataFrame:
+    """Rows dealt by their file, `part`, so that a task has a few files at any size: files take time, not bytes, and tasks
+    left to adaptive execution are joined by bytes until one task writes thousands of files."""
+    files = d.select("part").distinct().count()
+    return d.repartition(max(1, -(-files // TASK_FILES)), "part")
+
+
 def _split(c):
     return T.split_of(c, "split-1:", 5)
 
@@ -44,7 +51,8 @@ def documents_as_json_objects(spark: SparkSession, sf: str) -> DataFrame:
     """Objects of documents by id, one for each range of ids and file."""
     d, path = table(spark, sf, "documents"), _folder(spark)
     entry = F.struct(F.col("doc_id").cast("string"), F.struct("lang", "n_chars"))
-    objects = d.groupBy(F.floor(F.col("doc_id") / FILE_DOCS).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    rows = _by_part(d.withColumn("part", F.floor(F.col("doc_id") / FILE_DOCS)))
+    objects = rows.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
     objects.write.partitionBy("part").text(path)
     return readers.json_objects(spark, path, "struct<lang:string,n_chars:bigint>")
 
@@ -62,7 +70,7 @@ def numbered_documents(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark)
     part = F.floor(F.col("doc_id") / FILE_DOCS)
     d = table(spark, sf, "documents").select("doc_id", part.alias("part"), F.to_json(F.struct("doc_id", "text")).alias("value"))
-    d.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
+    _by_part(d).sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
     lines = readers.numbered_text(spark, path)
     row = F.from_json("value", "doc_id BIGINT, text STRING")
     return lines.select(row["doc_id"].alias("doc_id"), F.md5(row["text"]).alias("digest"), F.regexp_extract("path", "part=(-?[0-9]+)", 1).cast("bigint").alias("part"), F.col("number").cast("bigint").alias("number"))
@@ -101,8 +109,9 @@ def file_digests_of_documents(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark)
     part = F.floor(F.col("doc_id") / 100)
     d = table(spark, sf, "documents").select("doc_id", part.alias("part"), F.concat_ws(" ", F.col("doc_id").cast("string"), "lang", "source").alias("value"))
-    d.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
+    _by_part(d).sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
     files = ranges.file_digests(spark, path).select(F.regexp_extract("path", "part=(-?[0-9]+)", 1).alias("path"), "length", "sha256")
+    files = materialize(files, "file-digests")  # read twice below
     toxic = table(spark, sf, "labels").filter("toxic = 1").select("doc_id", F.lit("!").alias("mark")).distinct()
     line = F.concat(F.col("value"), F.coalesce("mark", F.lit("")), F.lit("\n"))
     lines = d.join(toxic, "doc_id", "left").groupBy("part").agg(F.sort_array(F.collect_list(F.struct("doc_id", line.alias("line")))).alias("lines"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 CHUNK = 1 << 20
 #: Bytes of a file that one task reads, where ranges can be read on their own.
 RANGE = 64 << 20
+#: Small files that one task reads, as long as they have no more bytes than a range.
+TASK_FILES = 64
 BYTES, DIGESTS = "path string, at bigint, content binary", "path string, length bigint, sha256 string"
 
 
@@ -41,9 +44,17 @@ def _files(path: str) -> list[tuple[str, int]]:
     return sorted((prefix + x.path, x.size) for x in found if x.type == fs.FileType.File and not x.base_name.startswith(("_", ".")))
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+class _Range(NamedTuple):
+    path: str
+    first: int
+    last: int
+
+
+class _Ranges(InputPartition):
+    """Ranges that one task reads, one after another."""
+
+    def __init__(self, ranges: list[_Range]):
+        self.ranges = ranges
 
 
 class _Reader(DataSourceReader):
@@ -53,9 +64,22 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         step = lambda size: max(size, 1) if self.digest else self.range
-        return [_Range(p, a, min(size, a + step(size))) for p, size in _files(self.path) for a in range(0, max(size, 1), step(size))]
-
-    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
+        tasks, held = [], 0
+        for p, size in _files(self.path):
+            for a in range(0, max(size, 1), step(size)):
+                part = _Range(p, a, min(size, a + step(size)))
+                if not tasks or held + part.last - part.first > self.range or len(tasks[-1]) == TASK_FILES:
+                    tasks.append([])
+                    held = 0
+                tasks[-1].append(part)
+                held += part.last - part.first
+        return [_Ranges(x) for x in tasks]
+
+    def read(self, task: _Ranges) -> Iterator[pa.RecordBatch]:
+        for part in task.ranges:
+            yield from self._read(part)
+
+    def _read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         system, inner = _open(part.path)
         h, at = hashlib.sha256(), part.first
         with system.open_input_file(inner) as f:
@@ -75,7 +99,7 @@ class _Reader(DataSourceReader):
 
 class ByteRanges(DataSource):
     """`byte_ranges`: (path, at, content) in chunks of `chunk` bytes, a task for each `range`; with digest=true (path, length,
-    sha256), a task for each file, as SHA-256 goes from front to back."""
+    sha256), where a file is in one task, as SHA-256 goes from front to back. Small files share a task."""
 
     @classmethod
     def name(cls) -> str:

@@ -308,6 +308,27 @@ def test_large_files_by_ranges(spark, tmp_path):
         ranges.flat_array(spark, str(flat)).collect()
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    """Tasks grow with files by dozens: one task for each file, or one for all of them, is neither."""
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from corpusloom.plans import stores
+    from corpusloom.sources import ranges
+
+    texts = {f"{i:03}": b"x" * i for i in range(150)} | {"large": b"y" * (ranges.RANGE + 1)}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    files = ranges.file_digests(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() == 4
+    assert {r.path.rsplit("/", 1)[-1]: (r.length, r.sha256) for r in files.collect()} == {k: (len(x), hashlib.sha256(x).hexdigest()) for k, x in texts.items()}
+    dealt = stores._by_part(spark.range(1000).select((F.col("id") % 160).alias("part"), "id"))
+    tasks = dealt.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count_distinct("part").alias("n")).collect()
+    assert len(tasks) > 7 and sum(t.n for t in tasks) == 160
+    assert stores._by_part(dealt.filter("id < 0")).count() == 0
+
+
 def test_publish_table_once(spark, tmp_path):
     from corpusloom.sources import sinks
 
