@@ -291,7 +291,7 @@ def same(kind: str, text: Column) -> tuple[str, Column]:
 
 def context(text: Column) -> dict:
     """A text that has to be there, and that rows may share: an identity and a check."""
-    return {"identities": [same("context", T.clean(text))], "checks": [same("context", T.clean(text))], "reasons": [unless(T.strip(text) != "", "empty_original_text")]}
+    return {"identities": [same("context", T.clean(text))], "checks": [same("context", T.clean(text))], "reasons": [unless(T.strip_ends(text) != "", "empty_original_text")]}
 
 
 def both(*parts: dict) -> dict:
@@ -311,13 +311,13 @@ def yes_or_no(label: Column) -> dict:
 
 @source("triviaqa")
 def _trivia(d):
-    question = T.strip("question")
+    question = T.strip_ends("question")
     return {"body": say("Question: ", question), "answer": c("answer.value"), "aliases": c("answer.aliases"), "identities": [same("question", question)], "checks": [same("question", question)], "id": c("question_id"), "language": F.lit("english"), "reasons": [unless(question != "", "empty_question")]}
 
 
 @source("tydiqa")
 def _tydi(d):
-    language, question = F.get(F.split("id", "-"), 0), T.strip("question")
+    language, question = F.get(F.split("id", "-"), 0), T.strip_ends("question")
     pairs = F.arrays_zip(c("answers.text").alias("t"), c("answers.answer_start").alias("s"))
     match = F.forall(pairs, lambda x: F.substring(c("context"), x["s"] + 1, F.length(x["t"])) == x["t"])
     shared = [same("context", c("context")), same("article", c("title"))]
@@ -333,18 +333,18 @@ def _tydi(d):
 
 @source("tabmwp")
 def _tabmwp(d):
-    question, unit = T.strip("question"), F.coalesce("unit", F.lit(""))
+    question, unit = T.strip_ends("question"), F.coalesce("unit", F.lit(""))
     has = F.coalesce(F.size("choices") > 0, F.lit(False))
     more = say(F.when(has, say("\nChoices: ", F.array_join("choices", "; "))).otherwise(""), F.when(unit != "", say("\nUnit: ", unit)).otherwise(""))
     return {
         "body": say("Table title: ", F.coalesce("table_title", F.lit("")), "\nTable:\n", c("table"), "\n\nQuestion: ", question, more), "answer": F.when(unit != "", say(c("answer"), " ", unit)).otherwise(c("answer")), "choices": F.when(has, c("choices")), "identities": [same("table", c("table"))], "checks": [same("table", c("table"))],
-        "id": c("uid"), "language": F.lit("english"), "reasons": [unless(question != "", "empty_question"), unless(c("split") == "train", "split"), unless(T.strip("table") != "", "missing_table"), unless(~has | F.array_contains("choices", c("answer")), "answer_not_a_choice")],
+        "id": c("uid"), "language": F.lit("english"), "reasons": [unless(question != "", "empty_question"), unless(c("split") == "train", "split"), unless(T.strip_ends("table") != "", "missing_table"), unless(~has | F.array_contains("choices", c("answer")), "answer_not_a_choice")],
     }
 
 
 def _inference(names: list[str], id_: Column, **more) -> dict:
-    hypothesis = T.strip("hypothesis")
-    return both({"body": say("Premise: ", T.strip("premise"), "\nHypothesis: ", hypothesis), "answer": pick(names, c("label")), "id": id_}, context(c("premise")), {"reasons": [unless(hypothesis != "", "empty_hypothesis")]}, labelled(c("label"), names), more)
+    hypothesis = T.strip_ends("hypothesis")
+    return both({"body": say("Premise: ", T.strip_ends("premise"), "\nHypothesis: ", hypothesis), "answer": pick(names, c("label")), "id": id_}, context(c("premise")), {"reasons": [unless(hypothesis != "", "empty_hypothesis")]}, labelled(c("label"), names), more)
 
 
 @source("multinli")
@@ -358,7 +358,7 @@ def _cb(d):
 
 
 def _pair(a: str, b: str, first: Column | None = None, second: Column | None = None, **more) -> dict:
-    shown = [T.strip(a) if first is None else first, T.strip(b) if second is None else second]
+    shown = [T.strip_ends(a) if first is None else first, T.strip_ends(b) if second is None else second]
     return both({"body": say("First: ", shown[0], "\nSecond: ", shown[1]), "id": c("idx").cast("string")}, context(c(a)), context(c(b)), yes_or_no(c("label")), more)
 
 
@@ -387,7 +387,7 @@ def _wic(d):
 @source("copa")
 def _copa(d):
     options = F.array("choice1", "choice2")
-    body = say("Premise: ", T.strip("premise"), "\nA. ", c("choice1"), "\nB. ", c("choice2"))
+    body = say("Premise: ", T.strip_ends("premise"), "\nA. ", c("choice1"), "\nB. ", c("choice2"))
     instruction = say("Choose the more plausible ", c("question"), ". Give the full option text.")
     return both({"instruction": instruction, "body": body, "answer": F.get(options, c("label")), "choices": options, "id": c("idx").cast("string")}, context(c("premise")), {"reasons": [unless(c("question").isin("cause", "effect"), "unknown_direction")]}, labelled(c("label"), ["choice1", "choice2"]))
 
@@ -395,7 +395,7 @@ def _copa(d):
 @source("multirc")
 def _multirc(d):
     number = F.concat_ws(":", *[c(f"idx.{k}").cast("string") for k in ("paragraph", "question", "answer")])
-    body = say("Passage: ", T.strip("paragraph"), "\n\nQuestion: ", c("question"), "\nProposed answer: ", c("answer"))
+    body = say("Passage: ", T.strip_ends("paragraph"), "\n\nQuestion: ", c("question"), "\nProposed answer: ", c("answer"))
     return both({"body": body, "id": number}, context(c("paragraph")), {"identities": [same("multirc-paragraph", c("idx.paragraph").cast("string"))]}, yes_or_no(c("label")))
 
 
@@ -403,7 +403,7 @@ def _multirc(d):
 def _wsc(d):
     sound = lambda i: T.word_at("text", f"span{i}_index") & (c(f"span{i}_text") != "")
     shown = lambda i, name: say(f"\n{name} expression: ", c(f"span{i}_text"), " (word index ", c(f"span{i}_index").cast("string"), ", zero-based)")
-    return both({"body": say("Passage: ", T.strip("text"), shown(1, "First"), shown(2, "Second")), "id": c("idx").cast("string")}, context(c("text")), {"reasons": [unless(sound(1) & sound(2), "invalid_coreference_span")]}, yes_or_no(c("label")))
+    return both({"body": say("Passage: ", T.strip_ends("text"), shown(1, "First"), shown(2, "Second")), "id": c("idx").cast("string")}, context(c("text")), {"reasons": [unless(sound(1) & sound(2), "invalid_coreference_span")]}, yes_or_no(c("label")))
 
 
 @source("go_emotions")
@@ -411,14 +411,14 @@ def _emotions(d):
     numbers = F.array_sort(F.array_distinct("labels"))
     names = F.transform(numbers, lambda i: pick(EMOTIONS, i))
     sound = (F.size("labels") > 0) & F.forall("labels", lambda i: i.between(0, len(EMOTIONS) - 1))
-    body = say(f"Allowed labels: {', '.join(EMOTIONS)}\n\nComment: ", T.strip("text"))
+    body = say(f"Allowed labels: {', '.join(EMOTIONS)}\n\nComment: ", T.strip_ends("text"))
     instruction = F.lit("List all annotated emotions expressed in this comment, separated by semicolons.")
     return both({"instruction": instruction, "gap": "\n", "body": body, "answer": F.array_join(names, "; "), "labels": names, "id": c("id")}, context(c("text")), {"reasons": [unless(sound, "invalid_emotion_labels")]})
 
 
 @source("medqa")
 def _medqa(d):
-    question = T.strip("question")
+    question = T.strip_ends("question")
     options = F.array(*[F.try_element_at("options", F.lit(k)) for k in "ABCD"])
     sound = (F.array_sort(F.map_keys("options")) == F.array(*[F.lit(k) for k in "ABCD"])) & (F.try_element_at("options", c("answer_idx")) == c("answer"))
     return both({"body": say("Question: ", question, lettered_below(options)), "answer": c("answer"), "choices": options, "labels": F.array("answer_idx")}, context(c("question")), {"checks": [same("question", question)], "reasons": [unless(sound, "medical_answer_key_mismatch")]})
@@ -427,13 +427,13 @@ def _medqa(d):
 @source("logiqa")
 def _logiqa(d):
     sound = (F.size("options") == 4) & c("answer").between(0, 3)
-    return both({"body": say("Passage: ", T.strip("text"), "\n\nQuestion: ", c("question"), lettered_below(c("options"))), "answer": F.get("options", c("answer")), "choices": c("options"), "labels": F.array(c("answer").cast("string")), "id": c("id").cast("string")}, context(c("text")), {"reasons": [unless(sound, "logic_answer_key_mismatch")]})
+    return both({"body": say("Passage: ", T.strip_ends("text"), "\n\nQuestion: ", c("question"), lettered_below(c("options"))), "answer": F.get("options", c("answer")), "choices": c("options"), "labels": F.array(c("answer").cast("string")), "id": c("id").cast("string")}, context(c("text")), {"reasons": [unless(sound, "logic_answer_key_mismatch")]})
 
 
 @source("samsum")
 def _samsum(d):
     spoken = same("dialogue-content", T.spoken("dialogue"))
-    return both({"body": say("Dialogue:\n", T.strip("dialogue")), "answer": c("summary"), "id": c("id")}, context(c("dialogue")), {"identities": [spoken], "checks": [spoken]})
+    return both({"body": say("Dialogue:\n", T.strip_ends("dialogue")), "answer": c("summary"), "id": c("id")}, context(c("dialogue")), {"identities": [spoken], "checks": [spoken]})
 
 
 # ---- programs -------------------------------------------------------------------------------------------------------
@@ -473,7 +473,7 @@ def parts(df: DataFrame, name: str) -> dict[str, Column]:
     opening = f.get("instruction", F.lit(INSTRUCTIONS.get(name, "")))
     prompt = say(f.get("before", ""), opening, f.get("gap", "\n\n"), f["body"], lettered_below(f["below"]) if "below" in f else "")
     uid = F.coalesce(f.get("id", none).cast("string"), T.digest(F.concat_ws("\n", prompt, f["answer"])))
-    blank = unless(T.strip(f["answer"]) != "", "empty_answer")
+    blank = unless(T.strip_ends(f["answer"]) != "", "empty_answer")
     reserved = F.when(T.has_control_token(prompt) | T.has_control_token(f["answer"]), "reserved_token_in_original")
     identities = checks = many
     if name in JOINED:
