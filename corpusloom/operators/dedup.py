@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from corpusloom.operators.graph import connected_groups
 from corpusloom.storage import drop_path, materialize, small_side
@@ -68,9 +74,13 @@ def code_overlap(df: DataFrame, drop: str = "dev") -> DataFrame:
 
 
 #: Cells of the first mark of a set, and set sizes above which a second mark, of at least one cell a key, goes with it.
-FIRST_CELLS, FIRST_KEYS = 256, 320
-#: Rows up to which the ids of rows whose sets are asked for are broadcast.
+FIRST_CELLS, FIRST_KEYS = 256, 256
+#: Rows up to which the ids of rows whose sets are asked for, or common keys, are broadcast.
 ASKED_ROWS = 200_000
+#: Rows of a tile's left side that are compared at once.
+ROWS = 16
+#: Postings of a key up to which they meet in a join; those of commoner keys meet by tiles of at most TILE rows a side.
+COMMON, TILE = 256, 4096
 
 
 def _parities(flat: np.ndarray, cells: int) -> bytes:
@@ -78,16 +88,25 @@ def _parities(flat: np.ndarray, cells: int) -> bytes:
     return np.packbits(np.bincount((flat & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-def _marks(sets: pd.Series) -> pd.Series:
-    """Marks of sets of 8-byte keys: words of the first, then, of larger sets, those of the second."""
-    out = []
-    for s in sets:
-        flat = np.frombuffer(s, ">u8").astype(np.uint64)
-        bits = _parities(flat, FIRST_CELLS)
-        if len(flat) > FIRST_KEYS:
-            bits += _parities(flat, 1 << (len(flat) - 1).bit_length())
-        out.append(np.frombuffer(bits, np.int64))
-    return pd.Series(out)
+def _mark(flat: np.ndarray) -> np.ndarray:
+    """Marks of a set of keys: words of the first, then, of a larger set, those of the second."""
+    bits = _parities(flat, FIRST_CELLS)
+    if len(flat) > FIRST_KEYS:
+        bits += _parities(flat, 1 << (len(flat) - 1).bit_length())
+    return np.frombuffer(bits, np.int64)
+
+
+def _told(batches: Iterator[pa.RecordBatch], bottom: int) -> Iterator[pa.RecordBatch]:
+    """Rows (ord, s) with sets that are not empty: their class (digest of the set), size, least keys and marks."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, 256):
+            b = whole.slice(i, 256).filter(pc.greater(pc.binary_length(whole.column("s").slice(i, 256)), 0))
+            sets = b.column("s").to_pylist()
+            marks = [_mark(np.frombuffer(s, ">u8").astype(np.uint64)) for s in sets]
+            ends = np.cumsum([0, *map(len, marks)]).astype(np.int32)
+            m = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *marks])))
+            columns = [b.column("ord"), pa.array([sha256(s).digest() for s in sets], pa.binary()), pa.array([len(s) // 8 for s in sets], pa.int32()), pa.array([s[: 8 * bottom] for s in sets], pa.binary()), m, b.column("s")]
+            yield pa.RecordBatch.from_arrays(columns, names=["ord", "class", "n", "low", "m", "s"])
 
 
 def _in_both(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -105,32 +124,136 @@ def _apart(x: Column, y: Column) -> Column:
     return F.when((low > 0) & (high <= 2 * low), differ).otherwise(0)
 
 
+def _met_in_join(posts: DataFrame, least: float) -> DataFrame:
+    """(a, b) of postings (k, c, n, i, m) of one key whose sizes, places and marks are in reach."""
+    word = [F.get("m", F.lit(i)).alias(f"m{i}") for i in range(FIRST_CELLS // 64)]
+    more = F.when(F.size("m") > FIRST_CELLS // 64, F.col("m")).alias("m")
+    posts = posts.select("k", "c", "n", "i", *word, more)
+    x, y = posts.alias("x"), posts.alias("y")
+    reach = (F.col("x.n") + F.col("y.n")) * ((1 - least) / (1 + least) * 1.001)  # a little wider against rounding
+    differ = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x.m{i}").bitwiseXOR(F.col(f"y.m{i}"))) for i in range(FIRST_CELLS // 64)])
+    fits = (F.col("x.c") < F.col("y.c")) & (F.least("x.n", "y.n") >= least * 0.999 * F.greatest("x.n", "y.n")) & (F.col("x.i") + F.col("y.i") <= reach) & (differ <= reach)
+    larger = F.when(F.col("x.m").isNotNull() & F.col("y.m").isNotNull(), _apart(F.col("x.m"), F.col("y.m")) <= reach).otherwise(True)
+    return x.join(y, (F.col("x.k") == F.col("y.k")) & fits & larger).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+
+
+def _met_in_tiles(posts: DataFrame, least: float) -> tuple[DataFrame, list[DataFrame]]:
+    """_met_in_join() for common keys (with their number of `rows`), whose pairs are shared out; and the tables it reads.
+
+    Postings of more than a tile are dealt by sizes, so that sizes in reach are of one band or two adjacent ones, and by
+    blocks within a band; a tile has one block a side, and every pair in reach meets in one tile of its key.
+    """
+    posts = posts.withColumn("band", F.when(F.col("rows") > TILE, F.floor(F.log("n") / -math.log(least * 0.999)).cast("int")).otherwise(0))
+    blocks = materialize(posts.groupBy("k", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks")), "nd-blocks")
+    beside = lambda by, name: blocks.select("k", (F.col("band") - by).alias("band"), F.col("blocks").alias(name))
+    sizes = materialize(blocks.join(beside(1, "above"), ["k", "band"], "left").join(beside(-1, "below"), ["k", "band"], "left").fillna(0), "nd-sizes")
+    posts = posts.join(small_side(sizes, ASKED_ROWS), ["k", "band"]).withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
+    tile = lambda low, up, p, q, side: F.struct(low.alias("low"), up.alias("up"), p.alias("p"), q.alias("q"), side.alias("side"))
+    band, own = F.col("band"), F.col("block")
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    tiles = F.concat(
+        F.transform(upto("blocks"), lambda q: tile(band, band, F.least(own, q), F.greatest(own, q), (own > q).cast("int"))),
+        F.transform(upto("above"), lambda q: tile(band, band + 1, own, q, F.lit(0))),
+        F.transform(upto("below"), lambda p: tile(band - 1, band, p, own, F.lit(1))),
+    )
+    dealt = posts.withColumn("t", F.explode(tiles)).select("k", "t.*", "c", "n", "i", "m")
+    kind = dealt.schema["c"].dataType.simpleString()
+    found = dealt.groupBy("k", "low", "up", "p", "q").applyInArrow(lambda t: _tile_pairs(t, least), f"a {kind}, b {kind}")
+    return found, [blocks, sizes]
+
+
+def _tile_pairs(t: pa.Table, least: float) -> pa.Table:
+    """Pairs (a, b) of a tile, of rows of its two sides or, of one block, of any two, whose sizes, places and marks are in reach."""
+    c, n, i, side = (t.column(x).to_numpy() for x in ("c", "n", "i", "side"))
+    lists = t.column("m").combine_chunks()
+    flat, at = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy()
+    ends = at - at[0]
+    one = all(t.column(x)[0] == t.column(y)[0] for x, y in (("low", "up"), ("p", "q")))
+    order = np.lexsort((c, n))
+    left, right = (order, order) if one else (order[side[order] == 0], order[side[order] == 1])
+    band = np.floor(np.log(n) / -math.log(least * 0.999))
+    found = [np.empty((2, 0), np.int64)]
+    for v in np.unique(band[left]):  # marks are folded to the coarsest of rows whose sizes are near
+        x, y = left[band[left] == v], right[(band[right] >= v - (not one)) & (band[right] <= v + 1)]
+        if len(y):
+            rows = np.concatenate([x, y])
+            marks = _folded(flat, ends[rows], ends[rows + 1])
+            found.append(_in_reach(x, y, n, i, marks[: len(x)], marks[len(x) :], one, least))
+    p, q = np.concatenate(found, axis=1)
+    return pa.table({"a": np.minimum(c[p], c[q]), "b": np.maximum(c[p], c[q])})
+
+
+def _folded(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first marks if a set has no second one, else second ones, with as few cells: the parity of two cells is that of both."""
+    first = FIRST_CELLS // 64
+    words = int((ends - starts).min()) - first
+    if words <= 0:
+        return flat[starts[:, None] + np.arange(first)]
+    return np.array([np.bitwise_xor.reduce(flat[a + first : b].reshape(-1, words), axis=0) for a, b in zip(starts, ends, strict=True)])
+
+
+def _in_reach(left, right, n, i, mx, my, one: bool, least: float) -> np.ndarray:
+    """Rows (left, right) in reach, both by size; of one block, `right` begins with `left` and a pair is taken once."""
+    width, found = (1 - least) / (1 + least) * 1.001, [np.empty((2, 0), np.int64)]
+    ny, iy, my = n[right], i[right], np.ascontiguousarray(my.T)
+    for start in range(0, len(left), ROWS):
+        x, m = left[start : start + ROWS], mx[start : start + ROWS]
+        lo = start if one else np.searchsorted(ny, n[x[0]] * least * 0.999)
+        hi = np.searchsorted(ny, n[x[-1]] / (least * 0.999), "right")
+        if lo >= hi:
+            continue
+        reach = (n[x][:, None] + ny[lo:hi]) * width
+        fits = i[x][:, None] + iy[lo:hi] <= reach
+        if one:
+            fits &= np.arange(lo, hi) > np.arange(start, start + len(x))[:, None]
+        differ, w = np.zeros(reach.shape, np.int32), 0
+        while w < len(my) and (w % 8 or not w or np.count_nonzero(fits) * 16 > fits.size):
+            differ += np.bitwise_count(m[:, w, None] ^ my[w, lo:hi])
+            w += 1
+            if w % 8 == 0 or w == len(my):
+                fits &= differ <= reach
+        p, q = np.nonzero(fits)
+        if w < len(my):  # few are left
+            near = differ[p, q] + np.bitwise_count(m[p, w:] ^ my[w:, lo + q].T).sum(axis=1) <= reach[p, q]
+            p, q = p[near], q[near]
+        found.append(np.stack([x[p], right[lo + q]]))
+    return np.concatenate(found, axis=1)
+
+
+def _candidates(heads: DataFrame, least: float, bottom: int) -> DataFrame:
+    """Distinct (a, b) of representatives (c, n, low, m) that share a least key and may reach the similarity."""
+    # the least key that two rows share stands behind keys that only one of them has, so their places are in reach as well
+    places = F.sequence(F.lit(0), F.least(F.lit(bottom) - 1, F.col("n") - 1, F.floor(F.col("n") * ((1 - least) * 1.001)).cast("int")))
+    posts = heads.withColumn("i", F.explode(places)).withColumn("k", F.expr("substring(low, 8 * i + 1, 8)")).drop("low")
+    common = materialize(posts.groupBy("k").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > COMMON), "nd-common")
+    keys = small_side(common, ASKED_ROWS)
+    found, read = _met_in_join(posts.join(keys, "k", "left_anti"), least), [common]
+    if not common.isEmpty():
+        tiles, tables = _met_in_tiles(posts.join(keys, "k"), least)
+        found, read = found.unionByName(tiles), read + tables
+    out = materialize(found.distinct(), "nd-pairs")
+    for t in read:
+        drop_path(t)
+    return out
+
+
 def near_duplicate_pairs(df: DataFrame, shingles: str = "shingles", least: float = 0.8, bottom: int = 16) -> DataFrame:
-    """(a, b, copy): rows that share one of their least shingle keys (distinct, 16 hex digits) and reach the Jaccard similarity.
+    """(a, b, copy): rows that share one of their least shingle keys (distinct, 16 hex digits; or all sorted, 8 bytes each) and reach the Jaccard similarity.
 
     Rows with equal key sets are one class, represented by its first row: `copy` rows join the representative to the
     others, the rest are pairs of representatives. A group of copies so gives rows in proportion to its size. The
     blocking by least keys is the result's definition, so no key is dropped. Postings carry marks of the sets: a cell whose
     parity differs holds a key that only one set has, so two sets at the similarity, of n and m keys, differ in at most
-    (n + m) * (1 - least) / (1 + least) cells. Others are left out where they meet, and sets, 8 bytes a key, are sent only
+    (n + m) * (1 - least) / (1 + least) cells. Keys of many postings meet by tiles, each a group of its own. Others are left out where they meet, and sets, 8 bytes a key, are sent only
     for pairs that stay, which hardly any pair of unlike sets does.
     """
-    d = df.filter(F.size(shingles) > 0).select("ord", F.unhex(F.array_join(F.array_sort(shingles), "")).alias("s"))
-    d = materialize(d.select("ord", "s", F.sha2("s", 256).alias("class"), F.pandas_udf(_marks, "array<bigint>")("s").alias("m")), "nd-rows")
+    s = F.col(shingles) if isinstance(df.schema[shingles].dataType, BinaryType) else F.unhex(F.array_join(F.array_sort(shingles), ""))
+    d = df.select("ord", s.alias("s"))
+    d = materialize(d.mapInArrow(lambda it: _told(it, bottom), f"ord {d.schema['ord'].dataType.simpleString()}, class binary, n int, low binary, m array<bigint>, s binary"), "nd-rows")
     classes = materialize(d.groupBy("class").agg(F.min("ord").alias("c")), "nd-classes")
-    heads = d.join(classes, (d["class"] == classes["class"]) & (d["ord"] == classes["c"])).select("c", "s", "m")
-    n = (F.octet_length("s") / 8).cast("int")
-    word = [F.get("m", F.lit(i)).alias(f"m{i}") for i in range(FIRST_CELLS // 64)]
-    more = F.when(F.size("m") > FIRST_CELLS // 64, F.col("m")).alias("m")
-    posts = heads.select("c", n.alias("n"), F.expr(f"substring(s, 1, {8 * bottom})").alias("s"), *word, more)
-    posts = posts.withColumn("i", F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(bottom)) - 1))).withColumn("k", F.expr("substring(s, 8 * i + 1, 8)")).drop("i", "s")
-    x, y = posts.alias("x"), posts.alias("y")
-    reach = (F.col("x.n") + F.col("y.n")) * ((1 - least) / (1 + least) * 1.001)  # a little wider against rounding
-    differ = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x.m{i}").bitwiseXOR(F.col(f"y.m{i}"))) for i in range(FIRST_CELLS // 64)])
-    fits = (F.col("x.c") < F.col("y.c")) & (F.least("x.n", "y.n") >= least * 0.999 * F.greatest("x.n", "y.n")) & (differ <= reach)
-    larger = F.when(F.col("x.m").isNotNull() & F.col("y.m").isNotNull(), _apart(F.col("x.m"), F.col("y.m")) <= reach).otherwise(True)
-    cand = x.join(y, (F.col("x.k") == F.col("y.k")) & fits & larger).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
-    cand = materialize(cand, "nd-pairs")
+    heads = d.drop("s").join(classes, (d["class"] == classes["class"]) & (d["ord"] == classes["c"])).select("c", "n", "low", "m")
+    heads = materialize(heads, "nd-heads")
+    cand = _candidates(heads, least, bottom)
     asked = materialize(cand.select(F.explode(F.array("a", "b")).alias("ord")).distinct(), "nd-asked")
     sets = materialize(d.select("ord", "s").join(small_side(asked, ASKED_ROWS), "ord"), "nd-sets")
     near = cand.join(sets.select(F.col("ord").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("ord").alias("b"), F.col("s").alias("sb")), "b")
@@ -139,7 +262,7 @@ def near_duplicate_pairs(df: DataFrame, shingles: str = "shingles", least: float
     near = near.filter(F.col("both") / (F.col("all") / 8 - F.col("both")) >= least).select("a", "b", F.lit(False).alias("copy"))
     copies = d.select("ord", "class").join(classes.select("class", F.col("c").alias("a")), "class").filter("ord <> a").select("a", F.col("ord").alias("b"), F.lit(True).alias("copy"))
     out = materialize(near.unionByName(copies), "nd-out")
-    for t in (d, classes, cand, asked, sets):
+    for t in (d, classes, heads, cand, asked, sets):
         drop_path(t)
     return out
 

@@ -64,6 +64,44 @@ def test_only_near_sets_are_sent(spark, monkeypatch):
     assert len(want) > 50 and sent["nd-pairs"] < len(want) + 60  # of 17,000 pairs that share a key
 
 
+@pytest.mark.parametrize("tile", [4096, 40])
+def test_common_keys_meet_in_tiles(spark, monkeypatch, tile):
+    """Postings of common keys are compared by tiles, of one block or more, with sizes in one band, in adjacent ones and far apart."""
+    import random
+
+    r = random.Random(8)
+    key = lambda: f"{r.randrange(1 << 40, 1 << 64):016x}"
+    sets = []
+    for n in [4, 5, 9, 10, 19, 20, 24, 40, 200, 255, 257, 290, 512, 600, 1100] * 6:
+        own = [key() for _ in range(n)]
+        sets.append({"0" * 16, "0" * 15 + "1", *own})
+        for part in (9, 20):
+            sets.append({"0" * 16, *own[: n - max(1, n // part)], *(key() for _ in range(max(1, n // part)))})
+            sets.append({"0" * 15 + "1", *own, *(key() for _ in range(max(1, n // part)))})
+    d = spark.createDataFrame([(i, bytes.fromhex("".join(sorted(s)))) for i, s in enumerate(sets)], "ord long, shingles binary")
+    met = []
+    old = dedup._met_in_tiles
+    monkeypatch.setattr(dedup, "_met_in_tiles", lambda p, least: (met.append(p.count()), old(p, least))[1])
+    monkeypatch.setattr(dedup, "COMMON", 8)
+    monkeypatch.setattr(dedup, "TILE", tile)
+    least16 = [set(sorted(s)[:16]) for s in sets]
+    want = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if least16[a] & least16[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    assert rows(dedup.near_duplicate_pairs(d).select("a", "b"), "a", "b") == want
+    assert len(want) > 150 and met[0] > len(sets)
+
+
+def test_packed_shingle_keys_equal_those_of_the_expression(spark, monkeypatch):
+    """Also of texts beyond ASCII, without words, with fewer words than a shingle, and of more shingles than are held at once."""
+    t = [None, "", "a b c d", "A b_c D-e'f  g 1", "\x00a\x1cb\tc\nd\x7fe f", "a b c d e a b c d e a b", "\u00c4rger \u00dcber \u0130stanbul \u212a \u0663 x\u00a0y \u4e2d\u6587 \U00010400\u01c5 e\u0301 \u00bd", "\u00a0".join("vwxyz"), "-".join(map(str, range(40)))]
+    d = spark.createDataFrame(list(enumerate(t)), "ord int, t string")
+    plain = F.unhex(F.array_join(F.array_sort(T.shingle_keys(T.words(F.lower("t"), r"[\p{L}\p{N}_]+"))), ""))
+    got = d.select("ord", plain.alias("plain"), T.packed_shingle_keys("t").alias("packed")).orderBy("ord").collect()
+    assert [r.packed for r in got] == [r.plain for r in got]
+    assert [len(r.packed) // 8 for r in got][:6] == [0, 0, 0, 3, 2, 5] and len(got[8].packed) == 8 * 36
+    monkeypatch.setattr(T, "SHINGLES", 3)
+    assert [T._packed(t[i].encode(), 5) for i in (3, 5, 8)] == [got[i].packed for i in (3, 5, 8)]
+
+
 def plain_greedy(n, pairs):
     kept = []
     for i in range(n):
