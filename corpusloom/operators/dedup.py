@@ -267,12 +267,12 @@ def near_duplicate_pairs(df: DataFrame, shingles: str = "shingles", least: float
     return out
 
 
-#: Pairs of one component that one task decides by itself: 16 bytes each.
+#: Pairs of one component that one task decides by itself: 16 bytes each. Smaller components are decided many at a time.
 ONE_TASK_PAIRS = 200_000
 
 
 def _first_come(key, d: pd.DataFrame) -> pd.DataFrame:
-    """Of one component's pairs (a before b): its rows, each kept iff none kept stands before it in a pair."""
+    """Of pairs (a before b) of whole components: their rows, each kept iff none kept stands before it in a pair."""
     before: dict[int, list[int]] = {}
     for a, b in zip(d["a"].tolist(), d["b"].tolist(), strict=True):
         before.setdefault(a, [])
@@ -283,39 +283,58 @@ def _first_come(key, d: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"ord": list(kept), "kept": list(kept.values())}).astype({"ord": "int64", "kept": "bool"})
 
 
+def _peeled(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that are decided at once, and the pairs of the others: rows without an undecided one before them are kept, those behind
+    them rejected, and rows whose pairs all go with these have no kept one before them."""
+    free = near.select("a").distinct().join(near.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+    free = materialize(free.select(F.col("a").alias("ord")), "gk-free")
+    gone = materialize(near.join(free, near["a"] == free["ord"], "left_semi").select(F.col("b").alias("ord")).distinct(), "gk-gone")
+    out = free.unionByName(gone)
+    left = near.join(out, near["a"] == out["ord"], "left_anti").join(out, F.col("b") == out["ord"], "left_anti").select("a", "b")
+    left = materialize(left, "gk-near")
+    ends = lambda t: t.select(F.explode(F.array("a", "b")).alias("ord")).distinct()
+    alone = ends(near).join(out, "ord", "left_anti").join(ends(left), "ord", "left_anti")
+    decided = free.unionByName(alone).withColumn("kept", F.lit(True)).unionByName(gone.withColumn("kept", F.lit(False)))
+    decided = materialize(decided, "gk-decided")
+    drop_path(free)
+    drop_path(gone)
+    return decided, left
+
+
 def greedy_keep(ids: DataFrame, pairs: DataFrame, one_task: int = ONE_TASK_PAIRS) -> DataFrame:
     """J12 greedy: keep i iff no kept j before it pairs with it, over the pairs of representatives.
 
-    A copy is never kept: its representative comes first, and what rejects that rejects the copy. Rows are decided by
-    connected components: one of at most `one_task` pairs in one task, as a chain needs one decision after the other. Of
-    larger ones a round keeps every row without an undecided one before it and rejects those behind it; what is decided leaves,
-    so the rest falls apart. Tables of a round are dropped after it.
+    A copy is never kept: its representative comes first, and what rejects that rejects the copy. More pairs than `one_task`
+    are first peeled, which dense groups shrink by, as long as a quarter of the pairs leaves. The rest is decided by connected
+    components: one of at most `one_task` pairs in one task, as a chain needs one decision after the other, and many small
+    ones in one call. Larger ones are peeled on and fall apart. Tables of a round are dropped after it.
     """
     pairs = materialize(pairs, "gk-pairs")
     near = materialize(pairs.filter("NOT copy").select("a", "b").distinct(), "gk-near")
     copies = pairs.filter("copy").select(F.col("b").alias("ord")).distinct()
     decided: list[DataFrame] = []
-    while not near.isEmpty():
-        edge = F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string"))
-        ends = near.select(F.explode(F.array("a", "b")).alias("ord"), edge.alias("key"))
+    n = near.count()
+    while n:
+        before = math.inf
+        while n > one_task and n <= before * 3 / 4:
+            some, left = _peeled(near)
+            decided.append(some)
+            drop_path(near)
+            near, before, n = left, n, left.count()
+        if not n:
+            break
+        first = F.col("a").cast("string").alias("key")  # a row and all that it stands before share a key
+        ends = near.select(F.col("b").alias("ord"), first).unionByName(near.select(F.col("a").alias("ord"), first).distinct())
         named = materialize(connected_groups(ends).select(F.col("ord").alias("a"), "component"), "gk-components")
         own = materialize(near.join(named, "a"), "gk-own")
         size = own.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
         small = own.join(size.filter(F.col("n") <= one_task).select("component"), "component", "left_semi")
-        decided.append(materialize(small.groupBy("component").applyInPandas(_first_come, "ord bigint, kept boolean"), "gk-decided"))
-        large = materialize(own.join(size.filter(F.col("n") > one_task).select("component"), "component", "left_semi").select("a", "b"), "gk-large")
-        free = large.select("a").distinct().join(large.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        free = materialize(free.select(F.col("a").alias("ord")), "gk-free")
-        gone = materialize(large.join(free, large["a"] == free["ord"], "left_semi").select(F.col("b").alias("ord")).distinct(), "gk-gone")
-        decided.append(materialize(free.withColumn("kept", F.lit(True)).unionByName(gone.withColumn("kept", F.lit(False))), "gk-decided"))
-        out = free.unionByName(gone)
-        left = large.join(out, large["a"] == out["ord"], "left_anti").join(out, F.col("b") == out["ord"], "left_anti").select("a", "b")
-        before, near = near, materialize(left, "gk-near")
-        # rows whose pairs are all decided, but not they themselves, have no kept one before them
-        alone = large.select(F.explode(F.array("a", "b")).alias("ord")).distinct().join(out, "ord", "left_anti").join(near.select(F.explode(F.array("a", "b")).alias("ord")).distinct(), "ord", "left_anti")
-        decided.append(materialize(alone.withColumn("kept", F.lit(True)), "gk-decided"))
-        for t in (before, named, own, large, free, gone):
+        bucket = F.pmod(F.xxhash64("component"), F.lit(math.ceil(n * 8 / one_task))).alias("bucket")
+        decided.append(materialize(small.groupBy(bucket).applyInPandas(_first_come, "ord bigint, kept boolean"), "gk-decided"))
+        large = materialize(own.join(size.filter(F.col("n") > one_task).select("component"), "component", "left_semi").select("a", "b"), "gk-near")
+        for t in (near, named, own):
             drop_path(t)
+        near, n = large, large.count()
     rejected = copies
     for d in decided:
         rejected = rejected.unionByName(d.filter("NOT kept").select("ord"))

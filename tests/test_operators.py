@@ -129,6 +129,22 @@ def test_greedy_keep_of_chains_and_webs(spark, one_task, monkeypatch):
     assert len(rounds) == 1 if one_task > 3 else len(rounds) < 20
 
 
+def test_many_small_components_are_decided_in_few_calls(spark, monkeypatch, tmp_path):
+    old = dedup._first_come
+
+    def counted(key, d):
+        from uuid import uuid4
+
+        (tmp_path / uuid4().hex).touch()
+        return old(key, d)
+
+    monkeypatch.setattr(dedup, "_first_come", counted)
+    pairs = spark.range(400).selectExpr("3 * id AS a", "3 * id + 1 AS b", "false AS copy")
+    got = sorted(x.ord for x in dedup.greedy_keep(spark.range(1200).withColumnRenamed("id", "ord"), pairs).collect())
+    assert got == [x for x in range(1200) if x % 3 != 1]
+    assert len(list(tmp_path.iterdir())) <= 8
+
+
 def test_rows_in_sessions_of_all_lengths(spark):
     import random
 
