@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from hashlib import sha256
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -96,16 +95,19 @@ def _mark(flat: np.ndarray) -> np.ndarray:
     return np.frombuffer(bits, np.int64)
 
 
-def _told(batches: Iterator[pa.RecordBatch], bottom: int) -> Iterator[pa.RecordBatch]:
-    """Rows (ord, s) with sets that are not empty: their class (digest of the set), size, least keys and marks."""
+def _told(batches: Iterator[pa.RecordBatch], bottom: int, keys: Callable[[bytes], bytes] | None) -> Iterator[pa.RecordBatch]:
+    """Rows (ord, s), s as keys() makes it, with sets that are not empty: their class (digest of the set), size, least keys and marks."""
     for whole in batches:
         for i in range(0, whole.num_rows, 256):
-            b = whole.slice(i, 256).filter(pc.greater(pc.binary_length(whole.column("s").slice(i, 256)), 0))
+            b = whole.slice(i, 256)
             sets = b.column("s").to_pylist()
+            sets = [keys(s) for s in sets] if keys else [s or b"" for s in sets]
+            ords = b.column("ord").filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
+            sets = [s for s in sets if s]
             marks = [_mark(np.frombuffer(s, ">u8").astype(np.uint64)) for s in sets]
             ends = np.cumsum([0, *map(len, marks)]).astype(np.int32)
             m = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *marks])))
-            columns = [b.column("ord"), pa.array([sha256(s).digest() for s in sets], pa.binary()), pa.array([len(s) // 8 for s in sets], pa.int32()), pa.array([s[: 8 * bottom] for s in sets], pa.binary()), m, b.column("s")]
+            columns = [ords, pa.array([sha256(s).digest() for s in sets], pa.binary()), pa.array([len(s) // 8 for s in sets], pa.int32()), pa.array([s[: 8 * bottom] for s in sets], pa.binary()), m, pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["ord", "class", "n", "low", "m", "s"])
 
 
@@ -237,8 +239,8 @@ def _candidates(heads: DataFrame, least: float, bottom: int) -> DataFrame:
     return out
 
 
-def near_duplicate_pairs(df: DataFrame, shingles: str = "shingles", least: float = 0.8, bottom: int = 16) -> DataFrame:
-    """(a, b, copy): rows that share one of their least shingle keys (distinct, 16 hex digits; or all sorted, 8 bytes each) and reach the Jaccard similarity.
+def near_duplicate_pairs(df: DataFrame, shingles: str = "shingles", least: float = 0.8, bottom: int = 16, keys: Callable[[bytes], bytes] | None = None) -> DataFrame:
+    """(a, b, copy): rows that share one of their least shingle keys (distinct, 16 hex digits; or all sorted, 8 bytes each, as they are or made by keys()) and reach the Jaccard similarity.
 
     Rows with equal key sets are one class, represented by its first row: `copy` rows join the representative to the
     others, the rest are pairs of representatives. A group of copies so gives rows in proportion to its size. The
@@ -249,7 +251,7 @@ def near_duplicate_pairs(df: DataFrame, shingles: str = "shingles", least: float
     """
     s = F.col(shingles) if isinstance(df.schema[shingles].dataType, BinaryType) else F.unhex(F.array_join(F.array_sort(shingles), ""))
     d = df.select("ord", s.alias("s"))
-    d = materialize(d.mapInArrow(lambda it: _told(it, bottom), f"ord {d.schema['ord'].dataType.simpleString()}, class binary, n int, low binary, m array<bigint>, s binary"), "nd-rows")
+    d = materialize(d.mapInArrow(lambda it: _told(it, bottom, keys), f"ord {d.schema['ord'].dataType.simpleString()}, class binary, n int, low binary, m array<bigint>, s binary"), "nd-rows")
     classes = materialize(d.groupBy("class").agg(F.min("ord").alias("c")), "nd-classes")
     heads = d.drop("s").join(classes, (d["class"] == classes["class"]) & (d["ord"] == classes["c"])).select("c", "n", "low", "m")
     heads = materialize(heads, "nd-heads")

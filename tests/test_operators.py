@@ -95,11 +95,11 @@ def test_packed_shingle_keys_equal_those_of_the_expression(spark, monkeypatch):
     t = [None, "", "a b c d", "A b_c D-e'f  g 1", "\x00a\x1cb\tc\nd\x7fe f", "a b c d e a b c d e a b", "\u00c4rger \u00dcber \u0130stanbul \u212a \u0663 x\u00a0y \u4e2d\u6587 \U00010400\u01c5 e\u0301 \u00bd", "\u00a0".join("vwxyz"), "-".join(map(str, range(40)))]
     d = spark.createDataFrame(list(enumerate(t)), "ord int, t string")
     plain = F.unhex(F.array_join(F.array_sort(T.shingle_keys(T.words(F.lower("t"), r"[\p{L}\p{N}_]+"))), ""))
-    got = d.select("ord", plain.alias("plain"), T.packed_shingle_keys("t").alias("packed")).orderBy("ord").collect()
-    assert [r.packed for r in got] == [r.plain for r in got]
-    assert [len(r.packed) // 8 for r in got][:6] == [0, 0, 0, 3, 2, 5] and len(got[8].packed) == 8 * 36
-    monkeypatch.setattr(T, "SHINGLES", 3)
-    assert [T._packed(t[i].encode(), 5) for i in (3, 5, 8)] == [got[i].packed for i in (3, 5, 8)]
+    got = d.select("ord", plain.alias("plain"), T.word_bytes("t").alias("words")).orderBy("ord").collect()
+    assert [len(r.plain) // 8 for r in got][:6] == [0, 0, 0, 3, 2, 5] and len(got[8].plain) == 8 * 36
+    for held in (1 << 16, 3):
+        monkeypatch.setattr(T, "SHINGLES", held)
+        assert [T.packed_shingle_keys(None if r.words is None else bytes(r.words)) for r in got] == [r.plain for r in got]
 
 
 def plain_greedy(n, pairs):
